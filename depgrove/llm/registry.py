@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import url_filter
+from . import quality_classifier, url_filter
 
 
 def queries() -> dict:
-    return {"op3_url_filters": url_filter.op3_url_filters}
+    return {
+        "op3_url_filters": url_filter.op3_url_filters,
+        "op5_quality_classifier": quality_classifier.op5_quality_classifier,
+    }
 
 
 def oracle_sql() -> dict[str, str]:

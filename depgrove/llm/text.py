@@ -113,11 +113,11 @@ class Texts:
     def lines(self, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The lines between newlines that hold a word: text, start, end, hash."""
         cut = np.flatnonzero(self.data == 10)
-        start = np.unique(np.concatenate([self.bounds[:-1], cut + 1]))
+        start = np.sort(np.concatenate([self.bounds[:-1], cut + 1]))
+        start = start[np.diff(start, prepend=-1) > 0]
         start = start[start < len(self.data)]
-        after = np.concatenate([cut, self.bounds[1:]])
-        after.sort()
-        end = after[np.searchsorted(after, start)]
+        cut = np.append(cut, len(self.data))
+        end = np.minimum(cut[np.searchsorted(cut, start)], self.bounds[np.searchsorted(self.bounds, start, "right")])
         held = np.searchsorted(self.start, end) > np.searchsorted(self.start, start)
         start, end = start[held], end[held]
         doc = np.searchsorted(self.bounds, start, "right") - 1
@@ -148,7 +148,7 @@ def repeated(doc: np.ndarray, key: np.ndarray) -> np.ndarray:
         return np.zeros(0, bool)
     mixed = mix(key + doc.astype(U) * U(0x9E3779B97F4A7C15))
     found = np.sort(mixed)
-    again = np.unique(found[1:][found[1:] == found[:-1]])
+    again = found[1:][found[1:] == found[:-1]]
     if not len(again):
         return np.zeros(len(key), bool)
     at = np.minimum(np.searchsorted(again, mixed), len(again) - 1)
