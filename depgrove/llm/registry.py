@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import quality_classifier, quality_rules, url_filter
+from . import pieces, quality_classifier, quality_rules, url_filter
 
 
 def queries() -> dict:
     return {
         "op3_url_filters": url_filter.op3_url_filters,
+        "op7_sentencepiece": pieces.op7_sentencepiece,
         "op10_quality_rules": quality_rules.op10_quality_rules,
         "op5_quality_classifier": quality_classifier.op5_quality_classifier,
     }
