@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import pieces, quality_classifier, quality_rules, url_filter
+from . import packing, pieces, quality_classifier, quality_rules, url_filter
 
 
 def queries() -> dict:
     return {
         "op3_url_filters": url_filter.op3_url_filters,
         "op7_sentencepiece": pieces.op7_sentencepiece,
+        "op8_packing": packing.op8_packing,
         "op10_quality_rules": quality_rules.op10_quality_rules,
         "op5_quality_classifier": quality_classifier.op5_quality_classifier,
     }
