@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import packing, pieces, quality_classifier, quality_rules, url_filter
+from . import packing, pieces, quality_classifier, quality_rules, substring_dedup, url_filter
 
 
 def queries() -> dict:
     return {
         "op3_url_filters": url_filter.op3_url_filters,
+        "op6_substring_dedup": substring_dedup.op6_substring_dedup,
         "op7_sentencepiece": pieces.op7_sentencepiece,
         "op8_packing": packing.op8_packing,
         "op10_quality_rules": quality_rules.op10_quality_rules,
