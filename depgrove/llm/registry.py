@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import packing, pieces, quality_classifier, quality_rules, substring_dedup, url_filter
+from . import lm_scoring, packing, pieces, quality_classifier, quality_rules, substring_dedup, url_filter
 
 
 def queries() -> dict:
     return {
+        "op2_lm_scoring": lm_scoring.op2_lm_scoring,
         "op3_url_filters": url_filter.op3_url_filters,
         "op6_substring_dedup": substring_dedup.op6_substring_dedup,
         "op7_sentencepiece": pieces.op7_sentencepiece,
