@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, lm_scoring, packing, pieces, quality_classifier, quality_rules, substring_dedup, url_filter
+from . import embedding_dedup, jaccard_join, lm_scoring, packing, pieces, quality_classifier, quality_rules, substring_dedup, url_filter
 
 
 def queries() -> dict:
     return {
+        "op1_embedding_dedup": embedding_dedup.op1_embedding_dedup,
         "op2_lm_scoring": lm_scoring.op2_lm_scoring,
         "op3_url_filters": url_filter.op3_url_filters,
         "op6_substring_dedup": substring_dedup.op6_substring_dedup,
