@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, jaccard_join, lm_scoring, packing, pieces, quality_classifier, quality_rules, substring_dedup, url_filter
+from . import embedding_dedup, jaccard_join, lm_scoring, packing, pieces, quality_classifier, quality_rules, substring_dedup, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op6_substring_dedup": substring_dedup.op6_substring_dedup,
         "op7_sentencepiece": pieces.op7_sentencepiece,
         "op8_packing": packing.op8_packing,
+        "op9_toxicity": toxicity.op9_toxicity,
         "op10_quality_rules": quality_rules.op10_quality_rules,
         "op4_jaccard_join": jaccard_join.op4_jaccard_join,
         "op5_quality_classifier": quality_classifier.op5_quality_classifier,
