@@ -32,7 +32,7 @@ def fold(doc_id: Column | str, n: int) -> Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % n
 
 
-def in_blocks(docs: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
+def in_blocks(docs: DataFrame, block_bytes: int, carried: str | None = None) -> tuple[DataFrame, int]:
     """doc_id, text (null: empty) and block: a hash of the id over enough blocks that each holds about block_bytes.
 
     Copies of a text have different ids, so no block is larger for a group of copies, whatever its size.
@@ -43,6 +43,7 @@ def in_blocks(docs: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce("text", F.lit("")).alias("text"),
         F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(n)).cast("int").alias("block"),
+        *([carried] if carried else []),
     )
     return rows, int(n)
 

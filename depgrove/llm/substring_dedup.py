@@ -156,7 +156,7 @@ def _kept(t: Texts, keep: np.ndarray) -> pa.Array:
     return pa.LargeStringArray.from_buffers(t.n, pa.py_buffer(bounds.tobytes()), pa.py_buffer(data[inside].tobytes()))
 
 
-def _remove(words: int, with_factors: bool):
+def _remove(words: int, with_factors: bool, carried: str | None):
     def remove(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             table = table.slice(0, 0)
@@ -173,6 +173,9 @@ def _remove(words: int, with_factors: bool):
         n_kept = np.bincount(own.t.doc[keep], minlength=own.t.n)
         columns = [table.column("doc_id"), pa.array(n_words), pa.array(n_words - n_kept), _kept(own.t, keep).cast(pa.string())]
         names = ["doc_id", "n_words", "n_removed", "kept"]
+        if carried:
+            columns.append(table.column(carried))
+            names.append(carried)
         if with_factors:
             cuts = np.searchsorted(text, np.arange(own.t.n + 1)).astype(np.int32)
             of = pa.StructArray.from_arrays([pa.array(x.astype(np.int64)) for x in (start, length, doc, place)], ["start", "length", "source_doc", "source_start"])
@@ -183,10 +186,10 @@ def _remove(words: int, with_factors: bool):
     return remove
 
 
-def dedup(docs: DataFrame, words: int = WORDS, block_bytes: int = BLOCK_BYTES, with_factors: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, words: int = WORDS, block_bytes: int = BLOCK_BYTES, with_factors: bool = False, carried: str | None = None) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the remaining words, joined by one space) of each row; with_factors: also the factors as
-    (start, length, source_doc, source_start), counted in words."""
-    rows, n = in_blocks(docs, block_bytes)
+    (start, length, source_doc, source_start), counted in words; carried: a column that stays beside its row."""
+    rows, n = in_blocks(docs, block_bytes, carried)
     of_block = lambda df: df.groupBy("block")
     asked = of_block(rows).applyInArrow(_ask_anchors(n, words), "range int, block int, keys binary")
     again = asked.groupBy("range").applyInArrow(_answer_anchors, "range int, block int, answer binary")
@@ -196,9 +199,22 @@ def dedup(docs: DataFrame, words: int = WORDS, block_bytes: int = BLOCK_BYTES, w
     sources = windows_.groupBy("range").applyInArrow(_answer_windows, "range int, block int, answer binary")
     answers = again.withColumn("step", F.lit(1)).unionByName(sources.withColumn("step", F.lit(2)))
     schema = "doc_id long, n_words long, n_removed long, kept string"
+    if carried:
+        schema += f", {carried} {docs.schema[carried].dataType.simpleString()}"
     if with_factors:
         schema += ", factors array<struct<start: long, length: long, source_doc: long, source_start: long>>"
-    return of_block(rows).cogroup(of_block(answers)).applyInArrow(_remove(words, with_factors), schema)
+    return of_block(rows).cogroup(of_block(answers)).applyInArrow(_remove(words, with_factors, carried), schema)
+
+
+def remove(docs: DataFrame, words: int = WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents with their remaining words, joined by one space, as text; n_chars, where there is such a column, follows. Other
+    columns are kept, whatever their names."""
+    rest = [c for c in docs.columns if c != "text"]
+    rows = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"))
+    found = dedup(rows, words, block_bytes, carried="row").select("row.*", F.col("kept").alias("text"))
+    if "n_chars" in rest:
+        found = found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return found.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:
