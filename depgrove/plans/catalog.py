@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from . import graph_queries
+
+MODULES = (graph_queries,)
+
 
 def queries() -> dict:
-    return {}
+    return {name: query for module in MODULES for name, query in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: text for module in MODULES for name, text in module.SQL.items()}
