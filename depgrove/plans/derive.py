@@ -33,7 +33,7 @@ SQL = {
         UNION ALL SELECT p_partkey, (p_partkey + 1) % (SELECT count(*) FROM {part}) FROM {part}) WHERE src <> dst""",
     "packages": """
       SELECT concat(name, '==', version) AS id, name, version, min(p_partkey) AS vid, max_by(ecosystem, p_partkey) AS ecosystem,
-             max_by(license, p_partkey) AS license, max_by(p_brand, p_partkey) AS brand, max_by(p_size, p_partkey) AS size FROM (
+             nullif(max_by(coalesce(license, '?'), p_partkey), '?') AS license, max_by(p_brand, p_partkey) AS brand, max_by(p_size, p_partkey) AS size FROM (
         SELECT p_partkey, p_brand, p_size, replace(p_name, ' ', '-') AS name, concat(p_size % 5, '.', p_partkey % 10, '.', p_size) AS version,
                CASE WHEN p_brand IN ('Brand#1', 'Brand#2', 'Brand#3') THEN 'rpm' WHEN p_brand IN ('Brand#4', 'Brand#5') THEN 'pypi' ELSE 'npm' END AS ecosystem,
                CASE p_type WHEN 'ECONOMY' THEN 'MIT' WHEN 'LARGE' THEN 'GPL-3.0-only' WHEN 'MEDIUM' THEN 'MIT OR Apache-2.0' WHEN 'PROMO' THEN NULL
