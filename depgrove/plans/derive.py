@@ -59,7 +59,7 @@ SQL = {
                     CASE l_partkey % 5 WHEN 0 THEN 'src' WHEN 1 THEN 'noarch' WHEN 2 THEN 'x86_64' WHEN 3 THEN 'aarch64' ELSE 'riscv64' END, '.rpm') AS filename,
              l_returnflag AS status, l_linestatus AS signed, l_quantity AS seconds FROM {lineitem} JOIN {part} ON l_partkey = p_partkey""",
     "logs": """
-      SELECT user_id, CAST(ts AS DATE) AS day, event_id, concat(CASE event_type WHEN 'error' THEN 'error: ' WHEN 'click' THEN 'warning: ' WHEN 'view' THEN 'file not found ' ELSE 'ok ' END, props) AS line
+      SELECT user_id, CAST(CAST(ts AS DATE) AS STRING) AS day, event_id, concat(CASE event_type WHEN 'error' THEN 'error: ' WHEN 'click' THEN 'warning: ' WHEN 'view' THEN 'file not found ' ELSE 'ok ' END, props) AS line
       FROM {events}""",
     "paths": "SELECT page_id, url FROM {pages}",
 }
