@@ -1 +1,18 @@
-"""See the modules of this subpackage."""
+"""Loaders: one per format, all giving nodes and edges of many files at once."""
+
+from __future__ import annotations
+
+from . import lockfiles, tables
+
+LOADERS = {
+    "npm-lock": lambda s, p: tables.package_lock(s, p)[:2], "package-json": tables.package_json, "yarn-lock": lockfiles.yarn_lock, "pnpm-lock": lockfiles.pnpm_lock,
+    "poetry-lock": lockfiles.poetry_lock, "pyproject": lockfiles.pyproject, "cargo-lock": lockfiles.cargo_lock, "maven-tree": tables.maven_tree,
+    "cyclonedx": tables.cyclonedx, "dot": tables.dot, "rpm-repo": tables.rpm_repository, "build": tables.build, "snapshot": tables.snapshot,
+}
+
+
+def load(spark, kind: str, path: str):
+    """Nodes and edges of the files at a path; kind: a key of LOADERS."""
+    if kind not in LOADERS:
+        raise ValueError(f"unknown source {kind!r}; known: {', '.join(sorted(LOADERS))}")
+    return LOADERS[kind](spark, path)
