@@ -12,11 +12,11 @@ C = F.col
 
 
 def _registry(spark, sf):
-    """Each package of a name needs the name that follows it in the alphabet, by ranges that newer versions narrow."""
+    """Each package of a name needs the next name with the same first word, by ranges that newer versions narrow."""
     from pyspark.sql import Window
 
     p = table(spark, sf, "packages").select("name", "version", "size")
-    following = p.select("name").distinct().select("name", F.lead("name").over(Window.orderBy("name")).alias("next"))
+    following = p.select("name").distinct().select("name", F.lead("name").over(Window.partitionBy(F.substring_index("name", "-", 1)).orderBy("name")).alias("next"))
     rule = F.when(C("size") % 3 == 0, "<3.0.0").when(C("size") % 3 == 1, "^1.0.0 || ^2.0.0").otherwise("*")
     return p.join(following, "name").select("name", "version", F.map_filter(F.create_map(F.coalesce("next", F.lit("")), rule), lambda k, v: k != "").alias("dependencies"))
 
@@ -50,5 +50,5 @@ SQL = {
     "sbom_components": with_("packages") + """SELECT id AS ref, concat('{"type":"library","bom-ref":"', id, '","name":"', name, '","version":"', version, '","properties":[{"name":"depgrove:ecosystem","value":"', ecosystem, '"}',
       CASE WHEN license IS NULL THEN '' ELSE concat(',{"name":"depgrove:license","value":"', license, '"}') END, ']}') AS component FROM packages""",
     "graph_summary_line": with_("nodes", "edges") + "SELECT concat('root=customer:0 nodes=', (SELECT count(*) FROM nodes), ' edges=', (SELECT count(*) FROM edges)) AS line",
-    "resolver_clauses": with_("packages") + "SELECT (SELECT sum(n * (n - 1) / 2)::BIGINT FROM (SELECT count(*) AS n FROM packages GROUP BY name)) AS at_most_one, (SELECT count(*) FROM packages WHERE name <> (SELECT max(name) FROM packages)) AS requirements",
+    "resolver_clauses": with_("packages") + "SELECT (SELECT sum(n * (n - 1) / 2)::BIGINT FROM (SELECT count(*) AS n FROM packages GROUP BY name)) AS at_most_one, (SELECT count(*) FROM packages p WHERE name <> (SELECT max(name) FROM packages q WHERE split_part(q.name, '-', 1) = split_part(p.name, '-', 1))) AS requirements",
 }
