@@ -19,6 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import exchange
 from .common import in_blocks
@@ -199,11 +200,12 @@ def dedup(docs: DataFrame, words: int = WORDS, block_bytes: int = BLOCK_BYTES, w
     sources = windows_.groupBy("range").applyInArrow(_answer_windows, "range int, block int, answer binary")
     answers = again.withColumn("step", F.lit(1)).unionByName(sources.withColumn("step", F.lit(2)))
     schema = "doc_id long, n_words long, n_removed long, kept string"
-    if carried:
-        schema += f", {carried} {docs.schema[carried].dataType.simpleString()}"
     if with_factors:
         schema += ", factors array<struct<start: long, length: long, source_doc: long, source_start: long>>"
-    return of_block(rows).cogroup(of_block(answers)).applyInArrow(_remove(words, with_factors, carried), schema)
+    fields = StructType.fromDDL(schema).fields
+    if carried:
+        fields.insert(4, docs.schema[carried])
+    return of_block(rows).cogroup(of_block(answers)).applyInArrow(_remove(words, with_factors, carried), StructType(fields))
 
 
 def remove(docs: DataFrame, words: int = WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
