@@ -3,10 +3,12 @@
 A document's set holds the hashes of its runs of five words (of fewer words: of all its words at once). Documents with equal sets are
 one class. In each run a class chooses, by a hash that all classes share, about CHOSEN / (similarity * size) of its own tokens; classes
 that chose the same token are a bucket. Two sets of the wanted similarity share CHOSEN chosen tokens a run on average, so the number
-of runs follows from the target recall. Buckets too large to compare at once are split again by tokens chosen under their path; one
-whose largest child still holds half of it is a group of like sets and is compared as it is, in blocks. A pair is counted in the
-largest bucket that both sides are in and in no other, so counts need no list of pairs; a bucket whose classes share one larger
-bucket is dropped. In a bucket, sizes of intersections come from one matrix product; similarities are exact.
+of runs follows from the target recall. Buckets too large to compare at once are split again, by tokens of the classes' minwise
+sketches chosen under their path; one whose largest child still holds three quarters of it is a group of like sets and is compared as it is, in
+blocks. Sketches (PLACES minima of 16 bits) are compared first, and only classes that have a partner with LEAST_EQUAL equal minima or
+more (a pair of the wanted similarity has fewer with a probability of about 1e-9) send their sets. A pair is counted in the largest
+bucket that both sides are in and in no other, so counts need no list of pairs; a bucket whose classes share one larger bucket is
+dropped. In a bucket, sizes of intersections come from one matrix product; similarities are exact.
 
 Defined results: a null text, or one without words, has no set, is its own class and links with nothing; rows with equal sets are
 linked with similarity 1; rows with the same doc_id are rows of their own; an empty table gives an empty result; other columns are
@@ -33,8 +35,13 @@ SIMILARITY = 0.8
 RECALL = 0.9999
 CHOSEN = 2.5
 #: Classes in a bucket, or in a block of one, that are compared at once.
-BUCKET = 256
-LEVELS = 4
+BUCKET = 512
+LEVELS = 10
+PLACES, LEAST_EQUAL = 64, 30
+#: Tokens that a class chooses on average where a bucket is split: sets less alike than wanted then part.
+CHOSEN_BELOW = 0.8
+#: Ids of the classes that send their sets are broadcast up to so many, else the texts are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def runs_for(recall: float, chosen: float = CHOSEN) -> int:
@@ -75,14 +82,29 @@ def _set_hash(doc: np.ndarray, token: np.ndarray, n: int) -> tuple[np.ndarray, n
     return mix(run[bounds[1:]] - run[bounds[:-1]] + size.astype(U)).view(np.int64), size
 
 
-def _choose(token: np.ndarray, salt, size: np.ndarray, similarity: float) -> np.ndarray:
+def _sketch(doc: np.ndarray, token: np.ndarray, n: int) -> list[bytes | None]:
+    """For each text with tokens, 16 bits of the minimum of each of PLACES orders of its tokens."""
+    bounds = np.searchsorted(doc, np.arange(n + 1))
+    some = np.flatnonzero(np.diff(bounds))
+    out = np.zeros((len(some), PLACES), np.uint16)
+    mixed = mix(token + U(5))
+    for k in range(PLACES if len(some) else 0):
+        order = mixed * (mix(np.array([k + 11], U)) | U(1))
+        out[:, k] = (mix(np.minimum.reduceat(order, bounds[some])) & U(0xFFFF)).astype(np.uint16)
+    found: list[bytes | None] = [None] * n
+    for i, row in zip(some.tolist(), out):
+        found[i] = row.tobytes()
+    return found
+
+
+def _choose(token: np.ndarray, salt, size, similarity: float, chosen: float = CHOSEN) -> np.ndarray:
     """Which tokens are chosen; salt: of the run or path, size: of the token's set."""
-    most = np.minimum(CHOSEN / (similarity * np.maximum(size, 1)), 1.0)
+    most = np.minimum(chosen / (similarity * np.maximum(size, 1)), 1.0)
     return mix(token * U(2) + U(1) + salt).astype(np.float64) * 2.0**-64 < most
 
 
 def _signed(docs: DataFrame, runs: int, k: int, similarity: float) -> DataFrame:
-    """doc_id, rep (the set's hash; null without a set), size and the buckets of the first level."""
+    """doc_id, rep (the set's hash; null without a set), the buckets of the first level and the sketch."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
     def work(batches):
@@ -100,9 +122,10 @@ def _signed(docs: DataFrame, runs: int, k: int, similarity: float) -> DataFrame:
                 order = np.argsort(of, kind="stable")
                 cuts = np.searchsorted(of[order], np.arange(t.n + 1)).astype(np.int32)
                 paths = pa.ListArray.from_arrays(pa.array(cuts), pa.array(path[order]))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(rep, mask=size == 0), pa.array(size.astype(np.int32)), paths], ["doc_id", "rep", "size", "paths"])
+                sketch = pa.array(_sketch(doc, token, t.n), pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(rep, mask=size == 0), paths, sketch], ["doc_id", "rep", "paths", "sketch"])
 
-    return rows.mapInArrow(work, "doc_id long, rep long, size int, paths array<long>")
+    return rows.mapInArrow(work, "doc_id long, rep long, paths array<long>, sketch binary")
 
 
 def _with_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -128,34 +151,32 @@ def _sized(rows: DataFrame) -> DataFrame:
     return rows.join(rows.groupBy("path").agg(F.count("*").alias("members")).where("members > 1"), "path")
 
 
-def _split(large: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def _split(large: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
     def work(batches):
+        places = np.arange(PLACES, dtype=U)
         for batch in batches:
-            paths, reps, parents = (batch.column(c).to_numpy() for c in ("path", "rep", "members"))
-            out = [[], [], [], []]
-            for path, rep, members, raw in zip(paths, reps, parents, batch.column("tokens").to_pylist()):
-                token = np.frombuffer(raw, U)
-                salt = mix(np.array([path], np.int64).view(U))
-                token = token[_choose(token, salt, np.full(len(token), len(token)), similarity)]
-                child = mix(token + salt * U(5)).view(np.int64)
-                for column, x in zip(out, (child, np.full(len(child), rep), np.full(len(child), path), np.full(len(child), members))):
-                    column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.zeros(0, np.int64)) for c in out], ["path", "rep", "parent", "parent_members"])
-
-    rows = large.select("path", "rep", "members").join(sets.select("rep", "tokens"), "rep").select("path", "rep", "members", "tokens")
+            if not batch.num_rows:
+                continue
+            path, rep, members = (batch.column(c).to_numpy() for c in ("path", "rep", "members"))
+            sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint16).reshape(-1, PLACES)
+            salt = mix(path.view(U))[:, None]
+            row, place = np.nonzero(_choose(places[None, :], salt, PLACES, similarity, CHOSEN_BELOW))
+            child = mix(mix(path.view(U)[row] + places[place] * U(65537)) + sketch[row, place].astype(U)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (child, rep[row], path[row], members[row])], ["path", "rep", "parent", "parent_members"])
+
+    rows = large.select("path", "rep", "members").join(sketches, "rep").select("path", "rep", "members", "sketch")
     return rows.mapInArrow(work, "path long, rep long, parent long, parent_members long")
 
 
-def _buckets(first: DataFrame, sets: DataFrame, similarity: float, name: str) -> DataFrame:
+def _buckets(live: DataFrame, sketches: DataFrame, similarity: float, name: str) -> DataFrame:
     """path, rep and members of the buckets that are compared: small ones, groups of like sets, and what is left at the last level."""
-    live = written(first, name)
     done = live.where(F.col("members") <= BUCKET)
     large = live.where(F.col("members") > BUCKET)
     for level in range(2, LEVELS + 1):
         if large.isEmpty():
             return done
-        children = written(_sized(_split(large, sets, similarity)), name)
-        dense = children.groupBy("parent").agg(F.max(2 * F.col("members") >= F.col("parent_members")).alias("dense")).where("dense").select(F.col("parent").alias("path"))
+        children = written(_sized(written(_split(large, sketches, similarity), name)), name)
+        dense = children.groupBy("parent").agg(F.max(4 * F.col("members") >= 3 * F.col("parent_members")).alias("dense")).where("dense").select(F.col("parent").alias("path"))
         done = done.unionByName(large.join(dense, "path", "left_semi"))
         below = children.join(dense.withColumnRenamed("path", "parent"), "parent", "left_anti").select("path", "rep", "members")
         done = done.unionByName(below.where(F.col("members") <= BUCKET))
@@ -208,8 +229,24 @@ def _compare(similarity: float):
     return compare
 
 
-def _links(leaves: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """rep, links (other documents, by this bucket) and root (a class of its own component in this bucket)."""
+def _alike(table: pa.Table) -> pa.Table:
+    """The classes of a bucket, or of two blocks of one, that have a partner whose sketch is like theirs."""
+    rep, side = table.column("rep").to_numpy(), table.column("side").to_numpy()
+    two = table.column("p")[0].as_py() != table.column("q")[0].as_py()
+    sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint16).reshape(-1, PLACES)
+    equal = np.zeros((len(rep), len(rep)), np.uint8)
+    for k in range(PLACES):
+        equal += sketch[:, k][:, None] == sketch[:, k][None, :]
+    like = equal >= LEAST_EQUAL
+    np.fill_diagonal(like, False)
+    if two:
+        like &= side[:, None] != side[None, :]
+    hit = np.flatnonzero(like.any(1))
+    return pa.table([pa.array(np.full(len(hit), table.column("path")[0].as_py(), np.int64)), pa.array(rep[hit])], ["path", "rep"])
+
+
+def _tasks(leaves: DataFrame, payload: DataFrame) -> DataFrame:
+    """The rows of each bucket, or pair of blocks of one, with the payload of their classes; greater: the larger buckets of a class."""
     order = F.struct("members", "path")
     of_rep = leaves.groupBy("rep").agg(F.max(order).alias("top"), F.collect_list(order).alias("all"))
     rows = leaves.join(of_rep, "rep").withColumn("greater", F.transform(F.filter("all", lambda x: x > F.struct("members", "path")), lambda x: x["path"]))
@@ -226,21 +263,25 @@ def _links(leaves: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     pairs = a.join(b, "path").where("p <= q AND (top_p <> top_q OR top_p = path)").select("path", "p", "q")
     sides = pairs.select("path", "p", "q", F.explode(F.array_distinct(F.array("p", "q"))).alias("block"))
     split = big.join(sides, ["path", "block"]).select("path", "p", "q", "rep", "top", "greater", (F.col("block") == F.col("q")).cast("int").alias("side"))
-    tasks = small.unionByName(split).join(sets, "rep")
-    return tasks.groupBy("path", "p", "q").applyInArrow(_compare(similarity), "rep long, links long, root long")
+    return small.unionByName(split).join(payload, "rep")
 
 
 def join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, shingle: int = SHINGLE) -> DataFrame:
     """A row per document: doc_id, class_id (the smallest id with an equal set), n_links (other documents of the wanted similarity or
     more, those with equal sets included), component_id (the smallest id that links reach), kept (no smaller id is reached)."""
     signed = written(_signed(docs, runs_for(recall), shingle, similarity), "join-signed")
-    classes = signed.where("rep IS NOT NULL").groupBy("rep").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"), F.first("paths").alias("paths"))
-    classes = written(classes, "join-classes")
-    first = written(_sized(classes.select(F.explode("paths").alias("path"), "rep")), "join-first")
-    wanted = first.select("rep").distinct().join(classes.select("rep", F.col("class_id").alias("doc_id"), "copies"), "rep")
-    sets = written(_with_sets(docs, wanted, shingle), "join-sets")
-    leaves = written(_buckets(first, sets, similarity, "join-level"), "join-leaves")
-    links = written(_links(leaves, sets, similarity), "join-links")
+    first = [F.first(c).alias(c) for c in ("paths", "sketch")]
+    classes = written(signed.where("rep IS NOT NULL").groupBy("rep").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"), *first), "join-classes")
+    sketches = classes.select("rep", "sketch")
+    live = written(_sized(classes.select(F.explode("paths").alias("path"), "rep")), "join-first")
+    leaves = written(_buckets(live, sketches, similarity, "join-level"), "join-leaves")
+    alike = _tasks(leaves, sketches).groupBy("path", "p", "q").applyInArrow(_alike, "path long, rep long").distinct()
+    leaves = written(_sized(written(alike, "join-alike")), "join-leaves")
+    wanted = leaves.select("rep").distinct().join(classes.select("rep", F.col("class_id").alias("doc_id"), "copies"), "rep")
+    wanted = written(wanted, "join-wanted")
+    sets = written(_with_sets(docs, F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, shingle), "join-sets")
+    links = _tasks(leaves, sets).groupBy("path", "p", "q").applyInArrow(_compare(similarity), "rep long, links long, root long")
+    links = written(links, "join-links")
     roots = components(links.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     counted = links.groupBy("rep").agg(F.sum("links").alias("links"))
     known = classes.select("rep", "class_id", "copies").join(counted, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +32,7 @@ REJECT_BELOW = 0.3
 #: Fixed values of the limits: words at least, and repeated words in a hundred words at most.
 LEAST_WORDS, MOST_REPEATED = 50, 50
 SCALE = 30.0
+TOGETHER = 300
 
 
 def _grams(t: Texts, hashes: np.ndarray):
@@ -81,16 +83,20 @@ def _sparse(t: Texts) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def _fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, steps: int = 120, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Adam over all rows at once."""
-    row = np.repeat(np.arange(len(rows)), [len(s) for s, _ in rows])
-    slot, value = np.concatenate([s for s, _ in rows]).astype(np.int64), np.concatenate([v for _, v in rows])
+    """Adam over all rows; a step goes through them a few hundred at a time, so that little more than the rows is in memory."""
     w, b = np.zeros(KINDS * SLOTS), 0.0
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
     for step in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, w[slot] * value, minlength=len(rows)) + b, -30, 30)))
-        r = weight * (p - y)
-        g = np.append(np.bincount(slot, r[row] * value, minlength=len(w)) + decay * w, r.sum())
+        g = np.append(decay * w, 0.0)
+        for i in range(0, len(rows), TOGETHER):
+            part = rows[i : i + TOGETHER]
+            row = np.repeat(np.arange(len(part)), [len(s) for s, _ in part])
+            slot, value = np.concatenate([s for s, _ in part]).astype(np.int64), np.concatenate([x for _, x in part])
+            p = 1 / (1 + np.exp(-np.clip(np.bincount(row, w[slot] * value, minlength=len(part)) + b, -30, 30)))
+            r = weight[i : i + TOGETHER] * (p - y[i : i + TOGETHER])
+            g[:-1] += np.bincount(slot, r[row] * value, minlength=len(w))
+            g[-1] += r.sum()
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
@@ -129,10 +135,11 @@ def model(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, calibrat
                     ["doc_id", "label", "fit", "slots", "vals"],
                 )
 
-    found = rows.select("doc_id", "label", "fit", "text").mapInArrow(work, "doc_id long, label int, fit boolean, slots binary, vals binary").toPandas()
-    found = found.sort_values(["doc_id", "slots"])
-    sparse = [(np.frombuffer(s, np.uint32), np.frombuffer(v, np.float32)) for s, v in zip(found["slots"], found["vals"])]
-    fit, y = found["fit"].to_numpy(bool), found["label"].to_numpy(float)
+    found = rows.select("doc_id", "label", "fit", "text").mapInArrow(work, "doc_id long, label int, fit boolean, slots binary, vals binary").toArrow()
+    found = found.take(pc.sort_indices(found.select(["doc_id"]), [("doc_id", "ascending")]))
+    view = lambda c, d: [np.frombuffer(x.as_buffer(), d) for x in found.column(c)]  # noqa: E731  of the table's own memory
+    sparse = list(zip(view("slots", np.uint32), view("vals", np.float32)))
+    fit, y = found.column("fit").to_numpy(), found.column("label").to_numpy().astype(float)
     if not fit.any():
         return Model(np.zeros((KINDS, SLOTS)), 0.0)
     w, b = _fit([x for x, f in zip(sparse, fit) if f], y[fit])
