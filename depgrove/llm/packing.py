@@ -29,26 +29,52 @@ WINDOW = 4096
 END = 2
 SHARD_BYTES = 8 << 20
 MEMO_ENTRIES = 250_000
+#: Stands between words that are encoded at once, so many in a text.
+MARK, AT_ONCE = b"\x01", 256
 K1, B = 1.2, 0.75
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 class _Tokens:
-    """Ids of single words: the vocabulary's rules never join what white space parts."""
+    """Ids of single words: the vocabulary's rules never join what white space parts.
+
+    New words are encoded a few hundred at a time, with a control character as a word of its own behind each. Its id comes from nothing
+    else, so the ids between two of them are those of one word; words that hold the character are encoded singly, and so are all where it
+    has no id of its own.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer, self.memo = Tokenizer.from_file(path), Memo(MEMO_ENTRIES)
+        mark = self._encoded([MARK.decode()])[0]
+        self.mark = mark[0] if len(mark) == 1 else None
+
+    def _encoded(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _together(self, words: list[bytes]) -> list[bytes] | None:
+        """The ids of words without the mark; None if they can't be told apart."""
+        behind = b" " + MARK + b" "
+        parts = [(behind.join(words[i : i + AT_ONCE]) + behind).decode() for i in range(0, len(words), AT_ONCE)]
+        ids = np.concatenate([np.array(x, "<u4") for i in range(0, len(parts), 16) for x in self._encoded(parts[i : i + 16])])
+        ends = np.flatnonzero(ids == self.mark)
+        if len(ends) != len(words):
+            return None
+        raw, ends = ids.tobytes(), (4 * ends).tolist()
+        return [raw[a:b] for a, b in zip([0, *(x + 4 for x in ends[:-1])], ends)]
 
     def of(self, words: list[bytes]) -> list[bytes]:
         """The ids of each word as little-endian 32-bit numbers."""
-        new = self.memo.missing(words)
-        for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
-            self.memo.young[w] = np.array(e.ids, "<u4").tobytes()
-        known = self.memo.young
-        return [known[w] for w in words]
+        known, new = self.memo, self.memo.missing(words)
+        plain = [w for w in new if MARK not in w] if self.mark is not None else []
+        found = (self._together(plain) if plain else None) or []
+        known.young.update(zip(plain, found))
+        if len(found) < len(new):
+            single = [w for w in new if w not in known.young]
+            known.young.update((w, np.array(x, "<u4").tobytes()) for w, x in zip(single, self._encoded([w.decode() for w in single])))
+        return [known.young[w] for w in words]
 
 
 @functools.cache
