@@ -28,7 +28,7 @@ from .text import Texts, whole_windows, windows
 WINDOW = 4096
 END = 2
 SHARD_BYTES = 8 << 20
-MEMO_ENTRIES = 250_000
+MEMO_ENTRIES = 500_000
 #: Stands between words that are encoded at once, so many in a text.
 MARK, AT_ONCE = b"\x01", 256
 K1, B = 1.2, 0.75
