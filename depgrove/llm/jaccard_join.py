@@ -2,10 +2,11 @@
 
 A document's set holds the hashes of its runs of five words (of fewer words: of all its words at once). Documents with equal sets are
 one class. In each run a class chooses, by a hash that all classes share, about CHOSEN / (similarity * size) of its own tokens; classes
-that chose the same token are a bucket. Two sets of the wanted similarity share CHOSEN chosen tokens a run on average, so the number
-of runs follows from the target recall. Buckets too large to compare at once are split again, by tokens of the classes' minwise
-sketches chosen under their path; one whose largest child still holds three quarters of it is a group of like sets and is compared as it is, in
-blocks. Sketches (PLACES minima of 16 bits) are compared first, and only classes that have a partner with LEAST_EQUAL equal minima or
+that chose the same token are a bucket. Two sets of the wanted similarity share CHOSEN chosen tokens a run on average. Buckets too
+large to compare at once are split again, level by level, by a fixed number of places of the classes' minwise sketches that are chosen
+under their path and were not used above. The number of runs follows from the target recall and from what such a pair keeps through
+all levels. A bucket whose children would cost more than itself (a group of like sets, or one not much too large) is compared as it
+is, in blocks; so is what is left at the last level. Sketches (PLACES minima of 16 bits) are compared first, and only classes that have a partner with LEAST_EQUAL equal minima or
 more (a pair of the wanted similarity has fewer with a probability of about 1e-9) send their sets. A pair is counted in the largest
 bucket that both sides are in and in no other, so counts need no list of pairs; a bucket whose classes share one larger bucket is
 dropped. In a bucket, sizes of intersections come from one matrix product; similarities are exact.
@@ -38,15 +39,35 @@ CHOSEN = 2.5
 BUCKET = 512
 LEVELS = 10
 PLACES, LEAST_EQUAL = 64, 30
-#: Tokens that a class chooses on average where a bucket is split: sets less alike than wanted then part.
-CHOSEN_BELOW = 0.8
+#: Places that two sets of the wanted similarity share on average where a bucket is split, at least: well over 1, so that few pairs
+#: are lost however many levels follow.
+SHARED_BELOW = 1.6
+#: What a row of a child costs, in comparisons of two sketches and as a multiple of BUCKET.
+ROW = 8
 #: Ids of the classes that send their sets are broadcast up to so many, else the texts are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
 
-def runs_for(recall: float, chosen: float = CHOSEN) -> int:
-    """Runs after which a pair of just the wanted similarity has shared a bucket with this probability."""
-    return max(1, math.ceil(-math.log(1 - recall) / chosen))
+def places_for(similarity: float) -> int:
+    return math.ceil(SHARED_BELOW / similarity - 1e-9)
+
+
+def survival(equal: float, places: int, levels: int = LEVELS - 1) -> float:
+    """With what probability a pair that shares a bucket still shares one after so many splits; equal: the share of equal places."""
+    kept = 1.0
+    for _ in range(levels):
+        kept = 1 - (1 - equal * kept) ** places
+    return kept
+
+
+def runs_for(recall: float, chosen: float = CHOSEN, similarity: float = SIMILARITY) -> int:
+    """Runs after which a pair of just the wanted similarity shares a compared bucket with this probability, even if each bucket of
+    the first level is split at all levels. All buckets are split by one sketch, so the mean is taken over its equal places."""
+    share = [(math.comb(PLACES, e) * similarity**e * (1 - similarity) ** (PLACES - e), survival(e / PLACES, places_for(similarity))) for e in range(PLACES + 1)]
+    runs = 1
+    while sum(p * math.exp(-chosen * runs * kept) for p, kept in share) > 1 - recall:
+        runs += 1
+    return runs
 
 
 def _sets(t: Texts, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -152,36 +173,46 @@ def _sized(rows: DataFrame) -> DataFrame:
 
 
 def _split(large: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """The children of buckets; used: a bit for each place that a path has used."""
+    count = places_for(similarity)
+
     def work(batches):
         places = np.arange(PLACES, dtype=U)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            path, rep, members = (batch.column(c).to_numpy() for c in ("path", "rep", "members"))
+            path, rep, members, used = (batch.column(c).to_numpy() for c in ("path", "rep", "members", "used"))
+            path, used = path.view(U), used.view(U)
             sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint16).reshape(-1, PLACES)
-            salt = mix(path.view(U))[:, None]
-            row, place = np.nonzero(_choose(places[None, :], salt, PLACES, similarity, CHOSEN_BELOW))
-            child = mix(mix(path.view(U)[row] + places[place] * U(65537)) + sketch[row, place].astype(U)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (child, rep[row], path[row], members[row])], ["path", "rep", "parent", "parent_members"])
+            order = mix(mix(path)[:, None] + places[None, :]) >> U(1)
+            order[(used[:, None] >> places[None, :]) & U(1) > 0] = U((1 << 64) - 1)
+            place = np.argpartition(order, count - 1, axis=1)[:, :count].ravel()
+            row = np.repeat(np.arange(len(path)), count)
+            child = mix(mix(path[row] + places[place] * U(65537)) + sketch[row, place].astype(U)).view(np.int64)
+            marked = (used[row] | (U(1) << places[place])).view(np.int64)
+            columns = (child, rep[row], marked, path[row].view(np.int64), members[row])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["path", "rep", "used", "parent", "parent_members"])
 
-    rows = large.select("path", "rep", "members").join(sketches, "rep").select("path", "rep", "members", "sketch")
-    return rows.mapInArrow(work, "path long, rep long, parent long, parent_members long")
+    rows = large.select("path", "rep", "members", "used").join(sketches, "rep").select("path", "rep", "members", "used", "sketch")
+    return rows.mapInArrow(work, "path long, rep long, used long, parent long, parent_members long")
 
 
 def _buckets(live: DataFrame, sketches: DataFrame, similarity: float, name: str) -> DataFrame:
     """path, rep and members of the buckets that are compared: small ones, groups of like sets, and what is left at the last level."""
     done = live.where(F.col("members") <= BUCKET)
-    large = live.where(F.col("members") > BUCKET)
+    large = live.where(F.col("members") > BUCKET).withColumn("used", F.lit(0).cast("long"))
     for level in range(2, LEVELS + 1):
         if large.isEmpty():
             return done
         children = written(_sized(written(_split(large, sketches, similarity), name)), name)
-        dense = children.groupBy("parent").agg(F.max(4 * F.col("members") >= 3 * F.col("parent_members")).alias("dense")).where("dense").select(F.col("parent").alias("path"))
-        done = done.unionByName(large.join(dense, "path", "left_semi"))
-        below = children.join(dense.withColumnRenamed("path", "parent"), "parent", "left_anti").select("path", "rep", "members")
-        done = done.unionByName(below.where(F.col("members") <= BUCKET))
+        cost = F.sum(F.col("members") + ROW * BUCKET).alias("cost")  # over rows, so of each child its square and its rows
+        of_parent = children.groupBy("parent").agg(cost, F.first("parent_members").cast("double").alias("n"))
+        dense = of_parent.where("cost >= n * n").select(F.col("parent").alias("path"))
+        done = done.unionByName(large.join(dense, "path", "left_semi").drop("used"))
+        below = children.join(dense.withColumnRenamed("path", "parent"), "parent", "left_anti").select("path", "rep", "members", "used")
+        done = done.unionByName(below.where(F.col("members") <= BUCKET).drop("used"))
         large = below.where(F.col("members") > BUCKET)
-    return done.unionByName(large)
+    return done.unionByName(large.drop("used"))
 
 
 def _compare(similarity: float):
@@ -269,7 +300,7 @@ def _tasks(leaves: DataFrame, payload: DataFrame) -> DataFrame:
 def join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, shingle: int = SHINGLE) -> DataFrame:
     """A row per document: doc_id, class_id (the smallest id with an equal set), n_links (other documents of the wanted similarity or
     more, those with equal sets included), component_id (the smallest id that links reach), kept (no smaller id is reached)."""
-    signed = written(_signed(docs, runs_for(recall), shingle, similarity), "join-signed")
+    signed = written(_signed(docs, runs_for(recall, similarity=similarity), shingle, similarity), "join-signed")
     first = [F.first(c).alias(c) for c in ("paths", "sketch")]
     classes = written(signed.where("rep IS NOT NULL").groupBy("rep").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"), *first), "join-classes")
     sketches = classes.select("rep", "sketch")

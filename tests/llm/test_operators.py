@@ -166,6 +166,40 @@ def test_jaccard_join(spark):
     assert jaccard_join.join(docs.limit(0)).count() == 0
 
 
+def test_jaccard_join_keeps_links_through_splits(spark, monkeypatch):
+    """Buckets of well over 512 different sets, which are split twice: all tokens of a text are those of passages that many share."""
+    monkeypatch.setattr(jaccard_join, "BUCKET", 256)
+    monkeypatch.setattr(jaccard_join, "ROW", 0, raising=False)
+    splits, split = [], jaccard_join._split
+    monkeypatch.setattr(jaccard_join, "_split", lambda *x: splits.append(x[0].agg(F.max("members")).first()[0]) or split(*x))
+    rng = random.Random(11)
+    passages = [[f"p{p}x{i}" for i in range(40)] for p in range(24)]
+    rows = []
+    for _ in range(700):
+        own = sorted(rng.sample(range(24), 10))
+        whole = [w for p in own for w in passages[p]]
+        rows.append(" ".join(whole))
+        for cut in (32, 36):  # the same with one or two passages shortened: about 0.85 to 0.9
+            rows.append(" ".join(w for p in own for w in (passages[p][:6] if p in own[: (40 - cut) // 4] else passages[p])))
+    ids, at, of = {}, [], []
+    for i, x in enumerate(rows):
+        w = x.split()
+        own = {ids.setdefault(tuple(w[j : j + 5]), len(ids)) for j in range(len(w) - 4)}
+        at += [i] * len(own)
+        of += own
+    sets = np.zeros((len(rows), len(ids)), np.float32)
+    sets[at, of] = 1
+    both, size = sets @ sets.T, sets.sum(1)
+    linked = both >= 0.8 * (size[:, None] + size[None, :] - both) - 1e-6
+    truth = linked.sum(1) - 1
+    held = sets.sum(0)
+    assert np.median(held[of]) > 700 and truth.sum() > 2000
+    found = {r.doc_id: r.n_links for r in jaccard_join.join(documents(spark, list(enumerate(rows)))).collect()}
+    lost = [int(truth[i]) - found[i] for i in range(len(rows))]
+    assert len(splits) >= 2 and splits[0] > 512, splits
+    assert min(lost) >= 0 and sum(lost) <= 0.0004 * truth.sum(), (sum(lost), truth.sum())
+
+
 def brute_substrings(rows, size):
     first, tokens, out = {}, {}, {}
     for d, x in sorted(rows, key=lambda r: r[0]):
