@@ -113,8 +113,11 @@ def selector(packages: DataFrame, text: str) -> DataFrame:
     return hits.select(F.lit(text).alias("selector"), chosen.alias("chosen"), F.greatest("ids", F.when(C("purls") > 0, C("purls")).otherwise(C("names"))).alias("candidates"))
 
 
-def tree_parents(lines: DataFrame, depths: int = 12) -> DataFrame:
-    """lines: tree, line, depth, id. Gives the parent: the id of the last line before at a depth of one less."""
-    before = Window.partitionBy("tree").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    parent = F.coalesce(*[F.when(C("depth") == d, F.last(F.when(C("depth") == d - 1, C("id")), ignorenulls=True).over(before)) for d in range(1, depths + 1)])
-    return lines.withColumn("parent", parent)
+def tree_parents(lines: DataFrame) -> DataFrame:
+    """lines: tree, line, depth, id. Gives the parent: the id of the last line before at a depth of one less, however deep."""
+    row = lines.select(F.struct(*lines.columns).alias("row"), "id").schema
+    asked = lines.select("tree", (C("depth") - 1).alias("of"), "line", F.lit(None).cast(row["id"].dataType).alias("last"), F.struct(*lines.columns).alias("row"))
+    given = lines.where("depth >= 0").select("tree", C("depth").alias("of"), "line", C("id").alias("last"), F.lit(None).cast(row["row"].dataType).alias("row"))
+    before = Window.partitionBy("tree", "of").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    found = asked.unionByName(given).withColumn("parent", F.last("last", ignorenulls=True).over(before))
+    return found.where("row IS NOT NULL").select("row.*", "parent")

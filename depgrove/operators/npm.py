@@ -47,12 +47,12 @@ def surface(packages: DataFrame, public: tuple[str, ...]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def flat_steps(reports: DataFrame, depth: int = 4) -> DataFrame:
+def flat_steps(reports: DataFrame) -> DataFrame:
     """reports: key, json (nested objects). A row per step: its dotted name and its seconds. An object with a readable delta is a step
-    and is not looked into; deeper levels than `depth` are left out."""
+    and is not looked into; the others are, level by level until none is left."""
     level = reports.select("key", F.lit("").alias("step"), C("json").alias("value"))
     found = []
-    for _ in range(depth):
+    while not found or not level.isEmpty():
         inner = level.select("key", "step", F.explode(F.from_json("value", "map<string,string>")).alias("name", "value"))
         inner = inner.select("key", F.concat("step", F.when(C("step") == "", "").otherwise("."), "name").alias("step"), "value")
         delta = N.seconds(F.get_json_object("value", "$.delta"))

@@ -148,3 +148,16 @@ def test_stream(spark, tmp_path):
     query.stop()
     assert [(r.event_type, r.n) for r in spark.table("counted").collect()] == [("view", 2)]
     assert changes.sessions(spark.read.parquet(str(tmp_path / "in"))).count() == 2
+
+
+def test_deep_trees_and_steps(spark):
+    from depgrove.operators import joins, npm
+
+    lines = spark.createDataFrame([("t", i, i, f"n{i}") for i in range(20)] + [("t", 20, 14, "m"), ("t", 21, 15, "o")], "tree string, line long, depth long, id string")
+    parents = {r.id: r.parent for r in joins.tree_parents(lines).collect()}
+    assert parents == {"n0": None, **{f"n{i}": f"n{i - 1}" for i in range(1, 20)}, "m": "n13", "o": "m"}
+    text = '{"delta": "0:00:07"}'
+    for i in range(7):
+        text = f'{{"s{i}": {text}}}'
+    found = npm.flat_steps(spark.createDataFrame([(1, text)], "key long, json string")).collect()
+    assert [(r.step, r.seconds) for r in found] == [("s6.s5.s4.s3.s2.s1.s0", 7.0)]
