@@ -43,8 +43,9 @@ SQL = {
              concat(max(p_size) % 5, '.', max(p_partkey) % 10, '.0') AS fixed, 'npm' AS ecosystem,
              CASE count(*) % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' WHEN 2 THEN 'high' ELSE '9.8' END AS severity FROM {part} GROUP BY p_brand""",
     "requires": """
-      SELECT DISTINCT a.l_partkey AS pkg, q.p_brand AS cap FROM {lineitem} a JOIN {lineitem} b ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey
-      JOIN {part} q ON q.p_partkey = b.l_partkey WHERE a.l_orderkey % 10 = 0""",
+      SELECT DISTINCT a.pkg, b.cap FROM (SELECT DISTINCT l_orderkey, l_partkey AS pkg FROM {lineitem}) AS a
+      JOIN (SELECT DISTINCT l_orderkey, l_partkey AS other, p_brand AS cap FROM {lineitem} JOIN {part} ON p_partkey = l_partkey) AS b
+      ON a.l_orderkey = b.l_orderkey AND a.pkg <> b.other""",
     "provides": "SELECT p_partkey AS pkg, p_brand AS cap FROM {part} WHERE p_partkey % 40 = 0 AND p_brand <> 'Brand#7'",
     "lefts": "SELECT id, name, version, license, ecosystem FROM ({packages}) AS l WHERE vid % 7 <> 0",
     "rights": """
