@@ -26,7 +26,7 @@ FIT_ROWS = 20_000
 GOOD = 0.3
 
 
-def _slices(batch: pa.RecordBatch, most: int = 4 << 20):
+def _slices(batch: pa.RecordBatch, most: int = 1 << 20):
     """The batch in parts of about so many bytes of text."""
     size = batch.column("text").nbytes
     rows = max(1, batch.num_rows * most // max(1, size)) if batch.num_rows else 1

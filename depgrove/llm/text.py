@@ -14,7 +14,7 @@ import pyarrow as pa
 U = np.uint64
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
-STEP = 1 << 20
+STEP = 1 << 18
 
 
 @functools.cache

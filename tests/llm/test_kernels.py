@@ -61,7 +61,7 @@ def test_packing_against_the_library():
     path = public_tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
     texts = ["", " "] + drawn(3, 600, [" ", "\n", "\t", "a", "th", "e", ",", "é", "😀", "'s", "中", "\x1c", "\xa0", "İ", "ß", "́", "<|endoftext|>", "12"], 60)
-    shard = packing.Shard(pa.array(texts), path)
+    shard = packing.Shard(pa.array(texts), path, packing.Corpus(np.zeros(0, int), np.zeros(0, int), len(texts), 1000))
     for i, x in enumerate(texts):
         assert shard.ids[shard.bounds[i] : shard.bounds[i + 1]].tolist() == library.encode(x, add_special_tokens=False).ids + [2], x
     pieces = {}

@@ -50,10 +50,13 @@ def test_url_filters(spark):
     rows = [(1, "http://WWW.Example.NET/en/x?y"), (2, "https://example.net"), (3, "http://a.example.com/de/"), (4, "http://b.org/fr/1#f"), (5, None), (6, "no scheme"), (7, "http://spam-farm.org/x"), (8, "http://x.org/x"), (9, "http://net/"), (8, "http://x.org/x")]
     pages = spark.createDataFrame(rows, "page_id long, url string").withColumn("host", F.lit("clash")).withColumn("keys", F.lit(1))
     want = {1: ("www.example.net", "/en/x", "example.net/en/", "allow"), 2: ("example.net", "", None, "allow"), 3: ("a.example.com", "/de/", "example.com/de/", "block"), 4: ("b.org", "/fr/1", "org/fr/", "allow"), 5: ("", "", None, "allow"), 6: ("", "", None, "allow"), 7: ("spam-farm.org", "/x", None, "block"), 8: ("x.org", "/x", None, "allow"), 9: ("net", "/", "net/", "block")}
-    for most in (url_filter.MAX_BITS, 1):  # 1: the join for lists too long for a filter
+    for most in (url_filter.MAX_BITS, 32):  # 32: hosts in three groups
         found = url_filter.judge(pages, max_bits=most).collect()
         assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in found} == want and len(found) == len(rows)
     assert url_filter.judge(pages.limit(0)).count() == 0
+    mine = spark.createDataFrame([("x.org", 1), ("x.org", 2), (None, 3), ("nowhere.org", 4), ("b.org", 5)], "host string, key int")
+    listed = {r.page_id: r.verdict for r in url_filter.judge(pages, listed_hosts=mine).collect()}
+    assert listed == {d: v for d, (*_, v) in want.items()} | {7: "allow", 8: "block"}
 
 
 def test_cascade_is_exact(spark):
@@ -76,9 +79,33 @@ def test_embeddings(spark):
     for i, r in enumerate(root):
         least[r] = min(least[r], rows[i][0])
     want = sorted((rows[i][0], links[i], least[root[i]]) for i in range(len(rows)))
-    for shard in (8192, 30):
-        assert sorted((r.vec_id, r.n_links, r.component_id) for r in embedding_dedup.dedup(df, shard=shard).collect()) == want
+    for shard in (1 << 20, 30 * 4 * 8):
+        assert sorted((r.vec_id, r.n_links, r.component_id) for r in embedding_dedup.dedup(df, shard_bytes=shard).collect()) == want
     assert embedding_dedup.dedup(df.limit(0)).count() == 0
+    none = spark.createDataFrame([(None, [1.0, 0.0], 1), (None, [0.0, 1.0], 1), (3, [0.0, 1.0], 1)], "vec_id long, embedding array<float>, label int")
+    assert sorted(embedding_dedup.dedup(none).collect(), key=str) == sorted([(None, 0, None, True), (None, 1, 3, False), (3, 1, 3, True)], key=str)
+
+
+def test_embeddings_through_the_graph(spark):
+    """Over a thousand vectors a label, in one shard and in several: few links, and a group whose members all link."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(2600, 24))
+    x[1000:1040] = x[:40] + 0.05 * rng.normal(size=(40, 24))
+    x[1200:1500] = x[1100] + 0.03 * rng.normal(size=(300, 24))
+    x[1500:1520] = x[1400]
+    rows = [(i, [float(np.float32(z)) for z in v], i % 2 if i < 1000 else 1) for i, v in enumerate(x)]
+    unit = np.array([v for _, v, _ in rows])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    label = np.array([c for *_, c in rows])
+    linked = (unit @ unit.T >= 0.93) & (label[:, None] == label[None, :])
+    np.fill_diagonal(linked, False)
+    root = roots(len(rows), np.argwhere(linked).tolist())
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    for shard in (16 << 20, 700 * 24 * 8):
+        found = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.dedup(df, shard_bytes=shard).collect()}
+        lost = sum(int(linked[i].sum()) - found[i][0] for i in range(len(rows)))
+        assert 0 <= lost <= 0.002 * linked.sum()
+        assert lost or found == {i: (int(linked[i].sum()), root[i]) for i in range(len(rows))}
 
 
 def lower(x):
@@ -283,6 +310,45 @@ def test_packing(spark):
     assert packing.pack(documents(spark, rows[:1]).limit(0), path).count() == 0
 
 
+def test_packing_neighbours(spark):
+    """The neighbours of each seed against a walk over all documents; the memo forgets and still gives each word's ids."""
+    import public_tokenizers
+    import pyarrow as pa
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices([f"word{i}" for i in range(60)], k=rng.choice([0, 5, 40]))) for _ in range(50)]
+    corpus = packing.frequencies(documents(spark, list(enumerate(texts)) + [(70 + i, x) for i, x in enumerate(texts[:7])]))
+    split = [x.split() for x in texts]
+    every = split + split[:7]
+    df = collections.Counter(w for ws in every for w in set(ws))
+    mean, n = sum(map(len, every)) / len(every), len(every)
+    idf = {w: math.log((n - c + 0.5) / (c + 0.5)) for w, c in df.items()}
+    shard = packing.Shard(pa.array(texts), path, corpus)
+    for seed in range(len(texts)):
+        want = {}
+        for d, ws in enumerate(split):
+            for w in set(ws) & set(split[seed]):
+                if idf[w] > 0 and sum(w in x for x in split) > 1:
+                    k = ws.count(w)
+                    want[d] = want.get(d, 0) + idf[w] * k * 2.2 / (k + 1.2 * (0.25 + 0.75 * len(ws) / mean))
+        used = np.zeros(len(texts), bool)
+        used[[seed, 3]] = True
+        found = list(shard.neighbours(seed, used))
+        assert set(found) == {d for d in want if not used[d]}
+        assert all(want[a] >= want[b] - 1e-4 for a, b in zip(found, found[1:]))
+    words = [f"{rng.choice('abcd')}{i} x{i}y".encode() for i in range(300)] + [b"a\x01b", b"z" * 5000]
+    words = sorted({w for x in words for w in x.split()})
+    tokens, whole = packing._Tokens(path), packing._Tokens(path)
+    hashes = np.arange(len(words), dtype=np.uint64) * np.uint64(7919)
+    for at in (range(0, 200), range(100, len(words)), range(0, len(words))):
+        packing_ids, begins, sizes = tokens.of(hashes[list(at)], lambda i: words[list(at)[i]])
+        got = [packing_ids[b : b + s].tolist() for b, s in zip(begins, sizes)]
+        assert got == [whole.tokenizer.encode(words[i].decode(), add_special_tokens=False).ids for i in at]
+        tokens._forget()
+    assert len(tokens.hashes) == len(words) // 2
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     rng = random.Random(4)
