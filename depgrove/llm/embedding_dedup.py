@@ -2,13 +2,15 @@
 every shard query the graphs of all shards of their label (each pair of shards once, as links are symmetric).
 
 Equal vectors of a label are one node with a number of copies. A query's beam is made eight times as wide as long as all of it lies within
-the wanted similarity; all beams are doubled as long as an audit (queries spread over the shard, compared with every vector) misses a link. A
-beam as wide as a quarter of the shard is replaced by the comparison itself. Links are verified in double precision, counted in the
-task, and leave it as one row per vector with its local root, so their number does not matter; roots are united to components.
+the wanted similarity. All beams are doubled until the audits pass: every link of AUDIT queries spread over the shard and of as many
+that were found to have links is compared with the whole shard, and PROBES vectors that are made to lie just within the wanted
+similarity of one node each must find that node, so recall is measured where links are rare as well. A beam as wide as a shard is
+replaced by the comparison itself. Links are verified in double precision, counted in the task, and leave it as one row per vector with
+its local root, so their number does not matter; roots are united to components. A shard holds as many vectors as fit SHARD_BYTES.
 
 Defined results: a vector links with nothing, and is kept, if its label is null or it is null, empty, all zeros, or holds null or
-non-finite components; vectors of different lengths do not link; rows with the same vec_id are rows of their own; an empty table
-gives an empty result; other columns are ignored.
+non-finite components; vectors of different lengths do not link; rows with the same vec_id are rows of their own; a null vec_id is no
+smallest id, and its row is kept if its component holds no other id; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,9 +27,11 @@ from .components import components
 from .hnsw import Graph
 
 COSINE = 0.93
-SHARD = 8192
+SHARD_BYTES = 16 << 20
 BEAM = 32
-AUDIT = 48
+AUDIT, PROBES = 64, 256
+#: The share of the probes that must find their node.
+PROBED = 0.99
 
 
 def _raw(**arrays: np.ndarray) -> bytes:
@@ -67,27 +71,47 @@ def _scan(q: np.ndarray, which: np.ndarray, x: np.ndarray, cosine: float) -> np.
     return np.stack([which[found[:, 0]], found[:, 1]], 1)
 
 
+def _probes(x: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors and the node of each, of which they lie just within the cosine."""
+    node = np.unique(np.linspace(0, len(x) - 1, min(PROBES, len(x))).astype(int))
+    aside = np.random.default_rng(len(x)).normal(size=(len(node), x.shape[1]))
+    aside -= np.einsum("ij,ij->i", aside, x[node])[:, None] * x[node]
+    length = np.linalg.norm(aside, axis=1, keepdims=True)
+    near = min(1.0, cosine + 1e-3)
+    return near * x[node] + np.sqrt(1 - near * near) * aside / np.maximum(length, 1e-12), node
+
+
+def _within(graph: Graph, q: np.ndarray, x: np.ndarray, cosine: float, beam: int) -> np.ndarray:
+    """(query, node) of the links that the graph finds with beams of this width, wider where links fill them."""
+    n, found, todo, wide = len(x), [], np.arange(len(q)), beam
+    while len(todo):
+        if wide >= n:
+            found.append(_scan(q, todo, x, cosine))
+            break
+        hits, full = graph.within(q[todo].astype(np.float32), cosine - 1e-4, wide)
+        done = np.ones(len(todo), bool)
+        done[full] = False
+        hits = hits[done[hits[:, 0]]]
+        found.append(_verified(np.stack([todo[hits[:, 0]], hits[:, 1]], 1), q, x, cosine))
+        todo, wide = todo[full], wide * 8
+    return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+
+
 def _linked(graph: Graph, q: np.ndarray, x: np.ndarray, cosine: float) -> np.ndarray:
-    """(query, node) of all links that pass the audit."""
-    n, near = len(x), cosine - 1e-4
-    audited = np.unique(np.linspace(0, len(q) - 1, min(AUDIT, len(q))).astype(int))
-    truth = _scan(q, audited, x, cosine)
-    beam = BEAM
-    while 4 * beam < n:
-        found, todo, wide = [], np.arange(len(q)), beam
-        while len(todo):
-            if 4 * wide >= n:
-                found.append(_scan(q, todo, x, cosine))
-                break
-            hits, full = graph.within(q[todo].astype(np.float32), near, wide)
-            done = np.ones(len(todo), bool)
-            done[full] = False
-            hits = hits[done[hits[:, 0]]]
-            found.append(_verified(np.stack([todo[hits[:, 0]], hits[:, 1]], 1), q, x, cosine))
-            todo, wide = todo[full], wide * 8
-        pairs = np.concatenate(found)
-        if np.isin(truth[:, 0] * n + truth[:, 1], pairs[:, 0] * n + pairs[:, 1]).all():
-            return pairs
+    """(query, node) of all links, from the first width of beams that passes the audits."""
+    n, beam = len(x), BEAM
+    spread = np.unique(np.linspace(0, len(q) - 1, min(AUDIT, len(q))).astype(int))
+    probes, node = _probes(x, cosine)
+    same = q is x
+    while beam < n:
+        probed = _within(graph, probes, x, cosine, beam)
+        if np.isin(np.arange(len(node)) * n + node, probed[:, 0] * n + probed[:, 1]).mean() >= PROBED:
+            pairs = _within(graph, q, x, cosine, beam)
+            others = np.unique(pairs[pairs[:, 0] != pairs[:, 1], 0] if same else pairs[:, 0])
+            audited = np.union1d(spread, others[np.unique(np.linspace(0, len(others) - 1, min(AUDIT, len(others))).astype(int))] if len(others) else others)
+            truth = _scan(q, audited.astype(int), x, cosine)
+            if np.isin(truth[:, 0] * n + truth[:, 1], pairs[:, 0] * n + pairs[:, 1]).all():
+                return pairs
         beam *= 2
     return _scan(q, np.arange(len(q)), x, cosine)
 
@@ -125,8 +149,9 @@ def _query(cosine: float):
     return query
 
 
-def dedup(vectors: DataFrame, cosine: float = COSINE, shard: int = SHARD) -> DataFrame:
-    """vec_id, n_links, component_id and kept of each row. vectors: vec_id, embedding (array of float or double), label."""
+def dedup(vectors: DataFrame, cosine: float = COSINE, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """vec_id, n_links, component_id and kept of each row. vectors: vec_id, embedding (array of float or double), label. shard_bytes:
+    of a shard's vectors in double precision."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", F.col("embedding").cast("array<double>").alias("embedding"))
     number = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
     usable = F.col("label").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", number) & F.exists("embedding", lambda v: v != 0)
@@ -134,7 +159,7 @@ def dedup(vectors: DataFrame, cosine: float = COSINE, shard: int = SHARD) -> Dat
     own = keyed.where("node IS NOT NULL")
     nodes = own.groupBy("node", "label", "embedding").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least")).withColumn("size", F.size("embedding"))
     nodes = written(nodes, "vectors")
-    shards = nodes.groupBy("label", "size").agg(F.ceil(F.count("*") / shard).alias("shards"))
+    shards = nodes.groupBy("label", "size").agg(F.ceil(F.count("*") * 8 * F.col("size") / shard_bytes).alias("shards"))
     dealt = nodes.join(shards, ["label", "size"]).withColumn("shard", F.pmod(F.xxhash64("node", F.lit(7)), "shards").cast("int"))
     kind = dict(nodes.dtypes)["label"]
     graphs = dealt.select("label", "size", "shard", "node", "copies", "embedding").groupBy("label", "size", "shard").applyInArrow(_build, f"label {kind}, size int, shard int, graph binary")
@@ -151,7 +176,7 @@ def dedup(vectors: DataFrame, cosine: float = COSINE, shard: int = SHARD) -> Dat
     known = known.join(smallest, "root").select("node", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     found = keyed.select("vec_id", "node").join(known, "node", "left")
     component = F.coalesce("component_id", "vec_id")
-    return found.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (component == F.col("vec_id")).alias("kept"))
+    return found.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("vec_id")).alias("kept"))
 
 
 def op1_embedding_dedup(spark, sf_dir: str) -> DataFrame:
