@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a folder of our own only where none is named, as in tests."""
+    """The shared folder that the cluster names; a folder of our own only where none is named and all runs on one machine, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='checkpoint-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")

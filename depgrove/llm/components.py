@@ -14,7 +14,8 @@ def _least(rows: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """links: a, b (long). Gives node and root: every node with a link, and the smallest node of its component.
+    """links: a, b (long). Gives node and root: every node with a link, and the smallest node of its component. An error is raised if
+    so many rounds are not enough (each about halves the distances, so no graph that fits a disk needs them).
 
     A large star moves a node's larger neighbours to its smallest one, a small star its smaller ones; each round about halves the
     distance to the root. Minima are pre-aggregated before the shuffle, and tables written between rounds cut the lineage.
@@ -31,5 +32,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components: still changing after {most_rounds} rounds")
     roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
