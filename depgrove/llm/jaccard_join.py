@@ -6,19 +6,27 @@ that chose the same token are a bucket. Two sets of the wanted similarity share
 large to compare at once are split again, level by level, by a fixed number of places of the classes' minwise sketches that are chosen
 under their path and were not used above. The number of runs follows from the target recall and from what such a pair keeps through
 all levels. A bucket whose children would cost more than itself (a group of like sets, or one not much too large) is compared as it
-is, in blocks; so is what is left at the last level. Sketches (PLACES minima of 16 bits) are compared first, and only classes that have a partner with LEAST_EQUAL equal minima or
-more (a pair of the wanted similarity has fewer with a probability of about 1e-9) send their sets. A pair is counted in the largest
-bucket that both sides are in and in no other, so counts need no list of pairs; a bucket whose classes share one larger bucket is
-dropped. In a bucket, sizes of intersections come from one matrix product; similarities are exact.
+is; so is what is left at the last level.
+
+A small bucket is compared in one task. The classes of a larger one are packed into blocks, a row per block; a task holds one block and
+reads the others of the bucket one by one, so its memory is that of two blocks, and its result has a row per class of its block,
+however large the bucket. Sketches (PLACES minima of 16 bits) are compared first, and only classes that have a partner with LEAST_EQUAL
+equal minima or more (a pair of the wanted similarity has fewer with a probability of about 1e-9) send their sets. A pair is counted in
+the largest bucket that both sides are in and in no other, so counts need no list of pairs; a bucket whose classes share one larger
+bucket is dropped. Sizes of intersections come from matrix products; similarities are exact. What is left of a group of m like but
+different sets is m * m comparisons within its tasks: the links themselves are that many.
 
 Defined results: a null text, or one without words, has no set, is its own class and links with nothing; rows with equal sets are
-linked with similarity 1; rows with the same doc_id are rows of their own; an empty table gives an empty result; other columns are
-ignored by `join` and kept by `keep_one`. Sets are told apart by 64-bit and tokens by 52-bit hashes.
+linked with similarity 1; rows with the same doc_id are rows of their own; of the rows of a component the one with the smallest doc_id
+(null last), then the smallest hash of its text, is kept, and rows that are equal in both are kept or not together by `join`, while
+`keep_one` keeps one of them; a null doc_id is no smallest id; an empty table gives an empty result; other columns are ignored by
+`join` and kept by `keep_one`. Sets and rows are told apart by 64-bit and tokens by 52-bit hashes.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +43,9 @@ SHINGLE = 5
 SIMILARITY = 0.8
 RECALL = 0.9999
 CHOSEN = 2.5
-#: Classes in a bucket, or in a block of one, that are compared at once.
-BUCKET = 512
+#: Classes, and tokens of all of them, in a bucket that is compared at once; and in a block of a larger one.
+BUCKET, TOKENS = 512, 1 << 20
+BLOCK = 2048
 LEVELS = 10
 PLACES, LEAST_EQUAL = 64, 30
 #: Places that two sets of the wanted similarity share on average where a bucket is split, at least: well over 1, so that few pairs
@@ -124,9 +133,15 @@ def _choose(token: np.ndarray, salt, size, similarity: float, chosen: float = CH
     return mix(token * U(2) + U(1) + salt).astype(np.float64) * 2.0**-64 < most
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    """doc_id, row (a hash of id and text) and text; null: empty."""
+    id_, text = F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))
+    return docs.select(id_.alias("doc_id"), F.xxhash64(id_, text).alias("row"), text.alias("text"))
+
+
 def _signed(docs: DataFrame, runs: int, k: int, similarity: float) -> DataFrame:
-    """doc_id, rep (the set's hash; null without a set), the buckets of the first level and the sketch."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    """doc_id, row, rep (the set's hash; null without a set), its size, the buckets of the first level and the sketch."""
+    rows = _rows(docs)
 
     def work(batches):
         for batch in batches:
@@ -144,27 +159,27 @@ def _signed(docs: DataFrame, runs: int, k: int, similarity: float) -> DataFrame:
                 cuts = np.searchsorted(of[order], np.arange(t.n + 1)).astype(np.int32)
                 paths = pa.ListArray.from_arrays(pa.array(cuts), pa.array(path[order]))
                 sketch = pa.array(_sketch(doc, token, t.n), pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(rep, mask=size == 0), paths, sketch], ["doc_id", "rep", "paths", "sketch"])
+                columns = [part.column("doc_id"), part.column("row"), pa.array(rep, mask=size == 0), pa.array(size.astype(np.int64)), paths, sketch]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "rep", "size", "paths", "sketch"])
 
-    return rows.mapInArrow(work, "doc_id long, rep long, paths array<long>, sketch binary")
+    return rows.mapInArrow(work, "doc_id long, row long, rep long, size long, paths array<long>, sketch binary")
 
 
 def _with_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """rep and its tokens, for the classes wanted (doc_id, rep, copies)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(wanted, "doc_id")
+    """rep, copies, size and tokens, for the classes wanted (row, rep, copies, size)."""
+    rows = _rows(docs).drop("doc_id").join(wanted, "row").select("rep", "copies", "size", "text")
+    names = ["rep", "copies", "size", "tokens"]
 
     def work(batches):
         for batch in batches:
             for part in _small_slices(batch):
                 t = Texts(part.column("text"))
                 doc, token = _sets(t, k)
-                rep, _ = _set_hash(doc, token, t.n)
-                same = rep == part.column("rep").to_numpy()  # another row of the same id may have another text
                 bounds = np.searchsorted(doc, np.arange(t.n + 1))
                 tokens = [token[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
-                yield pa.RecordBatch.from_arrays([part.column("rep"), part.column("copies"), pa.array(tokens, pa.binary())], ["rep", "copies", "tokens"]).filter(pa.array(same))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names[:3]), pa.array(tokens, pa.binary())], names)
 
-    return rows.select("rep", "copies", "text").mapInArrow(work, "rep long, copies long, tokens binary").dropDuplicates(["rep"])
+    return rows.mapInArrow(work, "rep long, copies long, size long, tokens binary").dropDuplicates(["rep"])
 
 
 def _sized(rows: DataFrame) -> DataFrame:
@@ -181,7 +196,7 @@ def _split(large: DataFrame, sketches: DataFrame, similarity: float) -> DataFram
         for batch in batches:
             if not batch.num_rows:
                 continue
-            path, rep, members, used = (batch.column(c).to_numpy() for c in ("path", "rep", "members", "used"))
+            path, rep, size, members, used = (batch.column(c).to_numpy() for c in ("path", "rep", "size", "members", "used"))
             path, used = path.view(U), used.view(U)
             sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint16).reshape(-1, PLACES)
             order = mix(mix(path)[:, None] + places[None, :]) >> U(1)
@@ -190,15 +205,15 @@ def _split(large: DataFrame, sketches: DataFrame, similarity: float) -> DataFram
             row = np.repeat(np.arange(len(path)), count)
             child = mix(mix(path[row] + places[place] * U(65537)) + sketch[row, place].astype(U)).view(np.int64)
             marked = (used[row] | (U(1) << places[place])).view(np.int64)
-            columns = (child, rep[row], marked, path[row].view(np.int64), members[row])
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["path", "rep", "used", "parent", "parent_members"])
+            columns = (child, rep[row], size[row], marked, path[row].view(np.int64), members[row])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["path", "rep", "size", "used", "parent", "parent_members"])
 
-    rows = large.select("path", "rep", "members", "used").join(sketches, "rep").select("path", "rep", "members", "used", "sketch")
-    return rows.mapInArrow(work, "path long, rep long, used long, parent long, parent_members long")
+    rows = large.select("path", "rep", "members", "used").join(sketches, "rep").select("path", "rep", "size", "members", "used", "sketch")
+    return rows.mapInArrow(work, "path long, rep long, size long, used long, parent long, parent_members long")
 
 
 def _buckets(live: DataFrame, sketches: DataFrame, similarity: float, name: str) -> DataFrame:
-    """path, rep and members of the buckets that are compared: small ones, groups of like sets, and what is left at the last level."""
+    """path, rep, size and members of the buckets that are compared: small ones, groups of like sets, and what is left at the last level."""
     done = live.where(F.col("members") <= BUCKET)
     large = live.where(F.col("members") > BUCKET).withColumn("used", F.lit(0).cast("long"))
     for level in range(2, LEVELS + 1):
@@ -209,125 +224,249 @@ def _buckets(live: DataFrame, sketches: DataFrame, similarity: float, name: str)
         of_parent = children.groupBy("parent").agg(cost, F.first("parent_members").cast("double").alias("n"))
         dense = of_parent.where("cost >= n * n").select(F.col("parent").alias("path"))
         done = done.unionByName(large.join(dense, "path", "left_semi").drop("used"))
-        below = children.join(dense.withColumnRenamed("path", "parent"), "parent", "left_anti").select("path", "rep", "members", "used")
+        below = children.join(dense.withColumnRenamed("path", "parent"), "parent", "left_anti").select("path", "rep", "size", "members", "used")
         done = done.unionByName(below.where(F.col("members") <= BUCKET).drop("used"))
         large = below.where(F.col("members") > BUCKET)
     return done.unionByName(large.drop("used"))
 
 
-def _compare(similarity: float):
+class _Incidence:
+    """Which rows hold which of some 64-bit keys, by key."""
+
+    def __init__(self, keys: list[np.ndarray]):
+        self.n = len(keys)
+        key, row = np.concatenate([*keys, np.zeros(0, U)]), np.repeat(np.arange(self.n), [len(k) for k in keys])
+        order = np.argsort(key, kind="stable")
+        key, self.row = key[order], row[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        self.keys, self.bounds = key[first], np.append(first, len(key))
+
+    def entries(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row and column of what lies in the keys at these places, which become columns 0, 1, ..."""
+        size = self.bounds[at + 1] - self.bounds[at]
+        place = np.repeat(self.bounds[at] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        return self.row[place], np.repeat(np.arange(len(at)), size)
+
+    def shared(self, other: "_Incidence", step: int = 2048) -> np.ndarray:
+        """For each row here and each there, how many keys both hold."""
+        out = np.zeros((self.n, other.n), np.float32)
+        if not len(self.keys) or not len(other.keys):
+            return out
+        there = np.minimum(np.searchsorted(other.keys, self.keys), len(other.keys) - 1)
+        here = np.flatnonzero(other.keys[there] == self.keys)
+        if other is self:
+            here = here[np.diff(self.bounds)[here] > 1]
+        there = there[here]
+        for i in range(0, len(here), step):
+            x = np.zeros((self.n, step), np.float32)
+            x[self.entries(here[i : i + step])] = 1
+            y = x
+            if other is not self:
+                y = np.zeros((other.n, step), np.float32)
+                y[other.entries(there[i : i + step])] = 1
+            out += x @ y.T
+        return out
+
+
+class _Classes:
+    """Classes of a bucket or a block: their larger buckets, and their sketches or sets."""
+
+    def __init__(self, table: pa.Table):
+        self.rep, self.size = table.column("rep").to_numpy(), table.column("size").to_numpy().astype(np.float32)
+        self.copies = table.column("copies").to_numpy().astype(float)
+        self.greater = _Incidence([np.array(x, np.int64).view(U) for x in table.column("greater").to_pylist()])
+        if "sketch" in table.column_names:
+            self.sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint16).reshape(-1, PLACES).T.copy()
+        else:
+            self.tokens = _Incidence([np.frombuffer(x, U) for x in table.column("tokens").to_pylist()])
+
+    def _apart(self, other: "_Classes", linked: np.ndarray) -> np.ndarray:
+        if len(self.greater.keys) and len(other.greater.keys) and linked.any():
+            linked &= self.greater.shared(other.greater) == 0
+        if other is self:
+            np.fill_diagonal(linked, False)
+        return linked
+
+    def alike(self, other: "_Classes", similarity: float) -> np.ndarray:
+        """Which pairs have sketches with enough equal places."""
+        equal = np.zeros((len(self.rep), len(other.rep)), np.uint8)
+        for a, b in zip(self.sketch, other.sketch):
+            equal += a[:, None] == b[None, :]
+        return self._apart(other, equal >= LEAST_EQUAL)
+
+    def links(self, other: "_Classes", similarity: float) -> np.ndarray:
+        """Which pairs have the wanted similarity and no larger bucket in common."""
+        both = self.tokens.shared(other.tokens)
+        return self._apart(other, both >= similarity * (self.size[:, None] + other.size[None, :] - both) - 1e-6)
+
+
+def _met(linked: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """root with the rows brought together that share a column, or are brought together already; roots are the smallest rows."""
+    root, todo = root.copy(), linked.any(1)
+    while todo.any():
+        rows, columns = np.zeros(len(root), bool), np.zeros(linked.shape[1], bool)
+        new = np.zeros(len(root), bool)
+        new[np.argmax(todo)] = True
+        while new.any():
+            rows |= new
+            more = linked[new].any(0) & ~columns
+            columns |= more
+            new = linked[:, more].any(1) & ~rows
+        roots = np.unique(root[rows])
+        root[np.isin(root, roots)] = roots[0]
+        todo &= ~rows
+    return root
+
+
+def _cover(linked: np.ndarray):
+    """(row, column) of some links, so that each row with a link shares the column of one of them."""
+    todo = linked.any(1)
+    while todo.any():
+        column = int(np.argmax(linked[todo].sum(0)))
+        hit = todo & linked[:, column]
+        yield int(np.argmax(hit)), column
+        todo &= ~hit
+
+
+_LINKS = "path long, rep long, links long, root long"
+
+
+def _answer(path: int, rep, links, root) -> pa.RecordBatch:
+    columns = [np.full(len(rep), path), rep, links.astype(np.int64), root]
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["path", "rep", "links", "root"])
+
+
+def _compare(step: str, similarity: float):
+    """For a bucket: a row for each class with links, with their number and a class that it is connected with."""
+
     def compare(table: pa.Table) -> pa.Table:
-        """The links of a bucket, or of two blocks of one, that no larger bucket has."""
-        rep, copies, side, top = (table.column(c).to_numpy() for c in ("rep", "copies", "side", "top"))
-        path, two = table.column("path")[0].as_py(), table.column("p")[0].as_py() != table.column("q")[0].as_py()
-        raw = [np.frombuffer(x, U) for x in table.column("tokens").to_pylist()]
-        size, n = np.array([len(x) for x in raw], float), len(raw)
-        token, row = np.concatenate(raw), np.repeat(np.arange(n), size.astype(int))
-        order = np.argsort(token, kind="stable")
-        token, row = token[order], row[order]
-        first = np.concatenate([[True], token[1:] != token[:-1]])
-        column = np.cumsum(first) - 1
-        shared = np.bincount(column)[column] > 1
-        row, column = row[shared], column[shared]
-        column = np.cumsum(np.concatenate([[0], np.diff(column) > 0])).astype(np.int64) if len(column) else column
-        both = np.zeros((n, n), np.float32)
-        cuts = np.searchsorted(column, np.arange(0, (column[-1] if len(column) else -1) + 4097, 4096))
-        for a, b in zip(cuts, cuts[1:]):
-            x = np.zeros((n, 4096), np.float32)
-            x[row[a:b], column[a:b] & 4095] = 1
-            both += x @ x.T
-        linked = both >= similarity * (size[:, None] + size[None, :] - both) - 1e-6
-        np.fill_diagonal(linked, False)
-        if two:
-            linked &= side[:, None] != side[None, :]
-        leaves = table.column("greater").to_pylist()
-        ids = {x: i for i, x in enumerate({x for own in leaves for x in own})}
-        if ids:
-            member = np.zeros((n, len(ids)), np.float32)
-            for i, own in enumerate(leaves):
-                member[i, [ids[x] for x in own]] = 1
-            linked &= member @ member.T == 0
-        links = linked @ copies
-        root = np.arange(n)
-        while True:
-            new = np.minimum(root, np.where(linked, root[None, :], n).min(1))
-            if (new == root).all():
-                break
-            root = new
+        own = _Classes(table)
+        linked = getattr(own, step)(own, similarity)
+        root, links = np.arange(len(own.rep)), linked @ own.copies
+        if step == "links":
+            root = _met(linked | (np.eye(len(root), dtype=bool) & linked.any(1)), root)
         hit = np.flatnonzero(links > 0)
-        return pa.table([pa.array(rep[hit]), pa.array(links[hit].astype(np.int64)), pa.array(rep[root[hit]])], ["rep", "links", "root"])
+        return pa.Table.from_batches([_answer(table.column("path")[0].as_py(), own.rep[hit], links[hit], own.rep[root[hit]])])
 
     return compare
 
 
-def _alike(table: pa.Table) -> pa.Table:
-    """The classes of a bucket, or of two blocks of one, that have a partner whose sketch is like theirs."""
-    rep, side = table.column("rep").to_numpy(), table.column("side").to_numpy()
-    two = table.column("p")[0].as_py() != table.column("q")[0].as_py()
-    sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint16).reshape(-1, PLACES)
-    equal = np.zeros((len(rep), len(rep)), np.uint8)
-    for k in range(PLACES):
-        equal += sketch[:, k][:, None] == sketch[:, k][None, :]
-    like = equal >= LEAST_EQUAL
-    np.fill_diagonal(like, False)
-    if two:
-        like &= side[:, None] != side[None, :]
-    hit = np.flatnonzero(like.any(1))
-    return pa.table([pa.array(np.full(len(hit), table.column("path")[0].as_py(), np.int64)), pa.array(rep[hit])], ["path", "rep"])
-
-
-def _tasks(leaves: DataFrame, payload: DataFrame) -> DataFrame:
-    """The rows of each bucket, or pair of blocks of one, with the payload of their classes; greater: the larger buckets of a class."""
+def _stream(step: str, similarity: float):
+    """The same for one block of a bucket against all of them. Classes of the block that share a partner are brought together; of the
+    other blocks each task names enough partners that each class here is connected with one of its own there. As each task does so,
+    all that links connect is connected."""
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = None
+        for batch in batches:
+            for path, counted, blob in zip(*(batch.column(c).to_pylist() for c in ("path", "counted", "blob"))):
+                other = _Classes(pa.ipc.open_stream(blob).read_all())
+                mine = own is None  # the block itself comes first
+                if mine:
+                    own, links, root = other, np.zeros(len(other.rep)), np.arange(len(other.rep))
+                if not counted:
+                    continue
+                linked = getattr(own, step)(other, similarity)
+                if not linked.any():
+                    continue
+                links += linked @ other.copies
+                if step == "links":
+                    root = _met(linked | (np.eye(len(root), dtype=bool) & linked.any(1)) if mine else linked, root)
+                if step == "links" and not mine:
+                    found = np.array(list(_cover(linked)))
+                    yield _answer(path, own.rep[found[:, 0]], np.zeros(len(found)), other.rep[found[:, 1]])
+        hit = np.flatnonzero(links > 0)
+        yield _answer(path, own.rep[hit], links[hit], own.rep[root[hit]])
+
+    return stream
+
+
+def _packed(table: pa.Table) -> pa.Table:
+    """A block as one row."""
+    sink = pa.BufferOutputStream()
+    own = table.drop_columns(["path", "block", "top"])
+    with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(own)
+    first = [table.column(c).slice(0, 1) for c in ("path", "block", "top")]
+    return pa.table([*first, pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["path", "block", "top", "blob"])
+
+
+def _linked(leaves: DataFrame, payload: DataFrame, step: str, similarity: float, name: str) -> DataFrame:
+    """path, rep, links and root of all classes with links; rows without links only connect. payload: rep, copies, and sketch or tokens.
+    greater: the larger buckets of a class, top: the largest."""
     order = F.struct("members", "path")
     of_rep = leaves.groupBy("rep").agg(F.max(order).alias("top"), F.collect_list(order).alias("all"))
     rows = leaves.join(of_rep, "rep").withColumn("greater", F.transform(F.filter("all", lambda x: x > F.struct("members", "path")), lambda x: x["path"]))
-    rows = rows.select("path", "rep", "members", F.col("top.path").alias("top"), "greater")
-    useful = rows.groupBy("path").agg(F.min("top").alias("a"), F.max("top").alias("b")).where("a <> b OR a = path").select("path")
-    rows = rows.join(useful, "path")
-    large = F.col("members") > BUCKET
-    block = F.when(large, F.xxhash64("top", F.pmod(F.xxhash64("rep"), F.ceil(F.col("members") / BUCKET)))).otherwise(F.lit(0))
-    rows = rows.withColumn("block", block.cast("long"))
-    small = rows.where(~large).select("path", F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("q"), "rep", "top", "greater", F.lit(0).alias("side"))
+    rows = rows.select("path", "rep", "size", "members", F.col("top.path").alias("top"), "greater")
+    useful = rows.groupBy("path").agg(F.min("top").alias("a"), F.max("top").alias("b"), F.sum("size").alias("tokens")).where("a <> b OR a = path").select("path", "tokens")
+    rows = written(rows.join(useful, "path"), name)
+    large = (F.col("members") > BUCKET) | (F.col("tokens") > TOKENS)
+    small = rows.where(~large).select("path", "rep", "size", "greater").join(payload, "rep")
+    found = small.groupBy("path").applyInArrow(_compare(step, similarity), _LINKS)
     big = rows.where(large)
-    blocks = big.groupBy("path", "block").agg(F.first("top").alias("top"))
-    a, b = blocks.select("path", F.col("block").alias("p"), F.col("top").alias("top_p")), blocks.select("path", F.col("block").alias("q"), F.col("top").alias("top_q"))
-    pairs = a.join(b, "path").where("p <= q AND (top_p <> top_q OR top_p = path)").select("path", "p", "q")
-    sides = pairs.select("path", "p", "q", F.explode(F.array_distinct(F.array("p", "q"))).alias("block"))
-    split = big.join(sides, ["path", "block"]).select("path", "p", "q", "rep", "top", "greater", (F.col("block") == F.col("q")).cast("int").alias("side"))
-    return small.unionByName(split).join(payload, "rep")
-
-
-def join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, shingle: int = SHINGLE) -> DataFrame:
-    """A row per document: doc_id, class_id (the smallest id with an equal set), n_links (other documents of the wanted similarity or
-    more, those with equal sets included), component_id (the smallest id that links reach), kept (no smaller id is reached)."""
+    if big.isEmpty():
+        return found
+    blocks = big.groupBy("path", "top").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / TOKENS)).alias("blocks"))
+    big = big.join(blocks, ["path", "top"]).withColumn("block", F.xxhash64("top", F.pmod(F.xxhash64("rep"), "blocks")))
+    big = big.select("path", "block", "top", "rep", "size", "greater").join(payload, "rep").groupBy("path", "block")
+    packed = written(big.applyInArrow(_packed, "path long, block long, top long, blob binary"), name)
+    a = packed.select("path", F.col("block").alias("p"), F.col("top").alias("top_p"))
+    b = packed.select("path", F.col("block").alias("q"), F.col("top").alias("top_q"))
+    counted = (F.col("top_p") != F.col("top_q")) | (F.col("top_p") == F.col("path"))
+    pairs = a.join(b, "path").select("path", "p", "q", counted.alias("counted")).where("counted OR p = q")
+    tasks = pairs.join(packed.withColumnRenamed("block", "q").drop("top"), ["path", "q"]).withColumn("other", F.col("p") != F.col("q"))
+    tasks = tasks.repartition("path", "p").sortWithinPartitions("path", "p", "other", "q").groupBy("path", "p")
+    return found.unionByName(tasks.applyInArrow(_stream(step, similarity), _LINKS))
+
+
+def _join(docs: DataFrame, similarity: float, recall: float, shingle: int) -> DataFrame:
+    """What `join` gives, and row."""
     signed = written(_signed(docs, runs_for(recall, similarity=similarity), shingle, similarity), "join-signed")
-    first = [F.first(c).alias(c) for c in ("paths", "sketch")]
-    classes = written(signed.where("rep IS NOT NULL").groupBy("rep").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"), *first), "join-classes")
-    sketches = classes.select("rep", "sketch")
-    live = written(_sized(classes.select(F.explode("paths").alias("path"), "rep")), "join-first")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    first = [F.first(c).alias(c) for c in ("size", "paths", "sketch")]
+    classes = signed.where("rep IS NOT NULL").groupBy("rep").agg(F.min("doc_id").alias("class_id"), F.min(place).alias("keeper"), F.count("*").alias("copies"), *first)
+    classes = written(classes, "join-classes")
+    sketches = classes.select("rep", "size", "sketch")
+    live = written(_sized(classes.select(F.explode("paths").alias("path"), "rep", "size")), "join-first")
     leaves = written(_buckets(live, sketches, similarity, "join-level"), "join-leaves")
-    alike = _tasks(leaves, sketches).groupBy("path", "p", "q").applyInArrow(_alike, "path long, rep long").distinct()
-    leaves = written(_sized(written(alike, "join-alike")), "join-leaves")
-    wanted = leaves.select("rep").distinct().join(classes.select("rep", F.col("class_id").alias("doc_id"), "copies"), "rep")
+    alike = _linked(leaves, classes.select("rep", "copies", "sketch"), "alike", similarity, "join-tasks").where("links > 0").select("path", "rep").distinct()
+    sizes = classes.select("rep", "size")
+    leaves = written(_sized(written(alike, "join-alike").join(sizes, "rep")), "join-leaves")
+    wanted = leaves.select("rep").distinct().join(classes.select("rep", F.col("keeper.row").alias("row"), "copies", "size"), "rep")
     wanted = written(wanted, "join-wanted")
     sets = written(_with_sets(docs, F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, shingle), "join-sets")
-    links = _tasks(leaves, sets).groupBy("path", "p", "q").applyInArrow(_compare(similarity), "rep long, links long, root long")
-    links = written(links, "join-links")
+    links = written(_linked(leaves, sets.drop("size"), "links", similarity, "join-tasks").drop("path"), "join-links")
     roots = components(links.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     counted = links.groupBy("rep").agg(F.sum("links").alias("links"))
-    known = classes.select("rep", "class_id", "copies").join(counted, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+    known = classes.select("rep", "class_id", "keeper", "copies").join(counted, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     known = known.withColumn("root", F.coalesce("root", "rep"))
-    smallest = known.groupBy("root").agg(F.min("class_id").alias("component_id"))
-    known = written(known.join(smallest, "root").select("rep", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id"), "join-known")
-    found = signed.select("doc_id", "rep").join(known, "rep", "left")
-    component = F.coalesce("component_id", "doc_id")
-    return found.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
+    smallest = known.groupBy("root").agg(F.min("class_id").alias("component_id"), F.min("keeper").alias("best"))
+    count = (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+    known = written(known.join(smallest, "root").select("rep", "class_id", count, "component_id", F.col("best.row").alias("best")), "join-known")
+    found = signed.select("doc_id", "row", "rep").join(known, "rep", "left")
+    return found.select(
+        "doc_id", "row", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        F.coalesce("component_id", "doc_id").alias("component_id"), (F.coalesce("best", "row") == F.col("row")).alias("kept"),
+    )
+
+
+def join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, shingle: int = SHINGLE) -> DataFrame:
+    """A row per document: doc_id, class_id (the smallest id with an equal set), n_links (other documents of the wanted similarity or
+    more, those with equal sets included), component_id (the smallest id that links reach), kept (it is the one of its component)."""
+    return _join(docs, similarity, recall, shingle).drop("row")
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """The documents without those that reach a smaller id, with all their columns."""
-    gone = join(docs, similarity, recall).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
+    """One document of each component, with all its columns."""
+    found = _join(docs, similarity, recall, SHINGLE)
+    names, row = docs.columns, F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))
+    rows = docs.select(F.struct("*").alias("document"), row.alias("row_of_join"))
+    gone = found.where("NOT kept").select(F.col("row").alias("row_of_join")).distinct()
+    rows = rows.join(gone, "row_of_join", "left_anti")
+    again = written(found.where("kept").groupBy(F.col("row").alias("row_of_join")).count().where("count > 1").select("row_of_join"), "join-again")
+    if not again.isEmpty():  # rows that are the same in id and text
+        rows = rows.join(again, "row_of_join", "left_anti").unionByName(rows.join(again, "row_of_join").dropDuplicates(["row_of_join"]))
+    return rows.select(*[F.col("document")[c].alias(c) for c in names])
 
 
 def op4_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -227,6 +227,43 @@ def test_jaccard_join_keeps_links_through_splits(spark, monkeypatch):
     assert min(lost) >= 0 and sum(lost) <= 0.0004 * truth.sum(), (sum(lost), truth.sum())
 
 
+def test_jaccard_join_in_blocks(spark, monkeypatch):
+    """Buckets over many blocks: a group of like texts that are all different, one that hangs together by its centre alone, and long texts."""
+    monkeypatch.setattr(jaccard_join, "BUCKET", 24)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 40)
+    monkeypatch.setattr(jaccard_join, "TOKENS", 6000)
+    rng = random.Random(17)
+    words = [f"w{i}" for i in range(400)]
+    rows = []
+    for size, copies, edits in ((100, 260, 2), (45, 200, 1), (3000, 12, 20)):
+        base = rng.choices(words, k=size)
+        rows.append(" ".join(base))
+        for i in range(copies):
+            x = list(base)
+            for _ in range(rng.randint(1, edits)):
+                x[rng.randrange(size)] = f"e{rng.randint(0, 10**6)}"
+            rows.append(" ".join(x))
+    rows += rows[:3]
+    rng.shuffle(rows)
+    rows = [(i if i % 9 else None, x) for i, x in enumerate(rows)]
+    rows += [(5, rows[7][1]), (5, rows[8][1]), (5, rows[8][1])]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (x.split() for _, x in rows)]
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    links, root = collections.Counter(x for p in pairs for x in p), roots(len(rows), pairs)
+    least = {}
+    for (d, _), r in zip(rows, root):
+        least[r] = min(x for x in (d, least.get(r)) if x is not None) if d is not None or least.get(r) is not None else None
+    docs = documents(spark, rows)
+    found = jaccard_join.join(docs).collect()
+    want = collections.Counter((d, links[i], least[root[i]]) for i, (d, _) in enumerate(rows))
+    have = collections.Counter((r.doc_id, r.n_links, r.component_id) for r in found)
+    assert sum((want - have).values()) <= 0.002 * len(rows), (want - have, have - want)
+    kept = jaccard_join.keep_one(docs)
+    assert kept.count() == len(set(root)) and kept.columns == docs.columns
+    texts = {x: r for (_, x), r in zip(rows, root)}
+    assert {texts[r.text] for r in kept.collect()} == set(root)
+
+
 def brute_substrings(rows, size):
     first, tokens, out = {}, {}, {}
     for d, x in sorted(rows, key=lambda r: r[0]):
