@@ -1,12 +1,13 @@
 """Near-duplicate embeddings: each label's vectors are dealt to shards, a shard has a navigable small-world graph, and the vectors of
 every shard query the graphs of all shards of their label (each pair of shards once, as links are symmetric).
 
-Equal vectors of a label are one node with a number of copies. A query's beam is made eight times as wide as long as all of it lies within
-the wanted similarity. All beams are doubled until the audits pass: every link of AUDIT queries spread over the shard and of as many
-that were found to have links is compared with the whole shard, and PROBES vectors that are made to lie just within the wanted
-similarity of one node each must find that node, so recall is measured where links are rare as well. A beam as wide as a shard is
-replaced by the comparison itself. Links are verified in double precision, counted in the task, and leave it as one row per vector with
-its local root, so their number does not matter; roots are united to components. A shard holds as many vectors as fit SHARD_BYTES.
+Equal vectors of a label are one node with a number of copies. In its own shard a vector's search begins at itself. A query's beam is made
+eight times as wide as long as all of it lies within the wanted similarity. All beams are doubled until the audits pass: all links of
+AUDIT queries spread over the shard and of as many that were found to have links are compared with the whole shard, and PROBES vectors
+that are made to lie just within the wanted similarity of one node each must find that node, so recall is measured where links are
+rare as well. A beam that would cost more than the comparison with the whole shard is replaced by it. Links are verified in double
+precision, counted in the task, and leave it as one row per vector with its local root, so their number does not matter; roots are
+united to components. A shard holds as many vectors as fit SHARD_BYTES.
 
 Defined results: a vector links with nothing, and is kept, if its label is null or it is null, empty, all zeros, or holds null or
 non-finite components; vectors of different lengths do not link; rows with the same vec_id are rows of their own; a null vec_id is no
@@ -30,8 +31,10 @@ COSINE = 0.93
 SHARD_BYTES = 16 << 20
 BEAM = 32
 AUDIT, PROBES = 64, 256
-#: The share of the probes that must find their node.
-PROBED = 0.99
+#: The share of the probes that must find their node: in another shard, and in the own one, where a search begins at the vector itself.
+PROBED, HEALTHY = 0.99, 0.95
+#: A beam of a shard's size divided by this costs as much as the comparison with the whole shard, which then takes its place.
+DEAR = 64
 
 
 def _raw(**arrays: np.ndarray) -> bytes:
@@ -85,10 +88,10 @@ def _within(graph: Graph, q: np.ndarray, x: np.ndarray, cosine: float, beam: int
     """(query, node) of the links that the graph finds with beams of this width, wider where links fill them."""
     n, found, todo, wide = len(x), [], np.arange(len(q)), beam
     while len(todo):
-        if wide >= n:
+        if wide >= n or (wide > beam and wide * DEAR >= n):
             found.append(_scan(q, todo, x, cosine))
             break
-        hits, full = graph.within(q[todo].astype(np.float32), cosine - 1e-4, wide)
+        hits, full = graph.within(q[todo].astype(np.float32), cosine - 1e-4, wide, todo if q is x else None)
         done = np.ones(len(todo), bool)
         done[full] = False
         hits = hits[done[hits[:, 0]]]
@@ -103,9 +106,9 @@ def _linked(graph: Graph, q: np.ndarray, x: np.ndarray, cosine: float) -> np.nda
     spread = np.unique(np.linspace(0, len(q) - 1, min(AUDIT, len(q))).astype(int))
     probes, node = _probes(x, cosine)
     same = q is x
-    while beam < n:
+    while beam < n and (beam <= 2 * BEAM or beam * DEAR < n):
         probed = _within(graph, probes, x, cosine, beam)
-        if np.isin(np.arange(len(node)) * n + node, probed[:, 0] * n + probed[:, 1]).mean() >= PROBED:
+        if np.isin(np.arange(len(node)) * n + node, probed[:, 0] * n + probed[:, 1]).mean() >= (HEALTHY if same else PROBED):
             pairs = _within(graph, q, x, cosine, beam)
             others = np.unique(pairs[pairs[:, 0] != pairs[:, 1], 0] if same else pairs[:, 0])
             audited = np.union1d(spread, others[np.unique(np.linspace(0, len(others) - 1, min(AUDIT, len(others))).astype(int))] if len(others) else others)

@@ -11,7 +11,7 @@ import numpy as np
 from .text import mix
 
 M = 12  # links that a node chooses on a layer; it holds twice as many
-TOGETHER = 256
+TOGETHER = 512
 EXPAND = 4
 SPARE = 4
 
@@ -46,7 +46,7 @@ def _diverse(x: np.ndarray, of: np.ndarray, found: np.ndarray, sims: np.ndarray,
 
 
 class Graph:
-    def __init__(self, x: np.ndarray, build: bool = True, beam: int = 48):
+    def __init__(self, x: np.ndarray, build: bool = True, beam: int = 32):
         """x: unit vectors (float32)."""
         self.x, self.layers = x, []
         if not build:
@@ -168,12 +168,14 @@ class Graph:
             expanded[active] = np.take_along_axis(all_expanded, keep, 1)
         return ids, sims, (np.concatenate(hits) if hits else None)
 
-    def within(self, q: np.ndarray, least: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, node) of the similarity `least` or more that beams of this width see, and the queries whose whole beam is that near."""
+    def within(self, q: np.ndarray, least: float, beam: int, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(query, node) of the similarity `least` or more that beams of this width see, and the queries whose whole beam is that near.
+        own: the node that each query is, if it is one; the search begins there, else it comes down from the top."""
         found, full = [], []
         for i in range(0, len(q), TOGETHER):
             part = q[i : i + TOGETHER]
-            _, sims, hits = self._search(part, self._descend(part), self.layers[-1], min(beam, len(self.x)), least)
+            entry = self._descend(part) if own is None else own[i : i + TOGETHER]
+            _, sims, hits = self._search(part, entry, self.layers[-1], min(beam, len(self.x)), least)
             found.append(hits + [i, 0])
             full.append(np.flatnonzero(sims[:, -1] >= least) + i)
         return np.concatenate(found), np.concatenate(full)
