@@ -24,21 +24,34 @@ def percent(c: Column, keep: str = "") -> Column:
     return out
 
 
-def purl(ecosystem: Column, name: Column, version: Column, arch: Column | None = None, vendor: Column | None = None, epoch: Column | None = None) -> Column:
-    """Package URL: an npm scope becomes the namespace, pypi and cargo names are in lower case, maven's group:artifact is split at the
-    colon, rpm has the vendor as namespace and sorted qualifiers; anything else is generic."""
+def _spaced(space: Column, name: Column) -> Column:
+    """Namespace and name of a purl; the name alone without a namespace."""
+    return F.when(F.length(space) > 0, F.concat(percent(space), F.lit("/"), percent(name))).otherwise(percent(name))
+
+
+def purl(ecosystem: Column, name: Column, version: Column, meta: Column | None = None, namespace: Column | None = None) -> Column:
+    """Package URL. An npm scope becomes the namespace; pypi and cargo names are in lower case; maven has the namespace or meta's group,
+    and meta's artifact or what follows the last colon of the name, but without a group the whole name; rpm has the namespace, or
+    meta's namespace or vendor, in lower case, and arch, distro and epoch of meta as qualifiers; anything else is generic."""
+    ecosystem, name, version = F.lower(F.trim(ecosystem)), F.trim(name), F.trim(F.coalesce(version, F.lit("")))
+    of = lambda k: F.coalesce(F.try_element_at(meta, F.lit(k)), F.lit("")) if meta is not None else F.lit("")
+    given = F.coalesce(namespace, F.lit("")) if namespace is not None else F.lit("")
+    first = lambda *c: F.coalesce(*[F.nullif(x, F.lit("")) for x in c], F.lit(""))
     at = F.when(F.length(version) > 0, F.concat(F.lit("@"), percent(version))).otherwise(F.lit(""))
-    scope = F.when(F.startswith(name, F.lit("@")) & F.contains(name, F.lit("/")), F.concat(percent(F.substring_index(name, "/", 1)), F.lit("/"), percent(F.substr(name, F.instr(name, "/") + 1)))).otherwise(percent(name))
-    group = F.when(F.contains(name, F.lit(":")), F.concat(percent(F.substring_index(name, ":", 1)), F.lit("/"), percent(F.substr(name, F.instr(name, ":") + 1)))).otherwise(percent(name))
-    pairs = [F.when(F.length(v) > 0, F.concat(F.lit(f"{k}="), F.url_encode(v))) for k, v in (("arch", arch), ("epoch", epoch)) if v is not None]
-    tail = F.concat_ws("&", *pairs) if pairs else F.lit("")
-    space = F.when(F.length(vendor) > 0, F.concat(percent(F.lower(vendor)), F.lit("/"))).otherwise(F.lit("")) if vendor is not None else F.lit("")
+    scoped = (given == "") & F.startswith(name, F.lit("@")) & F.contains(name, F.lit("/"))
+    before = F.concat(given, F.lit("/"))
+    bare = F.when((given != "") & F.startswith(name, before), F.substr(name, F.length(before) + 1)).otherwise(name)
+    npm = F.when(scoped, _spaced(F.substring_index(name, "/", 1), F.substr(name, F.instr(name, "/") + 1))).otherwise(_spaced(given, bare))
+    pairs = [F.when(of(k) != "", F.concat(F.lit(f"{k}="), F.url_encode(of(k)))) for k in ("arch", "distro", "epoch")]
+    tail = F.concat_ws("&", *pairs)
     tail = F.when(F.length(tail) > 0, F.concat(F.lit("?"), tail)).otherwise(F.lit(""))
+    group = first(given, of("group"))
+    maven = F.when(group != "", _spaced(group, first(of("artifact"), F.element_at(F.split(name, ":"), -1)))).otherwise(percent(name))
     return (
-        F.when(ecosystem == "npm", F.concat(F.lit("pkg:npm/"), scope, at))
+        F.when(ecosystem == "npm", F.concat(F.lit("pkg:npm/"), npm, at))
         .when(ecosystem.isin("pypi", "cargo"), F.concat(F.lit("pkg:"), ecosystem, F.lit("/"), percent(F.lower(name)), at))
-        .when(ecosystem == "maven", F.concat(F.lit("pkg:maven/"), group, at))
-        .when(ecosystem == "rpm", F.concat(F.lit("pkg:rpm/"), space, percent(name), at, tail))
+        .when(ecosystem == "maven", F.concat(F.lit("pkg:maven/"), maven, at))
+        .when(ecosystem == "rpm", F.concat(F.lit("pkg:rpm/"), _spaced(F.lower(first(given, of("namespace"), of("vendor"))), name), at, tail))
         .when(ecosystem == "oci", F.concat(F.lit("pkg:oci/"), percent(name, "/:"), at))
         .otherwise(F.concat(F.lit("pkg:generic/"), percent(name), at))
     )
@@ -51,23 +64,71 @@ def purl_name(p: Column) -> Column:
     return F.substring_index(last, "@", 1)
 
 
+def purl_package(p: Column) -> Column:
+    """The package that a purl names, with an npm scope; empty if it is no purl."""
+    path = F.regexp_replace(F.substring_index(F.regexp_replace(p, "^pkg:", ""), "?", 1), "@[^@]*$", "")
+    parts = F.filter(F.transform(F.split(F.substr(path, F.instr(path, "/") + 1), "/"), lambda x: F.url_decode(F.replace(x, F.lit("+"), F.lit("%2B")))), lambda x: x != "")
+    n = F.size(parts)
+    scoped = (n >= 2) & F.startswith(F.get(parts, F.lit(0)), F.lit("@"))
+    name = F.when(scoped, F.array_join(F.slice(parts, n - 1, F.lit(2)), "/")).when(n > 0, F.element_at(parts, -1)).otherwise("")
+    return F.when(F.startswith(p, F.lit("pkg:")) & F.contains(path, F.lit("/")), name).otherwise("")
+
+
 def purl_forms(p: Column) -> Column:
-    """The purl unquoted, with and without its qualifiers."""
-    plain = F.url_decode(F.replace(p, F.lit("+"), F.lit("%2B")))
-    return F.array_distinct(F.array(plain, F.substring_index(plain, "?", 1)))
+    """The purl unquoted, with and without its qualifiers; nothing if it is no purl."""
+    plain = F.url_decode(F.replace(F.trim(p), F.lit("+"), F.lit("%2B")))
+    forms = F.array_distinct(F.array(plain, F.substring_index(plain, "?", 1)))
+    return F.when(F.startswith(p, F.lit("pkg:")), forms).otherwise(F.array().cast("array<string>"))
+
+
+def _rpm_parts(filename: Column) -> tuple[Column, ...]:
+    """Whether it is an rpm file, what stands before the last dot and behind it, and the parts of name-version-release, if it has them."""
+    stem = F.regexp_replace(filename, r"\.rpm$", "")
+    dotted = F.contains(stem, F.lit("."))
+    arch = F.when(dotted, F.substring_index(stem, ".", -1))
+    body = F.when(dotted, F.substr(stem, F.lit(1), F.length(stem) - F.length(arch) - 1)).otherwise(stem)
+    pattern = r"^(.*)-([^-]*)-([^-]*)$"
+    return F.endswith(filename, F.lit(".rpm")), body, arch, F.regexp_like(body, F.lit(pattern)), lambda i: F.regexp_extract(body, pattern, i)
 
 
 def rpm_file(filename: Column) -> Column:
-    """name, version, release and arch of an rpm file; of another file its name, and arch unknown."""
-    pattern = r"^(.*)-([^-]*)-([^-]*)\.([^.]*)\.rpm$"
-    part = lambda i: F.regexp_extract(filename, pattern, i)
-    ok = F.regexp_like(filename, F.lit(pattern))
+    """name, version, release and arch of an rpm file; of another file its name, and arch unknown. Without two dashes the name is all that
+    stands before the arch."""
+    is_rpm, body, arch, ok, part = _rpm_parts(filename)
     return F.struct(
-        F.when(ok, part(1)).otherwise(filename).alias("name"), F.when(ok, part(2)).otherwise("").alias("version"),
-        F.when(ok, part(3)).otherwise("").alias("release"), F.when(ok, part(4)).otherwise("unknown").alias("arch"),
+        F.when(~is_rpm, filename).when(ok, part(1)).otherwise(body).alias("name"), F.when(is_rpm & ok, part(2)).otherwise("").alias("version"),
+        F.when(is_rpm & ok, part(3)).otherwise("").alias("release"), F.when(is_rpm, F.coalesce(arch, F.lit("unknown"))).otherwise("unknown").alias("arch"),
     )
 
 
+def timing_file(filename: Column) -> Column:
+    """name and arch of a file as timings count it: no rpm, or one without an arch, is of arch non-rpm; without two dashes there is no name."""
+    is_rpm, _, arch, ok, part = _rpm_parts(filename)
+    return F.struct(F.when(is_rpm & ok, part(1)).otherwise("").alias("name"), F.when(is_rpm, F.coalesce(F.nullif(arch, F.lit("")), F.lit("non-rpm"))).otherwise("non-rpm").alias("arch"))
+
+
+def transaction_package(text: Column) -> Column:
+    """name, epoch, version, release, arch, node (the id in a graph) and purl of name-[epoch:]version-release.arch[.rpm]; null for an empty
+    text. Without two dashes all of it is the name."""
+    package = F.trim(text)
+    stem = F.regexp_replace(package, r"\.rpm$", "")
+    _, body, arch, ok, part = _rpm_parts(package)
+    arch = F.coalesce(arch, F.lit("unknown"))
+    has = F.contains(part(2), F.lit(":"))
+    epoch = F.when(ok & has, F.coalesce(F.nullif(F.substring_index(part(2), ":", 1), F.lit("")), F.lit("0"))).otherwise("0")
+    version = F.when(ok & has, F.substr(part(2), F.instr(part(2), ":") + 1)).when(ok, part(2)).otherwise("")
+    release = F.when(ok, part(3)).otherwise("")
+    evr = F.when(release != "", F.concat(version, F.lit("-"), release)).otherwise(version)
+    full = F.when((arch != "") & (arch != "unknown"), F.concat(evr, F.lit("."), arch)).otherwise(evr)
+    name = F.when(ok, part(1)).otherwise(stem)
+    node = F.when(~ok, stem).when(full != "", F.concat(name, F.lit("=="), full)).otherwise(name)
+    shown = F.coalesce(F.when(ok, F.nullif(evr, F.lit(""))), F.lit("unknown"))
+    pairs = F.concat_ws("&", F.when((arch != "") & (arch != "unknown"), F.concat(F.lit("arch="), F.url_encode(arch))), F.when(~epoch.isin("0", "(none)"), F.concat(F.lit("epoch="), F.url_encode(epoch))))
+    url = F.concat(F.lit("pkg:rpm/"), percent(name), F.lit("@"), percent(shown), F.when(pairs != "", F.concat(F.lit("?"), pairs)).otherwise(""))
+    found = F.struct(name.alias("name"), epoch.alias("epoch"), version.alias("version"), release.alias("release"), arch.alias("arch"), node.alias("node"), url.alias("purl"))
+    return F.when(F.length(package) > 0, found)
+
+
 def nevra(text: Column) -> Column:
     """name, epoch, version, release and arch of name-[epoch:]version-release.arch."""
     pattern = r"^(.+)-(?:(\d+):)?([^-:]+)-([^-]+)\.([^.-]+)$"
@@ -101,7 +162,7 @@ def license_text(*columns: Column) -> Column:
 
 def license_tokens(text: Column) -> Column:
     """The licence identifiers of an expression in lower case."""
-    found = F.transform(F.regexp_extract_all(text, F.lit(r"([A-Za-z0-9.+-]+)"), 1), F.lower)
+    found = F.transform(F.regexp_extract_all(text, F.lit(r"([A-Za-z0-9][A-Za-z0-9.+-]*)"), 1), F.lower)
     return F.array_distinct(F.filter(found, lambda x: ~x.isin("and", "or", "with")))
 
 
@@ -119,10 +180,22 @@ def pypi_name(name: Column) -> Column:
 
 
 def seconds(delta: Column) -> Column:
-    """Seconds of H:M:S.f or of a number."""
+    """Seconds of H:M:S.f or of a number; hours and minutes are whole numbers."""
     parts = F.split(delta, ":")
-    at = lambda i: F.get(parts, F.lit(i)).try_cast("double")
-    return F.when(F.size(parts) == 3, at(0) * 3600 + at(1) * 60 + at(2)).otherwise(delta.try_cast("double"))
+    whole = lambda i: F.trim(F.get(parts, F.lit(i))).try_cast("long")
+    clock = whole(0) * 3600 + whole(1) * 60 + F.trim(F.get(parts, F.lit(2))).try_cast("double")
+    return F.when(F.size(parts) == 3, F.bround(clock, 6)).otherwise(delta.try_cast("double"))
+
+
+def wall_seconds(started: Column, finished: Column) -> Column:
+    """Seconds between two ISO stamps; null if one is missing or cannot be read."""
+    micros = lambda c: F.unix_micros(F.try_to_timestamp(F.nullif(F.trim(c), F.lit(""))))
+    return F.bround((micros(finished) - micros(started)) / 1e6, 6)
+
+
+def slug(text: Column) -> Column:
+    """A text as part of a file name: what is no letter, digit, dot, dash or underscore becomes a dash; none of the three signs at the ends."""
+    return F.coalesce(F.nullif(F.regexp_replace(F.regexp_replace(text, r"[^A-Za-z0-9._-]+", "-"), r"^[.\-_]+|[.\-_]+$", ""), F.lit("")), F.lit("report"))
 
 
 def changed_keys(left: Column, right: Column) -> Column:
@@ -132,10 +205,15 @@ def changed_keys(left: Column, right: Column) -> Column:
 
 
 #: The popular names that look-alikes are compared with.
-POPULAR = ("axios", "chalk", "express", "lodash", "moment", "react", "request", "vue", "webpack")
+POPULAR = ("react", "lodash", "express", "webpack", "typescript", "eslint", "axios", "next", "vite")
 
 
 def lookalike(name: Column) -> Column:
-    """The first popular name at an edit distance of one; null if there is none, or if the name is one itself."""
-    near = F.filter(F.array(*map(F.lit, POPULAR)), lambda p: F.levenshtein(name, p, 1) == 1)
-    return F.when(~name.isin(*POPULAR), F.get(near, F.lit(0)))
+    """The smallest popular name at an edit distance of one, without regard to case; null if there is none, or if the name is one itself."""
+    low = F.lower(name)
+    near = F.filter(F.array(*map(F.lit, sorted(POPULAR))), lambda p: F.levenshtein(low, p, 1) == 1)
+    return F.when(~low.isin(*POPULAR), F.get(near, F.lit(0)))
+
+
+def truthy(text: Column) -> Column:
+    return F.coalesce(F.lower(text.cast("string")).isin("1", "true", "yes"), F.lit(False))

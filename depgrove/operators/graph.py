@@ -1,8 +1,8 @@
 """Graph questions over two tables: nodes (vid, id, ...) and edges (src, dst, rel), vids being long and in insertion order.
 
-Traversals advance a frontier by one join a level, for all queries (qid) at once; each level is written, and a node is dropped where it
-was seen before. Of equally short paths the one with the smallest row of vids counts, which is the first one that a search in vid
-order finds. Directions: "dependencies" follows edges, "dependents" goes against them.
+Traversals advance a frontier by one join a level, for all queries (qid) at once; edges are written once, each level is written, and a
+node is dropped where it was seen before. Of equally short paths the one with the smallest row of vids counts, which is the first one
+that a search in vid order finds. Directions: "dependencies" follows edges, "dependents" goes against them.
 """
 
 from __future__ import annotations
@@ -12,7 +12,40 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import written
+from .tables import counted, written
+
+C = F.col
+#: Levels that are read as tables of their own before they are put together.
+TOGETHER = 12
+
+
+def canonical(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of loaded files as the questions here want them: nodes (graph, vid, id, name, version, ecosystem, meta) and edges
+    (graph, src, dst, rel) between vids.
+
+    One node per graph and id: the first of its rows gives its place, later metadata goes over earlier; an end of an edge that has no
+    node becomes one. Of edges with the same ends the last counts. Places: column seq where there is one, else the order of ids. vids
+    grow with graph and place; they are unique, not dense.
+    """
+    lost = F.lit(None).cast("long")
+    rows = nodes.select("graph", "id", (C("seq") if "seq" in nodes.columns else F.lit(0)).cast("long").alias("seq"), F.struct("name", "version", "ecosystem").alias("given"), "meta")
+    entries = rows.where("meta IS NOT NULL").select("graph", "id", "seq", F.explode("meta").alias("k", "v")).where("v IS NOT NULL")
+    last = entries.groupBy("graph", "id", "k").agg(F.max_by("v", "seq").alias("v"))
+    meta = last.groupBy("graph", "id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("meta"))
+    ends = edges.select("graph", F.explode(F.array("src", "dst")).alias("id"))
+    name = F.substring_index("id", "==", 1)
+    bare = F.struct(name.alias("name"), F.when(F.contains("id", F.lit("==")), F.substr("id", F.length(name) + 3)).otherwise("").alias("version"), F.lit("generic").alias("ecosystem"))
+    every = rows.select("graph", "id", "seq", "given").unionByName(ends.select("graph", "id", lost.alias("seq"), F.lit(None).cast(rows.schema["given"].dataType).alias("given")))
+    one = every.groupBy("graph", "id").agg(F.min("seq").alias("seq"), F.min_by("given", F.coalesce("seq", F.lit(2**62))).alias("given"))
+    one = one.join(meta, ["graph", "id"], "left").withColumn("given", F.coalesce("given", bare))
+    placed = one.orderBy("graph", F.asc_nulls_last("seq"), "id").withColumn("vid", F.monotonically_increasing_id())
+    out = placed.select("graph", "vid", "id", "given.name", "given.version", "given.ecosystem", F.coalesce("meta", F.create_map().cast("map<string,string>")).alias("meta"))
+    out = written(out, "nodes")
+    at = lambda c: out.select("graph", C("vid").alias(f"{c}_vid"), C("id").alias(c))
+    seq = C("seq") if "seq" in edges.columns else C("rel")
+    merged = edges.withColumn("seq", seq).groupBy("graph", "src", "dst").agg(F.max_by("rel", "seq").alias("rel"))
+    named = merged.join(at("src"), ["graph", "src"]).join(at("dst"), ["graph", "dst"])
+    return out, written(named.select("graph", C("src_vid").alias("src"), C("dst_vid").alias("dst"), "rel"), "edges")
 
 
 def merged_nodes(nodes: DataFrame) -> DataFrame:
@@ -58,22 +91,60 @@ def adjacency(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(lists, F.col("vid") == F.col("src"), "left").select(F.col("id").alias("package"), F.coalesce(text, F.lit("")).alias("targets"))
 
 
-def levels(edges: DataFrame, starts: DataFrame, direction: str, depth: int | None = None, paths: bool = False) -> DataFrame:
-    """starts: qid, vid. Gives qid, vid, distance (0 at the starts) and, if paths, the path as an array of vids from the start."""
+class _Levels:
+    """The levels so far, as few tables: TOGETHER of about one size are written as one, so a plan never holds more than a few of each size."""
+
+    def __init__(self):
+        self.tables: list[tuple[int, DataFrame]] = []
+
+    def add(self, df: DataFrame) -> None:
+        self.tables.append((0, df))
+        while len(self.tables) >= TOGETHER and self.tables[-TOGETHER][0] == self.tables[-1][0]:
+            last = [t for _, t in self.tables[-TOGETHER:]]
+            self.tables[-TOGETHER:] = [(self.tables[-1][0] + 1, written(reduce(DataFrame.unionByName, last), "levels"))]
+
+    def all(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, [t for _, t in self.tables])
+
+
+def levels(edges: DataFrame, starts: DataFrame, direction: str, depth: int | None = None, paths: bool = False, targets: DataFrame | None = None) -> DataFrame:
+    """starts: qid, vid. Gives qid, vid, distance (0 at the starts) and, if paths, the path as an array of vids from the start. targets
+    (qid, vid, one for each query): a query ends with the level that holds its target."""
     out = turned(edges, direction)
-    frontier = starts.select("qid", "vid", F.lit(0).cast("long").alias("distance"), *([F.array("vid").alias("path")] if paths else [])).distinct()
-    seen = [written(frontier, "level")]
-    while (depth is None or len(seen) <= depth) and not seen[-1].isEmpty():
-        step = seen[-1].join(out, F.col("vid") == F.col("src"))
+    if depth is None or depth > 1:
+        out = written(out, "edges")
+    first = starts.select("qid", "vid", F.lit(0).cast("long").alias("distance"), *([F.array("vid").alias("path")] if paths else [])).distinct()
+    columns = ["qid", "vid", "distance", *(["path"] if paths else [])]
+    wanted = targets.select("qid", "vid", F.lit(True).alias("hit")) if targets is not None else None
+    hits = F.count_if(F.coalesce("hit", F.lit(False)))
+
+    def keep(rows: DataFrame) -> tuple[DataFrame, int]:
+        """The level, without the queries that are done, and how many rows go on."""
+        if wanted is None:
+            table, n = counted(rows, "level")
+            seen.add(table)
+            return table, n["n"]
+        table, n = counted(rows.join(wanted, ["qid", "vid"], "left"), "level", hits=hits)
+        seen.add(table.drop("hit"))
+        if not n["hits"]:
+            return table.drop("hit"), n["n"]
+        if n["n"] == n["hits"]:
+            return table.drop("hit"), 0
+        left, n = counted(table.drop("hit").join(table.where("hit").select("qid"), "qid", "left_anti"), "level")
+        return left, n["n"]
+
+    seen, distance = _Levels(), 0
+    frontier, n = keep(first)
+    while n and (depth is None or distance < depth):
+        distance += 1
+        step = frontier.join(out, C("vid") == C("src"))
         if paths:
             step = step.groupBy("qid", "dst").agg(F.min(F.concat("path", F.array("dst"))).alias("path"))
         else:
             step = step.select("qid", "dst").distinct()
-        before = reduce(DataFrame.unionByName, [x.select("qid", F.col("vid").alias("dst")) for x in seen])
-        fresh = step.join(before, ["qid", "dst"], "left_anti")
-        columns = ["qid", F.col("dst").alias("vid"), F.lit(len(seen)).cast("long").alias("distance")]
-        seen.append(written(fresh.select(*columns, *(["path"] if paths else [])), "level"))
-    return reduce(DataFrame.unionByName, seen)
+        step = step.withColumnRenamed("dst", "vid").withColumn("distance", F.lit(distance).cast("long")).select(*columns)
+        frontier, n = keep(step.join(seen.all().select("qid", "vid"), ["qid", "vid"], "left_anti"))
+    return seen.all()
 
 
 def starts_at(nodes: DataFrame, *ids: str) -> DataFrame:
@@ -98,10 +169,11 @@ def named_paths(found: DataFrame, nodes: DataFrame, separator: str = ">") -> Dat
 
 
 def shortest_path(nodes: DataFrame, edges: DataFrame, source: str, target: str, direction: str = "dependencies") -> DataFrame:
-    """path, distance: one row, or none without a path; the node alone if both are the same."""
-    found = levels(edges, starts_at(nodes, source), direction, paths=True)
-    wanted = found.join(nodes.where(F.col("id") == target).select("vid"), "vid")
-    return named_paths(wanted, nodes).select("path", "distance")
+    """path, distance: one row, or none without a path; the node alone if both are the same. The search ends at the target."""
+    start = starts_at(nodes, source)
+    wanted = start.select("qid").join(nodes.where(C("id") == target).select("vid"))  # a row each
+    found = levels(edges, start, direction, paths=True, targets=wanted)
+    return named_paths(found.join(wanted, ["qid", "vid"]), nodes).select("path", "distance")
 
 
 def impact(nodes: DataFrame, edges: DataFrame, id_: str) -> DataFrame:
@@ -110,6 +182,11 @@ def impact(nodes: DataFrame, edges: DataFrame, id_: str) -> DataFrame:
     return named_paths(found, nodes).join(nodes, "vid").select(F.col("id").alias("package"), "distance", F.col("path").alias("chain"))
 
 
+def rendered_chains(chains: DataFrame, max_paths: int = 20) -> DataFrame:
+    """Of the rows of `impact` those that a report shows: the nearest, then by package."""
+    return chains.orderBy("distance", "package").limit(max(0, max_paths))
+
+
 def impact_summary(nodes: DataFrame, edges: DataFrame, id_: str, max_paths: int = 20) -> DataFrame:
     direct = lambda d: neighbours(nodes, edges, id_, d).agg(F.count("*").alias(f"direct_{d}"))
     affected = reachable(nodes, edges, id_, "dependents").agg(
@@ -119,6 +196,28 @@ def impact_summary(nodes: DataFrame, edges: DataFrame, id_: str, max_paths: int
     return affected.withColumn("direct_dependencies", direct("dependencies").scalar()).withColumn("direct_dependents", direct("dependents").scalar())
 
 
+def affected(nodes: DataFrame, edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """package: all that depends on one of the packages (id), directly or not, each once; a package given is among them only if another of
+    them is reached from it.
+
+    One search for all of them: a node is passed on with the first two different packages that it was reached from, which is enough to
+    tell whether a package given was reached from another."""
+    out = written(turned(edges, "dependents"), "edges")
+    first = ids.select("id").distinct().join(nodes, "id").select("vid", C("vid").alias("of"))
+    frontier, n = counted(first, "level")
+    seen = _Levels()
+    seen.add(frontier)
+    while n["n"]:
+        step = frontier.join(out, C("vid") == C("src")).select(C("dst").alias("vid"), "of").distinct()
+        step = step.join(seen.all(), ["vid", "of"], "left_anti").groupBy("vid").agg(F.min("of").alias("a"), F.max("of").alias("b"))
+        held = seen.all().groupBy("vid").agg(F.count("*").alias("held"))
+        free = 2 - F.coalesce("held", F.lit(0))
+        step = step.join(held, "vid", "left").select("vid", F.explode(F.slice(F.array_distinct(F.array("a", "b")), F.lit(1), F.greatest(free, F.lit(0)).cast("int"))).alias("of"))
+        frontier, n = counted(step, "level")
+        seen.add(frontier)
+    return seen.all().where("vid <> of").select("vid").distinct().join(nodes, "vid").select(C("id").alias("package"))
+
+
 def neighbourhood_edges(edges: DataFrame, found: DataFrame, direction: str, depth: int) -> DataFrame:
     """src, dst of the edges out of the nodes that were expanded, also to nodes seen before."""
     expanded = found.where(F.col("distance") < depth).select(F.col("vid").alias("src")).distinct()
@@ -127,17 +226,18 @@ def neighbourhood_edges(edges: DataFrame, found: DataFrame, direction: str, dept
 
 
 def batch(nodes: DataFrame, edges: DataFrame, queries: DataFrame) -> DataFrame:
-    """queries: qid, direction, node, target, kind (nodes or path). Gives qid and result_count: nodes reached, or nodes of the path."""
+    """queries: qid, direction, node, target, kind (nodes or path). Gives qid and result_count: nodes reached, or nodes of the path. All
+    queries of a direction and kind advance together; those for a path end at their target."""
     out = []
     for direction in ("dependencies", "dependents"):
-        asked = queries.where(F.col("direction") == direction)
-        starts = asked.join(nodes, F.col("node") == F.col("id")).select("qid", "vid")
-        found = levels(edges, starts, direction)
-        reached = found.where("distance > 0").groupBy("qid").agg(F.count("*").alias("reached"))
-        ends = asked.where("kind = 'path'").join(nodes, F.col("target") == F.col("id")).select("qid", "vid")
-        length = found.join(ends, ["qid", "vid"]).select("qid", (F.col("distance") + 1).alias("steps"))
-        counted = asked.join(reached, "qid", "left").join(length, "qid", "left")
-        out.append(counted.select("qid", F.coalesce(F.when(F.col("kind") == "path", F.col("steps")).otherwise(F.col("reached")), F.lit(0)).alias("result_count")))
+        asked = queries.where(C("direction") == direction)
+        starts = lambda rows: rows.join(nodes, C("node") == C("id")).select("qid", "vid")
+        plain, routes = asked.where("kind <> 'path'"), asked.where("kind = 'path'")
+        reached = levels(edges, starts(plain), direction).where("distance > 0").groupBy("qid").agg(F.count("*").alias("n"))
+        ends = routes.join(nodes, C("target") == C("id")).select("qid", "vid")
+        found = levels(edges, starts(routes).join(ends, "qid", "left_semi"), direction, targets=ends)
+        length = found.join(ends, ["qid", "vid"]).select("qid", (C("distance") + 1).alias("n"))
+        out.append(asked.select("qid").join(reached.unionByName(length), "qid", "left").select("qid", F.coalesce("n", F.lit(0)).alias("result_count")))
     return out[0].unionByName(out[1])
 
 

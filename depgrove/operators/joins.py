@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import names as N
 from ..functions import versions as V
 
 C = F.col
@@ -48,25 +49,45 @@ def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def advisory_matches(advisories: DataFrame, packages: DataFrame) -> DataFrame:
-    """advisory, id of every match: by purl, by package id, or by name with the version listed, in a range, or neither given.
+    """advisory, severity and id of every match: by purl, by package id, or by name with a version listed, in a range, or neither given.
 
-    advisories: advisory, ecosystem, purl, package_id, package, introduced, fixed, versions (array); packages: id, name, version,
-    ecosystem, purl. One equality join for each way, never a comparison of all with all; the ecosystem, where given, must be the same.
+    advisories: advisory (a key), severity, ecosystem, purls (array, as names.purl_forms gives them), package_id, package, versions
+    (array), ranges (array of structs: introduced, fixed, last_affected, limit); packages: id, name, version (as the id has it),
+    ecosystem, purls, candidates (array: the spellings of the version). One equality join for each way, never a comparison of all with
+    all; the ecosystem, where given, must be the same. Columns that are null count as not given.
     """
     a, p = advisories.alias("a"), packages.alias("p")
-    same = C("a.ecosystem").isNull() | (C("a.ecosystem") == C("p.ecosystem"))
-    hit = F.array_contains(C("a.versions"), C("p.version"))
-    ranged = V.in_range(C("p.version"), C("a.introduced"), C("a.fixed"))
-    free = (F.coalesce(F.size("a.versions"), F.lit(0)) <= 0) & C("a.introduced").isNull() & C("a.fixed").isNull()
-    by = [
-        a.join(p, (C("a.purl") == C("p.purl")) & same),
+    none = F.array().cast("array<string>")
+    same = (F.coalesce("a.ecosystem", F.lit("")) == "") | (C("a.ecosystem") == C("p.ecosystem"))
+    rpm = C("p.ecosystem") == "rpm"
+    listed = F.arrays_overlap(F.coalesce("a.versions", none), C("p.candidates"))
+
+    def within(r: Column) -> Column:
+        bounds = F.array(r["introduced"], r["fixed"], r["last_affected"], r["limit"])
+        fit = F.when(rpm, V.precise(C("p.candidates"), bounds)).otherwise(C("p.candidates"))
+        return F.exists(fit, lambda v: V.in_range(v, r["introduced"], r["fixed"], r["last_affected"], r["limit"], rpm))
+
+    ranged = F.size(F.coalesce("a.ranges", F.array())) > 0
+    version = F.when(F.coalesce(listed, F.lit(False)), True).when(ranged, F.exists("a.ranges", within)).otherwise(F.size(F.coalesce("a.versions", none)) <= 0)
+    by_purl = advisories.select("advisory", "severity", "ecosystem", F.explode("purls").alias("purl")).distinct().alias("a")
+    has_purl = packages.select("id", "ecosystem", F.explode("purls").alias("purl")).distinct().alias("p")
+    ways = [
+        by_purl.join(has_purl, (C("a.purl") == C("p.purl")) & same),
         a.join(p, (C("a.package_id") == C("p.id")) & same),
-        a.join(p, (C("a.package") == C("p.name")) & same & (F.coalesce(hit, F.lit(False)) | F.coalesce(ranged, F.lit(False)) | free)),
+        a.join(p, (C("a.package") == C("p.name")) & same & version),
     ]
-    rows = [x.select("a.advisory", "a.severity", "p.id") for x in by]
+    rows = [x.select("a.advisory", "a.severity", "p.id") for x in ways]
     return rows[0].unionByName(rows[1]).unionByName(rows[2]).dropDuplicates(["advisory", "id"])
 
 
+def advisory_packages(nodes: DataFrame) -> DataFrame:
+    """The packages of a graph as advisory_matches wants them. nodes: id, ecosystem, meta."""
+    of = lambda k: F.coalesce(F.try_element_at("meta", F.lit(k)), F.lit(""))
+    name, version = N.split_id(C("id"))
+    spelled = F.when(C("ecosystem") == "rpm", V.rpm_candidates(version, of("version"), of("release"), of("epoch"), of("arch"))).otherwise(F.array(version))
+    return nodes.select("id", name.alias("name"), version.alias("version"), "ecosystem", F.array_union(N.purl_forms(of("purl")), N.purl_forms(C("id"))).alias("purls"), spelled.alias("candidates"))
+
+
 def keyed_diff(left: DataFrame, right: DataFrame, key: list[str], fields: list[str], order: str) -> DataFrame:
     """key, change (added, removed or changed) and fields (the names of those that differ) of a full outer join; of rows with one key
     the last by `order` counts."""
@@ -96,15 +117,81 @@ def action_match(actions: DataFrame, packages: DataFrame) -> DataFrame:
     return actions.join(exact, "id", "left").join(first, ["name", "arch"], "left").select("idx", F.coalesce("exact", "first").alias("node"), F.when(C("exact").isNotNull(), "exact").when(C("first").isNotNull(), "name").otherwise("none").alias("how"))
 
 
+def transaction_matches(actions: DataFrame, packages: DataFrame) -> DataFrame:
+    """graph, idx, action, role (package, old or new), name, arch, node and how (exact, name-arch or none) of each package of a transaction.
+
+    actions: graph, idx, action, package, old, new (structs of names.transaction_package, null if there is none); packages: id, name, arch."""
+    role = lambda r: F.struct(F.lit(r).alias("role"), C(r).alias("p"))
+    asked = actions.select("graph", "idx", "action", F.explode(F.array(role("package"), role("old"), role("new"))).alias("x")).where("x.p IS NOT NULL")
+    asked = asked.select("graph", "idx", "action", "x.role", "x.p.name", "x.p.arch", C("x.p.node").alias("id"))
+    first = packages.where("name <> '' AND arch <> ''").groupBy("name", "arch").agg(F.min("id").alias("first"))
+    exact = packages.select("id", C("id").alias("exact")).distinct()
+    both = asked.join(exact, "id", "left").join(first, ["name", "arch"], "left")
+    how = F.when(C("exact").isNotNull(), "exact").when(C("first").isNotNull(), "name-arch").otherwise("none")
+    return both.select("graph", "idx", "action", "role", "name", "arch", F.coalesce("exact", "first").alias("node"), how.alias("how"))
+
+
 def paired(removed: DataFrame, added: DataFrame) -> DataFrame:
     """Removed and added ids of a name, paired in order: name, position, old, new."""
     at = lambda df, c: df.select("name", F.row_number().over(Window.partitionBy("name").orderBy("id")).alias("position"), C("id").alias(c))
     return at(removed, "old").join(at(added, "new"), ["name", "position"])
 
 
+def _one(text: str, role: str, hits: DataFrame, most: int) -> str | None:
+    """The only id among the hits, None without one; with more an error that names the first of them."""
+    found = [r["id"] for r in hits.select("id").distinct().orderBy("id").limit(most + 1).collect()]
+    if len(found) > 1:
+        more = ", ..." if len(found) > most else ""
+        raise ValueError(f"Ambiguous {role} selector {text!r}; candidates: {', '.join(found[:most])}{more}")
+    return found[0] if found else None
+
+
+def select_node(nodes: DataFrame, text: str, role: str = "node", most: int = 20) -> str:
+    """The id that a selector of a query means: itself if it is one, else the only node with that purl, else the only one with that name
+    before ==, else the text unchanged. nodes: id, meta. Several are an error."""
+    if not nodes.where(C("id") == text).isEmpty():
+        return text
+    by_purl = _one(text, role, nodes.where(F.try_element_at("meta", F.lit("purl")) == text), most)
+    return by_purl or _one(text, role, nodes.where(N.split_id(C("id"))[0] == text), most) or text
+
+
+def select_package(nodes: DataFrame, text: str, most: int = 20) -> str:
+    """As select_node, but names in the metadata count as well, and several nodes of one purl are an error only if no single one has
+    the name."""
+    if not nodes.where(C("id") == text).isEmpty():
+        return text
+    purls = nodes.where(F.try_element_at("meta", F.lit("purl")) == text)
+    names = nodes.where((N.split_id(C("id"))[0] == text) | (F.try_element_at("meta", F.lit("name")) == text))
+    few = [[r["id"] for r in x.select("id").distinct().orderBy("id").limit(2).collect()] for x in (purls, names)]
+    if len(few[0]) == 1 or (len(few[1]) == 1):
+        return few[0][0] if len(few[0]) == 1 else few[1][0]
+    return _one(text, "package", purls if few[0] else names, most) or text
+
+
+def select_snapshot_node(nodes: DataFrame, text: str) -> str:
+    """The id that a selector of a diff means: itself if it is one, else the only node of that name (column name); several are an error
+    that names the first five, none is one as well."""
+    if not nodes.where(C("id") == text).isEmpty():
+        return text
+    found = _one(text, "node", nodes.where(C("name") == text), 5)
+    if found is None:
+        raise ValueError(f"no node {text!r}")
+    return found
+
+
+def side_selectors(both: str | None, left: str | None, right: str | None) -> tuple[str, str]:
+    """One selector for both sides, or one for each, not a mixture."""
+    both, left, right = ((x or "").strip() for x in (both, left, right))
+    if both and (left or right):
+        raise ValueError("a selector for both sides excludes one for each")
+    if not both and not (left and right):
+        raise ValueError("a selector for both sides, or one for each, is needed")
+    return (both, both) if both else (left, right)
+
+
 def selector(packages: DataFrame, text: str) -> DataFrame:
-    """How a selector is understood: the exact id, else the only package of the purl, else the only one of the name, else unchanged;
-    candidates says how many the deciding step had."""
+    """How a selector is understood, without an error: the exact id, else the only package of the purl, else the only one of the name, else
+    unchanged; null where several were meant; candidates says how many the deciding step had."""
     hits = packages.agg(
         F.count_if(C("id") == text).alias("ids"), F.count_if(C("purl") == text).alias("purls"), F.count_if(C("name") == text).alias("names"),
         F.min(F.when(C("purl") == text, C("id"))).alias("by_purl"), F.min(F.when(C("name") == text, C("id"))).alias("by_name"),

@@ -1,4 +1,7 @@
-"""Findings about npm packages, and steps of timing reports."""
+"""Findings about npm packages, and steps of timing reports.
+
+Packages are nodes (id, meta): what a lock file says of a package is in the map meta, its values as text.
+"""
 
 from __future__ import annotations
 
@@ -11,10 +14,22 @@ from ..functions import names as N
 
 C = F.col
 
+#: Fixed value: the registry from which a name without a scope can be taken by anyone.
+PUBLIC = ("registry.npmjs.org",)
+
 
 def domain(url: Column) -> Column:
-    """The host of a registry's address; null for git and file addresses and where there is none."""
-    return N.nonempty(F.when(url.rlike(r"^(git|file|link)[+:]"), None).otherwise(F.regexp_extract(url, r"^https?://(?:[^/@]*@)?([^/:?#]+)", 1)))
+    """Host and port of a web address, with what stands before an @; null for other addresses."""
+    return N.nonempty(F.regexp_extract(url, r"^(?i:https?)://([^/?#]+)", 1))
+
+
+def is_git(*texts: Column) -> Column:
+    """Whether one of an entry's address and version names a git repository."""
+    return reduce(lambda a, b: a | b, [F.coalesce(F.startswith(t, F.lit("git+")) | F.startswith(t, F.lit("git:")) | F.endswith(t, F.lit(".git")), F.lit(False)) for t in texts])
+
+
+def is_file(*texts: Column) -> Column:
+    return reduce(lambda a, b: a | b, [F.coalesce(F.startswith(t, F.lit("file:")), F.lit(False)) for t in texts])
 
 
 def domains(packages: DataFrame) -> DataFrame:
@@ -22,29 +37,88 @@ def domains(packages: DataFrame) -> DataFrame:
     return packages.select(domain(C("resolved")).alias("domain")).where("domain IS NOT NULL").groupBy("domain").agg(F.count("*").alias("packages"))
 
 
-def confusable(packages: DataFrame, public: tuple[str, ...]) -> DataFrame:
-    """Packages without a scope that come from a public registry (a domain or one below it)."""
-    hit = reduce(lambda a, b: a | b, [(C("domain") == p) | C("domain").endswith("." + p) for p in public])
-    return packages.withColumn("domain", domain(C("resolved"))).where(~C("name").startswith("@") & hit).select("id", "domain")
+def package_rows(nodes: DataFrame) -> DataFrame:
+    """A row per node with what reports show of it: name and version of the metadata, else of the id, and the source's address."""
+    of = lambda k: F.try_element_at("meta", F.lit(k))
+    name, version = N.split_id(C("id"))
+    text = lambda k: F.coalesce(of(k), F.lit("")).alias(k)
+    return nodes.select(
+        "id", F.coalesce(of("name"), name).alias("name"), F.coalesce(of("version"), version).alias("version"), text("purl"), text("classification"),
+        F.coalesce(of("dependency_scope"), F.lit("")).alias("scope"), F.coalesce(F.nullif(of("source_url"), F.lit("")), of("resolved"), F.lit("")).alias("source_url"),
+        text("integrity"), text("license"), "meta",
+    )
+
+
+def npm_packages(nodes: DataFrame) -> DataFrame:
+    """The rows of the npm packages, without roots."""
+    of = lambda k: F.coalesce(F.try_element_at("meta", F.lit(k)), F.lit(""))
+    return package_rows(nodes.where((of("ecosystem") == "npm") & (of("node_type") != "root")))
+
+
+def confusable(packages: DataFrame, public: tuple[str, ...] = PUBLIC) -> DataFrame:
+    """Packages without a scope that come from a public registry. packages: id, name, domain."""
+    return packages.where(~C("name").startswith("@") & C("domain").isin(*public)).select("id", "domain")
 
 
 def peer_warnings(edges: DataFrame, declared: DataFrame) -> DataFrame:
-    """Edges of scope peer, and declared peers (id, peers: comma-separated) without one."""
+    """src, peer and from: edges of scope peer, and declared peers (id, peers: names with commas between), each of which counts."""
     peers = edges.where("scope = 'peer'").select("src", C("dst_name").alias("peer"), F.lit("edge").alias("from"))
-    names = declared.select(C("id").alias("src"), F.explode(F.split("peers", r"\s*,\s*")).alias("peer")).where("peer <> ''")
-    return peers.unionByName(names.join(peers, ["src", "peer"], "left_anti").withColumn("from", F.lit("declared")))
-
-
-def surface(packages: DataFrame, public: tuple[str, ...]) -> DataFrame:
-    """finding, id of everything worth a look: look-alikes, confusable names, no licence, several versions of a name."""
-    several = packages.groupBy("name").agg(F.countDistinct("version").alias("n")).where("n > 1").select("name")
-    parts = [
-        packages.where(N.lookalike(C("name")).isNotNull()).select(F.lit("lookalike").alias("finding"), "id"),
-        confusable(packages, public).select(F.lit("confusable").alias("finding"), "id"),
-        packages.where(N.license_text(C("license")).isNull()).select(F.lit("license").alias("finding"), "id"),
-        packages.join(several, "name").select(F.lit("versions").alias("finding"), "id"),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    names = declared.select(C("id").alias("src"), F.explode(F.split("peers", ",")).alias("peer")).where("peer <> ''")
+    return peers.unionByName(names.withColumn("from", F.lit("declared")))
+
+
+#: The kinds of findings in their order, each a list of packages.
+SURFACE = (
+    "packagesWithoutIntegrity", "gitBasedDependencies", "localFileDependencies", "lifecycleScriptPackages", "installScriptPackages",
+    "dependencyConfusionRiskIndicators", "typosquattingFriendlyNames",
+)
+
+
+def _tests(public: tuple[str, ...]) -> dict[str, Column]:
+    """What makes a row of npm_packages a finding of each kind, and further counters."""
+    of = lambda k: F.coalesce(F.try_element_at("meta", F.lit(k)), F.lit(""))
+    local = N.truthy(of("local_file_dependency"))
+    return {
+        "packagesWithoutIntegrity": (of("integrity") == "") & (of("node_type") == "package") & ~local,
+        "gitBasedDependencies": N.truthy(of("git_dependency")),
+        "localFileDependencies": local,
+        "lifecycleScriptPackages": of("lifecycle_scripts") != "",
+        "installScriptPackages": N.truthy(of("has_install_script")) | (of("install_scripts") != ""),
+        "dependencyConfusionRiskIndicators": ~F.startswith("name", F.lit("@")) & of("remote_tarball_domain").isin(*public),
+        "typosquattingFriendlyNames": N.lookalike(C("name")).isNotNull(),
+        "directDependencies": C("classification") == "direct",
+        "transitiveDependencies": C("classification") == "transitive",
+        "packagesWithRemoteTarballUrls": of("remote_tarball_url") != "",
+        "devOnlyPackages": C("scope") == "dev",
+        "optionalPackages": (C("scope") == "optional") | N.truthy(of("optional")),
+    }
+
+
+def surface(nodes: DataFrame, public: tuple[str, ...] = PUBLIC) -> DataFrame:
+    """finding, id and purl of everything worth a look, one pass over the packages; a package has a row for each kind that it is of."""
+    tests = _tests(public)
+    kinds = F.array_compact(F.array(*[F.when(tests[k], F.lit(k)) for k in SURFACE]))
+    return npm_packages(nodes).select(F.explode(kinds).alias("finding"), "id", "purl")
+
+
+def summary(nodes: DataFrame, edges: DataFrame, public: tuple[str, ...] = PUBLIC) -> DataFrame:
+    """The counters of a graph's npm packages, in one pass over nodes and one over edges. edges: src, dst (ids), scope."""
+    rows = npm_packages(nodes)
+    counted = rows.agg(
+        F.count("*").alias("packages"), *[F.count_if(t).alias(k) for k, t in _tests(public).items()],
+        F.coalesce(F.sum(F.size(F.filter(F.split(F.coalesce(F.try_element_at("meta", F.lit("peer_dependencies")), F.lit("")), ","), lambda x: x != ""))), F.lit(0)).alias("declared"),
+    )
+    own = nodes.where(F.try_element_at("meta", F.lit("ecosystem")) == "npm").select(C("id").alias("own"))
+    ends = edges.select("scope", F.posexplode(F.array("src", "dst")).alias("side", "own"), F.struct("src", "dst").alias("edge"))
+    of_edges = ends.join(own, "own").groupBy("edge").agg(F.first("scope").alias("scope")).agg(F.count("*").alias("edges"), F.count_if(C("scope") == "peer").alias("peers"))
+    out = counted.withColumn("dependencies", of_edges.select("edges").scalar()).withColumn("peerDependencyWarnings", C("declared") + of_edges.select("peers").scalar())
+    return out.drop("declared")
+
+
+def conflicts(resolutions: DataFrame) -> DataFrame:
+    """Dependencies that resolve to more than one version. resolutions: dependency, resolved (id)."""
+    versions = resolutions.where(F.contains("resolved", F.lit("=="))).groupBy("dependency").agg(F.array_sort(F.collect_set(N.split_id(C("resolved"))[1])).alias("versions"))
+    return versions.where(F.size("versions") > 1).select("dependency", F.array_join("versions", ",").alias("versions"))
 
 
 def flat_steps(reports: DataFrame) -> DataFrame:

@@ -46,7 +46,7 @@ SQL = {
       SELECT DISTINCT a.pkg, b.cap FROM (SELECT DISTINCT l_orderkey, l_partkey AS pkg FROM {lineitem}) AS a
       JOIN (SELECT DISTINCT l_orderkey, l_partkey AS other, p_brand AS cap FROM {lineitem} JOIN {part} ON p_partkey = l_partkey) AS b
       ON a.l_orderkey = b.l_orderkey AND a.pkg <> b.other""",
-    "provides": "SELECT p_partkey AS pkg, p_brand AS cap FROM {part} WHERE p_partkey % 40 = 0 AND p_brand <> 'Brand#7'",
+    "provides": "SELECT p_partkey AS pkg, p_brand AS cap FROM {part} WHERE p_size = 7 AND p_brand <> 'Brand#7'",
     "lefts": "SELECT id, name, version, license, ecosystem FROM ({packages}) AS l WHERE vid % 7 <> 0",
     "rights": """
       SELECT concat(name, '==', version) AS id, name, version, license, ecosystem FROM (

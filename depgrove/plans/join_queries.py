@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import names as N
 from ..operators import joins as J
 from .derive import table, with_
 
@@ -34,17 +35,31 @@ def _lookup(spark, sf):
 
 
 def _advisories(spark, sf):
-    none = F.lit(None).cast("string")
-    return table(spark, sf, "advisories").select("advisory", "severity", "ecosystem", none.alias("purl"), none.alias("package_id"), "package", "introduced", "fixed", F.array().cast("array<string>").alias("versions"))
+    """For each brand advisories by name with a range, by name with versions or with none, by purl, and by id."""
+    a, none = table(spark, sf, "advisories"), F.lit(None).cast("string")
+    bound = F.array(F.struct(C("introduced").alias("introduced"), C("fixed").alias("fixed"), none.alias("last_affected"), none.alias("limit")))
+    free, empty = F.array().cast(bound_type := "array<struct<introduced:string,fixed:string,last_affected:string,limit:string>>"), F.array().cast("array<string>")
+    row = lambda kind, **c: a.select(F.concat("advisory", F.lit(kind)).alias("advisory"), "severity", *[c.get(k, d).alias(k) for k, d in (("ecosystem", C("ecosystem")), ("purls", empty), ("package_id", none), ("package", none), ("versions", empty), ("ranges", free))])
+    name = C("package")
+    parts = [
+        row("", package=name, ranges=bound.cast(bound_type)), row("-v", package=name, versions=F.array(C("introduced"), F.lit("1.1.1"), F.lit("2.2.2"))), row("-all", package=name, ecosystem=none),
+        row("-purl", purls=N.purl_forms(F.concat(F.lit("pkg:npm/"), name, F.lit("@1.1.1?arch=any")))), row("-id", package_id=F.concat(name, F.lit("==2.2.2"))),
+    ]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
 
 
 def matches(spark, sf):
-    packages = table(spark, sf, "packages").withColumn("purl", F.concat(F.lit("pkg:npm/"), "name", F.lit("@"), "version"))
-    return J.advisory_matches(_advisories(spark, sf), packages)
+    meta = F.create_map(F.lit("purl"), F.concat(F.lit("pkg:npm/"), "name", F.lit("@"), "version"))
+    return J.advisory_matches(_advisories(spark, sf), J.advisory_packages(table(spark, sf, "packages").select("id", "ecosystem", meta.alias("meta"))))
 
 
 def _halves(spark, sf):
-    a = table(spark, sf, "artifacts").select("name", "arch", "version", "release", "filename")
+    a = table(spark, sf, "artifacts").select("task", "build", "part", "name", "arch", "version", "release", "filename", F.concat("name", F.lit(".src.rpm")).alias("source_rpm"), (C("part") % 3).cast("string").alias("epoch"))
+    a = a.withColumn("node", F.concat("name", F.lit("=="), "version", F.lit("-"), "release", F.lit("."), "arch", F.lit("#"), C("build").cast("string"))).withColumn("summary", F.concat(F.lit("s"), (C("build") % 2).cast("string")))
+    a = a.withColumn("cas_hash", F.md5("node")).withColumn("href", F.concat(F.lit("/a/"), "filename")).withColumn("build_arch", F.when(C("arch") == "src", "x86_64").otherwise(C("arch")))
     return a.where("task % 2 = 0"), a.where("task % 2 = 1")
 
 
@@ -89,8 +104,8 @@ QUERIES = {
     "advisory_matches": lambda s, d: matches(s, d).select("advisory", "id"),
     "snapshot_node_diff": lambda s, d: J.keyed_diff(table(s, d, "lefts"), table(s, d, "rights"), ["id"], ["license", "ecosystem"], "id"),
     "snapshot_edge_diff": lambda s, d: J.edge_diff(table(s, d, "pedges").where("src % 7 <> 0").select("src", "dst", "rel"), table(s, d, "pedges").where("src % 5 <> 0").select("src", "dst", "rel")),
-    "repo_diff": lambda s, d: J.keyed_diff(*_halves(s, d), ["name", "arch"], ["version", "release"], "filename"),
-    "build_diff": lambda s, d: J.keyed_diff(*[x.withColumn("kind", F.when(C("arch") == "src", "srpm").otherwise("rpm")) for x in _halves(s, d)], ["kind", "name", "arch"], ["filename", "version"], "filename"),
+    "repo_diff": lambda s, d: J.keyed_diff(*_halves(s, d), ["name", "arch"], ["epoch", "version", "release", "source_rpm", "summary", "node"], "node"),
+    "build_diff": lambda s, d: J.keyed_diff(*[x.withColumn("kind", F.when(C("arch") == "src", "srpm").otherwise("rpm")) for x in _halves(s, d)], ["kind", "name", "arch", "build_arch"], ["filename", "version", "release", "cas_hash", "href"], "node"),
     "provenance_match": lambda s, d: _provenance(s, d).where("build IS NOT NULL"),
     "provenance_unmatched": lambda s, d: _provenance(s, d).where("build IS NULL").select("name", "version", "release", "arch"),
     "action_match": _actions,
@@ -103,9 +118,29 @@ PART = {"part": "part"}
 LOOK = """asked AS (SELECT DISTINCT concat(replace(p_name, ' ', '-'), CASE WHEN p_partkey % 3 = 0 THEN '-x' ELSE '' END) AS name, concat(p_size % 5, '.', p_partkey % 10, '.', p_size) AS version FROM part),
  pk AS (SELECT id, name, version FROM packages WHERE vid % 2 = 0 UNION ALL SELECT id, concat(name, '-x'), version FROM packages WHERE vid % 50 = 0)"""
 VKEY = "list_transform(regexp_extract_all({0}, '\\d+|[A-Za-z]+'), lambda t: {{'i': regexp_matches(t, '^[0-9]')::INT, 'n': coalesce(TRY_CAST(t AS BIGINT), 0)}})"
-MATCHES = f"""matches AS (SELECT advisory, id, severity FROM advisories a JOIN packages p ON a.package = p.name AND a.ecosystem = p.ecosystem
-  WHERE {VKEY.format('p.version')} >= {VKEY.format('a.introduced')} AND {VKEY.format('p.version')} < {VKEY.format('a.fixed')})"""
-HALF = "l AS (SELECT {k}, {f} FROM artifacts WHERE task % 2 = 0 QUALIFY row_number() OVER (PARTITION BY {k} ORDER BY filename DESC) = 1), r AS (SELECT {k}, {f} FROM artifacts WHERE task % 2 = 1 QUALIFY row_number() OVER (PARTITION BY {k} ORDER BY filename DESC) = 1)"
+MATCHES = f"""ms AS (SELECT advisory, id, severity FROM advisories a JOIN packages p ON a.package = p.name AND a.ecosystem = p.ecosystem
+  WHERE {VKEY.format('p.version')} >= {VKEY.format('a.introduced')} AND {VKEY.format('p.version')} < {VKEY.format('a.fixed')}
+  UNION ALL SELECT concat(advisory, '-v'), id, severity FROM advisories a JOIN packages p ON a.package = p.name AND a.ecosystem = p.ecosystem WHERE p.version IN (a.introduced, '1.1.1', '2.2.2')
+  UNION ALL SELECT concat(advisory, '-all'), id, severity FROM advisories a JOIN packages p ON a.package = p.name
+  UNION ALL SELECT concat(advisory, '-purl'), id, severity FROM advisories a JOIN packages p ON a.package = p.name AND p.version = '1.1.1' AND a.ecosystem = p.ecosystem
+  UNION ALL SELECT concat(advisory, '-id'), id, severity FROM advisories a JOIN packages p ON a.package = p.name AND p.version = '2.2.2' AND a.ecosystem = p.ecosystem), matches AS (SELECT * FROM ms)"""
+NODE = "concat(name, '==', version, '-', release, '.', arch, '#', build)"
+ROWS = f"x AS (SELECT *, {NODE} AS node, concat(name, '.src.rpm') AS source_rpm, (part % 3)::VARCHAR AS epoch, concat('s', build % 2) AS summary, md5({NODE}) AS cas_hash, concat('/a/', filename) AS href, CASE WHEN arch = 'src' THEN 'x86_64' ELSE arch END AS build_arch, CASE WHEN arch = 'src' THEN 'srpm' ELSE 'rpm' END AS kind FROM artifacts)"
+
+
+def _diffed(key: tuple[str, ...], fields: tuple[str, ...]) -> str:
+    """A full outer join of the halves by key, with the names of the fields that differ; of rows with one key the last by node counts."""
+    k, on = ", ".join(key), " AND ".join(f"l.{c} = r.{c}" for c in key)
+    side = lambda n: f"(SELECT * FROM x WHERE task % 2 = {n} QUALIFY row_number() OVER (PARTITION BY {k} ORDER BY node DESC) = 1)"
+    named = ", ".join(f"coalesce(l.{c}, r.{c}) AS {c}" for c in key)
+    differ = " OR ".join(f"l.{f} <> r.{f}" for f in fields)
+    words = ", ".join(f"CASE WHEN l.{f} <> r.{f} THEN '{f}' END" for f in fields)
+    return with_("artifacts").rstrip() + f""", {ROWS} SELECT {named}, CASE WHEN l.name IS NULL THEN 'added' WHEN r.name IS NULL THEN 'removed' ELSE 'changed' END AS change,
+      CASE WHEN l.name IS NULL OR r.name IS NULL THEN '' ELSE concat_ws(',', {words}) END AS fields FROM {side(0)} l FULL JOIN {side(1)} r ON {on} WHERE l.name IS NULL OR r.name IS NULL OR {differ}"""
+
+
+REPO_DIFF = _diffed(("name", "arch"), ("epoch", "version", "release", "source_rpm", "summary", "node"))
+BUILD_DIFF = _diffed(("kind", "name", "arch", "build_arch"), ("filename", "version", "release", "cas_hash", "href"))
 INST = "inst AS (SELECT DISTINCT name, version, CASE WHEN part % 3 = 0 THEN '9.el8' ELSE release END AS release, arch FROM artifacts WHERE part % 4 <> 0), built AS (SELECT name, version, release, arch, min(build) AS build FROM artifacts WHERE arch <> 'src' AND filename NOT LIKE '%-debuginfo-%' GROUP BY ALL)"
 
 SQL = {
@@ -122,13 +157,8 @@ SQL = {
       CASE WHEN l.id IS NULL OR r.id IS NULL THEN '' ELSE concat_ws(',', CASE WHEN l.license IS DISTINCT FROM r.license THEN 'license' END, CASE WHEN l.ecosystem IS DISTINCT FROM r.ecosystem THEN 'ecosystem' END) END AS fields
       FROM lefts l FULL JOIN rights r ON l.id = r.id WHERE l.id IS NULL OR r.id IS NULL OR l.license IS DISTINCT FROM r.license OR l.ecosystem IS DISTINCT FROM r.ecosystem""",
     "snapshot_edge_diff": with_("pnodes", "pedges") + "SELECT src, dst, rel, 'added' AS change FROM pedges WHERE src % 5 <> 0 AND src % 7 = 0 UNION ALL SELECT src, dst, rel, 'removed' FROM pedges WHERE src % 7 <> 0 AND src % 5 = 0",
-    "repo_diff": with_("artifacts").rstrip() + ", " + HALF.format(k="name, arch", f="version, release") + """ SELECT coalesce(l.name, r.name) AS name, coalesce(l.arch, r.arch) AS arch, CASE WHEN l.name IS NULL THEN 'added' WHEN r.name IS NULL THEN 'removed' ELSE 'changed' END AS change,
-      CASE WHEN l.name IS NULL OR r.name IS NULL THEN '' ELSE concat_ws(',', CASE WHEN l.version <> r.version THEN 'version' END, CASE WHEN l.release <> r.release THEN 'release' END) END AS fields
-      FROM l FULL JOIN r ON l.name = r.name AND l.arch = r.arch WHERE l.name IS NULL OR r.name IS NULL OR l.version <> r.version OR l.release <> r.release""",
-    "build_diff": with_("artifacts").rstrip() + ", " + HALF.format(k="name, arch", f="version, filename") + """ SELECT CASE WHEN coalesce(l.arch, r.arch) = 'src' THEN 'srpm' ELSE 'rpm' END AS kind, coalesce(l.name, r.name) AS name, coalesce(l.arch, r.arch) AS arch,
-      CASE WHEN l.name IS NULL THEN 'added' WHEN r.name IS NULL THEN 'removed' ELSE 'changed' END AS change,
-      CASE WHEN l.name IS NULL OR r.name IS NULL THEN '' ELSE concat_ws(',', CASE WHEN l.filename <> r.filename THEN 'filename' END, CASE WHEN l.version <> r.version THEN 'version' END) END AS fields
-      FROM l FULL JOIN r ON l.name = r.name AND l.arch = r.arch WHERE l.name IS NULL OR r.name IS NULL OR l.version <> r.version OR l.filename <> r.filename""",
+    "repo_diff": REPO_DIFF,
+    "build_diff": BUILD_DIFF,
     "provenance_match": with_("artifacts").rstrip() + ", " + INST + " SELECT inst.*, build FROM inst JOIN built USING (name, version, release, arch)",
     "provenance_unmatched": with_("artifacts").rstrip() + ", " + INST + " SELECT inst.* FROM inst ANTI JOIN built USING (name, version, release, arch)",
     "action_match": """WITH a AS (SELECT p_partkey AS idx, concat(p_name, '==', p_size % 9) AS id, p_name AS name, CASE WHEN p_partkey % 2 = 0 THEN 'x86_64' ELSE 'src' END AS arch FROM part), g AS (SELECT * FROM a WHERE idx % 17 = 0),

@@ -10,21 +10,41 @@ from ..operators import reports as R
 from .derive import table
 
 C = F.col
-PUBLIC = ("example.com", "example.net")
+PUBLIC = ("example.com", "www.example.net")
+
+
+def _nodes(spark, sf):
+    """The pages as npm packages that were fetched from their addresses, and some of another kind."""
+    p, key = table(spark, sf, "pages"), C("page_id")
+    on = lambda c: F.when(c, "True")
+    meta = {
+        "ecosystem": F.when(key % 17 == 0, "pypi").otherwise("npm"), "node_type": F.when(key % 29 == 0, "root").otherwise("package"), "name": F.concat(F.when(key % 4 == 0, "@s/").otherwise(""), F.element_at(F.array(*map(F.lit, ("lodas", "reactt", "pkg", "Vite", "nxt"))), (key % 5 + 1).cast("int"))),
+        "resolved": C("url"), "remote_tarball_url": on(npm.domain(C("url")).isNotNull()), "remote_tarball_domain": npm.domain(C("url")), "integrity": F.when(key % 3 == 0, "sha"), "classification": F.when(key % 6 == 0, "direct").otherwise("transitive"),
+        "dependency_scope": F.when(key % 7 == 0, "dev").when(key % 7 == 1, "optional").otherwise("runtime"), "optional": on(key % 14 == 3), "git_dependency": on(key % 11 == 0), "local_file_dependency": on(key % 13 == 0),
+        "lifecycle_scripts": F.when(key % 19 == 0, "install,test"), "has_install_script": on(key % 23 == 0), "peer_dependencies": F.when(key % 10 == 0, "a,b"),
+    }
+    full = F.create_map(*[x for k, v in meta.items() for x in (F.lit(k), v.cast("string"))])
+    return p.select(F.concat(F.lit("n"), key.cast("string"), F.lit("=="), key.cast("string")).alias("id"), F.map_filter(full, lambda k, v: v.isNotNull()).alias("meta"))
+
+
+def _edges(spark, sf):
+    key = C("page_id")
+    id_ = lambda k: F.concat(F.lit("n"), k.cast("string"), F.lit("=="), k.cast("string"))
+    return table(spark, sf, "pages").select(id_(key).alias("src"), id_(F.pmod(key * 3 + 1, F.lit(200))).alias("dst"), F.when(key % 8 == 0, "peer").otherwise("runtime").alias("scope"))
 
 
 def _packages(spark, sf):
-    """The pages as packages that were fetched from their addresses."""
-    return table(spark, sf, "pages").select(
-        F.concat(F.lit("pkg-"), (C("page_id") % 50).cast("string"), F.lit("=="), "page_id").alias("id"), F.concat(F.when(C("page_id") % 4 == 0, "@s/").otherwise(""), F.lit("pkg-"), (C("page_id") % 50).cast("string")).alias("name"),
-        C("page_id").cast("string").alias("version"), C("url").alias("resolved"), F.when(C("page_id") % 3 != 0, "MIT").alias("license"),
-    )
+    return table(spark, sf, "pages").select(F.concat(F.lit("n"), C("page_id").cast("string")).alias("id"), F.when(C("page_id") % 4 == 0, "@s/x").otherwise("x").alias("name"), C("url").alias("resolved"), npm.domain(C("url")).alias("domain"))
 
 
 def _peers(spark, sf):
     p = table(spark, sf, "part")
     edges = p.select(C("p_partkey").cast("string").alias("src"), C("p_brand").alias("dst_name"), F.when(C("p_size") % 2 == 0, "peer").otherwise("runtime").alias("scope"))
-    return npm.peer_warnings(edges, p.where("p_partkey % 3 = 0").select(C("p_partkey").cast("string").alias("id"), F.concat("p_brand", F.lit(", other")).alias("peers")))
+    return npm.peer_warnings(edges, p.where("p_partkey % 3 = 0").select(C("p_partkey").cast("string").alias("id"), F.concat("p_brand", F.lit(",other")).alias("peers")))
+
+
+def _conflicts(spark, sf):
+    return npm.conflicts(table(spark, sf, "part").select(C("p_brand").alias("dependency"), F.concat(F.lit("x=="), (C("p_size") % 4).cast("string")).alias("resolved")))
 
 
 def _steps(spark, sf):
@@ -43,23 +63,36 @@ def _halves(spark, sf):
 QUERIES = {
     "resolved_domains": lambda s, d: npm.domains(_packages(s, d)),
     "confusion_indicators": lambda s, d: npm.confusable(_packages(s, d), PUBLIC),
-    "vulnerable_surface": lambda s, d: npm.surface(_packages(s, d), PUBLIC).groupBy("finding").agg(F.count("*").alias("n")),
+    "vulnerable_surface": lambda s, d: npm.surface(_nodes(s, d), PUBLIC).select("finding", "id"),
+    "npm_summary": lambda s, d: npm.summary(_nodes(s, d), _edges(s, d), PUBLIC),
+    "resolution_conflicts": _conflicts,
     "peer_warnings": _peers,
     "timing_steps": lambda s, d: R.step_totals(_steps(s, d)),
     "coverage_diff": _halves,
     "plan_enrichment": lambda s, d: table(s, d, "nation").select(C("n_name").alias("name"), "n_nationkey").join(table(s, d, "supplier").groupBy(C("s_nationkey").alias("n_nationkey")).agg(F.count("*").alias("files")), "n_nationkey", "left").select("name", F.coalesce("files", F.lit(0)).alias("files")),
 }
 
-PK = """WITH p AS (SELECT concat('pkg-', page_id % 50, '==', page_id) AS id, concat(CASE WHEN page_id % 4 = 0 THEN '@s/' ELSE '' END, 'pkg-', page_id % 50) AS name, page_id, nullif(regexp_extract(url, '^https?://([^/:?#]+)', 1), '') AS domain,
-  CASE WHEN page_id % 3 <> 0 THEN 'MIT' END AS license FROM pages), c AS (SELECT id, domain FROM p WHERE NOT starts_with(name, '@') AND (domain = 'example.com' OR ends_with(domain, '.example.com') OR domain = 'example.net' OR ends_with(domain, '.example.net')))"""
+DOMAIN = "nullif(regexp_extract(url, '^https?://([^/?#]+)', 1), '')"
+PK = f"WITH p AS (SELECT concat('n', page_id) AS id, page_id % 4 = 0 AS scoped, {DOMAIN} AS domain FROM pages)"
+NODES = f"""WITH a AS (SELECT page_id AS k, {DOMAIN} AS domain, CASE WHEN page_id % 7 = 0 THEN 'dev' WHEN page_id % 7 = 1 THEN 'optional' ELSE 'runtime' END AS scope, page_id % 17 <> 0 AS npm FROM pages), n AS (SELECT * FROM a WHERE npm AND k % 29 <> 0),
+ e AS (SELECT page_id AS src, (page_id * 3 + 1) % 200 AS dst, page_id % 8 = 0 AS peer FROM pages), ne AS (SELECT * FROM e WHERE src IN (SELECT k FROM a WHERE npm) OR dst IN (SELECT k FROM a WHERE npm))"""
+TESTS = {
+    "packagesWithoutIntegrity": "k % 3 <> 0 AND k % 13 <> 0", "gitBasedDependencies": "k % 11 = 0", "localFileDependencies": "k % 13 = 0", "lifecycleScriptPackages": "k % 19 = 0", "installScriptPackages": "k % 23 = 0",
+    "dependencyConfusionRiskIndicators": "k % 4 <> 0 AND domain IN ('example.com', 'www.example.net')", "typosquattingFriendlyNames": "k % 4 <> 0 AND k % 5 IN (0, 1, 4)",
+}
+COUNTS = TESTS | {
+    "directDependencies": "k % 6 = 0", "transitiveDependencies": "k % 6 <> 0", "packagesWithRemoteTarballUrls": "domain IS NOT NULL", "devOnlyPackages": "scope = 'dev'", "optionalPackages": "scope = 'optional' OR k % 14 = 3",
+}
 
 SQL = {
     "resolved_domains": PK + " SELECT domain, count(*) AS packages FROM p WHERE domain IS NOT NULL GROUP BY domain",
-    "confusion_indicators": PK + " SELECT id, domain FROM c",
-    "vulnerable_surface": PK + """ SELECT finding, count(*) AS n FROM (SELECT 'confusable' AS finding FROM c UNION ALL SELECT 'license' FROM p WHERE license IS NULL
-      UNION ALL SELECT 'versions' FROM p WHERE name IN (SELECT name FROM p GROUP BY name HAVING count(DISTINCT page_id) > 1)) GROUP BY finding""",
-    "peer_warnings": """WITH e AS (SELECT p_partkey::VARCHAR AS src, p_brand AS peer FROM part WHERE p_size % 2 = 0), n AS (SELECT p_partkey::VARCHAR AS src, unnest([p_brand, 'other']) AS peer FROM part WHERE p_partkey % 3 = 0)
-      SELECT src, peer, 'edge' AS "from" FROM e UNION ALL SELECT src, peer, 'declared' FROM n WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.src = n.src AND e.peer = n.peer)""",
+    "confusion_indicators": PK + " SELECT id, domain FROM p WHERE NOT scoped AND domain IN ('example.com', 'www.example.net')",
+    "vulnerable_surface": NODES + " " + " UNION ALL ".join(f"SELECT '{k}' AS finding, concat('n', k, '==', k) AS id FROM n WHERE {t}" for k, t in TESTS.items()),
+    "npm_summary": NODES + " SELECT count(*) AS packages, " + ", ".join(f'count(*) FILTER ({t}) AS "{k}"' for k, t in COUNTS.items()) + """, (SELECT count(*) FROM ne) AS dependencies,
+      2 * count(*) FILTER (k % 10 = 0) + (SELECT count(*) FROM ne WHERE peer) AS "peerDependencyWarnings" FROM n""",
+    "resolution_conflicts": "SELECT p_brand AS dependency, string_agg(DISTINCT p_size % 4, ',' ORDER BY p_size % 4) AS versions FROM part GROUP BY 1 HAVING count(DISTINCT p_size % 4) > 1",
+    "peer_warnings": """SELECT p_partkey::VARCHAR AS src, p_brand AS peer, 'edge' AS "from" FROM part WHERE p_size % 2 = 0
+      UNION ALL SELECT p_partkey::VARCHAR, unnest([p_brand, 'other']), 'declared' FROM part WHERE p_partkey % 3 = 0""",
     "timing_steps": """WITH k AS (SELECT event_type, json_extract_string(props, '$.k')::INT AS k FROM events WHERE length(json_extract_string(props, '$.k')) <= 2),
       s AS (SELECT concat(event_type, '.inner') AS step, k + 0.5::DOUBLE AS seconds FROM k UNION ALL SELECT 'total', k::DOUBLE FROM k)
       SELECT step, round_even(sum(seconds), 6) AS total, round_even(max(seconds), 6) AS longest, count(*) AS tasks FROM s GROUP BY step""",

@@ -45,8 +45,8 @@ P = with_("pnodes", "pedges")
 SQL = {
     "snapshot_rows": P + """SELECT n.id, coalesce((SELECT to_json(list(t.id ORDER BY t.vid)) FROM pedges e JOIN pnodes t ON t.vid = e.dst WHERE e.src = n.vid)::VARCHAR, '[]') AS dependencies,
       coalesce((SELECT to_json(list(t.id ORDER BY t.vid)) FROM pedges e JOIN pnodes t ON t.vid = e.src WHERE e.dst = n.vid)::VARCHAR, '[]') AS dependents FROM pnodes n""",
-    "cypher_statements": P + """SELECT 'CREATE CONSTRAINT package_id IF NOT EXISTS FOR (p:Package) REQUIRE p.id IS UNIQUE;' AS statement UNION ALL SELECT concat('MERGE (:Package {id: "', id, '"});') FROM pnodes
-      UNION ALL SELECT concat('MATCH (a:Package {id: "p', src, '"}), (b:Package {id: "p', dst, '"}) MERGE (a)-[:DEPENDS_ON {type: ', rel, '}]->(b);') FROM pedges""",
+    "cypher_statements": P + """SELECT 'CREATE CONSTRAINT package_id_unique IF NOT EXISTS FOR (p:Package) REQUIRE p.id IS UNIQUE;' AS statement UNION ALL SELECT concat('MERGE (:Package {id: "', id, '"});') FROM pnodes
+      UNION ALL SELECT concat('MATCH (s:Package {id: "p', src, '"}) MATCH (t:Package {id: "p', dst, '"}) MERGE (s)-[:DEPENDS_ON {type: ', rel, '}]->(t);') FROM pedges""",
     "sbom_components": with_("packages") + """SELECT id AS ref, concat('{"type":"library","bom-ref":"', id, '","name":"', name, '","version":"', version, '","properties":[{"name":"depgrove:ecosystem","value":"', ecosystem, '"}',
       CASE WHEN license IS NULL THEN '' ELSE concat(',{"name":"depgrove:license","value":"', license, '"}') END, ']}') AS component FROM packages""",
     "graph_summary_line": with_("nodes", "edges") + "SELECT concat('root=customer:0 nodes=', (SELECT count(*) FROM nodes), ' edges=', (SELECT count(*) FROM edges)) AS line",

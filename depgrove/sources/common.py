@@ -24,7 +24,7 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return rows.where(F.length(F.trim("text")) > 0)
 
 
-def node(graph: Column, name: Column, version: Column, ecosystem: Column, id_: Column | None = None, **meta: Column) -> list[Column]:
+def node(graph: Column, name: Column, version: Column, ecosystem: Column, id_: Column | None = None, /, **meta: Column) -> list[Column]:
     pairs = [x for k, v in meta.items() for x in (F.lit(k), v.cast("string"))]
     full = F.create_map(*pairs) if pairs else F.create_map().cast(MAP)
     id_ = F.concat(name, F.lit("=="), version) if id_ is None else id_

@@ -25,10 +25,10 @@ def _quoted(c):
 
 def cypher(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """position, statement: a constraint, a MERGE per node by id, a MERGE per edge by ends."""
-    first = nodes.sparkSession.range(1).select(F.lit(0).alias("part"), F.lit("").alias("a"), F.lit("").alias("b"), F.lit("CREATE CONSTRAINT package_id IF NOT EXISTS FOR (p:Package) REQUIRE p.id IS UNIQUE;").alias("statement"))
+    first = nodes.sparkSession.range(1).select(F.lit(0).alias("part"), F.lit("").alias("a"), F.lit("").alias("b"), F.lit("CREATE CONSTRAINT package_id_unique IF NOT EXISTS FOR (p:Package) REQUIRE p.id IS UNIQUE;").alias("statement"))
     merge = nodes.select(F.lit(1).alias("part"), C("id").alias("a"), F.lit("").alias("b"), F.concat(F.lit("MERGE (:Package {id: "), _quoted(C("id")), F.lit("});")).alias("statement"))
     ends = edges.join(nodes.select(C("vid").alias("src"), C("id").alias("s")), "src").join(nodes.select(C("vid").alias("dst"), C("id").alias("t")), "dst")
-    text = F.concat(F.lit("MATCH (a:Package {id: "), _quoted(C("s")), F.lit("}), (b:Package {id: "), _quoted(C("t")), F.lit("}) MERGE (a)-[:DEPENDS_ON {type: "), C("rel").cast("string"), F.lit("}]->(b);"))
+    text = F.concat(F.lit("MATCH (s:Package {id: "), _quoted(C("s")), F.lit("}) MATCH (t:Package {id: "), _quoted(C("t")), F.lit("}) MERGE (s)-[:DEPENDS_ON {type: "), C("rel").cast("string"), F.lit("}]->(t);"))
     return first.unionByName(merge).unionByName(ends.select(F.lit(2).alias("part"), C("s").alias("a"), C("t").alias("b"), text.alias("statement")))
 
 

@@ -4,9 +4,14 @@ import json
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from depgrove import sources
+from depgrove.operators import joins, npm, query, reports
 from depgrove.sources import lockfiles, tables
 
+C = F.col
+
 
 def put(tmp_path, name, text):
     (tmp_path / name).write_text(text)
@@ -19,12 +24,14 @@ def shape(found):
 
 
 def test_requirements(spark, tmp_path):
-    path = put(tmp_path, "requirements.txt", '# note\na_b==2.0 --hash=sha256:x\nurl.lib[extra]>=2.2; python_version >= "3.11"\nwheel @ https://h/p/w.whl\n-r other.txt\n')
+    path = put(tmp_path, "dev-needs.txt", '# tools\nFab_Ric==3.1 --hash=sha256:0f\nocto.kit[net, tls]~=0.9; sys_platform != "win32"\nplough @ https://mirror.test/plough-4.tgz\n-c pins.txt\n--index-url https://mirror.test\n')
     rows = {r.name: r for r in tables.requirements(spark, path).collect()}
-    assert set(rows) == {"a-b", "url-lib", "wheel"}
-    assert rows["a-b"].constraint == "==2.0" and rows["a-b"].hash == "sha256:x"
-    assert rows["url-lib"].constraint == ">=2.2" and rows["url-lib"].extras == "extra" and rows["url-lib"].marker == 'python_version >= "3.11"'
-    assert rows["wheel"].url == "https://h/p/w.whl" and rows["wheel"].constraint == ""
+    assert set(rows) == {"fab-ric", "octo-kit", "plough"}
+    assert rows["fab-ric"].constraint == "==3.1" and rows["fab-ric"].hash == "sha256:0f"
+    assert rows["octo-kit"].constraint == "~=0.9" and rows["octo-kit"].extras == "net, tls" and rows["octo-kit"].marker == 'sys_platform != "win32"'
+    assert rows["plough"].url == "https://mirror.test/plough-4.tgz" and {r.scope for r in rows.values()} == {"dev"}
+    ids, edges = shape(sources.load(spark, "requirements", path))
+    assert ids == ["dev-needs==resolved", "fab-ric==3.1", "octo-kit==~=0.9", "plough==https://mirror.test/plough-4.tgz"] and len(edges) == 3
 
 
 def test_maven_tree(spark, tmp_path):
@@ -40,14 +47,18 @@ def test_dot(spark, tmp_path):
 
 
 def test_transaction(spark, tmp_path):
-    path = put(tmp_path, "t.txt", "install a-1-1.x86_64\nupgrade b-1-1.x86_64 -> b-2-1.x86_64\nnote\n")
-    assert [(r.idx, r.action, r.package, r.becomes) for r in tables.transaction(spark, path).collect()] == [(0, "install", "a-1-1.x86_64", None), (1, "upgrade", "b-1-1.x86_64", "b-2-1.x86_64")]
+    path = put(tmp_path, "t.txt", "# plan\nInstall: kiln-tools-2:1.4-3.x86_64.rpm\nupgrade mill-1-1.noarch -> mill-2-1.noarch\nkeep x\nerase odd name\n")
+    first, second, third = tables.transaction(spark, path).orderBy("idx").collect()
+    assert (first.action, first.package.node, first.package.epoch, first.package.purl) == ("install", "kiln-tools==1.4-3.x86_64", "2", "pkg:rpm/kiln-tools@1.4-3?arch=x86_64&epoch=2")
+    assert (second.idx, second.old.node, second.new.node, second.package) == (2, "mill==1-1.noarch", "mill==2-1.noarch", None)
+    assert (third.package.name, third.package.arch, third.package.node, third.package.version) == ("odd name", "unknown", "odd name", "")
 
 
 def test_cyclonedx_and_snapshot(spark, tmp_path):
-    bom = {"components": [{"bom-ref": "a==1", "name": "a", "version": "1", "purl": "pkg:npm/a@1"}, {"bom-ref": "b==2", "name": "b", "version": "2", "licenses": [{"license": {"name": "MIT"}}]}], "dependencies": [{"ref": "a==1", "dependsOn": ["b==2"]}]}
+    bom = {"metadata": {"component": {"name": "app", "version": "0"}}, "components": [{"bom-ref": "a==1", "name": "a", "version": "1", "purl": "pkg:npm/a@1"}, {"bom-ref": "b==2", "name": "b", "version": "2", "properties": [{"name": "depgrove:arch", "value": "any"}, {"name": "x", "value": "y"}], "licenses": [{"license": {"name": "MIT"}}]}], "dependencies": [{"ref": "a==1", "dependsOn": ["b==2", "c==3"]}]}
     nodes, edges = tables.cyclonedx(spark, put(tmp_path, "bom.json", json.dumps(bom)))
-    assert {r.id: r.ecosystem for r in nodes.collect()} == {"a==1": "npm", "b==2": "generic"} and {r.id: r.meta.get("license") for r in nodes.collect()}["b==2"] == "MIT"
+    assert {r.id: r.ecosystem for r in nodes.collect()} == {"a==1": "npm", "b==2": "generic", "app==0": "npm", "c==3": "npm"}
+    assert {r.id: r.meta for r in nodes.collect()}["b==2"] == {"license": "MIT", "arch": "any", "x": "y"}
     snap = {"ecosystem": "npm", "nodes": [{"id": "a==1", "name": "a", "version": "1", "metadata": {"k": "v"}}], "edges": [{"source": "a==1", "target": "a==1", "relationshipType": 2}]}
     assert shape(sources.load(spark, "snapshot", put(tmp_path, "snap.json", json.dumps(snap)))) == (["a==1"], [("a==1", "a==1", 2)])
 
@@ -59,11 +70,37 @@ def test_package_lock(spark, tmp_path):
     assert [r.dep for r in missing.collect()] == ["gone"]
 
 
+def test_package_lock_metadata(spark, tmp_path):
+    lock = {"name": "app", "version": "1", "scripts": {"install": "x", "test": "y"}, "packages": {"": {"name": "app", "version": "1", "peerDependencies": {"@s/p": "2"}, "devDependencies": {"@s/p": "1", "g": "*"}}, "node_modules/@s/p": {"version": "2", "resolved": "https://registry.npmjs.org/p.tgz", "integrity": "sha", "peerDependencies": {"z": "1", "y": "1"}}, "node_modules/g": {"version": "git+ssh://h/g.git", "dev": True, "hasInstallScript": True}, "node_modules/link": {"link": True}}}
+    nodes, edges, _ = tables.package_lock(spark, put(tmp_path, "package-lock.json", json.dumps(lock)))
+    meta = {r.id: r.meta for r in nodes.collect()}
+    assert set(meta) == {"app==1", "@s/p==2", "g==git+ssh://h/g.git"}
+    assert (meta["app==1"]["node_type"], meta["app==1"]["lifecycle_scripts"], meta["app==1"]["install_scripts"]) == ("root", "install,test", "install")
+    p, g = meta["@s/p==2"], meta["g==git+ssh://h/g.git"]
+    assert (p["remote_tarball_domain"], p["peer_dependencies"], p["classification"], p.get("git_dependency")) == ("registry.npmjs.org", "y,z", "direct", None)
+    assert (g["dependency_scope"], g["git_dependency"], g["has_install_script"]) == ("dev", "True", "True")
+    assert {(r.dst, r.scope, r.constraint, r.target_path) for r in edges.collect()} == {("@s/p==2", "peer", "2", "node_modules/@s/p"), ("g==git+ssh://h/g.git", "dev", "*", "node_modules/g")}
+    counters = npm.summary(nodes, edges).first()
+    assert (counters.packages, counters.dependencies, counters.packagesWithoutIntegrity, counters.gitBasedDependencies, counters.devOnlyPackages, counters.peerDependencyWarnings, counters.directDependencies) == (2, 2, 1, 1, 1, 3, 2)
+    assert sorted((r.finding, r.id) for r in npm.surface(nodes).collect()) == [("gitBasedDependencies", "g==git+ssh://h/g.git"), ("installScriptPackages", "g==git+ssh://h/g.git"), ("packagesWithoutIntegrity", "g==git+ssh://h/g.git")]
+
+
+def test_nested_lock(spark, tmp_path):
+    lock = {"name": "old", "version": "3", "dependencies": {"a": {"version": "1", "dependencies": {"b": {"version": "2", "optional": True, "dependencies": {"c": {"version": "4"}}}}}, "b": {"version": "1"}}}
+    found = sources.load(spark, "npm-lock", put(tmp_path, "package-lock.json", json.dumps(lock)))
+    assert shape(found) == (["a==1", "b==1", "b==2", "c==4", "old==3"], [("a==1", "b==2", 1), ("b==2", "c==4", 1), ("old==3", "a==1", 1), ("old==3", "b==1", 1)])
+    nodes, edges = sources.load_graph(spark, "npm-lock", put(tmp_path, "package-lock.json", json.dumps(lock)))
+    assert sorted(r.package for r in query.run(nodes, edges, "reachable", "old").collect()) == ["a==1", "b==1", "b==2", "c==4"]
+    assert [r.package for r in query.run(nodes, edges, "path", "old==3", "c").orderBy("position").collect()] == ["old==3", "a==1", "b==2", "c==4"]
+    with pytest.raises(ValueError, match="Ambiguous node selector 'b'"):
+        query.run(nodes, edges, "dependents", "b")
+
+
 def test_package_json_and_registry(spark, tmp_path):
     path = put(tmp_path, "package.json", json.dumps({"name": "app", "version": "1", "dependencies": {"a": "^1"}, "devDependencies": {"a": "^2", "b": "*"}}))
     assert shape(tables.package_json(spark, path)) == (["a==^2", "app==1", "b==*"], [("app==1", "a==^2", 1), ("app==1", "b==*", 1)])
-    rows = tables.registry(spark, put(tmp_path, "r.json", json.dumps({"a": {"1": {"dependencies": {"b": "*"}}, "2": {}}}))).collect()
-    assert sorted((r.name, r.version, r.dependencies.get("b")) for r in rows) == [("a", "1", "*"), ("a", "2", None)]
+    rows = tables.registry(spark, put(tmp_path, "r.json", json.dumps({"a": {"1": {"dependencies": {"b": "*"}}, "2": {}, "3": {"dependencies": [{"name": "c", "constraint": "^1"}, {"name": "d"}]}}}))).collect()
+    assert sorted((r.name, r.version, r.dependencies) for r in rows) == [("a", "1", {"b": "*"}), ("a", "2", {}), ("a", "3", {"c": "^1", "d": "*"})]
 
 
 def test_rpm_repository(spark, tmp_path):
@@ -72,6 +109,9 @@ def test_rpm_repository(spark, tmp_path):
     text = '<metadata xmlns="http://x" xmlns:rpm="http://y">' + package("a", ["cap"], ["b", "cap", "rpmlib(x)"]) + package("b", ["lib"], ["cap", "none"]) + "</metadata>"
     ids, edges = shape(tables.rpm_repository(spark, put(tmp_path, "primary.xml", text)))
     assert ids == ["a==1-2.x86_64", "b==1-2.x86_64", "rpm-capability:cap", "rpm-capability:none"]
+    repomd = put(tmp_path, "repomd.xml", '<repomd xmlns="http://z"><data type="filelists"><location href="f.xml"/></data><data type="primary"><location href="primary.xml"/></data></repomd>')
+    assert shape(tables.rpm_repository(spark, repomd)) == (ids, edges)
+    assert shape(tables.rpm_repository(spark, repomd, package_limit=1))[0] == ["a==1-2.x86_64", "rpm-capability:b", "rpm-capability:cap"]
     assert edges == [("a==1-2.x86_64", "b==1-2.x86_64", 30), ("a==1-2.x86_64", "rpm-capability:cap", 31), ("b==1-2.x86_64", "a==1-2.x86_64", 30), ("b==1-2.x86_64", "rpm-capability:none", 31)]
 
 
@@ -80,18 +120,47 @@ def test_installed(spark, tmp_path):
     assert sorted((r.id, r.license) for r in tables.installed_rpms(spark, path).collect()) == [("bash==5.1-2", "GPL"), ("glibc==2.34-1", None)]
 
 
+def test_installed_graph(spark, tmp_path):
+    path = put(tmp_path, "i.tsv", "quern\t1\t2-1\tx86_64\tV\tGPL\tquern.src.rpm\t1\nsieve\t2-3\tnoarch\n")
+    packages = tables.installed_rpms(spark, path)
+    wants = spark.createDataFrame([("quern", 0, "rpmlib(a)"), ("quern", 1, "flour"), ("quern", 2, "stone"), ("sieve", 0, "flour")], "name string, position int, cap string")
+    gives = spark.createDataFrame([("flour", 0, "sieve==2-3"), ("flour", 1, "quern==2-1"), ("stone", 0, "quern==2-1")], "cap string, position int, id string")
+    ids, edges = shape(tables.installed_graph(packages, wants, gives))
+    assert ids == ["quern==2-1", "rpm-installed==local", "sieve==2-3"]
+    assert edges == [("quern==2-1", "sieve==2-3", 1), ("rpm-installed==local", "quern==2-1", 1), ("rpm-installed==local", "sieve==2-3", 1)]
+
+
 def test_advisories(spark, tmp_path):
-    rows = tables.advisories(spark, put(tmp_path, "a.json", json.dumps({"advisories": [{"id": "A", "package": "x", "versions": ["1"]}, {"id": "B"}]}))).collect()
-    assert [(r.id, r.package, r.versions) for r in rows] == [("A", "x", ["1"])]
-    feed = {"vulns": [{"id": "O", "database_specific": {"severity": "high"}, "affected": [{"package": {"ecosystem": "npm", "name": "x"}, "ranges": [{"events": [{"introduced": "0"}, {"fixed": "1.5"}, {"introduced": "2"}]}]}]}]}
-    row = tables.osv_feed(spark, put(tmp_path, "f.json", json.dumps(feed))).first()
-    assert (row.id, row.package, [(x.introduced, x.fixed) for x in row.ranges]) == ("O", "x", [("0", "1.5"), ("2", None)])
+    rows = tables.advisories(spark, put(tmp_path, "a.json", json.dumps({"advisories": [{"id": "A", "package": "x", "versions": ["1"]}, {"id": "B", "packageId": "pkg:npm/%40s/p@1?x=y", "version": "1", "ranges": [{"lastAffected": "3"}]}]}))).orderBy("id").collect()
+    assert [(r.id, r.package, r.versions, r.purls) for r in rows] == [("A", "x", ["1"], []), ("B", "pkg:npm/%40s/p@1?x=y", ["1"], ["pkg:npm/@s/p@1?x=y", "pkg:npm/@s/p@1"])]
+    assert rows[1].ranges[0].last_affected == "3"
+    with pytest.raises(Exception, match="each advisory must name"):
+        tables.advisories(spark, put(tmp_path, "b.json", json.dumps([{"id": "C"}]))).collect()
+    feed = {"CVE_Items": [{"id": "O", "database_specific": {"severity": "high"}, "affected": [{"package": {"ecosystem": "NPM", "name": "x"}, "ranges": [{"events": [{"introduced": "0"}, {"fixed": "1.5"}, {"introduced": "2"}]}]}, {"package": {"ecosystem": "pypi", "name": "z"}}]}, {"cve": {"CVE_data_meta": {"ID": "CVE-1"}}, "purl": "pkg:npm/%40s/q@2", "severity": [{"type": "V3", "score": "7.5"}], "details": "d"}]}
+    found = tables.osv_feed(spark, put(tmp_path, "f.json", json.dumps(feed)), "npm").orderBy("id").collect()
+    assert [(r.id, r.package, r.severity, [(x.introduced, x.fixed) for x in r.ranges or []]) for r in found] == [("CVE-1", "@s/q", "7.5", []), ("O", "x", "high", [("0", "1.5"), ("2", None)])]
+    nodes = spark.createDataFrame([("x==1.4", "npm", {}), ("x==1.5", "npm", {}), ("x==2.1", "pypi", {}), ("q==2", "npm", {"purl": "pkg:npm/%40s/q@2?a=b"})], "id string, ecosystem string, meta map<string,string>")
+    hits = joins.advisory_matches(tables.osv_feed(spark, str(tmp_path / "f.json"), "npm"), joins.advisory_packages(nodes))
+    assert sorted((r.severity, r.id) for r in hits.collect()) == [("7.5", "q==2"), ("high", "x==1.4")]
 
 
 def test_build(spark, tmp_path):
-    doc = {"id": 7, "tasks": [{"id": 1, "ref": {"url": "u", "git_commit_hash": "c"}, "artifacts": [{"name": "a.rpm", "type": "rpm"}, {"name": "l.log", "type": "build_log"}]}]}
-    ids, edges = shape(tables.build(spark, put(tmp_path, "b.json", json.dumps(doc))))
-    assert ids == ["albs-build:7", "albs-task:1", "build-log:l.log", "git-commit:c", "rpm:a.rpm", "source:u"] and len(edges) == 5
+    doc = {"id": 7, "release_id": 3, "created_at": "2024-01-01T00:00:00", "finished_at": "2024-01-01T00:01:30.5", "tasks": [{"id": 1, "arch": "x86_64", "status": 4, "platform": {"name": "P", "arch_list": ["x86_64", "s390x"]}, "started_at": "2024-01-01 00:00:00", "finished_at": "2024-01-01 00:00:20", "ref": {"url": "https://g.test/rpms/quern.git", "git_commit_hash": "c"}, "performance_stats": [{"statistics": {"all": {"build": {"delta": "0:00:05.5"}}}}], "test_tasks": [{"performance_stats": [{"statistics": {"t": {"delta": 2}}}]}], "artifacts": [{"id": 5, "name": "a-1-1.x86_64.rpm", "type": "rpm"}, {"id": 6, "name": "l.log", "type": "build_log"}]}], "sign_tasks": [{"id": 2, "started_at": "x"}], "test_tasks": [{"id": 9}]}
+    path = put(tmp_path, "b.json", json.dumps(doc))
+    ids, edges = shape(tables.build(spark, path))
+    assert ids == ["albs-build:7", "albs-release:3", "albs-sign-task:2", "albs-task:1:x86_64", "albs-test-task:9", "buildenv:P:x86_64", "git-commit:c", "git:https://g.test/rpms/quern.git", "rpm:5:a-1-1.x86_64.rpm", "source:quern"]
+    assert sorted(r for *_, r in edges) == [20, 21, 22, 23, 24, 25, 26, 27, 28, 28, 28]
+    assert "build-log:6:l.log" in shape(tables.build(spark, path, logs=True))[0] and len(shape(tables.build(spark, path, artifact_limit=0))[0]) == 9
+    b = tables.builds(spark, path)
+    assert [(r.step, r.seconds) for r in npm.flat_steps(tables.build_steps(b)).collect()] == [("all.build", 5.5)]
+    assert [(r.step, r.seconds) for r in npm.flat_steps(tables.build_steps(b, tests=True)).collect()] == [("t", 2.0)]
+    t = b.select("build", F.explode("b.tasks").alias("t"))
+    rows = reports.completeness(b.select("build", "b.released", F.size("b.sign_tasks").alias("sign_tasks"), F.size("b.test_tasks").alias("test_tasks")), t.select("build", "t.arch", "t.status", "t.platform.arch_list"))
+    row = rows.first()
+    assert (row.expected, row.missing, row.failed, row.unsigned, row.untested) == ("x86_64,s390x", "s390x", 1, False, False)
+    times = reports.timing_summary(b.select("build", C("b.created_at").alias("created"), C("b.finished_at").alias("finished")), t.select("build", C("t.started_at").alias("started"), C("t.finished_at").alias("finished")), b.select("build", F.explode("b.sign_tasks").alias("x")).select("build", C("x.started_at").alias("started"), C("x.finished_at").alias("finished")), t.select("build", F.explode("t.artifacts").alias("a")).select("build"))
+    row = times.first()
+    assert (row.seconds, row.build_seconds, row.build_longest, row.sign_tasks, row.sign_seconds, row.artifacts) == (90.5, 20.0, 20.0, 1, 0.0, 2)
 
 
 def test_lock_files(spark, tmp_path):
