@@ -3,17 +3,22 @@
 Documents are dealt to blocks. A block counts its contexts and words in training documents and sends them, with those that only its
 other documents hold, to the ranges they belong to; a range holds all contexts that end in the same two bytes, so it weighs its part
 of every tree down to depth two; depths one and zero (at most 65,535 nodes) are weighed on the driver and sent to the ranges, which
-then answer each block with the log probabilities of the contexts it asked for. Nothing that grows with the corpus is broadcast.
+then answer each block with the log probabilities of the contexts it asked for. A range's rows are summed as they are read, FAN blocks
+at a time and then those sums, so a task holds the range's distinct contexts and not what all blocks sent; a range that is asked much
+is answered by several tasks. Nothing that grows with the corpus is broadcast.
 
 A text is scored as its UTF-8 bytes with A-Z in lower case, then one end byte; depth bytes that no text holds stand before it.
 
 Defined results: a null text counts as empty and has the end alone; repeated rows are scored (and learned from) one by one; without
 training rows every bit has probability 1/2 and the base of every token is 1; an empty table gives an empty result; other columns are
-ignored. Words are told apart by 64-bit hashes.
+ignored. Words are told apart by 64-bit hashes; a context's log probability is sent as a 32-bit float. A text is never split: a block
+is as large as its longest text at least.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -34,6 +39,8 @@ END_WORD = U(0x454E44)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 ASKED = "range int, block int, kind int, n int, keys binary, counts binary"
+#: Blocks whose rows are summed at once, blocks for each range of words, and contexts that one task answers for a range.
+FAN, WORDS_OF, ANSWERED = 64, 4, 20_000_000
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -131,9 +138,9 @@ def _ask(n: int):
         own, block = _Block(table), table.column("block")[0].as_py()
         found = []
         for kind in (0, 1):
-            for r, a, b in _ranges(own.keys[kind], kind, n):
+            for r, a, b in _ranges(own.keys[kind], kind, -(-n // WORDS_OF) if kind else n):
                 keys = own.keys[kind][a:b]
-                found.append([r, block, kind, b - a, _pack(np.diff(keys, prepend=U(0))), _pack(own.counts[kind][a:b].astype(np.uint32))])
+                found.append([r, block, kind, b - a, _pack(np.diff(keys, prepend=U(0))), _pack(own.counts[kind][a:b])])
         types = [pa.int32()] * 4 + [pa.binary()] * 2
         return exchange.rows(found, ["range", "block", "kind", "n", "keys", "counts"], types)
 
@@ -143,27 +150,64 @@ def _ask(n: int):
 def _all(table: pa.Table) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Each row's keys and counts."""
     n, keys, counts = (table.column(c).to_pylist() for c in ("n", "keys", "counts"))
-    return [np.cumsum(_unpack(k, m, U), dtype=U) for k, m in zip(keys, n)], [_unpack(c, m, np.uint32).astype(np.int64) for c, m in zip(counts, n)]
+    return [np.cumsum(_unpack(k, m, U), dtype=U) for k, m in zip(keys, n)], [_unpack(c, m, np.int64) for c, m in zip(counts, n)]
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A range's rows as one: the sums of the counts of each context, also of those that no training row holds; asked: how many contexts
+    its rows ask for."""
+    keys, counts, asked, held, waiting = np.zeros(0, U), np.zeros(0, np.int64), 0, 0, []
+    range_ = 0
+
+    def put_together():
+        nonlocal keys, counts, held, waiting
+        keys, counts = ctw.summed(np.concatenate([keys, *(k for k, _ in waiting)]), np.concatenate([counts, *(c for _, c in waiting)]))
+        held, waiting = 0, []
+
+    for batch in batches:
+        for r, n, k, c, more in zip(*(batch.column(x).to_pylist() for x in ("range", "n", "keys", "counts", "asked"))):
+            range_, asked = r, asked + more
+            waiting.append((np.cumsum(_unpack(k, n, U), dtype=U), _unpack(c, n, np.int64)))
+            held += n
+            if held > max(1 << 20, len(keys)):
+                put_together()
+    put_together()
+    columns = [[range_], [len(keys)], [_pack(np.diff(keys, prepend=U(0)))], [_pack(counts)], [asked]]
+    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64()))], ["range", "n", "keys", "counts", "asked"])
+
 
+MERGED = "range int, n int, keys binary, counts binary, asked long"
 
-def _tree(keys: list[np.ndarray], counts: list[np.ndarray]) -> ctw.Tree:
-    k, c = ctw.summed(_restored(np.concatenate(keys)), np.concatenate(counts))
+
+def _merged(contexts: DataFrame, blocks: int) -> DataFrame:
+    """A row per range."""
+    rows = contexts.select("range", "block", "n", "keys", "counts", F.col("n").cast("long").alias("asked"))
+    if blocks > FAN:
+        rows = rows.withColumn("part", F.pmod("block", F.lit(-(-blocks // FAN)))).drop("block").groupBy("range", "part").applyInArrow(_merge, MERGED)
+    return rows.groupBy("range").applyInArrow(_merge, MERGED)
+
+
+def _tree(keys: np.ndarray, counts: np.ndarray) -> ctw.Tree:
+    order = np.argsort(_restored(keys))
+    k, c = _restored(keys)[order], counts[order]
     return ctw.Tree(k[c > 0], c[c > 0], DEPTH, TOP)
 
 
-def _weigh(table: pa.Table) -> pa.Table:
+def _weigh(batches):
     """What a range adds to the nodes of depth one: counts, and its children's weighted logs. node: byte * 256 + place in the heap."""
-    level = _tree(*_all(table)).levels[TOP]
-    node, n0, n1, log = [], [], [], []
-    for k in range(8):
-        parents = level.parents(k)
-        at = np.argsort(parents, kind="stable")
-        first = ctw._runs(parents[at])
-        ids = parents[at][first]
-        node.append((ids >> U(k)) * U(256) + U(1 << k) + (ids & U((1 << k) - 1)))
-        for out, x in ((n0, level.n0[k]), (n1, level.n1[k]), (log, level.log_weighted[k])):
-            out.append(np.add.reduceat(x[at], first) if len(first) else x)
-    return pa.table([pa.array(np.concatenate(node).astype(np.int32))] + [pa.array(np.concatenate(x)) for x in (n0, n1, log)], ["node", "n0", "n1", "log"])
+    for batch in batches:
+        for n, k, c in zip(*(batch.column(x).to_pylist() for x in ("n", "keys", "counts"))):
+            level = _tree(np.cumsum(_unpack(k, n, U), dtype=U), _unpack(c, n, np.int64)).levels[TOP]
+            node, n0, n1, log = [], [], [], []
+            for k in range(8):
+                parents = level.parents(k)
+                at = np.argsort(parents, kind="stable")
+                first = ctw._runs(parents[at])
+                ids = parents[at][first]
+                node.append((ids >> U(k)) * U(256) + U(1 << k) + (ids & U((1 << k) - 1)))
+                for out, x in ((n0, level.n0[k]), (n1, level.n1[k]), (log, level.log_weighted[k])):
+                    out.append(np.add.reduceat(x[at], first) if len(first) else x)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(node).astype(np.int32))] + [pa.array(np.concatenate(x)) for x in (n0, n1, log)], ["node", "n0", "n1", "log"])
 
 
 def _top(found) -> dict[int, ctw.Level]:
@@ -195,18 +239,35 @@ def _top(found) -> dict[int, ctw.Level]:
 
 
 def _answer_contexts(top):
-    def answer(table: pa.Table) -> pa.Table:
-        keys, counts = _all(table)
-        tree, levels = _tree(keys, counts), top.value
-        tree.mix(levels[1])
-        asked = np.unique(np.concatenate(keys))
-        logs = tree.log10(_restored(asked), levels).astype(np.float32)
-        answers = [logs[np.searchsorted(asked, k)].tobytes() for k in keys]
-        return pa.table([table.column("range"), table.column("block"), pa.array(answers, pa.binary())], ["range", "block", "answer"])
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The sums of a range come first, then what the blocks ask."""
+        tree, levels = None, top.value
+        for batch in batches:
+            range_, block, n, keys, counts = (batch.column(c).to_pylist() for c in ("range", "block", "n", "keys", "counts"))
+            found = []
+            for r, b, m, k, c in zip(range_, block, n, keys, counts):
+                own = np.cumsum(_unpack(k, m, U), dtype=U)
+                if b < 0:
+                    tree = _tree(own, _unpack(c, m, np.int64))
+                    tree.mix(levels[1])
+                else:
+                    found.append((r, b, tree.log10(_restored(own), levels).astype(np.float32).tobytes()))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found), (pa.int32(), pa.int32(), pa.binary()))], ["range", "block", "answer"])
 
     return answer
 
 
+def _answers(contexts: DataFrame, merged: DataFrame, top) -> DataFrame:
+    """range, block and answer of all that was asked; a range's sums go to as many tasks as its share of the asking needs."""
+    tasks = F.ceil(F.col("asked") / ANSWERED).cast("int")
+    sums = merged.select("range", F.lit(-1).alias("block"), "n", "keys", "counts", F.explode(F.sequence(F.lit(0), tasks - 1)).alias("task"))
+    asks = contexts.join(merged.select("range", tasks.alias("tasks")), "range")
+    asks = asks.select("range", "block", "n", "keys", "counts", F.pmod(F.xxhash64("block"), "tasks").cast("int").alias("task"))
+    rows = sums.unionByName(asks).repartition("range", "task").sortWithinPartitions("range", "task", "block")
+    return rows.groupBy("range", "task").applyInArrow(_answer_contexts(top), "range int, block int, answer binary")
+
+
 def _answer_words(table: pa.Table) -> pa.Table:
     keys, counts = _all(table)
     known, total = ctw.summed(np.concatenate(keys), np.concatenate(counts))
@@ -246,9 +307,10 @@ def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     rows = rows.withColumn("held_out", fold("doc_id", 5) == 1)
     asked = written(rows.groupBy("block").applyInArrow(_ask(n), ASKED), "lm-asked")
     contexts, words = asked.where("kind = 0"), asked.where("kind = 1")
-    nodes = contexts.groupBy("range").applyInArrow(_weigh, "node int, n0 double, n1 double, log double")
+    merged = written(_merged(contexts, n), "lm-merged")
+    nodes = merged.select("n", "keys", "counts").mapInArrow(_weigh, "node int, n0 double, n1 double, log double")
     top = spark.sparkContext.broadcast(_top(nodes.groupBy("node").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "log")]).toPandas()))
-    log_of = contexts.groupBy("range").applyInArrow(_answer_contexts(top), "range int, block int, answer binary")
+    log_of = _answers(contexts, merged, top)
     count_of = written(words.groupBy("range").applyInArrow(_answer_words, "range int, block int, n int, answer binary, distinct long, tokens long"), "lm-words")
     v, tokens = count_of.agg(F.coalesce(F.sum("distinct"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
     answers = log_of.select("range", "block", F.lit(0).alias("kind"), F.lit(0).alias("n"), "answer").unionByName(
