@@ -4,7 +4,8 @@ A segment's symbols begin as its characters; an agenda of adjacent pairs, ordere
 left, is worked off until no pair is in the vocabulary; characters without a piece become their bytes. Pieces are found only by merging
 neighbours, so no piece crosses two characters that are neighbours in no piece of the vocabulary: texts are cut there, and each
 distinct segment is worked out once per worker (a bounded memo). Every segment worked out is compared with the library in its Arrow
-batch, and so is one whole text of each batch; where they differ, the library's ids are returned and `agrees` is false.
+batch, and so is one whole text of each batch; where they differ, also in later texts with such a segment, the library's ids are
+returned and `agrees` is false.
 
 Defined results: a null text counts as empty and has no ids; repeated rows are encoded one by one; an empty table gives an empty
 result; other columns are ignored. The vocabulary's normaliser must be the identity with a space put in front, and spaces kept.
@@ -25,9 +26,9 @@ from pyspark.sql import functions as F
 from .memo import Memo
 
 MARK = "▁"  # stands for a space
-MEMO_ENTRIES = 200_000
+MEMO_BYTES = 60 << 20
 PLACES = 1 << 40
-FIRST, SECOND = itemgetter(0), itemgetter(1)
+FIRST, SECOND, THIRD = map(itemgetter, range(3))
 
 
 class Pieces:
@@ -54,7 +55,7 @@ class Pieces:
         for p in self.score:
             k = self.number[[ord(c) for c in p]]
             self.adjacent[k[:-1], k[1:]] = True
-        self.memo = Memo(MEMO_ENTRIES)
+        self.memo = Memo(MEMO_BYTES)
 
     def merge(self, segment: str) -> list[int]:
         """The ids of a segment, by the agenda."""
@@ -128,20 +129,18 @@ class Pieces:
     def encode_batch(self, texts: list[str]) -> list[tuple[int, str, str, bool]]:
         """For each text: the number of ids, the ids as text, the decoded text, whether the library agrees where it was asked."""
         segments, counts = self.segments(texts)
-        wrong = set()
+        self.memo.begin()
         new = self.memo.missing(set(segments))
         for s, real in zip(new, self.checked(new)):
             ids = self.merge(s)
-            if ids != real:
-                wrong.add(s)
-            self.memo.young[s] = (",".join(map(str, ids)), self.text(ids))
+            self.memo.put(s, (",".join(map(str, ids)), self.text(ids), ids == real))
         known = self.memo.young
         out, at = [], 0
         asked = len(texts) // 2
         for i, n in enumerate(counts.tolist()):
             found = [known[s] for s in segments[at : at + n]]
             ids, text = ",".join(map(FIRST, found)), "".join(map(SECOND, found)).removeprefix(" ")
-            agrees = not (wrong and wrong.intersection(segments[at : at + n]))
+            agrees = all(map(THIRD, found))
             if agrees and i == asked:
                 agrees = ids == ",".join(map(str, self.library.encode(texts[i])))
             if agrees:
@@ -183,11 +182,14 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
     def work(batches):
+        from .quality_classifier import _slices
+
         own = _pieces(path)
         for batch in batches:
-            found = own.encode_batch(batch.column("text").to_pylist())
-            ids = pa.array([[int(i) for i in f[1].split(",")] if f[0] else [] for f in found], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, pa.array([f[2] for f in found], pa.string())], ["doc_id", "ids", "decoded"])
+            for part in _slices(batch):
+                found = own.encode_batch(part.column("text").to_pylist())
+                ids = pa.array([[int(i) for i in f[1].split(",")] if f[0] else [] for f in found], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids, pa.array([f[2] for f in found], pa.string())], ["doc_id", "ids", "decoded"])
 
     return rows.mapInArrow(work, "doc_id long, ids array<int>, decoded string")
 
