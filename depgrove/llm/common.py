@@ -35,16 +35,17 @@ def fold(doc_id: Column | str, n: int) -> Column:
 
 
 def in_blocks(docs: DataFrame, block_bytes: int, carried: str | None = None) -> tuple[DataFrame, int]:
-    """doc_id, text (null: empty) and block: a hash of the id over enough blocks that each holds about block_bytes.
+    """doc_id, text (null: empty) and block: a hash of id and text over enough blocks that each holds about block_bytes.
 
-    Copies of a text have different ids, so no block is larger for a group of copies, whatever its size.
+    Copies of a text have different ids, and rows without an id or with one id different texts, so no block is larger for a group of
+    either, whatever its size.
     """
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // block_bytes))
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce("text", F.lit("")).alias("text"),
-        F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(n)).cast("int").alias("block"),
+        F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))), F.lit(n)).cast("int").alias("block"),
         *([carried] if carried else []),
     )
     return rows, int(n)
@@ -59,6 +60,13 @@ def one_label(labels: DataFrame, name: str) -> DataFrame:
     )
 
 
+def sampled_rows(docs: DataFrame, chosen: DataFrame, longest: int) -> DataFrame:
+    """doc_id, the other columns of `chosen` (a bounded sample of labels) and text of the sampled documents: one row for each id, of several
+    the smallest text; texts of more than `longest` bytes are no part of the sample, which so has a bound in bytes as well."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= longest)
+    return rows.join(F.broadcast(chosen), "doc_id").groupBy(*chosen.columns).agg(F.min("text").alias("text"))
+
+
 def bounded_sample(labels: DataFrame, rows: int, salt: int) -> DataFrame:
     """At most so many labelled rows, those with the smallest hash of the id: the same ones in each run."""
     return labels.orderBy(F.xxhash64("doc_id", F.lit(salt)), "doc_id").limit(rows)

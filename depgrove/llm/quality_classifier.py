@@ -16,12 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import boosting
-from .common import bounded_sample, fold, one_label
+from .common import bounded_sample, fold, one_label, sampled_rows
 from .features import NAMES, statistics
 from .text import Texts
 
-#: The most labelled rows that are fitted on.
-FIT_ROWS = 20_000
+#: The most labelled rows that are fitted on, and bytes that a text among them may have.
+FIT_ROWS, FIT_BYTES = 20_000, 1 << 18
 #: A score from here on counts as good.
 GOOD = 0.3
 
@@ -37,7 +37,7 @@ def _slices(batch: pa.RecordBatch, most: int = 1 << 20):
 def model(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> boosting.Trees:
     """Fitted on labelled rows outside the held-out fold (remainder 0 of 5)."""
     chosen = bounded_sample(one_label(labels, "quality").where(fold("doc_id", 5) != 0), fit_rows, 5)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = sampled_rows(docs, chosen, FIT_BYTES)
 
     def work(batches):
         for batch in batches:

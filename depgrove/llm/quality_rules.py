@@ -6,7 +6,7 @@ bounded sample of labelled rows (fit_rows) and calibrated on another (calibrate_
 
 Defined results: a null text has no words and so fails the limits; repeated documents are judged one by one; of several labels of one
 id the largest counts; without labels every probability is 0.5, which is kept; an empty table gives an empty result; other columns
-are ignored by `judge` and kept by `keep_clean`. Lines and windows are told apart by 64-bit hashes within one text.
+are ignored by `judge` and kept by `keep_clean`. The sample's shares are sent as 16-bit floats. Lines and windows are told apart by 64-bit hashes within one text.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, fold, one_label
+from .common import bounded_sample, fold, one_label, sampled_rows
 from .features import base_counts
 from .quality_classifier import _slices
 from .text import Texts, whole_windows, windows
@@ -25,8 +25,8 @@ from .text import Texts, whole_windows, windows
 BITS = 16
 SLOTS = 1 << BITS
 KINDS = 3
-#: The most labelled rows that are fitted and calibrated on.
-FIT_ROWS, CALIBRATE_ROWS = 4_000, 1_500
+#: The most labelled rows that are fitted and calibrated on, and bytes that a text among them may have.
+FIT_ROWS, CALIBRATE_ROWS, FIT_BYTES = 4_000, 1_500, 1 << 16
 #: A document with a lower probability of being good is rejected.
 REJECT_BELOW = 0.3
 #: Fixed values of the limits: words at least, and repeated words in a hundred words at most.
@@ -92,7 +92,7 @@ def _fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, steps: int =
         for i in range(0, len(rows), TOGETHER):
             part = rows[i : i + TOGETHER]
             row = np.repeat(np.arange(len(part)), [len(s) for s, _ in part])
-            slot, value = np.concatenate([s for s, _ in part]).astype(np.int64), np.concatenate([x for _, x in part])
+            slot, value = np.concatenate([s for s, _ in part]).astype(np.int64), np.concatenate([x for _, x in part]).astype(float)
             p = 1 / (1 + np.exp(-np.clip(np.bincount(row, w[slot] * value, minlength=len(part)) + b, -30, 30)))
             r = weight[i : i + TOGETHER] * (p - y[i : i + TOGETHER])
             g[:-1] += np.bincount(slot, r[row] * value, minlength=len(w))
@@ -124,28 +124,29 @@ def model(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, calibrat
     chosen = bounded_sample(known.where(part >= 2), fit_rows, 10).withColumn("fit", F.lit(True)).unionByName(
         bounded_sample(known.where(part == 1), calibrate_rows, 10).withColumn("fit", F.lit(False))
     )
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = sampled_rows(docs, chosen, FIT_BYTES)
 
     def work(batches):
         for batch in batches:
             for piece in _slices(batch):
                 found = _sparse(Texts(piece.column("text")))
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column("doc_id"), piece.column("label"), piece.column("fit"), pa.array([s.tobytes() for s, _ in found], pa.binary()), pa.array([v.tobytes() for _, v in found], pa.binary())],
+                    [piece.column("doc_id"), piece.column("label"), piece.column("fit"), pa.array([s.tobytes() for s, _ in found], pa.binary()), pa.array([v.astype(np.float16).tobytes() for _, v in found], pa.binary())],
                     ["doc_id", "label", "fit", "slots", "vals"],
                 )
 
     found = rows.select("doc_id", "label", "fit", "text").mapInArrow(work, "doc_id long, label int, fit boolean, slots binary, vals binary").toArrow()
-    found = found.take(pc.sort_indices(found.select(["doc_id"]), [("doc_id", "ascending")]))
+    order = pc.sort_indices(found.select(["doc_id"]), [("doc_id", "ascending")]).to_numpy()  # one order, so one model
     view = lambda c, d: [np.frombuffer(x.as_buffer(), d) for x in found.column(c)]  # noqa: E731  of the table's own memory
-    sparse = list(zip(view("slots", np.uint32), view("vals", np.float32)))
-    fit, y = found.column("fit").to_numpy(), found.column("label").to_numpy().astype(float)
+    sparse = list(zip(view("slots", np.uint32), view("vals", np.float16)))
+    sparse = [sparse[i] for i in order]
+    fit, y = found.column("fit").to_numpy()[order], found.column("label").to_numpy().astype(float)[order]
     if not fit.any():
         return Model(np.zeros((KINDS, SLOTS)), 0.0)
     w, b = _fit([x for x, f in zip(sparse, fit) if f], y[fit])
     slope, shift = 1.0, 0.0
     if (~fit).any():
-        raw = np.array([w[s.astype(np.int64)] @ v + b for (s, v), f in zip(sparse, fit) if not f])
+        raw = np.array([w[s.astype(np.int64)] @ v.astype(float) + b for (s, v), f in zip(sparse, fit) if not f])
         slope, shift = _calibrate(raw, y[~fit])
     return Model(w.reshape(KINDS, SLOTS), b, slope, shift)
 

@@ -16,12 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gru
-from .common import bounded_sample, fold, one_label
+from .common import bounded_sample, fold, one_label, sampled_rows
 from .quality_classifier import _slices
 from .quality_rules import _calibrate
 
-#: The most rows of each label that the network is trained on, and rows it is calibrated on.
-FIT_ROWS, CALIBRATE_ROWS = 3_000, 1_500
+#: The most rows of each label that the network is trained on, rows it is calibrated on, and bytes that a text among them may have.
+FIT_ROWS, CALIBRATE_ROWS, FIT_BYTES = 3_000, 1_500, 1 << 15
 #: A score from here on counts as toxic.
 TOXIC = 0.7
 
@@ -41,7 +41,7 @@ def model(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, calibrat
     chosen = bounded_sample(known.where(~later & (F.col("label") == 1)), fit_rows, 9).withColumn("fit", F.lit(True))
     chosen = chosen.unionByName(bounded_sample(known.where(~later & (F.col("label") == 0)), fit_rows, 9).withColumn("fit", F.lit(True)))
     chosen = chosen.unionByName(bounded_sample(known.where(later), calibrate_rows, 9).withColumn("fit", F.lit(False)))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = sampled_rows(docs, chosen, FIT_BYTES)
     found = rows.select("doc_id", "label", "fit", "text").toPandas().sort_values(["doc_id", "text"])
     fit, y = found["fit"].to_numpy(bool), found["label"].to_numpy(float)
     text = pa.array(found["text"].tolist(), pa.large_string())
