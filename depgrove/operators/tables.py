@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 
-def _folder(spark) -> str:
+def shared_folder(spark) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:  # only where none is named, as in tests
         if not spark.sparkContext.master.startswith("local"):
@@ -22,7 +22,7 @@ def _folder(spark) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a Parquet table in the folder that spark.checkpoint.dir names: it cuts the lineage and outlives lost executors."""
     spark = df.sparkSession
-    path = f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from depgrove.functions import names as N
 from depgrove.functions import versions as V
-from depgrove.operators import diff, graph, joins, reports, resolver
+from depgrove.operators import diff, graph, joins, query, reports, resolver
 from depgrove.sources import sinks
 from depgrove.streaming import changes
 
@@ -22,11 +22,79 @@ def made(spark, edges):
 
 
 def test_impact_of_a_small_graph(spark):
-    nodes, edges = made(spark, [("app", "tool"), ("tool", "vulnerable"), ("sidecar", "vulnerable")])
-    rows = sorted((r.distance, r.package, r.chain) for r in graph.impact(nodes, edges, "vulnerable").collect())
-    assert rows == [(1, "sidecar", "sidecar>vulnerable"), (1, "tool", "tool>vulnerable"), (2, "app", "app>tool>vulnerable")]
-    s = graph.impact_summary(nodes, edges, "vulnerable", 2).first()
-    assert (s.affected, s.rendered, s.truncated, s.direct_dependents, s.direct_dependencies) == (3, 2, 1, 2, 0)
+    nodes, edges = made(spark, [("mill", "gear"), ("gear", "iron"), ("mill", "iron"), ("cart", "gear"), ("iron", "ore")])
+    rows = sorted((r.distance, r.package, r.chain) for r in graph.impact(nodes, edges, "ore").collect())
+    assert rows == [(1, "iron", "iron>ore"), (2, "gear", "gear>iron>ore"), (2, "mill", "mill>iron>ore"), (3, "cart", "cart>gear>iron>ore")]
+    s = graph.impact_summary(nodes, edges, "iron", 2).first()
+    assert (s.affected, s.rendered, s.truncated, s.direct_dependents, s.direct_dependencies) == (3, 2, 1, 2, 1)
+
+
+def test_deep_chain_and_targets(spark):
+    """More levels than are held apart, and searches that end at their targets."""
+    nodes, edges = graph.synthetic(spark, 90, 2)
+    found = {r.package: r.distance for r in graph.reachable(nodes, edges, "pkg-0==1", "dependencies").collect()}
+    assert found == {f"pkg-{i}==1": (i + 1) // 2 for i in range(1, 90)}
+    asked = spark.createDataFrame([(1, "dependencies", "pkg-0==1", "pkg-7==1", "path"), (2, "dependencies", "pkg-3==1", "pkg-80==1", "path"), (3, "dependents", "pkg-4==1", "pkg-9==1", "path"), (4, "dependents", "pkg-4==1", None, "nodes")], "qid long, direction string, node string, target string, kind string")
+    assert {r.qid: r.result_count for r in graph.batch(nodes, edges, asked).collect()} == {1: 5, 2: 40, 3: 0, 4: 4}
+    with pytest.raises(Exception, match="target of a path"):
+        query.batch_report(nodes, edges, asked.withColumn("target", F.lit(""))).collect()
+    with pytest.raises(ValueError):
+        query.specs(spark, ["dependency-path:a"])
+
+
+def test_affected(spark):
+    rng = random.Random(9)
+    pairs = sorted({(rng.randrange(30), rng.randrange(30)) for _ in range(40)})
+    nodes = spark.range(30).select(C("id").alias("vid"), F.concat(F.lit("n"), "id").alias("id"))
+    edges = spark.createDataFrame([(a, b, 1) for a, b in pairs if a != b], "src long, dst long, rel int")
+    into = {}
+    for a, b in pairs:
+        if a != b:
+            into.setdefault(b, []).append(a)
+    for given in ((3, 7, 11, 12), (5,)):
+        want = set()
+        for s in given:
+            seen, stack = {s}, [s]
+            while stack:
+                for x in into.get(stack.pop(), []):
+                    if x not in seen:
+                        seen.add(x)
+                        stack.append(x)
+            want |= seen - {s}
+        ids = spark.createDataFrame([(f"n{g}",) for g in given], "id string")
+        assert {r.package for r in graph.affected(nodes, edges, ids).collect()} == {f"n{x}" for x in want}
+
+
+def test_canonical(spark):
+    nodes = spark.createDataFrame([("g", "b==1", "b", "1", "npm", {"k": "1", "l": "1"}, 0), ("g", "a==1", "a", "1", "npm", None, 1), ("g", "b==1", "b", "1", "npm", {"k": "2"}, 2), ("h", "a==1", "a", "1", "rpm", {}, 0)], "graph string, id string, name string, version string, ecosystem string, meta map<string,string>, seq long")
+    edges = spark.createDataFrame([("g", "b==1", "a==1", 1), ("g", "b==1", "a==1", 3), ("g", "a==1", "c==2", 1), ("h", "a==1", "a==1", 1)], "graph string, src string, dst string, rel int")
+    n, e = graph.canonical(nodes, edges)
+    rows = n.orderBy("vid").collect()
+    assert [(r.graph, r.id, r.version, r.ecosystem, r.meta) for r in rows] == [("g", "b==1", "1", "npm", {"k": "2", "l": "1"}), ("g", "a==1", "1", "npm", {}), ("g", "c==2", "2", "generic", {}), ("h", "a==1", "1", "rpm", {})]
+    of = {r.vid: r.id for r in rows}
+    assert sorted((r.graph, of[r.src], of[r.dst], r.rel) for r in e.collect()) == [("g", "a==1", "c==2", 1), ("g", "b==1", "a==1", 3), ("h", "a==1", "a==1", 1)]
+
+
+def test_transaction_counts(spark):
+    from depgrove.operators import transactions
+
+    nodes, edges = made(spark, [("a", "b"), ("b", "c"), ("c", "b"), ("d", "c")])
+    matches = spark.createDataFrame([("t", 1, "install", "package", "b", "x", "b", "exact"), ("t", 2, "upgrade", "old", "d", "x", None, "none"), ("t", 2, "upgrade", "new", "d", "x", "d", "name-arch")], "graph string, idx int, action string, role string, name string, arch string, node string, how string")
+    counts = transactions.dependents_of(nodes, edges, matches)
+    assert sorted(tuple(r) for r in counts.collect()) == [("b", 2, 4), ("d", 0, 0)]
+    actions = spark.createDataFrame([("t", 1, "install"), ("t", 2, "upgrade"), ("t", 3, "erase")], "graph string, idx int, action string")
+    rows = transactions.ordered(transactions.impact(actions, matches, counts)).collect()
+    assert [(r.idx, r.status, r.roles, r.direct, r.affected) for r in rows] == [(1, "exact", "package", 2, 4), (2, "candidate", "new", 0, 0), (3, "unmatched", "", 0, 0)]
+
+
+def test_selectors(spark):
+    nodes = spark.createDataFrame([("a==1", "a", {"purl": "p1"}), ("a==2", "a", {"purl": "p2"}), ("b==1", "b", {"purl": "p3", "name": "bee"}), ("c==1", "c", {"purl": "p3"})], "id string, name string, meta map<string,string>")
+    assert [joins.select_node(nodes, t) for t in ("a==1", "p2", "b", "bee")] == ["a==1", "a==2", "b==1", "bee"]
+    assert joins.select_package(nodes, "bee") == "b==1"
+    for pick in (lambda: joins.select_node(nodes, "a"), lambda: joins.select_node(nodes, "p3"), lambda: joins.select_package(nodes, "p3"), lambda: joins.select_snapshot_node(nodes, "a"), lambda: joins.select_snapshot_node(nodes, "z"), lambda: joins.side_selectors("a", "b", None), lambda: joins.side_selectors(None, "b", " ")):
+        with pytest.raises(ValueError):
+            pick()
+    assert joins.side_selectors(None, "x", "y") == ("x", "y") and joins.side_selectors(" x ", None, None) == ("x", "x")
 
 
 def test_paths_and_unknown_ids(spark):
@@ -76,7 +144,12 @@ def test_version_orders(spark):
     assert not value(V.in_range(lit("1"), lit(None).cast("string"), lit(None).cast("string")))
     for rule, version, want in (("^1.2", "1.9.0", True), ("^1.2", "2.0.0", False), ("~1.2", "1.3.0", False), (">=1,<2", "1.5", True), ("1.0.0 || 3.0.0", "3.0.0", True), ("*", "9", True), ("", "9", True)):
         assert value(V.allows(lit(rule), lit(version))) is want, (rule, version)
-    assert value(V.allows(lit("what"), lit("1"))) is None
+    assert value(V.allows(lit("1.0 || !x"), lit("1.0"))) and value(V.allows(lit("what"), lit("1"))) is False
+    with pytest.raises(Exception, match="unsupported version constraint"):
+        value(V.allows(lit("!=1.1"), lit("1.0")))
+    assert value(V.parts_key(lit("1.0.0+b")) == V.parts_key(lit("1.0.0"))) and value(V.change_kind(lit("1.0-RC1"), lit("1.0-rc1"))) == "replacement"
+    assert value(V.in_range(lit("1:1.0"), lit("2.0"), lit("2:0"), epochs=lit(True))) and not value(V.in_range(lit("1.0-1"), lit(None), lit("0:1.0-1"), epochs=lit(True)))
+    assert value(V.precise(F.array(lit("1"), lit("1-2")), F.array(lit("0:1"), lit(None)))) == ["1-2"]
 
 
 def test_names(spark):
@@ -126,6 +199,31 @@ def test_resolver(spark):
     assert tuple(resolver.clause_counts(rows).first()) == (1 + 1 + 3, 7)
 
 
+def test_resolver_against_all_choices(spark):
+    """Random registries: a root is resolved just if some choice of versions holds, and what is chosen holds."""
+    import itertools
+
+    rng = random.Random(12)
+    rows, worlds = [], {}
+    for w in range(14):
+        names = [f"w{w}{c}" for c in "abcd"]
+        world = {n: {f"{v}.0.0": {m: rng.choice(["*", "1.0.0", ">=2.0.0", "<2.0.0", "^2.0.0"]) for m in names if m > n and rng.random() < 0.6} for v in (1, 2, 3)} for n in names}
+        worlds[names[0]] = world
+        rows += [(n, v, d) for n, vs in world.items() for v, d in vs.items()]
+    holds = {"*": "123", "1.0.0": "1", ">=2.0.0": "23", "<2.0.0": "1", "^2.0.0": "2"}
+    registry_ = spark.createDataFrame(rows, "name string, version string, dependencies map<string,string>")
+    found = {}
+    for r in resolver.resolve(registry_, spark.createDataFrame([(n,) for n in worlds], "root string")).collect():
+        found.setdefault(r.root, {})[r.name] = r.version
+    for root, world in worlds.items():
+        fits = lambda pick: all(m in pick and pick[m][0] in holds[c] for n in pick for m, c in world[n][pick[n]].items())
+        any_ = any(fits(dict(zip(names, vs))) for k in range(4) for names in map(lambda x: (root, *x), itertools.combinations(sorted(world)[1:], k)) for vs in itertools.product(("1.0.0", "2.0.0", "3.0.0"), repeat=k + 1))
+        if any_:
+            assert root in found[root] and fits(found[root])
+        else:
+            assert found[root] == {None: None}
+
+
 def test_written_graphs(spark, tmp_path):
     nodes, edges = made(spark, [("a", "b"), ("b", "c")])
     sinks.write_graph(nodes, edges, str(tmp_path), 2)
