@@ -121,6 +121,24 @@ def conflicts(resolutions: DataFrame) -> DataFrame:
     return versions.where(F.size("versions") > 1).select("dependency", F.array_join("versions", ",").alias("versions"))
 
 
+def diagnostics(nodes: DataFrame, edges: DataFrame, missing: DataFrame) -> DataFrame:
+    """The counters of lock files, a row per file: of what tables.package_lock gives."""
+    rows = nodes.select("graph", "name", "version", F.coalesce(F.try_element_at("meta", F.lit("package_path")), F.lit("")).alias("path"))
+    several = rows.groupBy("graph", "name").agg(F.countDistinct("version").alias("n")).where("n > 1").groupBy("graph").agg(F.count("*").alias("duplicates"))
+    name = F.element_at(F.split("target_path", "node_modules/"), -1)
+    apart = edges.groupBy("graph", name.alias("dependency")).agg(F.countDistinct(N.split_id(C("dst"))[1]).alias("n")).where("n > 1").groupBy("graph").agg(F.count("*").alias("conflicts"))
+    open_ = missing.groupBy("graph").agg(F.count("*").alias("unresolved"))
+    found = rows.groupBy("graph").agg(F.count("*").alias("packages")).join(several, "graph", "left").join(apart, "graph", "left").join(open_, "graph", "left")
+    return found.fillna(0, ["duplicates", "conflicts", "unresolved"])
+
+
+def searched_paths(missing: DataFrame) -> DataFrame:
+    """missing: path, dep. The folders in which a dependency was looked for, from the package's own up to the root's, in `searched`."""
+    depth = F.size(F.split("path", "node_modules/")) - 1
+    above = F.transform(F.sequence(F.lit(0), depth), lambda up: F.ltrim(F.call_function("substring_index", F.concat(F.lit("/"), "path"), F.lit("/node_modules/"), depth + 1 - up), F.lit("/")))
+    return missing.withColumn("searched", F.array_distinct(F.transform(above, lambda a: F.ltrim(F.concat(a, F.lit("/node_modules/"), C("dep")), F.lit("/")))))
+
+
 def flat_steps(reports: DataFrame) -> DataFrame:
     """reports: key, json (nested objects). A row per step: its dotted name and its seconds. An object with a readable delta is a step
     and is not looked into; the others are, level by level until none is left."""

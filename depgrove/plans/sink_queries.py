@@ -27,28 +27,42 @@ def _roots(spark, sf):
 
 def _sbom(spark, sf):
     p = table(spark, sf, "packages")
-    meta = F.map_filter(F.create_map(F.lit("license"), "license", F.lit("ecosystem"), "ecosystem"), lambda k, v: v.isNotNull())
-    return sinks.sbom_components(p.select("id", "name", "version", meta.alias("meta")))
+    meta = F.create_map(F.lit("license"), F.nullif("license", F.lit("")), F.lit("ecosystem"), "ecosystem", F.lit("resolved"), F.when(C("vid") % 2 == 0, F.concat(F.lit("https://h/"), "vid")), F.lit("component_type"), F.when(C("vid") % 3 == 0, "file"), F.lit("brand"), "brand")
+    return sinks.sbom_components(p.select("id", F.map_filter(meta, lambda k, v: v.isNotNull()).alias("meta")))
+
+
+def _snapshot(spark, sf):
+    meta = F.map_filter(F.create_map(F.lit("purl"), F.when(C("vid") % 4 == 0, F.concat(F.lit("pkg:x/"), "id")), F.lit("license"), F.when(C("vid") % 8 == 0, "MIT")), lambda k, v: v.isNotNull())
+    return table(spark, sf, "pnodes").withColumn("meta", meta), table(spark, sf, "pedges")
 
 
 QUERIES = {
     "snapshot_rows": lambda s, d: sinks.snapshot_rows(table(s, d, "pnodes"), table(s, d, "pedges")),
     "cypher_statements": lambda s, d: sinks.cypher(table(s, d, "pnodes"), table(s, d, "pedges")).select("statement"),
     "sbom_components": _sbom,
+    "sbom_dependencies": lambda s, d: sinks.sbom_dependencies(table(s, d, "pnodes"), table(s, d, "pedges")),
+    "snapshot_nodes": lambda s, d: sinks.snapshot_nodes(*_snapshot(s, d)),
+    "snapshot_edges": lambda s, d: sinks.snapshot_edges(*_snapshot(s, d)).select("edge"),
     "graph_summary_line": lambda s, d: sinks.summary_line(table(s, d, "nodes"), table(s, d, "edges"), "customer:0"),
     "resolver_clauses": lambda s, d: resolver.clause_counts(_registry(s, d)),
     "resolve_batch": lambda s, d: resolver.resolve(_registry(s, d), _roots(s, d)),
 }
 
-P = with_("pnodes", "pedges")
+P = with_("pnodes", "pedges").rstrip() + "\n"
 
 SQL = {
     "snapshot_rows": P + """SELECT n.id, coalesce((SELECT to_json(list(t.id ORDER BY t.vid)) FROM pedges e JOIN pnodes t ON t.vid = e.dst WHERE e.src = n.vid)::VARCHAR, '[]') AS dependencies,
       coalesce((SELECT to_json(list(t.id ORDER BY t.vid)) FROM pedges e JOIN pnodes t ON t.vid = e.src WHERE e.dst = n.vid)::VARCHAR, '[]') AS dependents FROM pnodes n""",
     "cypher_statements": P + """SELECT 'CREATE CONSTRAINT package_id_unique IF NOT EXISTS FOR (p:Package) REQUIRE p.id IS UNIQUE;' AS statement UNION ALL SELECT concat('MERGE (:Package {id: "', id, '"});') FROM pnodes
       UNION ALL SELECT concat('MATCH (s:Package {id: "p', src, '"}) MATCH (t:Package {id: "p', dst, '"}) MERGE (s)-[:DEPENDS_ON {type: ', rel, '}]->(t);') FROM pedges""",
-    "sbom_components": with_("packages") + """SELECT id AS ref, concat('{"type":"library","bom-ref":"', id, '","name":"', name, '","version":"', version, '","properties":[{"name":"depgrove:ecosystem","value":"', ecosystem, '"}',
-      CASE WHEN license IS NULL THEN '' ELSE concat(',{"name":"depgrove:license","value":"', license, '"}') END, ']}') AS component FROM packages""",
+    "sbom_components": with_("packages") + """SELECT id AS ref, concat('{"type":"', CASE WHEN vid % 3 = 0 THEN 'file' ELSE 'library' END, '","bom-ref":"', id, '","name":"', name, '","version":"', version, '","purl":"pkg:', ecosystem, '/', name, '@', version, '"',
+      CASE WHEN coalesce(license, '') = '' THEN '' ELSE concat(',"licenses":[{"license":{"name":"', license, '"}}]') END, CASE WHEN vid % 2 = 0 THEN concat(',"externalReferences":[{"type":"distribution","url":"https://h/', vid, '"}]') ELSE '' END,
+      ',"properties":[{"name":"depgrove:brand","value":"', brand, '"},{"name":"depgrove:ecosystem","value":"', ecosystem, '"}]}') AS component FROM packages""",
+    "sbom_dependencies": P + """SELECT n.id AS ref, concat('{"ref":"', n.id, '","dependsOn":', coalesce((SELECT to_json(list(t.id ORDER BY t.vid)) FROM pedges e JOIN pnodes t ON t.vid = e.dst WHERE e.src = n.vid)::VARCHAR, '[]'), '}') AS dependency FROM pnodes n""",
+    "snapshot_nodes": P.rstrip() + """, x AS (SELECT n.id, n.vid, coalesce((SELECT to_json(list(t.id ORDER BY t.vid)) FROM pedges e JOIN pnodes t ON t.vid = e.dst WHERE e.src = n.vid)::VARCHAR, '[]') AS a, coalesce((SELECT to_json(list(t.id ORDER BY t.vid)) FROM pedges e JOIN pnodes t ON t.vid = e.src WHERE e.dst = n.vid)::VARCHAR, '[]') AS b FROM pnodes n)
+      SELECT id, concat('{"id":"', id, '","name":"', id, '"', CASE WHEN vid % 4 = 0 THEN concat(',"purl":"pkg:x/', id, '","package":{"ecosystem":"generic","name":"', id, '","version":"","purl":"pkg:x/', id, '"', CASE WHEN vid % 8 = 0 THEN ',"license":"MIT"' ELSE '' END, '}') ELSE '' END,
+        ',"dependencies":', a, ',"dependents":', b, ',"metadata":{', CASE WHEN vid % 4 = 0 THEN concat('"purl":"pkg:x/', id, '"') ELSE '' END, CASE WHEN vid % 8 = 0 THEN ',"license":"MIT"' ELSE '' END, '}}') AS node FROM x""",
+    "snapshot_edges": P + """SELECT concat('{"source":"p', src, '","target":"p', dst, '","relationshipType":', rel, '}') AS edge FROM pedges""",
     "graph_summary_line": with_("nodes", "edges") + "SELECT concat('root=customer:0 nodes=', (SELECT count(*) FROM nodes), ' edges=', (SELECT count(*) FROM edges)) AS line",
     "resolver_clauses": with_("packages") + "SELECT (SELECT sum(n * (n - 1) / 2)::BIGINT FROM (SELECT count(*) AS n FROM packages GROUP BY name)) AS at_most_one, (SELECT count(*) FROM packages p WHERE name <> (SELECT max(name) FROM packages q WHERE split_part(q.name, '-', 1) = split_part(p.name, '-', 1))) AS requirements",
 }

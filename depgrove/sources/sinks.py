@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.names import purl, split_id
+
 C = F.col
 
 
@@ -32,13 +34,51 @@ def cypher(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return first.unionByName(merge).unionByName(ends.select(F.lit(2).alias("part"), C("s").alias("a"), C("t").alias("b"), text.alias("statement")))
 
 
+def snapshot_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """id and node: a snapshot's entry of each node as JSON, with its neighbours and metadata; one with a purl also as a package.
+    nodes: vid, id, meta."""
+    of = lambda k: F.nullif(F.try_element_at("meta", F.lit(k)), F.lit(""))
+    name, version = split_id(C("id"))
+    exact = F.when(F.contains("id", F.lit("==")), version)
+    sides = snapshot_rows(nodes, edges)
+    ids = lambda c: F.from_json(c, "array<string>")
+    package = F.struct(
+        F.coalesce(of("ecosystem"), F.lit("generic")).alias("ecosystem"), F.coalesce(of("name"), name).alias("name"), F.coalesce(of("version"), exact, F.lit("")).alias("version"), of("purl").alias("purl"),
+        of("source_url").alias("sourceUrl"), of("license").alias("license"), of("checksum").alias("checksum"), of("signature").alias("signature"), of("provenance").alias("provenance"),
+    )
+    entry = F.struct("id", name.alias("name"), exact.alias("version"), of("purl").alias("purl"), F.when(of("purl").isNotNull(), package).alias("package"), ids("dependencies").alias("dependencies"), ids("dependents").alias("dependents"), C("meta").alias("metadata"))
+    return nodes.join(sides, "id").select("id", F.to_json(entry).alias("node"))
+
+
+def snapshot_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """source, target and edge: a snapshot's entry of each edge as JSON. edges: src, dst, rel and, if there are, scope and constraint."""
+    ends = edges.join(nodes.select(C("vid").alias("src"), C("id").alias("source")), "src").join(nodes.select(C("vid").alias("dst"), C("id").alias("target")), "dst")
+    more = [C(c) for c in ("scope", "constraint") if c in edges.columns]
+    return ends.select("source", "target", F.to_json(F.struct("source", "target", C("rel").alias("relationshipType"), *more)).alias("edge"))
+
+
 def sbom_components(packages: DataFrame) -> DataFrame:
-    """ref and component: an SBOM's component as JSON; metadata that has no place of its own becomes properties."""
-    props = F.transform(F.array_sort(F.map_entries("meta")), lambda e: F.struct(F.concat(F.lit("depgrove:"), e["key"]).alias("name"), e["value"].alias("value")))
-    part = F.struct(F.lit("library").alias("type"), C("id").alias("bom-ref"), "name", "version", F.when(F.size("meta") > 0, props).alias("properties"))
+    """ref and component: an SBOM's component as JSON: type, name, bom-ref, of an id with a version also that and the purl, licence and
+    address; metadata that has no place of its own becomes properties. packages: id, meta."""
+    of = lambda k: F.try_element_at("meta", F.lit(k))
+    name, version = split_id(C("id"))
+    exact = F.contains("id", F.lit("=="))
+    url = F.when(exact, F.coalesce(F.nullif(of("purl"), F.lit("")), purl(F.coalesce(of("ecosystem"), F.lit("generic")), name, version, C("meta"))))
+    own = F.map_filter("meta", lambda k, v: ~k.isin("component_type", "license", "purl", "resolved"))
+    props = F.transform(F.array_sort(F.map_entries(own)), lambda e: F.struct(F.concat(F.lit("depgrove:"), e["key"]).alias("name"), e["value"].alias("value")))
+    part = F.struct(
+        F.coalesce(of("component_type"), F.lit("library")).alias("type"), C("id").alias("bom-ref"), name.alias("name"), F.when(exact, version).alias("version"), url.alias("purl"),
+        F.when(of("license").isNotNull(), F.array(F.struct(F.struct(of("license").alias("name")).alias("license")))).alias("licenses"),
+        F.when(of("resolved").isNotNull(), F.array(F.struct(F.lit("distribution").alias("type"), of("resolved").alias("url")))).alias("externalReferences"), F.when(F.size(own) > 0, props).alias("properties"),
+    )
     return packages.select(C("id").alias("ref"), F.to_json(part).alias("component"))
 
 
+def sbom_dependencies(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """ref and dependency: an SBOM's entry of what each node depends on, in vid order, as JSON."""
+    return snapshot_rows(nodes, edges).select(C("id").alias("ref"), F.to_json(F.struct(C("id").alias("ref"), F.from_json("dependencies", "array<string>").alias("dependsOn"))).alias("dependency"))
+
+
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str, buckets: int = 32) -> DataFrame:
     """Writes nodes, edges by source and edges by target, each sorted within its parts, and gives the manifest: table, rows, digest.
     The digest is over the rows' hashes in any order, so that equal graphs have equal digests."""

@@ -68,6 +68,11 @@ def test_package_lock(spark, tmp_path):
     nodes, edges, missing = tables.package_lock(spark, put(tmp_path, "lock.json", json.dumps(lock)))
     assert shape((nodes, edges)) == (["app==1", "shared==1", "shared==2", "tool==1"], [("app==1", "shared==1", 1), ("app==1", "tool==1", 1), ("tool==1", "shared==2", 1)])
     assert [r.dep for r in missing.collect()] == ["gone"]
+    assert [r.searched for r in npm.searched_paths(missing).collect()] == [["node_modules/gone"]]
+    deep = spark.createDataFrame([("node_modules/a/node_modules/@s/b", "c")], "path string, dep string")
+    assert npm.searched_paths(deep).first().searched == ["node_modules/a/node_modules/@s/b/node_modules/c", "node_modules/a/node_modules/c", "node_modules/c"]
+    row = npm.diagnostics(nodes, edges, missing).first()
+    assert (row.packages, row.duplicates, row.conflicts, row.unresolved) == (4, 1, 1, 1)
 
 
 def test_package_lock_metadata(spark, tmp_path):
