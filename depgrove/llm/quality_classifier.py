@@ -45,9 +45,10 @@ def model(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> boost
                 x = statistics(Texts(part.column("text")))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), *(pa.array(c) for c in x.T)], ["doc_id", "label", *NAMES])
 
-    found = rows.select("doc_id", "label", "text").mapInArrow(work, "doc_id long, label int, " + ", ".join(f"{n} double" for n in NAMES)).toPandas()
-    found = found.sort_values(list(found.columns))  # one order, so one model
-    return boosting.fit(found[list(NAMES)].to_numpy(), found["label"].to_numpy().astype(float))
+    found = rows.select("doc_id", "label", "text").mapInArrow(work, "doc_id long, label int, " + ", ".join(f"{n} double" for n in NAMES)).toArrow()
+    order = np.argsort(found.column("doc_id").to_numpy(), kind="stable")  # one order, so one model
+    x = np.stack([found.column(n).to_numpy() for n in NAMES], 1)
+    return boosting.fit(x[order], found.column("label").to_numpy().astype(float)[order])
 
 
 def score(docs: DataFrame, trees: boosting.Trees) -> DataFrame:

@@ -2,7 +2,8 @@
 
 N-grams are single words, pairs of words and runs of four UTF-8 bytes; each kind has its own 2**16 slots, and a text's value in a
 slot is the share of its n-grams of that kind that fall there, so that length alone moves no score. The weights are fitted on a
-bounded sample of labelled rows (fit_rows) and calibrated on another (calibrate_rows); neither has rows of the held-out fold.
+bounded sample of labelled rows (fit_rows) and calibrated on another (calibrate_rows), in one task; neither has rows of the held-out
+fold.
 
 Defined results: a null text has no words and so fails the limits; repeated documents are judged one by one; of several labels of one
 id the largest counts; without labels every probability is 0.5, which is kept; an empty table gives an empty result; other columns
@@ -32,7 +33,7 @@ REJECT_BELOW = 0.3
 #: Fixed values of the limits: words at least, and repeated words in a hundred words at most.
 LEAST_WORDS, MOST_REPEATED = 50, 50
 SCALE = 30.0
-TOGETHER = 300
+TOGETHER = 60
 
 
 def _grams(t: Texts, hashes: np.ndarray):
@@ -135,20 +136,28 @@ def model(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, calibrat
                     ["doc_id", "label", "fit", "slots", "vals"],
                 )
 
-    found = rows.select("doc_id", "label", "fit", "text").mapInArrow(work, "doc_id long, label int, fit boolean, slots binary, vals binary").toArrow()
+    grams = rows.select("doc_id", "label", "fit", "text").mapInArrow(work, "doc_id long, label int, fit boolean, slots binary, vals binary")
+    found = grams.groupBy().applyInArrow(_fitted, "weights binary, bias double, slope double, shift double").first()
+    if found is None:
+        return Model(np.zeros((KINDS, SLOTS)), 0.0)
+    return Model(np.frombuffer(found.weights, np.float32).reshape(KINDS, SLOTS), found.bias, found.slope, found.shift)
+
+
+def _fitted(found: pa.Table) -> pa.Table:
+    """The weights, fitted and calibrated in one task on the sample, which is bounded in rows and bytes."""
     order = pc.sort_indices(found.select(["doc_id"]), [("doc_id", "ascending")]).to_numpy()  # one order, so one model
     view = lambda c, d: [np.frombuffer(x.as_buffer(), d) for x in found.column(c)]  # noqa: E731  of the table's own memory
     sparse = list(zip(view("slots", np.uint32), view("vals", np.float16)))
     sparse = [sparse[i] for i in order]
     fit, y = found.column("fit").to_numpy()[order], found.column("label").to_numpy().astype(float)[order]
-    if not fit.any():
-        return Model(np.zeros((KINDS, SLOTS)), 0.0)
-    w, b = _fit([x for x, f in zip(sparse, fit) if f], y[fit])
-    slope, shift = 1.0, 0.0
-    if (~fit).any():
-        raw = np.array([w[s.astype(np.int64)] @ v.astype(float) + b for (s, v), f in zip(sparse, fit) if not f])
-        slope, shift = _calibrate(raw, y[~fit])
-    return Model(w.reshape(KINDS, SLOTS), b, slope, shift)
+    w, b, slope, shift = np.zeros(KINDS * SLOTS), 0.0, 1.0, 0.0
+    if fit.any():
+        w, b = _fit([x for x, f in zip(sparse, fit) if f], y[fit])
+        if (~fit).any():
+            raw = np.array([w[s.astype(np.int64)] @ v.astype(float) + b for (s, v), f in zip(sparse, fit) if not f])
+            slope, shift = _calibrate(raw, y[~fit])
+    columns = [pa.array([w.astype(np.float32).tobytes()], pa.binary()), *(pa.array([float(x)]) for x in (b, slope, shift))]
+    return pa.table(columns, ["weights", "bias", "slope", "shift"])
 
 
 def _judged(text: pa.Array, found: Model) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
