@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, jaccard_join, lm_scoring, packing, pieces, quality_classifier, quality_rules, substring_dedup, toxicity, url_filter
+from . import embedding_dedup, jaccard_join, lm_scoring, nearest, negatives, packing, pieces, quality_classifier, quality_rules, substring_dedup, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -17,6 +17,8 @@ def queries() -> dict:
         "op10_quality_rules": quality_rules.op10_quality_rules,
         "op4_jaccard_join": jaccard_join.op4_jaccard_join,
         "op5_quality_classifier": quality_classifier.op5_quality_classifier,
+        "op11_nearest": nearest.op11_nearest,
+        "op12_negatives": negatives.op12_negatives,
     }
 
 
