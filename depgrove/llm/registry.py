@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, jaccard_join, lm_scoring, nearest, negatives, packing, pieces, quality_classifier, quality_rules, substring_dedup, toxicity, url_filter
+from . import embedding_dedup, jaccard_join, lm_scoring, nearest, negatives, packing, pieces, quality_classifier, quality_rules, repair, substring_dedup, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op5_quality_classifier": quality_classifier.op5_quality_classifier,
         "op11_nearest": nearest.op11_nearest,
         "op12_negatives": negatives.op12_negatives,
+        "op13_conversations": repair.op13_conversations,
     }
 
 
