@@ -1,8 +1,8 @@
 """Graph questions over two tables: nodes (vid, id, ...) and edges (src, dst, rel), vids being long and in insertion order.
 
-Traversals advance a frontier by one join a level, for all queries (qid) at once; edges are written once, each level is written, and a
-node is dropped where it was seen before. Of equally short paths the one with the smallest row of vids counts, which is the first one
-that a search in vid order finds. Directions: "dependencies" follows edges, "dependents" goes against them.
+Edges are a DataFrame or, written once for many searches, `searches.Edges`. Traversals advance a frontier by one join a level, for all queries
+(qid) at once; `deep_reachable` and `deep_path` go by parts instead. Of equally short paths the one with the smallest row of vids counts, which
+is the first one that a search in vid order finds. Directions: "dependencies" follows edges, "dependents" goes against them.
 """
 
 from __future__ import annotations
@@ -12,11 +12,13 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import counted, written
+from . import searches
+from .parts import PART_BITS, Parts
+from .searches import Edges, Seen, towards, turned
+from .tables import Bucketed, counted_buckets, written
 
 C = F.col
-#: Levels that are read as tables of their own before they are put together.
-TOGETHER = 12
+OPPOSITE = {"dependencies": "dependents", "dependents": "dependencies"}
 
 
 def canonical(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -61,18 +63,10 @@ def merged_edges(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src", "dst").agg(F.max_by("rel", "seq").alias("rel"))
 
 
-def turned(edges: DataFrame, direction: str) -> DataFrame:
-    if direction == "dependencies":
-        return edges.select("src", "dst")
-    if direction == "dependents":
-        return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    raise ValueError(f"direction must be dependencies or dependents, not {direction!r}")
-
-
 def neighbours(nodes: DataFrame, edges: DataFrame, id_: str, direction: str) -> DataFrame:
     """position, package: the direct neighbours in vid order; none for an unknown id."""
     start = nodes.where(F.col("id") == id_).select(F.col("vid").alias("src"))
-    found = turned(edges, direction).join(start, "src").select(F.col("dst").alias("vid")).distinct()
+    found = towards(edges, direction).join(start, "src").select(F.col("dst").alias("vid")).distinct()
     return found.join(nodes, "vid").select("vid", F.col("id").alias("package"))
 
 
@@ -91,76 +85,69 @@ def adjacency(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(lists, F.col("vid") == F.col("src"), "left").select(F.col("id").alias("package"), F.coalesce(text, F.lit("")).alias("targets"))
 
 
-class _Levels:
-    """The levels so far, as few tables: TOGETHER of about one size are written as one, so a plan never holds more than a few of each size."""
-
-    def __init__(self):
-        self.tables: list[tuple[int, DataFrame]] = []
-
-    def add(self, df: DataFrame) -> None:
-        self.tables.append((0, df))
-        while len(self.tables) >= TOGETHER and self.tables[-TOGETHER][0] == self.tables[-1][0]:
-            last = [t for _, t in self.tables[-TOGETHER:]]
-            self.tables[-TOGETHER:] = [(self.tables[-1][0] + 1, written(reduce(DataFrame.unionByName, last), "levels"))]
-
-    def all(self) -> DataFrame:
-        return reduce(DataFrame.unionByName, [t for _, t in self.tables])
-
-
-def levels(edges: DataFrame, starts: DataFrame, direction: str, depth: int | None = None, paths: bool = False, targets: DataFrame | None = None) -> DataFrame:
-    """starts: qid, vid. Gives qid, vid, distance (0 at the starts) and, if paths, the path as an array of vids from the start. targets
-    (qid, vid, one for each query): a query ends with the level that holds its target."""
-    out = turned(edges, direction)
-    if depth is None or depth > 1:
-        out = written(out, "edges")
-    first = starts.select("qid", "vid", F.lit(0).cast("long").alias("distance"), *([F.array("vid").alias("path")] if paths else [])).distinct()
-    columns = ["qid", "vid", "distance", *(["path"] if paths else [])]
-    wanted = targets.select("qid", "vid", F.lit(True).alias("hit")) if targets is not None else None
-    hits = F.count_if(F.coalesce("hit", F.lit(False)))
-
-    def keep(rows: DataFrame) -> tuple[DataFrame, int]:
-        """The level, without the queries that are done, and how many rows go on."""
-        if wanted is None:
-            table, n = counted(rows, "level")
-            seen.add(table)
-            return table, n["n"]
-        table, n = counted(rows.join(wanted, ["qid", "vid"], "left"), "level", hits=hits)
-        seen.add(table.drop("hit"))
-        if not n["hits"]:
-            return table.drop("hit"), n["n"]
-        if n["n"] == n["hits"]:
-            return table.drop("hit"), 0
-        left, n = counted(table.drop("hit").join(table.where("hit").select("qid"), "qid", "left_anti"), "level")
-        return left, n["n"]
-
-    seen, distance = _Levels(), 0
-    frontier, n = keep(first)
-    while n and (depth is None or distance < depth):
+def levels(edges: DataFrame | Edges, starts: DataFrame, direction: str, depth: int | None = None, paths: bool = False) -> DataFrame:
+    """starts: qid, vid. Gives qid, vid, distance (0 at the starts) and, if paths, the path as an array of vids from the start."""
+    return _paths(edges, starts, direction, depth) if paths else searches.distances(edges, starts, direction, depth)
+
+
+def _paths(edges: DataFrame | Edges, starts: DataFrame, direction: str, depth: int | None, targets: DataFrame | None = None) -> DataFrame:
+    """The levels with paths; targets (vid): of one query, which ends with the level that holds its target."""
+    edges = Edges.of(edges)
+    out = edges.towards(direction, depth)
+    seen = Seen("vid", ["qids"], edges.n, lambda df: df.groupBy("vid").agg(F.flatten(F.collect_list("qids")).alias("qids")))
+    wanted = [r.vid for r in targets.limit(2).collect()] if targets is not None else []  # one node
+    found, distance, tables = {"n": 1, "hits": 0}, 0, []
+    level = starts.select("vid", F.array(F.struct("qid", F.array("vid").alias("path"))).alias("ways")).groupBy("vid").agg(F.flatten(F.collect_set("ways")).alias("ways"))
+    while True:
+        level, found = counted_buckets(level, "vid", "level", edges.n, hits=F.count_if(C("vid").isin(wanted)))
+        seen.add(Bucketed(*[df.select("vid", F.transform("ways", lambda w: w["qid"]).alias("qids")) for df in level]))
+        tables.append(level.plain.select(F.explode("ways").alias("w"), "vid", F.lit(distance).cast("long").alias("distance")).select("w.qid", "vid", "distance", "w.path"))
+        if not found["n"] or found["hits"] or distance == depth:
+            return reduce(DataFrame.unionByName, tables)
         distance += 1
-        step = frontier.join(out, C("vid") == C("src"))
-        if paths:
-            step = step.groupBy("qid", "dst").agg(F.min(F.concat("path", F.array("dst"))).alias("path"))
-        else:
-            step = step.select("qid", "dst").distinct()
-        step = step.withColumnRenamed("dst", "vid").withColumn("distance", F.lit(distance).cast("long")).select(*columns)
-        frontier, n = keep(step.join(seen.all().select("qid", "vid"), ["qid", "vid"], "left_anti"))
-    return seen.all()
+        step = level.by_key.join(out, C("vid") == C("src")).select("dst", F.explode("ways").alias("w"))
+        step = step.groupBy("dst", "w.qid").agg(F.min(F.concat("w.path", F.array("dst"))).alias("path"))
+        step = step.groupBy(C("dst").alias("vid")).agg(F.collect_list(F.struct("qid", "path")).alias("ways"))
+        step, before = seen.beside(step)
+        none = F.array().cast(f"array<{dict(starts.dtypes)['qid']}>")
+        known = reduce(F.array_union, [F.coalesce(qids, none) for (qids,) in before], none)
+        fresh = F.filter("ways", lambda w: ~F.array_contains(known, w["qid"]))
+        level = step.select("vid", fresh.alias("ways")).where(F.size("ways") > 0)
 
 
 def starts_at(nodes: DataFrame, *ids: str) -> DataFrame:
     return nodes.where(F.col("id").isin(*ids)).select(F.col("vid").alias("qid"), "vid")
 
 
-def reachable(nodes: DataFrame, edges: DataFrame, id_: str, direction: str, depth: int | None = None, start_on_cycle: bool = False) -> DataFrame:
+def reachable(nodes: DataFrame, edges: DataFrame | Edges, id_: str, direction: str, depth: int | None = None, start_on_cycle: bool = False) -> DataFrame:
     """package, distance: all that is reached, without the start; start_on_cycle: with it if an edge leads back to it."""
     found = levels(edges, starts_at(nodes, id_), direction, depth)
     out = found.where("distance > 0")
     if start_on_cycle:
-        back = found.join(turned(edges, direction), F.col("vid") == F.col("src")).where("dst = qid").groupBy("qid").agg((F.min("distance") + 1).alias("distance"))
+        back = found.join(towards(edges, direction), F.col("vid") == F.col("src")).where("dst = qid").groupBy("qid").agg((F.min("distance") + 1).alias("distance"))
         out = out.unionByName(back.select("qid", F.col("qid").alias("vid"), "distance"))
     return out.join(nodes, "vid").select(F.col("id").alias("package"), "distance")
 
 
+def deep_reachable(nodes: DataFrame, edges: DataFrame | Parts, id_: str, direction: str, part_bits: int = PART_BITS) -> DataFrame:
+    """The rows of `reachable`, by parts: for graphs that are much deeper than wide, with vids that lie near those of neighbours."""
+    parts = edges if isinstance(edges, Parts) else Parts(edges, direction, part_bits)
+    return parts.distances(starts_at(nodes, id_)).where("distance > 0").join(nodes, "vid").select(C("id").alias("package"), "distance")
+
+
+def deep_path(nodes: DataFrame, edges: DataFrame | Parts, source: str, target: str, direction: str = "dependencies", part_bits: int = PART_BITS) -> DataFrame:
+    """The row of `shortest_path`, by parts: distances to the target first, then the way along which they fall. edges as Parts: those of the
+    opposite direction."""
+    parts = edges if isinstance(edges, Parts) else Parts(edges, OPPOSITE[direction], part_bits)
+    start = starts_at(nodes, source).limit(1).collect()
+    towards_target = written(parts.distances(starts_at(nodes, target)), "towards")
+    there = bool(start) and towards_target.where(C("vid") == start[0].vid).count() > 0
+    way = parts.path(towards_target.select("vid", "distance"), start[0].vid) if there else []
+    rows = nodes.sparkSession.createDataFrame([(0, v, len(way) - 1, i) for i, v in enumerate(way)], "qid long, at long, distance long, pos int")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]), ">")
+    return rows.join(nodes.select(C("vid").alias("at"), "id"), "at").groupBy("distance").agg(text.alias("path")).select("path", "distance")
+
+
 def named_paths(found: DataFrame, nodes: DataFrame, separator: str = ">") -> DataFrame:
     """The rows of `levels` with paths: qid, vid, distance and path as text."""
     steps = found.select("qid", "vid", "distance", F.posexplode("path").alias("pos", "at")).join(nodes.select(F.col("vid").alias("at"), "id"), "at")
@@ -170,10 +157,9 @@ def named_paths(found: DataFrame, nodes: DataFrame, separator: str = ">") -> Dat
 
 def shortest_path(nodes: DataFrame, edges: DataFrame, source: str, target: str, direction: str = "dependencies") -> DataFrame:
     """path, distance: one row, or none without a path; the node alone if both are the same. The search ends at the target."""
-    start = starts_at(nodes, source)
-    wanted = start.select("qid").join(nodes.where(C("id") == target).select("vid"))  # a row each
-    found = levels(edges, start, direction, paths=True, targets=wanted)
-    return named_paths(found.join(wanted, ["qid", "vid"]), nodes).select("path", "distance")
+    wanted = nodes.where(C("id") == target).select("vid")
+    found = _paths(edges, starts_at(nodes, source), direction, None, wanted)
+    return named_paths(found.join(wanted, "vid"), nodes).select("path", "distance")
 
 
 def impact(nodes: DataFrame, edges: DataFrame, id_: str) -> DataFrame:
@@ -202,41 +188,29 @@ def affected(nodes: DataFrame, edges: DataFrame, ids: DataFrame) -> DataFrame:
 
     One search for all of them: a node is passed on with the first two different packages that it was reached from, which is enough to
     tell whether a package given was reached from another."""
-    out = written(turned(edges, "dependents"), "edges")
-    first = ids.select("id").distinct().join(nodes, "id").select("vid", C("vid").alias("of"))
-    frontier, n = counted(first, "level")
-    seen = _Levels()
-    seen.add(frontier)
-    while n["n"]:
-        step = frontier.join(out, C("vid") == C("src")).select(C("dst").alias("vid"), "of").distinct()
-        step = step.join(seen.all(), ["vid", "of"], "left_anti").groupBy("vid").agg(F.min("of").alias("a"), F.max("of").alias("b"))
-        held = seen.all().groupBy("vid").agg(F.count("*").alias("held"))
-        free = 2 - F.coalesce("held", F.lit(0))
-        step = step.join(held, "vid", "left").select("vid", F.explode(F.slice(F.array_distinct(F.array("a", "b")), F.lit(1), F.greatest(free, F.lit(0)).cast("int"))).alias("of"))
-        frontier, n = counted(step, "level")
-        seen.add(frontier)
-    return seen.all().where("vid <> of").select("vid").distinct().join(nodes, "vid").select(C("id").alias("package"))
+    starts = ids.select("id").distinct().join(nodes, "id").select("vid")
+    found = searches.Origins.search(edges, starts, "dependents")
+    return found.where("vid <> of").select("vid").distinct().join(nodes, "vid").select(C("id").alias("package"))
 
 
 def neighbourhood_edges(edges: DataFrame, found: DataFrame, direction: str, depth: int) -> DataFrame:
     """src, dst of the edges out of the nodes that were expanded, also to nodes seen before."""
     expanded = found.where(F.col("distance") < depth).select(F.col("vid").alias("src")).distinct()
-    out = turned(edges, direction).join(expanded, "src")
+    out = towards(edges, direction).join(expanded, "src")
     return out if direction == "dependencies" else out.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
 def batch(nodes: DataFrame, edges: DataFrame, queries: DataFrame) -> DataFrame:
     """queries: qid, direction, node, target, kind (nodes or path). Gives qid and result_count: nodes reached, or nodes of the path. All
     queries of a direction and kind advance together; those for a path end at their target."""
-    out = []
+    out, edges = [], Edges.of(edges)
     for direction in ("dependencies", "dependents"):
         asked = queries.where(C("direction") == direction)
         starts = lambda rows: rows.join(nodes, C("node") == C("id")).select("qid", "vid")
         plain, routes = asked.where("kind <> 'path'"), asked.where("kind = 'path'")
-        reached = levels(edges, starts(plain), direction).where("distance > 0").groupBy("qid").agg(F.count("*").alias("n"))
+        reached = searches.reach_counts(edges, starts(plain), direction).select("qid", C("reached").alias("n"))
         ends = routes.join(nodes, C("target") == C("id")).select("qid", "vid")
-        found = levels(edges, starts(routes).join(ends, "qid", "left_semi"), direction, targets=ends)
-        length = found.join(ends, ["qid", "vid"]).select("qid", (C("distance") + 1).alias("n"))
+        length = searches.target_distances(edges, starts(routes).join(ends, "qid", "left_semi"), ends, direction).select("qid", (C("distance") + 1).alias("n"))
         out.append(asked.select("qid").join(reached.unionByName(length), "qid", "left").select("qid", F.coalesce("n", F.lit(0)).alias("result_count")))
     return out[0].unionByName(out[1])
 

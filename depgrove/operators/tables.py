@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
@@ -32,3 +33,41 @@ def counted(df: DataFrame, name: str, **counts) -> tuple[DataFrame, dict[str, in
     seen = Observation()
     out = written(df.observe(seen, F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in counts.items()]), name)
     return out, {k: v or 0 for k, v in seen.get.items()}
+
+
+def buckets(spark) -> int:
+    """As many buckets as a shuffle has partitions: what a shuffle brings together then lies as the buckets do."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+class Bucketed(NamedTuple):
+    """A table bucketed by a key: to be joined by the key without a shuffle (`by_key`), and the same rows without that layout (`plain`). Unions
+    are of plain ones: a union of bucketed tables counts as laid out by their key, which its partitions are not."""
+
+    by_key: DataFrame
+    plain: DataFrame
+
+
+def bucketed(df: DataFrame, key: str, name: str, n: int, path: str | None = None, table: str | None = None) -> Bucketed:
+    """The rows as a table bucketed and sorted by a key, in the shared folder. The catalog of the session has it under a name of its own, or under
+    `table`."""
+    spark = df.sparkSession
+    table = table or f"{name}_{uuid.uuid4().hex}"
+    path = path or f"{shared_folder(spark)}/{table}"
+    df.write.bucketBy(n, key).sortBy(key).mode("overwrite").option("path", path).saveAsTable(table)
+    by_key = spark.table(table)
+    return Bucketed(by_key, spark.read.schema(by_key.schema).parquet(path))
+
+
+def placed_buckets(spark, schema, path: str, key: str, n: int) -> DataFrame:
+    """A folder that `bucketed` wrote, as a table of this session."""
+    table = f"placed_{uuid.uuid4().hex}"
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    spark.sql(f"CREATE TABLE {table} ({columns}) USING parquet CLUSTERED BY (`{key}`) SORTED BY (`{key}`) INTO {n} BUCKETS LOCATION '{path}'")
+    return spark.table(table)
+
+
+def counted_buckets(df: DataFrame, key: str, name: str, n: int, **counts) -> tuple[Bucketed, dict[str, int]]:
+    seen = Observation()
+    out = bucketed(df.observe(seen, F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in counts.items()]), key, name, n)
+    return out, {k: v or 0 for k, v in seen.get.items()}

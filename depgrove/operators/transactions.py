@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .searches import reach_counts
+
 C = F.col
 #: Ranks of how an action was found in the graph.
 STATUS = ("exact", "candidate", "unmatched")
@@ -13,14 +15,9 @@ STATUS = ("exact", "candidate", "unmatched")
 def dependents_of(nodes: DataFrame, edges: DataFrame, matches: DataFrame) -> DataFrame:
     """node, direct and affected: of each node that was matched, its dependents and all that depends on it, itself if it is on a cycle.
     nodes: vid, id; matches: the rows of joins.transaction_matches."""
-    from .graph import levels, turned
-
     starts = matches.where("node IS NOT NULL").select(C("node").alias("id")).distinct().join(nodes, "id").select("id", C("vid").alias("qid"), "vid")
-    found = levels(edges, starts, "dependents")
-    back = found.join(turned(edges, "dependents"), C("vid") == C("src")).where("dst = qid").select("qid").distinct().withColumn("again", F.lit(1))
-    reached = found.where("distance > 0").groupBy("qid").agg(F.count("*").alias("reached"), F.count_if(C("distance") == 1).alias("direct"))
-    rows = starts.join(reached, "qid", "left").join(back, "qid", "left")
-    return rows.select(C("id").alias("node"), F.coalesce("direct", F.lit(0)).alias("direct"), (F.coalesce("reached", F.lit(0)) + F.coalesce("again", F.lit(0))).alias("affected"))
+    found = reach_counts(edges, starts.select("qid", "vid"), "dependents", cycles=True)
+    return starts.join(found, "qid").select(C("id").alias("node"), "direct", (C("reached") + C("back")).alias("affected"))
 
 
 def impact(actions: DataFrame, matches: DataFrame, counts: DataFrame) -> DataFrame:

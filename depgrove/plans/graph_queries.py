@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
+from ..operators import searches
 from .derive import table, with_
 
 ROOT, PART, HUB = "customer:7", "part:11", "nation:3"
@@ -54,9 +55,18 @@ def _paths(spark, sf):
     return G.named_paths(found, nodes).join(nodes, "vid").select(F.col("id").alias("package"), "distance", "path")
 
 
-def _synthetic(spark, sf):
-    nodes, edges = G.synthetic(spark, 64, 3)
-    return edges.select("src", "dst")
+def _chain(spark, sf):
+    """The benchmark's graph over the suppliers: each needs the next three. The vids are the places of the keys."""
+    nodes = table(spark, sf, "supplier").select((F.col("s_suppkey") - 0).alias("vid"), F.concat(F.lit("s"), "s_suppkey").alias("id"))
+    by = nodes.select(F.col("vid").alias("src"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("by"))
+    return nodes, by.join(nodes.select(F.col("vid").alias("dst")), F.col("src") + F.col("by") == F.col("dst")).select("src", "dst", F.lit(1).alias("rel"))
+
+
+def _many(spark, sf):
+    """How many packages each of the first packages needs, and how many need it, for all packages at once."""
+    nodes, edges = _p(spark, sf)
+    found = searches.reach_counts(edges, nodes.select(F.col("vid").alias("qid"), "vid"), "dependencies", cycles=True)
+    return found.join(nodes, F.col("qid") == F.col("vid")).select(F.col("id").alias("package"), "direct", "reached", "back")
 
 
 QUERIES = {
@@ -81,11 +91,18 @@ QUERIES = {
     "khop_nodes": _khop,
     "khop_edges": _khop_edges,
     "graph_union": lambda s, d: _union(s, d),
-    "synthetic_edges": _synthetic,
-    "synthetic_reach": lambda s, d: G.reachable(*G.synthetic(s, 40, 5), "pkg-0==1", "dependencies"),
+    "chain_edges": lambda s, d: _chain(s, d)[1],
+    "deep_reach": lambda s, d: G.deep_reachable(*_chain(s, d), "s0", "dependencies", part_bits=6),
+    "deep_path": lambda s, d: _deep_path(s, d),
+    "many_reach_counts": _many,
 }
 
 
+def _deep_path(spark, sf):
+    nodes, edges = _chain(spark, sf)
+    return G.deep_path(nodes, edges, "s1", nodes.orderBy(F.desc("vid")).first().id, part_bits=6)
+
+
 def _union(spark, sf):
     """Two graphs in one: ids kept, edges merged, the later graph's relationship over the earlier one's."""
     first = table(spark, sf, "pedges").withColumn("seq", F.lit(1))
@@ -94,7 +111,7 @@ def _union(spark, sf):
 
 
 D, P = with_("nodes", "edges"), with_("pnodes", "pedges")
-SYNTH = "SELECT i AS src, i + f AS dst FROM range({n}) a(i), range(1, {f} + 1) b(f) WHERE i + f < {n}"
+CHAIN = "SELECT a.s_suppkey AS src, b.s_suppkey AS dst, 1 AS rel FROM supplier a JOIN supplier b ON b.s_suppkey - a.s_suppkey BETWEEN 1 AND 3"
 
 SQL = {
     "graph_nodes": D + "SELECT kind, count(*) AS n, min(vid) AS first_vid, max(vid) AS last_vid FROM nodes GROUP BY kind",
@@ -127,6 +144,10 @@ SQL = {
     "khop_nodes": D + "," + _bfs("edges", "nodes", PART, False) + " SELECT id AS package, d AS distance FROM r JOIN nodes ON n = vid WHERE d BETWEEN 1 AND 2",
     "khop_edges": D + "," + _bfs("edges", "nodes", ROOT) + " SELECT DISTINCT src, dst FROM edges JOIN r ON n = src WHERE d < 2",
     "graph_union": P + "SELECT CASE WHEN src % 3 = 0 THEN 2 ELSE 1 END AS rel, count(*) AS edges FROM pedges GROUP BY 1",
-    "synthetic_edges": SYNTH.format(n=64, f=3),
-    "synthetic_reach": "WITH RECURSIVE e AS (" + SYNTH.format(n=40, f=5) + "), nodes AS (SELECT i AS vid, concat('pkg-', i, '==1') AS id FROM range(40) t(i))," + _bfs("e", "nodes", "pkg-0==1") + " SELECT id AS package, d AS distance FROM r JOIN nodes ON n = vid WHERE d > 0",
+    "chain_edges": CHAIN,
+    "deep_reach": f"WITH RECURSIVE e AS ({CHAIN}), nodes AS (SELECT s_suppkey AS vid, concat('s', s_suppkey) AS id FROM supplier)," + _bfs("e", "nodes", "s0") + " SELECT id AS package, d AS distance FROM r JOIN nodes ON n = vid WHERE d > 0",
+    "deep_path": f"WITH RECURSIVE e AS ({CHAIN}), nodes AS (SELECT s_suppkey AS vid, concat('s', s_suppkey) AS id FROM supplier)," + _bfs("e", "nodes", "s1")
+    + " SELECT array_to_string(list_transform(p, lambda x: 's' || x), '>') AS path, d AS distance FROM r WHERE n = (SELECT max(vid) FROM nodes)",
+    "many_reach_counts": P + """, w(a, n) USING KEY (a, n) AS (SELECT vid, vid FROM pnodes UNION SELECT w.a, e.dst FROM w JOIN pedges e ON e.src = w.n WHERE NOT EXISTS (SELECT 1 FROM recurring.w x WHERE x.a = w.a AND x.n = e.dst))
+      SELECT id AS package, (SELECT count(*) FROM pedges WHERE src = vid) AS direct, (SELECT count(*) - 1 FROM w WHERE a = vid) AS reached, (SELECT least(count(*), 1) FROM w JOIN pedges ON src = n AND dst = vid WHERE a = vid) AS back FROM pnodes""",
 }

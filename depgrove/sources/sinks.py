@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import purl, split_id
+from ..operators.searches import Edges
+from ..operators.tables import bucketed, placed_buckets
 
 C = F.col
 
@@ -79,18 +81,13 @@ def sbom_dependencies(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return snapshot_rows(nodes, edges).select(C("id").alias("ref"), F.to_json(F.struct(C("id").alias("ref"), F.from_json("dependencies", "array<string>").alias("dependsOn"))).alias("dependency"))
 
 
-def write_graph(nodes: DataFrame, edges: DataFrame, path: str, buckets: int = 32) -> DataFrame:
-    """Writes nodes, edges by source and edges by target, each sorted within its parts, and gives the manifest: table, rows, digest.
-    The digest is over the rows' hashes in any order, so that equal graphs have equal digests."""
-    tables = {
-        "nodes": nodes.repartitionByRange(buckets, "vid").sortWithinPartitions("vid"),
-        "edges_by_source": edges.repartitionByRange(buckets, "src").sortWithinPartitions("src", "dst"),
-        "edges_by_target": edges.repartitionByRange(buckets, "dst").sortWithinPartitions("dst", "src"),
-    }
+def write_graph(nodes: DataFrame, edges: DataFrame, path: str, n: int = 32) -> DataFrame:
+    """Writes nodes by vid, edges by source and edges by target, each in n buckets sorted by that key, and gives the manifest: table, key,
+    buckets, rows, digest. The digest is over the rows' hashes in any order, so that equal graphs have equal digests."""
     manifest = None
-    for name, rows in tables.items():
-        rows.write.mode("overwrite").parquet(f"{path}/{name}")
-        row = _digest(nodes.sparkSession.read.parquet(f"{path}/{name}"), name)
+    for name, (rows, key) in {"nodes": (nodes, "vid"), "edges_by_source": (edges, "src"), "edges_by_target": (edges, "dst")}.items():
+        found = bucketed(rows.repartition(n, key), key, name, n, path=f"{path}/{name}").plain
+        row = _digest(found, name).select("table", F.lit(key).alias("key"), F.lit(n).alias("buckets"), "rows", "digest")
         manifest = row if manifest is None else manifest.unionByName(row)
     manifest.coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
     return manifest
@@ -101,14 +98,19 @@ def _digest(rows: DataFrame, name: str) -> DataFrame:
     return rows.agg(F.lit(name).alias("table"), F.count("*").alias("rows"), F.sha2(total.cast("string"), 256).alias("digest"))
 
 
-def read_graph(spark, path: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges by source; fails if a table does not have the manifest's rows and digest."""
-    known = {r["table"]: r for r in spark.read.json(f"{path}/manifest").collect()}  # three rows
-    for name, want in known.items():
-        have = _digest(spark.read.parquet(f"{path}/{name}"), name).first()
+def read_graph(spark, path: str) -> tuple[DataFrame, Edges]:
+    """Nodes, and edges as searches want them: bucketed by either end, so that no search shuffles them; fails if a table does not have the
+    manifest's rows and digest."""
+    found = {}
+    for want in spark.read.json(f"{path}/manifest").collect():  # three rows
+        name = want["table"]
+        plain = spark.read.parquet(f"{path}/{name}")
+        have = _digest(plain, name).first()
         if (have["rows"], have["digest"]) != (want["rows"], want["digest"]):
             raise ValueError(f"{name} is not what the manifest says")
-    return spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges_by_source")
+        found[name] = placed_buckets(spark, plain.schema, f"{path}/{name}", want["key"], want["buckets"])
+        n = want["buckets"]
+    return found["nodes"], Edges.written(found["edges_by_source"], found["edges_by_target"], n)
 
 
 def summary_line(nodes: DataFrame, edges: DataFrame, root: str) -> DataFrame:

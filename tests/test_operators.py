@@ -1,5 +1,6 @@
 """Small graphs and cases with known answers, and random graphs against a plain search."""
 
+import collections
 import random
 from collections import deque
 
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from depgrove.functions import names as N
 from depgrove.functions import versions as V
 from depgrove.operators import diff, graph, joins, query, reports, resolver
+from depgrove.operators.parts import Parts
 from depgrove.sources import sinks
 from depgrove.streaming import changes
 
@@ -228,7 +230,9 @@ def test_written_graphs(spark, tmp_path):
     nodes, edges = made(spark, [("a", "b"), ("b", "c")])
     sinks.write_graph(nodes, edges, str(tmp_path), 2)
     back = sinks.read_graph(spark, str(tmp_path))
-    assert sorted(r.id for r in back[0].collect()) == ["a", "b", "c"] and back[1].count() == 2
+    assert sorted(r.id for r in back[0].collect()) == ["a", "b", "c"] and back[1].edges.count() == 2
+    assert {r.package: r.distance for r in graph.reachable(*back, "c", "dependents").collect()} == {"b": 1, "a": 2}
+    assert "Bucketed: true" in back[1].towards("dependents")._jdf.queryExecution().executedPlan().toString().replace("Bucketed: false (disabled by query planner)", "Bucketed: true")
     nodes.limit(1).write.mode("overwrite").parquet(f"{tmp_path}/nodes")
     with pytest.raises(ValueError):
         sinks.read_graph(spark, str(tmp_path))
@@ -259,3 +263,80 @@ def test_deep_trees_and_steps(spark):
         text = f'{{"s{i}": {text}}}'
     found = npm.flat_steps(spark.createDataFrame([(1, text)], "key long, json string")).collect()
     assert [(r.step, r.seconds) for r in found] == [("s6.s5.s4.s3.s2.s1.s0", 7.0)]
+
+
+def searched(pairs, start):
+    out, best, queue = {}, {start: 0}, deque([start])
+    for a, b in pairs:
+        out.setdefault(a, []).append(b)
+    while queue:
+        x = queue.popleft()
+        for y in sorted(out.get(x, [])):
+            if y not in best:
+                best[y] = best[x] + 1
+                queue.append(y)
+    return best
+
+
+def numbered_graph(spark, n, pairs):
+    nodes = spark.range(n).select(C("id").alias("vid"), F.concat(F.lit("n"), "id").alias("id"))
+    return nodes, spark.createDataFrame([(a, b, 1) for a, b in pairs], "src long, dst long, rel int")
+
+
+def test_levels_leave_edges_and_seen_where_they_are(spark):
+    """A level shuffles its frontier only: neither the edges nor what was seen stands under an exchange."""
+    from depgrove.operators import searches
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        nodes, edges = numbered_graph(spark, 50, [(i, i + 1) for i in range(49)])
+        written = searches.Edges(edges)
+        seen = searches.Seen("vid", ["m0"], written.n, None)
+        level = searches.bucketed(spark.createDataFrame([(0, 1)], "vid long, m0 long"), "vid", "level", written.n)
+        seen.add(level)
+        step = level.by_key.join(written.towards("dependencies"), C("vid") == C("src")).groupBy(C("dst").alias("vid")).agg(F.bit_or("m0").alias("m0"))
+        plan = seen.beside(step)[0]._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and plan.count("Bucketed: true") == 3
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_many_queries_in_bits(spark):
+    rng = random.Random(12)
+    pairs = sorted({(rng.randrange(90), rng.randrange(90)) for _ in range(330)})
+    nodes, edges = numbered_graph(spark, 90, pairs)
+    starts = spark.createDataFrame([(1000 + i, i % 90) for i in range(1100)], "qid long, vid long")  # more than go together
+    from depgrove.operators import searches
+
+    want = {v: searched(pairs, v) for v in range(90)}
+    back = {v: int(any(b == v and a in want[v] for a, b in pairs)) for v in range(90)}
+    got = {r.qid: (r.reached, r.direct, r.back) for r in searches.reach_counts(edges, starts, "dependencies", cycles=True).collect()}
+    assert got == {1000 + i: (len(want[i % 90]) - 1, sum(d == 1 for d in want[i % 90].values()), back[i % 90]) for i in range(1100)}
+    some = starts.where("qid < 1090")
+    found = collections.Counter((r.qid, r.vid, r.distance) for r in searches.distances(edges, some, "dependencies").collect())
+    assert found == collections.Counter((1000 + i, v, d) for i in range(90) for v, d in want[i].items())
+    ends = some.select("qid", ((C("vid") * 7 + 3) % 90).alias("vid"))
+    lengths = {r.qid: r.distance for r in searches.target_distances(edges, some, ends, "dependencies").collect()}
+    assert lengths == {1000 + i: want[i][(i * 7 + 3) % 90] for i in range(90) if (i * 7 + 3) % 90 in want[i]}
+    assert searches.reach_counts(edges, starts.limit(0), "dependencies").count() == 0
+
+
+def test_deep_graphs_by_parts(spark):
+    nodes, edges = graph.synthetic(spark, 1000, 3)
+    parts = Parts(edges, "dependencies", part_bits=8)
+    found = {r.package: r.distance for r in graph.deep_reachable(nodes, parts, "pkg-0==1", "dependencies").collect()}
+    assert found == {f"pkg-{i}==1": -(-i // 3) for i in range(1, 1000)}
+    path = graph.deep_path(nodes, edges, "pkg-0==1", "pkg-999==1", part_bits=8).first()
+    assert path.distance == 333 and path.path.split(">") == [f"pkg-{i}==1" for i in range(0, 1000, 3)]
+    rng = random.Random(3)
+    pairs = sorted({(a, (a + rng.choice([1, 1, 2, -5, 40])) % 150) for a in range(150) for _ in range(2)})
+    nodes, edges = numbered_graph(spark, 150, pairs)
+    starts = spark.createDataFrame([(q, q * 3 % 150) for q in range(66)], "qid long, vid long")
+    for most in (10**6, 60):  # also with parts that are too heavy to be packed
+        some = starts if most > 60 else starts.limit(3)
+        got = {(r.qid, r.vid): r.distance for r in Parts(edges, "dependencies", 6, most).distances(some).collect()}
+        assert got == {(r.qid, v): d for r in some.collect() for v, d in searched(pairs, r.vid).items()}
+    for a, b in ((0, 149), (5, 5)):
+        assert [tuple(r) for r in graph.deep_path(nodes, edges, f"n{a}", f"n{b}", part_bits=6).collect()] == [tuple(r) for r in graph.shortest_path(nodes, edges, f"n{a}", f"n{b}").collect()]
+    assert graph.deep_path(nodes, edges, "n1", "none").count() == 0
