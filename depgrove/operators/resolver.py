@@ -1,8 +1,11 @@
 """Choosing versions: for each root a version of every package it needs, directly or not, that all constraints hold.
 
-What may be chosen is worked out with joins: each requirement beside the versions of its package that its constraint holds. The search
-itself is sequential for a root and runs once per root, in the root's own group; roots are what is spread over the cluster. Versions
-are tried from the newest down; on a conflict the search goes back, over all choices if need be, so it finds a solution if there is one.
+Requirements are clauses: a version is not chosen, or one of the choices that its requirement leaves is. What follows from them alone holds for
+all roots and is worked out for all at once, as a fixpoint of joins over the clauses: a version with a requirement none of whose choices is left
+is no choice either. Then each root is searched for in a group of its own, which holds what is left of the packages it reaches: the next package
+is the one that the first chosen package (by name) still needs, its newest version that fits is tried first; a dead end is traced to the choices
+it follows from, these are learned as not standing together, and the search goes back to the last of them. It finds a solution if there is one,
+the same that going through all choices in this order would find first.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import versions as V
 from .graph import levels
+from .tables import counted, written
 
 C = F.col
 
@@ -32,36 +36,99 @@ def allowed(registry: DataFrame) -> DataFrame:
     return wants.join(other, "dependency", "left").groupBy("name", "version", "dependency").agg(F.collect_list(hit).alias("choices"))
 
 
+def clauses(registry: DataFrame) -> DataFrame:
+    """name, version, dependency, choice: a row for each choice of each requirement, with a null choice where it has none."""
+    return allowed(registry).select("name", "version", "dependency", F.explode_outer("choices").alias("choice"))
+
+
+def possible(registry: DataFrame, found: DataFrame) -> DataFrame:
+    """name, version of those that can be chosen as far as each requirement by itself can tell. found: the registry's clauses."""
+    left = written(registry.select("name", "version").distinct(), "versions")
+    rows = written(found, "clauses")
+    while True:
+        still = rows.join(left, ["name", "version"], "left_semi")
+        chosen = left.select(C("name").alias("dependency"), C("version").alias("choice"), F.lit(True).alias("there"))
+        units = still.join(chosen, ["dependency", "choice"], "left").groupBy("name", "version", "dependency").agg(F.bool_or(F.coalesce("there", F.lit(False))).alias("open"))
+        gone, n = counted(units.where("NOT open").select("name", "version").distinct(), "units")
+        if not n["n"]:
+            return left
+        left = written(left.join(gone, ["name", "version"], "left_anti"), "versions")
+
+
+class _Search:
+    """One root's search. rank: versions of each package, newest first; wants: (package, version) to the choices of each package it needs."""
+
+    def __init__(self, root: str, rank: dict[str, list[str]], wants: dict[tuple[str, str], dict[str, frozenset]]):
+        self.root, self.rank, self.wants = root, rank, wants
+        self.chosen: dict[str, str] = {}
+        self.learned: dict[tuple[str, str], list[frozenset]] = {}
+        self.steps = 0
+
+    def _needs(self, name: str) -> dict[str, frozenset]:
+        return self.wants.get((name, self.chosen[name]), {})
+
+    def _open(self) -> tuple[str, frozenset] | None:
+        """The next package, and the choices because of which it is needed."""
+        if self.root not in self.chosen:
+            return self.root, frozenset()
+        for name in sorted(self.chosen):
+            for other in sorted(self._needs(name)):
+                if other not in self.chosen:
+                    return other, frozenset([name])
+        return None
+
+    def _against(self, name: str, version: str) -> frozenset | None:
+        """The chosen packages because of which a version cannot be chosen now, or None if it can."""
+        for other in self.chosen:
+            if version not in self._needs(other).get(name, (version,)):
+                return frozenset([other])
+        for dependency, choices in self.wants.get((name, version), {}).items():
+            if dependency in self.chosen:
+                if self.chosen[dependency] not in choices:
+                    return frozenset([dependency])
+                continue
+            who = []
+            for other in self.chosen:
+                if (more := self._needs(other).get(dependency)) is not None:
+                    choices, who = choices & more, [*who, other]
+            if not choices:
+                return frozenset(who)
+        for together in self.learned.get((name, version), ()):
+            if all(self.chosen.get(n) == v for n, v in together if n != name):
+                return frozenset(n for n, _ in together if n != name)
+        return None
+
+    def solve(self) -> dict[str, str] | None:
+        while (at := self._open()) is not None:
+            name, because = at
+            self.steps += 1
+            for version in self.rank.get(name, ()):
+                against = self._against(name, version)
+                if against is None:
+                    self.chosen[name] = version
+                    break
+                because |= against
+            else:
+                if not because:
+                    return None
+                together = frozenset((n, self.chosen[n]) for n in because)
+                for pair in together:
+                    self.learned.setdefault(pair, []).append(together)
+                while self.chosen.popitem()[0] not in because:
+                    pass
+        return self.chosen
+
+
 def _solve(table: pa.Table) -> pa.Table:
     """One root's packages: rows (root, name, version, rank, dependency, choices)."""
-    rank: dict[str, dict[str, int]] = {}
-    wants: dict[tuple[str, str], dict[str, set]] = {}
+    rank: dict[str, dict[int, str]] = {}
+    wants: dict[tuple[str, str], dict[str, frozenset]] = {}
     for r in table.to_pylist():
-        rank.setdefault(r["name"], {})[r["version"]] = r["rank"]
+        rank.setdefault(r["name"], {})[r["rank"]] = r["version"]
         if r["dependency"] is not None:
-            wants.setdefault((r["name"], r["version"]), {})[r["dependency"]] = set(r["choices"] or ())
+            wants.setdefault((r["name"], r["version"]), {})[r["dependency"]] = frozenset(r["choices"] or ())
     root = table.column("root")[0].as_py()
-    newest = lambda name, among: sorted((v for v in rank.get(name, {}) if v in among), key=rank[name].get) if name in rank else []
-    stack = [({}, {root: set(rank.get(root, {}))})]  # chosen versions, and what may still be chosen of packages that are needed
-    found = None
-    while stack:
-        chosen, open_ = stack.pop()
-        if not open_:
-            found = chosen
-            break
-        name = min(open_, key=lambda n: (len(open_[n]), n))
-        for version in reversed(newest(name, open_[name])):
-            now, rest, fits = chosen | {name: version}, {n: x for n, x in open_.items() if n != name}, True
-            for dependency, choices in wants.get((name, version), {}).items():
-                if dependency in now:
-                    fits = now[dependency] in choices
-                else:
-                    rest[dependency] = rest.get(dependency, set(rank.get(dependency, {}))) & choices
-                    fits = bool(rest[dependency])
-                if not fits:
-                    break
-            if fits:
-                stack.append((now, rest))
+    found = _Search(root, {n: [v for _, v in sorted(vs.items())] for n, vs in rank.items()}, wants).solve()
     rows = sorted(found.items()) if found else []
     return pa.table([pa.array([root] * max(1, len(rows))), pa.array([n for n, _ in rows] or [None], pa.string()), pa.array([v for _, v in rows] or [None], pa.string())], ["root", "name", "version"])
 
@@ -69,13 +136,23 @@ def _solve(table: pa.Table) -> pa.Table:
 def resolve(registry: DataFrame, roots: DataFrame) -> DataFrame:
     """registry: name, version, dependencies (map of name to constraint); roots: root. Gives root, name, version of every package
     chosen; a root that cannot be resolved has one row with nulls. A root's group holds what it reaches, not the whole registry."""
-    wants = allowed(registry)
-    names = registry.select("name").union(wants.select("dependency")).distinct().select(F.xxhash64("name").alias("vid"), "name")
+    found = written(clauses(registry), "clauses")
+    left = written(possible(registry, found), "possible")
+    # choices that are left, of versions that are left
+    choice = left.select(C("name").alias("dependency"), C("version").alias("choice"))
+    wants = found.join(left, ["name", "version"], "left_semi").join(choice, ["dependency", "choice"], "left_semi").groupBy("name", "version", "dependency").agg(F.collect_set("choice").alias("choices"))
+    wants = written(wants, "requirements")
+    names = registry.select("name").distinct().select(F.xxhash64("name").alias("vid"), "name")
     edges = wants.select(F.xxhash64("name").alias("src"), F.xxhash64("dependency").alias("dst")).distinct()
-    starts = roots.select(F.xxhash64("root").alias("qid"), F.xxhash64("root").alias("vid"), "root")
+    starts = roots.select(F.xxhash64("root").alias("qid"), F.xxhash64("root").alias("vid"), "root").distinct()
     reached = levels(edges, starts, "dependencies").select("qid", "vid").join(starts.select("qid", "root"), "qid").join(names, "vid").select("root", "name")
-    rows = reached.join(ranked_versions(registry), "name").join(wants, ["name", "version"], "left")
-    return rows.select("root", "name", "version", "rank", "dependency", "choices").groupBy("root").applyInArrow(_solve, "root string, name string, version string")
+    ranked = ranked_versions(registry).join(left, ["name", "version"], "left_semi")
+    rows = reached.join(ranked, "name").join(wants, ["name", "version"], "left")
+    solved = rows.select("root", "name", "version", "rank", "dependency", "choices").groupBy("root").applyInArrow(_solve, "root string, name string, version string")
+    # a root of which no version is left has no group
+    lost = roots.select("root").distinct().join(left.select(C("name").alias("root")).distinct(), "root", "left_anti")
+    none = F.lit(None).cast("string")
+    return solved.unionByName(lost.select("root", none.alias("name"), none.alias("version")))
 
 
 def resolved_edges(chosen: DataFrame, registry: DataFrame) -> DataFrame:

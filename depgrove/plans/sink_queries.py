@@ -50,6 +50,10 @@ QUERIES = {
 
 P = with_("pnodes", "pedges").rstrip() + "\n"
 
+#: The registry of `_registry`, where a package needs one other at most.
+REGISTRY = with_("packages").rstrip() + """, v AS (SELECT name, version, size FROM packages), names AS (SELECT name, lead(name) OVER (PARTITION BY split_part(name, '-', 1) ORDER BY name) AS next FROM (SELECT DISTINCT name FROM v))"""
+HOLDS = "CASE a.size % 3 WHEN 0 THEN split_part(c, '.', 1)::INT < 3 WHEN 1 THEN split_part(c, '.', 1)::INT IN (1, 2) ELSE true END"
+
 SQL = {
     "snapshot_rows": P + """SELECT n.id, coalesce((SELECT to_json(list(t.id ORDER BY t.vid)) FROM pedges e JOIN pnodes t ON t.vid = e.dst WHERE e.src = n.vid)::VARCHAR, '[]') AS dependencies,
       coalesce((SELECT to_json(list(t.id ORDER BY t.vid)) FROM pedges e JOIN pnodes t ON t.vid = e.src WHERE e.dst = n.vid)::VARCHAR, '[]') AS dependents FROM pnodes n""",
@@ -63,6 +67,14 @@ SQL = {
       SELECT id, concat('{"id":"', id, '","name":"', id, '"', CASE WHEN vid % 4 = 0 THEN concat(',"purl":"pkg:x/', id, '","package":{"ecosystem":"generic","name":"', id, '","version":"","purl":"pkg:x/', id, '"', CASE WHEN vid % 8 = 0 THEN ',"license":"MIT"' ELSE '' END, '}') ELSE '' END,
         ',"dependencies":', a, ',"dependents":', b, ',"metadata":{', CASE WHEN vid % 4 = 0 THEN concat('"purl":"pkg:x/', id, '"') ELSE '' END, CASE WHEN vid % 8 = 0 THEN ',"license":"MIT"' ELSE '' END, '}}') AS node FROM x""",
     "snapshot_edges": P + """SELECT concat('{"source":"p', src, '","target":"p', dst, '","relationshipType":', rel, '}') AS edge FROM pedges""",
+    "resolve_batch": REGISTRY + """, solid(name, versions) AS (
+        SELECT name, list(version) FROM names JOIN v USING (name) WHERE next IS NULL GROUP BY name
+        UNION ALL SELECT n.name, (SELECT list(a.version) FROM v a WHERE a.name = n.name AND list_bool_or([""" + HOLDS + """ FOR c IN s.versions])) FROM solid s JOIN names n ON n.next = s.name),
+      walk(root, name, version) AS (
+        SELECT name, name, list_first(list_reverse_sort([[split_part(x, '.', 1)::INT, split_part(x, '.', 2)::INT, split_part(x, '.', 3)::INT] FOR x IN versions])) FROM solid
+        UNION ALL SELECT w.root, s.name, list_first(list_reverse_sort([[split_part(c, '.', 1)::INT, split_part(c, '.', 2)::INT, split_part(c, '.', 3)::INT] FOR c IN s.versions IF """ + HOLDS + """]))
+        FROM walk w JOIN names n ON n.name = w.name JOIN solid s ON s.name = n.next JOIN v a ON a.name = w.name AND a.version = array_to_string(w.version, '.') WHERE w.version IS NOT NULL)
+      SELECT root, CASE WHEN version IS NOT NULL THEN name END AS name, array_to_string(version, '.') AS version FROM walk WHERE version IS NOT NULL OR root = name""",
     "graph_summary_line": with_("nodes", "edges") + "SELECT concat('root=customer:0 nodes=', (SELECT count(*) FROM nodes), ' edges=', (SELECT count(*) FROM edges)) AS line",
     "resolver_clauses": with_("packages") + "SELECT (SELECT sum(n * (n - 1) / 2)::BIGINT FROM (SELECT count(*) AS n FROM packages GROUP BY name)) AS at_most_one, (SELECT count(*) FROM packages p WHERE name <> (SELECT max(name) FROM packages q WHERE split_part(q.name, '-', 1) = split_part(p.name, '-', 1))) AS requirements",
 }

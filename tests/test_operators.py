@@ -201,6 +201,29 @@ def test_resolver(spark):
     assert tuple(resolver.clause_counts(rows).first()) == (1 + 1 + 3, 7)
 
 
+def test_conflicts_are_learned():
+    """A conflict that has nothing to do with forty other choices: going back one by one takes 2**40 steps."""
+    many = {f"a{i:02}": ["2", "1"] for i in range(40)}
+    rank = {"r": ["1"], "q": ["1"], "z": ["2", "1"], "w": ["3", "2", "1"]} | many
+    every = frozenset("21")
+    wants = {("r", "1"): {n: every for n in many} | {"q": frozenset("1"), "z": every}, ("q", "1"): {"w": frozenset("3")}, ("z", "1"): {"w": frozenset("1")}, ("z", "2"): {"w": frozenset("2")}}
+    search = resolver._Search("r", rank, wants)
+    assert search.solve() is None and search.steps < 60
+    wants["z", "1"] = {"w": frozenset("13"), "a39": frozenset("1")}  # only with an older choice of one of the forty
+    search = resolver._Search("r", rank, wants)
+    assert search.solve() == {n: "2" for n in many} | {"r": "1", "q": "1", "z": "1", "w": "3", "a39": "1"} and search.steps < 120
+
+
+def test_what_is_left_of_a_registry(spark):
+    """Versions without a choice go, then those that need them."""
+    d = {"a": {"1": {"b": "*"}, "2": {"b": "2"}}, "b": {"1": {}, "2": {"c": "*"}}, "c": {"1": {"none": "*"}}}
+    rows = spark.createDataFrame([(n, v, x) for n, vs in d.items() for v, x in vs.items()], "name string, version string, dependencies map<string,string>")
+    left = resolver.possible(rows, resolver.clauses(rows))
+    assert {tuple(r) for r in left.collect()} == {("a", "1"), ("b", "1")}
+    found = resolver.resolve(rows, spark.createDataFrame([("a",), ("c",), ("unknown",)], "root string"))
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, [("a", "a", "1"), ("a", "b", "1"), ("c", None, None), ("unknown", None, None)]))
+
+
 def test_resolver_against_all_choices(spark):
     """Random registries: a root is resolved just if some choice of versions holds, and what is chosen holds."""
     import itertools
