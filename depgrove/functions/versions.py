@@ -111,3 +111,40 @@ def allows(constraint: Column, version: Column) -> Column:
         )
 
     return F.exists(F.split(F.coalesce(constraint, F.lit("*")), r"\|\|"), alternative)
+
+
+def readable(constraint: Column) -> Column:
+    """Whether all alternatives of a constraint can be read."""
+
+    def one(part: Column) -> Column:
+        text = F.trim(part)
+        tokens = F.filter(F.split(text, r"[,\s]+"), lambda t: t != "")
+        return text.isin(*ANY) | F.startswith(text, F.lit("^")) | F.startswith(text, F.lit("~")) | F.forall(tokens, lambda t: F.regexp_like(t, F.lit(COMPARATOR)))
+
+    return F.forall(F.split(F.coalesce(constraint, F.lit("*")), r"\|\|"), one)
+
+
+def alternatives(constraint: Column) -> Column:
+    """The alternatives of a readable constraint, each as the bounds (array of operators <, <=, >, >= and keys) that `allows` tests."""
+    nil = F.lit(0).cast(BIG)
+    below = lambda a, b, c: F.struct(a.cast(BIG).alias("a"), b.cast(BIG).alias("b"), c.cast(BIG).alias("c"), F.lit("").alias("suffix"))
+    bound = lambda op, key: F.struct((F.lit(op) if isinstance(op, str) else op).alias("op"), key.alias("key"))
+
+    def token(t: Column) -> Column:
+        op, k = F.regexp_extract(t, COMPARATOR, 1), parts_key(F.regexp_extract(t, COMPARATOR, 2))
+        return F.when(op.isin(">=", "<=", ">", "<"), F.array(bound(op, k))).otherwise(F.array(bound(">=", k), bound("<=", k)))
+
+    def one(part: Column) -> Column:
+        text = F.trim(part)
+        k = parts_key(F.trim(F.substr(text, F.lit(2))))
+        caret = F.when(k["a"] > 0, below(k["a"] + 1, nil, nil)).when(k["b"] > 0, below(nil, k["b"] + 1, nil)).otherwise(below(nil, nil, k["c"] + 1))
+        tokens = F.filter(F.split(text, r"[,\s]+"), lambda t: t != "")
+        all_ = F.flatten(F.transform(tokens, token))
+        return (
+            F.when(text.isin(*ANY), F.slice(F.array(bound(">=", k)), 1, 0))
+            .when(F.startswith(text, F.lit("^")), F.array(bound(">=", k), bound("<", caret)))
+            .when(F.startswith(text, F.lit("~")), F.array(bound(">=", k), bound("<", below(k["a"], k["b"] + 1, nil))))
+            .otherwise(all_)
+        )
+
+    return F.transform(F.split(F.coalesce(constraint, F.lit("*")), r"\|\|"), one)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names as N
 from ..functions import versions as V
+from . import intervals as I
 
 C = F.col
 
@@ -59,25 +62,47 @@ def advisory_matches(advisories: DataFrame, packages: DataFrame) -> DataFrame:
     a, p = advisories.alias("a"), packages.alias("p")
     none = F.array().cast("array<string>")
     same = (F.coalesce("a.ecosystem", F.lit("")) == "") | (C("a.ecosystem") == C("p.ecosystem"))
-    rpm = C("p.ecosystem") == "rpm"
-    listed = F.arrays_overlap(F.coalesce("a.versions", none), C("p.candidates"))
-
-    def within(r: Column) -> Column:
-        bounds = F.array(r["introduced"], r["fixed"], r["last_affected"], r["limit"])
-        fit = F.when(rpm, V.precise(C("p.candidates"), bounds)).otherwise(C("p.candidates"))
-        return F.exists(fit, lambda v: V.in_range(v, r["introduced"], r["fixed"], r["last_affected"], r["limit"], rpm))
-
-    ranged = F.size(F.coalesce("a.ranges", F.array())) > 0
-    version = F.when(F.coalesce(listed, F.lit(False)), True).when(ranged, F.exists("a.ranges", within)).otherwise(F.size(F.coalesce("a.versions", none)) <= 0)
     by_purl = advisories.select("advisory", "severity", "ecosystem", F.explode("purls").alias("purl")).distinct().alias("a")
     has_purl = packages.select("id", "ecosystem", F.explode("purls").alias("purl")).distinct().alias("p")
+    listed = advisories.select("advisory", "severity", "ecosystem", "package", F.explode("versions").alias("spelled")).alias("a")
+    spelled = packages.select("id", "ecosystem", "name", F.explode("candidates").alias("spelled")).alias("p")
+    free = (F.size(F.coalesce("a.versions", none)) <= 0) & (F.size(F.coalesce("a.ranges", F.array())) <= 0)
     ways = [
         by_purl.join(has_purl, (C("a.purl") == C("p.purl")) & same),
         a.join(p, (C("a.package_id") == C("p.id")) & same),
-        a.join(p, (C("a.package") == C("p.name")) & same & version),
+        listed.join(spelled, (C("a.package") == C("p.name")) & (C("a.spelled") == C("p.spelled")) & same),
+        a.where(free).join(p, (C("a.package") == C("p.name")) & same),
     ]
     rows = [x.select("a.advisory", "a.severity", "p.id") for x in ways]
-    return rows[0].unionByName(rows[1]).unionByName(rows[2]).dropDuplicates(["advisory", "id"])
+    rows.append(_ranged(advisories, packages))
+    return reduce(DataFrame.unionByName, rows).dropDuplicates(["advisory", "id"])
+
+
+def _ranged(advisories: DataFrame, packages: DataFrame) -> DataFrame:
+    """advisory, severity, id where one of the ranges holds a spelling of the version. Versions have the order of their kind: rpm or not, and of an
+    rpm all spellings or, for a range whose bounds have a release or an epoch, the precise ones."""
+    rpm, own = C("ecosystem") == "rpm", F.coalesce("ecosystem", F.lit(""))
+    exact = F.filter("candidates", lambda x: F.contains(x, F.lit("-")) | F.contains(x, F.lit(":")))
+    kinds = F.when(rpm, F.array(F.lit("rpm"), F.lit("precise"))).otherwise(F.array(F.lit("plain")))
+    points = packages.select("id", "name", "ecosystem", "candidates", F.explode(kinds).alias("kind"))
+    fine = F.when((C("kind") == "precise") & (F.size(exact) > 0), exact).otherwise(C("candidates"))
+    points = points.select("id", "name", "kind", rpm.alias("rpm"), F.array_distinct(F.array(own, F.lit(""))).alias("ecos"), F.explode(fine).alias("v"))
+    points = points.select("id", "name", "kind", "rpm", "v", F.explode("ecos").alias("eco"))
+    points = points.select(F.struct("name", "kind", "eco").alias("group"), V.advisory_key(C("v"), C("rpm")).alias("key"), C("id").alias("item"))
+    ranges = advisories.where("package IS NOT NULL").select("advisory", "severity", "package", own.alias("eco"), F.posexplode("ranges").alias("i", "r"))
+    has = lambda c: F.coalesce(C(f"r.{c}"), F.lit("")) != ""
+    fields = ("introduced", "fixed", "last_affected", "limit")
+    some = reduce(lambda x, y: x | y, map(has, fields))
+    detailed = F.exists(F.array_compact(F.array(*[C(f"r.{c}") for c in fields])), lambda x: F.contains(x, F.lit("-")) | F.contains(x, F.lit(":")))
+    kind = F.explode(F.array(F.lit("plain"), F.when(detailed, "precise").otherwise("rpm"))).alias("kind")
+    ranges = ranges.where(some).select("advisory", "severity", "i", "r", "package", "eco", kind)
+    key = lambda c: V.advisory_key(C(f"r.{c}"), C("kind") != "plain")
+    bounds = F.array_compact(F.array(
+        F.when(has("introduced") & (C("r.introduced") != "0"), I.at_least(key("introduced"))), F.when(has("fixed"), I.below(key("fixed"))),
+        F.when(has("last_affected"), I.at_most(key("last_affected"))), F.when(has("limit"), I.below(key("limit"))),
+    ))
+    ranges = ranges.select(F.struct("advisory", "severity", "i", "kind").alias("range"), F.struct(C("package").alias("name"), "kind", "eco").alias("group"), bounds.alias("bounds"))
+    return I.matches(points, ranges).select("range.advisory", "range.severity", C("item").alias("id"))
 
 
 def advisory_packages(nodes: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import versions as V
+from . import intervals as I
 from .graph import levels
 from .tables import counted, written
 
@@ -28,12 +29,29 @@ def ranked_versions(registry: DataFrame) -> DataFrame:
     return registry.select("name", "version", (F.row_number().over(Window.partitionBy("name").orderBy(V.parts_key(C("version")).desc(), F.desc("version"))) - 1).alias("rank"))
 
 
+def held(wanted: DataFrame, versions: DataFrame) -> DataFrame:
+    """dependency, constraint, choice: of each constraint the versions that it holds. wanted: dependency, constraint; versions: name, version.
+
+    Each alternative is a range of the versions in their order. A constraint that cannot be read is compared with each version of its package,
+    as it is an error only where no alternative before holds the version."""
+    wanted = written(wanted.select("dependency", "constraint").distinct().withColumn("reads", V.readable(C("constraint"))), "constraints")
+    known = versions.select("name", "version").distinct()
+    ends = F.transform("x", lambda b: F.struct(F.when(b["op"].startswith(">"), I.FROM).otherwise(I.TO).alias("side"), b["key"].alias("key"), b["op"].isin(">", "<=").alias("after")))
+    ranges = wanted.where("reads").select("dependency", "constraint", F.posexplode(V.alternatives(C("constraint"))).alias("i", "x"))
+    ranges = ranges.select(F.struct("dependency", "constraint", "i").alias("range"), C("dependency").alias("group"), ends.alias("bounds"))
+    found = I.matches(known.select(C("name").alias("group"), V.parts_key(C("version")).alias("key"), C("version").alias("item")), ranges)
+    plain = found.select("range.dependency", "range.constraint", C("item").alias("choice")).distinct()
+    odd = wanted.where("NOT reads").join(known, C("dependency") == C("name")).where(V.allows(C("constraint"), C("version")))
+    return plain.unionByName(odd.select("dependency", "constraint", C("version").alias("choice")))
+
+
 def allowed(registry: DataFrame) -> DataFrame:
     """name, version, dependency, choices: for each requirement the versions that its constraint holds; none if there is none."""
     wants = registry.select("name", "version", F.explode("dependencies").alias("dependency", "constraint"))
-    other = registry.select(C("name").alias("dependency"), C("version").alias("choice"))
-    hit = F.when(F.coalesce(V.allows(C("constraint"), C("choice")), F.lit(False)), C("choice"))
-    return wants.join(other, "dependency", "left").groupBy("name", "version", "dependency").agg(F.collect_list(hit).alias("choices"))
+    choices = held(wants, registry).groupBy("dependency", "constraint").agg(F.collect_list("choice").alias("choices"))
+    same = F.equal_null("w.constraint", "c.constraint") & (C("w.dependency") == C("c.dependency"))
+    found = wants.alias("w").join(choices.alias("c"), same, "left")
+    return found.select("w.name", "w.version", "w.dependency", F.coalesce("choices", F.array().cast("array<string>")).alias("choices"))
 
 
 def clauses(registry: DataFrame) -> DataFrame:

@@ -363,3 +363,36 @@ def test_deep_graphs_by_parts(spark):
     for a, b in ((0, 149), (5, 5)):
         assert [tuple(r) for r in graph.deep_path(nodes, edges, f"n{a}", f"n{b}", part_bits=6).collect()] == [tuple(r) for r in graph.shortest_path(nodes, edges, f"n{a}", f"n{b}").collect()]
     assert graph.deep_path(nodes, edges, "n1", "none").count() == 0
+
+
+def test_interval_join(spark):
+    """All ends, ties and groups against every pair; and a hot group whose product would not fit."""
+    from depgrove.operators import intervals as I
+
+    rng = random.Random(6)
+    points = [(g, rng.randrange(12), f"{g}{i}") for g in "abc" for i in range(25)]
+    tests = {"at_least": (I.at_least, lambda p, k: p >= k), "above": (I.above, lambda p, k: p > k), "at_most": (I.at_most, lambda p, k: p <= k), "below": (I.below, lambda p, k: p < k)}
+    ranges = [(i, rng.choice("abcd"), [(rng.choice(list(tests)), rng.randrange(-1, 13)) for _ in range(rng.randrange(4))]) for i in range(120)]
+    want = collections.Counter((r, item) for r, g, ends in ranges for h, p, item in points if g == h and all(tests[t][1](p, k) for t, k in ends))
+    shape = "range long, `group` string, ends array<struct<test:string,k:int>>"
+    ends = F.transform("ends", lambda e: F.when(e["test"] == "at_least", I.at_least(e["k"])).when(e["test"] == "above", I.above(e["k"])).when(e["test"] == "at_most", I.at_most(e["k"])).otherwise(I.below(e["k"])))
+    found = I.matches(spark.createDataFrame(points, "`group` string, key int, item string"), spark.createDataFrame(ranges, shape).select("range", "group", ends.alias("bounds")))
+    assert collections.Counter((r.range, r.item) for r in found.collect()) == want
+    n = 10_000
+    hot = spark.range(n).select(F.lit("x").alias("group"), C("id").alias("key"), C("id").alias("item"))
+    narrow = spark.range(n).select(C("id").alias("range"), F.lit("x").alias("group"), F.array(I.at_least(C("id")), I.below(C("id") + 2)).alias("bounds"))
+    assert I.matches(hot, narrow).count() == 2 * n - 1
+
+
+def test_constraints_held(spark):
+    constraints = ["*", "", None, "latest", "1.0.0", "=1.2.3", "^1.2", "^0.3.1", "^0.0.2", "~1.2.0", ">=1.0,<2.0", ">1.2.3 <=2.0.0-rc1", "<1.0.0 || >=2.0.0", "^1 || ^2 || 0.3.1", "1.2.3 || what ever?"]
+    known = ["0.0.2", "0.3.1", "0.3.9", "1.0.0", "1.2.3", "1.2.9", "1.9.0", "2.0.0-rc1", "2.0.0", "3.1.4"]
+    wants = spark.createDataFrame([("p", c) for c in constraints[:-1]], "dependency string, constraint string")
+    versions = spark.createDataFrame([("p", v) for v in known], "name string, version string")
+    every = wants.join(versions, C("dependency") == C("name")).where(V.allows(C("constraint"), C("version")))
+    same = lambda df, c: sorted(str((r.constraint, r[c])) for r in df.collect())
+    assert same(resolver.held(wants, versions), "choice") == same(every, "version")
+    odd = spark.createDataFrame([("p", constraints[-1])], "dependency string, constraint string")
+    assert [r.choice for r in resolver.held(odd, versions.where("version = '1.2.3'")).collect()] == ["1.2.3"]
+    with pytest.raises(Exception, match="unsupported version constraint"):
+        resolver.held(odd, versions).collect()
