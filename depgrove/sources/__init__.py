@@ -6,7 +6,7 @@ from . import lockfiles, tables
 
 LOADERS = {
     "npm-lock": lambda s, p: tables.package_lock(s, p)[:2], "package-json": tables.package_json, "requirements": tables.requirements_graph, "yarn-lock": lockfiles.yarn_lock,
-    "pnpm-lock": lockfiles.pnpm_lock, "poetry-lock": lockfiles.poetry_lock, "pyproject": lockfiles.pyproject, "cargo-lock": lockfiles.cargo_lock, "maven-tree": tables.maven_tree,
+    "pnpm-lock": lockfiles.pnpm_lock, "poetry-lock": lockfiles.poetry_lock, "pyproject": lockfiles.pyproject_file, "cargo-lock": lockfiles.cargo_lock, "maven-tree": tables.maven_tree,
     "cyclonedx": tables.cyclonedx, "dot": tables.dot, "rpm-repo": tables.rpm_repository, "build": tables.build, "snapshot": tables.snapshot,
 }
 #: Loaders of what is no graph.

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,24 +26,3 @@ def node(graph: Column, name: Column, version: Column, ecosystem: Column, id_: C
     full = F.create_map(*pairs) if pairs else F.create_map().cast(MAP)
     id_ = F.concat(name, F.lit("=="), version) if id_ is None else id_
     return [graph.alias("graph"), id_.alias("id"), name.alias("name"), version.alias("version"), ecosystem.alias("ecosystem"), F.map_filter(full, lambda k, v: v.isNotNull()).alias("meta")]
-
-
-def parsed(texts: DataFrame, parse: Callable[[str], Iterable[tuple]]) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of files whose grammar needs a parser. parse(text) gives ("node", name, version, meta) and ("edge", src, dst);
-    files are parsed one by one in the tasks that read them."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(g, *r) for g, t in zip(batch.column("graph").to_pylist(), batch.column("text").to_pylist()) for r in parse(t or "")]
-            kinds = [r[1] for r in rows]
-            meta = [[(k, str(v)) for k, v in r[4].items() if v is not None] if r[1] == "node" else [] for r in rows]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.string()), pa.array(kinds, pa.string()), pa.array([r[2] for r in rows], pa.string()), pa.array([r[3] for r in rows], pa.string()), pa.array(meta, pa.map_(pa.string(), pa.string()))],
-                ["graph", "kind", "a", "b", "meta"],
-            )
-
-    found = texts.mapInArrow(work, f"graph string, kind string, a string, b string, meta {MAP}")
-    eco = F.coalesce(F.try_element_at("meta", F.lit("ecosystem")), F.lit("generic"))
-    nodes = found.where("kind = 'node'").select("graph", F.concat("a", F.lit("=="), "b").alias("id"), F.col("a").alias("name"), F.col("b").alias("version"), eco.alias("ecosystem"), "meta").dropDuplicates(["graph", "id"])
-    edges = found.where("kind = 'edge'").select("graph", F.col("a").alias("src"), F.col("b").alias("dst"), F.lit(1).alias("rel")).distinct()
-    return nodes, edges

@@ -1,142 +1,422 @@
-"""Loaders for lock files with grammars of their own; each file is parsed in the task that reads it."""
+"""Lock files with grammars of their own, as data sources: `register(spark)`, then `spark.read.format("cargo-lock").load(path)`.
+
+A row is a package or a dependency between two. Each file is a partition and parsed where it is read, from any file system that pyarrow opens;
+a filter for one file or for one kind of rows reaches the reader, which opens no other file and yields no other row. Within a file a package has
+one row: later metadata goes over earlier; of several dependencies between the same two the last counts. Rows have the file's own order (seq).
+"""
 
 from __future__ import annotations
 
 import re
 import tomllib
+from collections.abc import Callable, Iterable, Iterator
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition
+
+C = F.col
+SCHEMA = "file string, kind string, seq long, id string, name string, version string, src string, dst string, scope string, constraint string, resolved string, line int, meta map<string,string>"
+NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
+#: Names and version of the root of a file that names none.
+ROOTS = {"poetry-lock": "poetry-lock", "cargo-lock": "cargo-lock", "yarn-lock": "yarn-lock", "pnpm-lock": "pnpm-lock", "pyproject": "pyproject"}
+RESOLVED = "resolved"
+ECOSYSTEMS = {"poetry-lock": "pypi", "pyproject": "pypi", "cargo-lock": "cargo", "yarn-lock": "npm", "pnpm-lock": "npm"}
+MANAGERS = {"poetry-lock": "poetry", "pyproject": "pyproject", "cargo-lock": "cargo", "yarn-lock": "yarn", "pnpm-lock": "pnpm"}
+#: Scopes of groups of requirements, all others are optional.
+GROUP_SCOPES = {"dev": "dev", "develop": "dev", "test": "test", "tests": "test", "build": "build"}
+DIRECT = {"classification": "direct", "direct_dependency": True, "transitive_dependency": False}
+TRANSITIVE = {"classification": "transitive", "direct_dependency": False, "transitive_dependency": True}
+
+
+class Lock:
+    """What a file says: packages by id and dependencies by their ends, in the order in which they come first."""
+
+    def __init__(self, form: str, file: str, name: str | None = None, version: str | None = None):
+        self.form, self.file = form, file
+        self.common = {"ecosystem": ECOSYSTEMS[form], "source": file.rpartition("/")[2], "package_manager": MANAGERS[form]}
+        self.packages: dict[str, tuple[str, str, dict]] = {}
+        self.needs: dict[tuple[str, str], dict] = {}
+        self.root = self.package(name or ROOTS[form], version or RESOLVED, node_type="root", classification="root", direct_dependency=False, transitive_dependency=False, dependency_scope="runtime")
+
+    def package(self, name: str, version: str, id_: str | None = None, **meta: Any) -> str:
+        id_ = id_ or f"{name}=={version}"
+        known = self.packages.setdefault(id_, (name, version, {}))[2]
+        known |= {k: v for k, v in (self.common | {"node_type": "package"} | meta).items() if v not in (None, "")}
+        return id_
+
+    def need(self, src: str, dst: str, scope: str, constraint: str = "", line: int | None = None) -> None:
+        self.needs[src, dst] = {"scope": scope, "constraint": constraint or None, "resolved": self.packages[dst][1] or None, "line": line}
+
+    def from_root(self, dst: str, scope: str, constraint: str = "") -> None:
+        self.packages[dst][2].update(DIRECT)
+        self.need(self.root, dst, scope, constraint)
+
+    def orphans_from_root(self, scope: Callable[[dict], str] = lambda meta: "runtime") -> None:
+        needed = {dst for _, dst in self.needs}
+        for id_ in sorted(set(self.packages) - needed - {self.root}):
+            self.from_root(id_, scope(self.packages[id_][2]))
+
+    def rows(self, kind: str | None) -> Iterator[tuple]:
+        if kind in (None, "node"):
+            for seq, (id_, (name, version, meta)) in enumerate(self.packages.items()):
+                yield self.file, "node", seq, id_, name, version, None, None, None, None, None, None, sorted((k, str(v)) for k, v in meta.items())
+        if kind in (None, "edge"):
+            for seq, ((src, dst), x) in enumerate(self.needs.items()):
+                yield self.file, "edge", seq, None, None, None, src, dst, x["scope"], x["constraint"], x["resolved"], x["line"], None
+
+
+def _table(value: Any) -> dict:
+    return value if isinstance(value, dict) else {}
+
+
+def _only(ids: Iterable[str]) -> str | None:
+    ids = set(ids)
+    return ids.pop() if len(ids) == 1 else None
+
+
+def _named(records: Any) -> list[dict]:
+    if not isinstance(records, list):
+        raise ValueError("package must be a list of tables")
+    return [r for r in records if isinstance(r, dict) and r.get("name") is not None and r.get("version") is not None]
+
+
+def _dashed(name: str, more: str = "") -> str:
+    return re.sub(f"[_{more}]", "-", name.lower())
+
+
+# Poetry, pyproject
+
+
+def _poetry_scope(record: dict) -> str:
+    groups = record.get("groups")
+    for group, scope in (("dev", "dev"), ("test", "test"), ("main", "runtime")):
+        if isinstance(groups, list) and group in groups:
+            return scope
+    return "optional" if record.get("optional") else "runtime"
+
 
-from .common import files, parsed
-
-
-def _normal(name: str) -> str:
-    return name.lower().replace("_", "-").replace(".", "-")
-
-
-def _rooted(nodes: dict[str, tuple], edges: set[tuple[str, str]], root: tuple, ecosystem: str):
-    """The nodes and edges, and an edge from the root to each node that nothing depends on."""
-    top = f"{root[0]}=={root[1]}"
-    wanted = {d for _, d in edges}
-    yield "node", *root, {"ecosystem": ecosystem}
-    for id_, (name, version, meta) in nodes.items():
-        if id_ != top:
-            yield "node", name, version, {"ecosystem": ecosystem} | meta
-            if id_ not in wanted:
-                yield "edge", top, id_, {}
-    for s, d in sorted(edges):
-        yield "edge", s, d, {}
-
-
-def _poetry(text: str):
-    packages = tomllib.loads(text).get("package", [])
-    ids = {_normal(p["name"]): f"{_normal(p['name'])}=={p.get('version', 'unknown')}" for p in packages}
-    nodes = {ids[_normal(p["name"])]: (_normal(p["name"]), p.get("version", "unknown"), {"category": p.get("category")}) for p in packages}
-    edges = {(ids[_normal(p["name"])], ids[_normal(d)]) for p in packages for d in p.get("dependencies", {}) if _normal(d) in ids}
-    return _rooted(nodes, edges, ("poetry-project", "0.0.0"), "pypi")
-
-
-def _cargo(text: str):
-    packages = tomllib.loads(text).get("package", [])
-    nodes = {f"{p['name']}=={p['version']}": (p["name"], p["version"], {"source": p.get("source")}) for p in packages}
-    by_name: dict[str, list[str]] = {}
-    for id_, (name, _, _) in nodes.items():
-        by_name.setdefault(name, []).append(id_)
-    edges = set()
-    for p in packages:
-        for d in p.get("dependencies", []):
-            name, version = (d.split(" ") + [None])[:2]
-            exact = f"{name}=={version}"
-            found = exact if exact in nodes else by_name[name][0] if len(by_name.get(name, [])) == 1 else None
-            if found:
-                edges.add((f"{p['name']}=={p['version']}", found))
-    return _rooted(nodes, edges, ("cargo-workspace", "0.0.0"), "cargo")
-
-
-def _pyproject(text: str):
-    d = tomllib.loads(text)
-    project, poetry = d.get("project", {}), d.get("tool", {}).get("poetry", {})
-    root = (_normal(project.get("name") or poetry.get("name") or "project"), project.get("version") or poetry.get("version") or "0.0.0")
-    wanted = [(r, "runtime") for r in project.get("dependencies", [])]
-    wanted += [(r, group) for group, rows in project.get("optional-dependencies", {}).items() for r in rows]
-    groups = {"runtime": poetry.get("dependencies", {}), "dev": poetry.get("dev-dependencies", {})} | {g: x.get("dependencies", {}) for g, x in poetry.get("group", {}).items()}
-    wanted += [(f"{n} {v if isinstance(v, str) else v.get('version', '*')}", g) for g, rows in groups.items() for n, v in rows.items() if n != "python"]
-    nodes = {}
-    for requirement, scope in wanted:
-        m = re.match(r"\s*([A-Za-z0-9][\w.-]*)(?:\[[^\]]*\])?\s*([^;]*)", requirement)
-        if m:
-            name, version = _normal(m[1]), m[2].strip() or "*"
-            nodes.setdefault(f"{name}=={version}", (name, version, {"scope": scope}))
-    return _rooted(nodes, set(), root, "pypi")
-
-
-def _yarn(text: str):
-    entries, current = [], None
-    for line in text.splitlines():
-        if not line.strip() or line.startswith("#"):
+def _stated(value: Any) -> str:
+    """The constraint of a Poetry requirement: its version, else where it comes from."""
+    return str(next((value[k] for k in ("version", "url", "git", "path") if value.get(k)), "*")) if isinstance(value, dict) else str(value or "*")
+
+
+def poetry(text: str, file: str) -> Lock:
+    lock, ids = Lock("poetry-lock", file), {}
+    records = _named(tomllib.loads(text).get("package", []))
+    for r in records:
+        groups, files = r.get("groups"), r.get("files") if isinstance(r.get("files"), list) else []
+        category = r.get("category") or ("main" if isinstance(groups, list) and "main" in groups else None)
+        hashes = ",".join(str(f["hash"]) for f in files if isinstance(f, dict) and f.get("hash"))
+        ids[_dashed(str(r["name"]), ".")] = lock.package(
+            str(r["name"]), str(r["version"]), license=r.get("license"), checksum=hashes, dependency_scope=_poetry_scope(r), category=category, groups=groups, optional=r.get("optional"),
+            python_versions=r.get("python-versions"), description=r.get("description"), artifact_count=len(files) or None, artifact_type="wheel_or_source_archive" if files else None, **TRANSITIVE,
+        )
+    for r in records:
+        for name, wanted in sorted(_table(r.get("dependencies")).items()):
+            if target := ids.get(_dashed(name, ".")):
+                lock.need(ids[_dashed(str(r["name"]), ".")], target, _poetry_scope(r), _stated(wanted))
+    lock.orphans_from_root(lambda meta: meta.get("dependency_scope", "runtime"))
+    return lock
+
+
+REQUIREMENT = re.compile(r"(?P<name>[^\[;@=~!<>]+)(?:\[(?P<extras>[^\]]*)\])?\s*(?:@\s*(?P<url>\S+)|(?P<constraint>(?:===|==|~=|!=|<=|>=|<|>).*))?")
+ARTIFACTS = {".whl": "wheel", ".tar.gz": "source_archive", ".zip": "source_archive", ".tgz": "source_archive"}
+
+
+def _exact(constraint: str) -> str:
+    found = re.match(r"===?\s*(.*)$", constraint)
+    return found[1] if found else ""
+
+
+def pyproject(text: str, file: str) -> Lock:
+    doc = tomllib.loads(text)
+    project, tool = _table(doc.get("project")), _table(_table(doc.get("tool")).get("poetry"))
+    lock = Lock("pyproject", file, str(tool.get("name") or project.get("name") or ROOTS["pyproject"]), str(tool.get("version") or project.get("version") or "0.0.0"))
+    scope_of = lambda group: GROUP_SCOPES.get(group.lower(), "optional")
+    found = []  # scope, name, constraint, url, extras, marker
+    listed = [("runtime", project.get("dependencies"))] + [(scope_of(g), rows) for g, rows in _table(project.get("optional-dependencies")).items()]
+    for scope, rows in listed:
+        for row in rows if isinstance(rows, list) else ():
+            body, _, marker = str(row).partition(";")
+            if m := REQUIREMENT.match(body.strip()):
+                found.append((scope, _dashed(m["name"].strip(), "."), (m["url"] or m["constraint"] or "").strip(), m["url"] or "", m["extras"] or "", marker.strip()))
+    tables = [("runtime", tool.get("dependencies"))] + [(scope_of(g), _table(x).get("dependencies")) for g, x in _table(tool.get("group")).items()]
+    for scope, table in tables:
+        for name, value in _table(table).items():
+            if name.lower() != "python":
+                where = next((str(value[k]) for k in ("url", "git", "path") if value.get(k)), "") if isinstance(value, dict) else ""
+                extras = value.get("extras") if isinstance(value, dict) else None
+                found.append((scope, _dashed(name, "."), _stated(value), where, ",".join(map(str, extras)) if isinstance(extras, list) else "", ""))
+    for scope, name, constraint, url, extras, marker in sorted(found, key=lambda r: r[:2]):
+        kind = next((v for end, v in ARTIFACTS.items() if url.lower().endswith(end)), None)
+        version = _exact(constraint)
+        id_ = lock.package(name, version, f"{name}=={version or constraint or 'unresolved'}", constraint=constraint, source_url=url, extras=extras.replace(" ", ""), marker=marker, artifact_type=kind, dependency_scope=scope)
+        lock.from_root(id_, scope, constraint)
+    return lock
+
+
+# Cargo
+
+
+def cargo(text: str, file: str) -> Lock:
+    lock = Lock("cargo-lock", file)
+    records = _named(tomllib.loads(text).get("package", []))
+    versions: dict[str, dict[str, str]] = {}
+    for r in records:
+        source = str(r.get("source") or "")
+        id_ = lock.package(
+            str(r["name"]), str(r["version"]), source_url=re.sub(r"^(registry|git)\+", "", source), checksum=r.get("checksum"), provenance=source, cargo_source=source, cargo_checksum=r.get("checksum"),
+            git_dependency=True if source.startswith("git+") or ".git" in source else None, dependency_scope="runtime", **TRANSITIVE,
+        )
+        versions.setdefault(_dashed(str(r["name"])), {})[str(r["version"])] = id_
+    for r in records:
+        for wanted in sorted(map(str, r.get("dependencies") or ())):
+            name, version, *_ = [*wanted.split(), "", ""]
+            there = versions.get(_dashed(name), {})
+            if target := there.get(version) or _only(there.values()):
+                lock.need(f"{r['name']}=={r['version']}", target, "runtime", version)
+    lock.orphans_from_root()
+    return lock
+
+
+# Yarn, pnpm
+
+
+def _bare(text: str) -> str:
+    text = text.strip()
+    return text[1:-1] if len(text) > 1 and text[0] == text[-1] and text[0] in "'\"" else text
+
+
+def _split_at(key: str) -> tuple[str, str]:
+    """Name and what follows the @ that is not the first character."""
+    at = key.rfind("@") if not key.startswith("@") else key.find("@", key.find("/"))
+    return (key[:at], key[at + 1 :]) if at > 0 else (key, "")
+
+
+def yarn(text: str, file: str) -> Lock:
+    lock, entries, block = Lock("yarn-lock", file), [], None
+    for number, line in enumerate(text.splitlines(), 1):
+        if not line.strip() or line.lstrip().startswith("#"):
             continue
-        if not line.startswith(" "):
-            current = {"keys": [k.strip().strip('"') for k in line.rstrip(":").split(",")], "deps": []}
-            entries.append(current)
+        if line[0] not in " \t":
+            keys = [_bare(k) for k in re.findall(r"(?:'[^']*'|\"[^\"]*\"|[^,])+", line.rstrip()[:-1])] if line.rstrip().endswith(":") else []
+            if keys:
+                entries.append({"keys": keys, "name": _split_at(keys[0])[0], "line": number, "fields": {}, "needs": {}})
             block = None
-        elif current is not None and re.match(r"  \S", line):
-            key, _, value = line.strip().partition(" ")
-            block = key.rstrip(":") if not value else None
-            current[key] = value.strip().strip('"')
-        elif current is not None and block in ("dependencies", "optionalDependencies"):
-            name, _, want = line.strip().partition(" ")
-            current["deps"].append((name.strip('"'), want.strip().strip('"')))
-    name_of = lambda key: key[: key.rfind("@")] if key.rfind("@") > 0 else key
-    ids = {k: f"{name_of(k)}=={e.get('version', 'unknown')}" for e in entries for k in e["keys"]}
-    by_name: dict[str, set[str]] = {}
-    for k, id_ in ids.items():
-        by_name.setdefault(name_of(k), set()).add(id_)
-    nodes = {ids[e["keys"][0]]: (name_of(e["keys"][0]), e.get("version", "unknown"), {"resolved": e.get("resolved")}) for e in entries}
-    edges = set()
+        elif entries:
+            name, _, value = line.strip().partition(" ")
+            name, value = _bare(name.rstrip(":")), _bare(value)
+            if not line.startswith("    "):
+                block = name
+                entries[-1]["fields"][name] = value
+            elif block == "dependencies":
+                entries[-1]["needs"][name] = value
+    ids, by_name = {}, {}
+    for e in entries:
+        version = e["fields"].get("version") or "0.0.0"
+        e["id"] = lock.package(
+            e["name"], version, source_url=e["fields"].get("resolved"), checksum=e["fields"].get("integrity"), resolved=e["fields"].get("resolved"), integrity=e["fields"].get("integrity"),
+            lockfile_format="yarn-lock", package_path=f"yarn:{e['keys'][0]}", source_line=e["line"], dependency_scope="runtime", **TRANSITIVE,
+        )
+        ids |= dict.fromkeys(e["keys"], e["id"])
+        by_name.setdefault(e["name"], set()).add(e["id"])
     for e in entries:
-        for name, want in e["deps"]:
-            found = ids.get(f"{name}@{want}") or (next(iter(by_name[name])) if len(by_name.get(name, ())) == 1 else None)
-            if found:
-                edges.add((ids[e["keys"][0]], found))
-    return _rooted(nodes, edges, ("yarn-project", "0.0.0"), "npm")
+        for name, wanted in sorted(e["needs"].items()):
+            if target := ids.get(f"{name}@{wanted}") or _only(by_name.get(name, ())):
+                lock.need(e["id"], target, "runtime", wanted, e["line"])
+    lock.orphans_from_root()
+    return lock
 
 
-def _pnpm(text: str):
-    """The keys that matter of a lock file, by indentation."""
-    nodes, edges, direct, path = {}, set(), [], []
+def _value(text: str) -> Any:
+    text = _bare(text)
+    if text.startswith("{") and text.endswith("}"):
+        return {_bare(k): _value(v) for k, _, v in (part.partition(":") for part in text[1:-1].split(",")) if k.strip()}
+    return {"true": True, "false": False}.get(text.lower(), text)
 
-    def split(key: str) -> tuple[str, str]:
-        key = key.strip("'\"").lstrip("/").split("(")[0]
-        at = key.rfind("@")
-        return (key[:at], key[at + 1 :]) if at > 0 else (key.rpartition("/")[0] or key, key.rpartition("/")[2])
 
-    for line in text.splitlines():
+KEY = re.compile(r"((?:'[^']*'|\"[^\"]*\"|[^:'\"])+):?(.*)$")
+
+
+def _outline(text: str) -> dict:
+    """Keys by indentation, as far as lock files use it: mappings and scalars. Where a key stands is kept under its path in ''."""
+    top: dict = {}
+    open_ = [(-1, top)]
+    for number, line in enumerate(text.splitlines(), 1):
+        line = line.split(" #")[0].rstrip()
         if not line.strip() or line.lstrip().startswith("#"):
             continue
-        depth = (len(line) - len(line.lstrip())) // 2
-        key, _, value = line.strip().partition(": ")
-        key, value = key.rstrip(":").strip("'\""), value.strip().strip("'\"")
-        path = path[:depth] + [key]
-        if path[0] in ("packages", "snapshots") and depth == 1:
-            name, version = split(key)
-            nodes.setdefault(f"{name}=={version}", (name, version, {}))
-        elif path[0] in ("packages", "snapshots") and depth == 3 and path[2] in ("dependencies", "optionalDependencies"):
-            name, version = split(path[1])
-            edges.add((f"{name}=={version}", f"{key}=={value.split('(')[0]}"))
-        elif path[0] == "importers" and depth == 4 and key == "version":
-            direct.append(f"{path[3]}=={value.split('(')[0]}")
-        elif path[0] in ("dependencies", "devDependencies") and (depth == 1 and value or depth == 2 and key == "version"):
-            direct.append(f"{path[1]}=={value.split('(')[0]}")
-    edges = {e for e in edges if e[1] in nodes}
-    edges |= {("pnpm-project==0.0.0", d) for d in direct if d in nodes}
-    return _rooted(nodes, edges, ("pnpm-project", "0.0.0"), "npm")
-
-
-def _loader(parse):
+        depth, m = len(line) - len(line.lstrip(" ")), KEY.match(line.strip())
+        if m is None:
+            continue
+        while depth <= open_[-1][0]:
+            open_.pop()
+        key, inner = _bare(m[1]), {"": number}
+        if m[2].strip():
+            open_[-1][1][key] = _value(m[2])
+        else:
+            open_[-1][1][key] = inner
+            open_.append((depth, inner))
+    return top
+
+
+def _items(value: Any) -> list[tuple[str, Any]]:
+    return sorted((k, v) for k, v in _table(value).items() if k)
+
+
+def pnpm(text: str, file: str) -> Lock:
+    doc, lock = _outline(text), Lock("pnpm-lock", file)
+    packages, snapshots = _table(doc.get("packages")), _table(doc.get("snapshots"))
+    fields = {"dependencies": "runtime", "optionalDependencies": "optional", "peerDependencies": "peer"}
+    entries, versions = [], {}
+    for key in sorted((packages.keys() | snapshots.keys()) - {""}):
+        name, version = _split_at(key.lstrip("/").split("(")[0])
+        if not version:
+            continue
+        own, more = _table(packages.get(key)), _table(snapshots.get(key))
+        found = _table(own.get("resolution"))
+        peers = ",".join(k for k, _ in _items(more.get("peerDependencies", own.get("peerDependencies"))))
+        line = own.get("", more.get(""))
+        id_ = lock.package(
+            name, version, source_url=found.get("tarball"), checksum=found.get("integrity"), resolved=found.get("tarball"), integrity=found.get("integrity"), license=own.get("license"), lockfile_format="pnpm-lock",
+            package_path=f"pnpm:{key}", source_line=line, peer_dependencies=peers, dependency_scope="runtime", **TRANSITIVE,
+        )
+        versions.setdefault(name, {})[version] = id_
+        entries.append((id_, {f: more.get(f, own.get(f)) for f in fields}, line))
+
+    def target(name: str, wanted: Any) -> str | None:
+        version = str((wanted.get("version") or wanted.get("specifier") or "") if isinstance(wanted, dict) else wanted).split("(")[0]
+        there = versions.get(name, {})
+        return there.get(version) or _only(there.values())
+
+    said = lambda wanted: str(wanted.get("specifier") or wanted.get("version") or "") if isinstance(wanted, dict) else str(wanted)
+    for id_, needs, line in entries:
+        for field, scope in fields.items():
+            for name, wanted in _items(needs[field]):
+                if to := target(name, wanted):
+                    lock.need(id_, to, scope, said(wanted), line)
+    direct = False
+    for _, importer in _items(doc.get("importers")):
+        for field, scope in {"dependencies": "runtime", "optionalDependencies": "optional", "devDependencies": "dev"}.items():
+            for name, wanted in _items(_table(importer).get(field)):
+                if to := target(name, wanted):
+                    direct = True
+                    lock.from_root(to, scope, said(wanted))
+                    lock.packages[to][2]["dependency_scope"] = scope
+    if not direct:
+        lock.orphans_from_root()
+    return lock
+
+
+PARSERS: dict[str, Callable[[str, str], Lock]] = {"poetry-lock": poetry, "cargo-lock": cargo, "yarn-lock": yarn, "pnpm-lock": pnpm, "pyproject": pyproject}
+
+
+class FilePart(InputPartition):
+    def __init__(self, uri: str):
+        self.uri = uri
+
+
+def _opened(path: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if re.match(r"\w+:", path) else (fs.LocalFileSystem(), path)
+
+
+def listed(path: str) -> list[str]:
+    """The file, or the files of the folder and its folders whose names do not begin with a dot or underscore."""
+    from pyarrow import fs
+
+    system, root = _opened(path)
+    found = system.get_file_info(root)
+    if found.type == fs.FileType.File:
+        return [path]
+    if found.type == fs.FileType.NotFound:
+        raise FileNotFoundError(path)
+    inside = [f.path for f in system.get_file_info(fs.FileSelector(root, recursive=True)) if f.type == fs.FileType.File]
+    return sorted(path.rstrip("/") + f[len(root.rstrip("/")) :] for f in inside if not re.search(r"/[._]", f[len(root.rstrip("/")) :]))
+
+
+class LockReader(DataSourceReader):
+    def __init__(self, form: str, path: str):
+        self.form, self.path, self.file, self.kind = form, path, None, None
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        for f in filters:
+            if isinstance(f, EqualTo) and f.attribute == ("file",):
+                self.file = f.value
+            elif isinstance(f, EqualTo) and f.attribute == ("kind",):
+                self.kind = f.value
+            else:
+                yield f
+
+    def partitions(self) -> list[FilePart]:
+        return [FilePart(f) for f in listed(self.path) if self.file in (None, f)]
+
+    def read(self, partition: FilePart) -> Iterator[pa.RecordBatch]:
+        system, path = _opened(partition.uri)
+        with system.open_input_stream(path) as f:
+            lock = PARSERS[self.form](f.read().decode(), partition.uri)
+        kinds = {"seq": pa.int64(), "line": pa.int32(), "meta": pa.map_(pa.string(), pa.string())}
+        rows = list(lock.rows(self.kind))
+        columns = list(zip(*rows)) if rows else [[] for _ in NAMES]
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), kinds.get(n, pa.string())) for n, c in zip(NAMES, columns)], NAMES)
+
+
+class LockSource(DataSource):
+    form = ""
+
+    @classmethod
+    def name(cls) -> str:
+        return cls.form
+
+    def schema(self) -> str:
+        return SCHEMA
+
+    def reader(self, schema) -> LockReader:
+        return LockReader(self.form, self.options["path"])
+
+
+class PoetryLock(LockSource):
+    form = "poetry-lock"
+
+
+class CargoLock(LockSource):
+    form = "cargo-lock"
+
+
+class YarnLock(LockSource):
+    form = "yarn-lock"
+
+
+class PnpmLock(LockSource):
+    form = "pnpm-lock"
+
+
+class Pyproject(LockSource):
+    form = "pyproject"
+
+
+def register(spark: SparkSession) -> None:
+    """Makes the formats known to the session, and lets filters reach readers in Python."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    for source in (PoetryLock, CargoLock, YarnLock, PnpmLock, Pyproject):
+        spark.dataSource.register(source)
+
+
+def _loader(form: str):
     def load(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-        return parsed(files(spark, path), parse)
+        register(spark)
+        rows = spark.read.format(form).load(path)
+        ecosystem = F.lit(ECOSYSTEMS[form]).alias("ecosystem")
+        nodes = rows.where("kind = 'node'").select(C("file").alias("graph"), "id", "name", "version", ecosystem, "meta", "seq")
+        edges = rows.where("kind = 'edge'").select(C("file").alias("graph"), "src", "dst", F.lit(1).alias("rel"), "scope", "constraint", "resolved", "line", "seq")
+        return nodes, edges
 
     return load
 
 
-poetry_lock, cargo_lock, pyproject, yarn_lock, pnpm_lock = map(_loader, (_poetry, _cargo, _pyproject, _yarn, _pnpm))
+poetry_lock, cargo_lock, yarn_lock, pnpm_lock = map(_loader, ("poetry-lock", "cargo-lock", "yarn-lock", "pnpm-lock"))
+pyproject_file = _loader("pyproject")

@@ -168,17 +168,124 @@ def test_build(spark, tmp_path):
     assert (row.seconds, row.build_seconds, row.build_longest, row.sign_tasks, row.sign_seconds, row.artifacts) == (90.5, 20.0, 20.0, 1, 0.0, 2)
 
 
-def test_lock_files(spark, tmp_path):
-    poetry = '[[package]]\nname = "A_b"\nversion = "1"\n[package.dependencies]\nc = "*"\n[[package]]\nname = "c"\nversion = "2"\n'
-    assert shape(lockfiles.poetry_lock(spark, put(tmp_path, "poetry.lock", poetry))) == (["a-b==1", "c==2", "poetry-project==0.0.0"], [("a-b==1", "c==2", 1), ("poetry-project==0.0.0", "a-b==1", 1)])
-    cargo = '[[package]]\nname = "a"\nversion = "1"\ndependencies = ["b 2", "c"]\n[[package]]\nname = "b"\nversion = "1"\n[[package]]\nname = "b"\nversion = "2"\n[[package]]\nname = "c"\nversion = "3"\n'
-    assert ("a==1", "b==2", 1) in shape(lockfiles.cargo_lock(spark, put(tmp_path, "Cargo.lock", cargo)))[1]
-    pyproject = '[project]\nname = "p"\nversion = "1"\ndependencies = ["a>=1"]\n[project.optional-dependencies]\ndev = ["b"]\n'
-    assert shape(lockfiles.pyproject(spark, put(tmp_path, "pyproject.toml", pyproject)))[0] == ["a==>=1", "b==*", "p==1"]
-    yarn = '# yarn\n"@s/a@^1", "@s/a@~1":\n  version "1.1"\n  dependencies:\n    b "^2"\n\nb@^2:\n  version "2.0"\n'
-    assert shape(lockfiles.yarn_lock(spark, put(tmp_path, "yarn.lock", yarn)))[1] == [("@s/a==1.1", "b==2.0", 1), ("yarn-project==0.0.0", "@s/a==1.1", 1)]
-    pnpm = "importers:\n  .:\n    dependencies:\n      a:\n        specifier: ^1\n        version: 1.0.0\npackages:\n  a@1.0.0:\n    resolution: {x: y}\n  b@2.0.0:\n    resolution: {x: y}\nsnapshots:\n  a@1.0.0:\n    dependencies:\n      b: 2.0.0\n"
-    assert shape(lockfiles.pnpm_lock(spark, put(tmp_path, "pnpm-lock.yaml", pnpm)))[1] == [("a==1.0.0", "b==2.0.0", 1), ("pnpm-project==0.0.0", "a==1.0.0", 1)]
+def lock_rows(found):
+    nodes, edges = found
+    return {r.id: r.meta for r in nodes.collect()}, {(r.src, r.dst): (r.scope, r.constraint, r.resolved) for r in edges.collect()}
+
+
+def test_poetry_lock(spark, tmp_path):
+    text = """[[package]]
+name = "A_b"
+version = "1"
+groups = ["main"]
+files = [{file = "a.whl", hash = "sha256:1"}, {file = "a.tgz", hash = "sha256:2"}]
+[package.dependencies]
+"c.d" = {version = ">=2", optional = true}
+gone = "*"
+[[package]]
+name = "c-d"
+version = "2"
+optional = true
+[[package]]
+name = "no version"
+"""
+    nodes, edges = lock_rows(lockfiles.poetry_lock(spark, put(tmp_path, "poetry.lock", text)))
+    assert set(nodes) == {"poetry-lock==resolved", "A_b==1", "c-d==2"}
+    assert edges == {("A_b==1", "c-d==2"): ("runtime", ">=2", "2"), ("poetry-lock==resolved", "A_b==1"): ("runtime", None, "1")}
+    assert nodes["A_b==1"] | {"checksum": "sha256:1,sha256:2", "artifact_count": "2", "category": "main", "classification": "direct", "package_manager": "poetry", "source": "poetry.lock"} == nodes["A_b==1"]
+    assert nodes["c-d==2"]["dependency_scope"] == "optional" and nodes["c-d==2"]["classification"] == "transitive"
+
+
+def test_cargo_lock(spark, tmp_path):
+    text = '[[package]]\nname = "a"\nversion = "1"\ndependencies = ["b 2", "foo-Bar", "two"]\n' + "".join(f'[[package]]\nname = "{n}"\nversion = "{v}"\nsource = "{s}"\nchecksum = "{v}{v}"\n' for n, v, s in (("b", 1, "registry+https://r"), ("b", 2, "git+https://h/b.git"), ("foo_bar", 3, ""), ("two", 1, ""), ("two", 2, "")))
+    nodes, edges = lock_rows(lockfiles.cargo_lock(spark, put(tmp_path, "Cargo.lock", text)))
+    assert edges == {("a==1", "b==2"): ("runtime", "2", "2"), ("a==1", "foo_bar==3"): ("runtime", None, "3")} | {("cargo-lock==resolved", f"{n}=={v}"): ("runtime", None, str(v)) for n, v in (("a", 1), ("b", 1), ("two", 1), ("two", 2))}
+    assert nodes["b==2"]["git_dependency"] == "True" and nodes["b==2"]["source_url"] == "https://h/b.git" and nodes["b==1"]["checksum"] == "11"
+
+
+def test_pyproject(spark, tmp_path):
+    text = """[project]
+name = "plain"
+dependencies = ["A_b[x, y] >= 1 ; python_version > '3'", "pin==2.0", "here @ https://h/x.whl"]
+[project.optional-dependencies]
+dev = ["tool"]
+docs = ["sphinx<9"]
+[tool.poetry]
+name = "Own_Name"
+version = "7"
+[tool.poetry.dependencies]
+python = "^3"
+web = {version = "^2", extras = ["z"]}
+[tool.poetry.group.test.dependencies]
+probe = {git = "https://h/p.git"}
+"""
+    nodes, edges = lock_rows(sources.load(spark, "pyproject", put(tmp_path, "pyproject.toml", text)))
+    root = "Own_Name==7"
+    assert edges == {
+        (root, "a-b==>= 1"): ("runtime", ">= 1", None), (root, "pin==2.0"): ("runtime", "==2.0", "2.0"), (root, "here==https://h/x.whl"): ("runtime", "https://h/x.whl", None), (root, "tool==unresolved"): ("dev", None, None),
+        (root, "sphinx==<9"): ("optional", "<9", None), (root, "web==^2"): ("runtime", "^2", None), (root, "probe==https://h/p.git"): ("test", "https://h/p.git", None),
+    }
+    assert nodes["a-b==>= 1"]["extras"] == "x,y" and nodes["here==https://h/x.whl"]["artifact_type"] == "wheel" and nodes["web==^2"]["extras"] == "z"
+    bare = lock_rows(lockfiles.pyproject_file(spark, put(tmp_path, "other.toml", "[build-system]\n")))
+    assert set(bare[0]) == {"pyproject==0.0.0"} and not bare[1]
+
+
+def test_yarn_lock(spark, tmp_path):
+    text = '# yarn\n"@s/a@^1", "@s/a@~1":\n  version "1.1"\n  resolved "https://h/a.tgz#0"\n  integrity sha512-x\n  dependencies:\n    b "^2"\n    "@s/c" "^9"\n    gone "1"\n\nb@^2:\n  version "2.0"\n\nb@^1:\n  version "1.0"\n\n"@s/c@npm:1":\n  version "3"\n'
+    nodes, edges = lock_rows(lockfiles.yarn_lock(spark, put(tmp_path, "yarn.lock", text)))
+    assert edges == {("@s/a==1.1", "b==2.0"): ("runtime", "^2", "2.0"), ("@s/a==1.1", "@s/c==3"): ("runtime", "^9", "3"), ("yarn-lock==resolved", "@s/a==1.1"): ("runtime", None, "1.1"), ("yarn-lock==resolved", "b==1.0"): ("runtime", None, "1.0")}
+    assert nodes["@s/a==1.1"] | {"integrity": "sha512-x", "source_line": "2", "package_path": "yarn:@s/a@^1", "lockfile_format": "yarn-lock"} == nodes["@s/a==1.1"]
+
+
+def test_pnpm_lock(spark, tmp_path):
+    text = """lockfileVersion: '9.0'
+importers:
+  .:
+    dependencies:
+      a:
+        specifier: ^1
+        version: 1.0.0(p@3.0.0)
+    devDependencies:
+      '@s/d':
+        specifier: ^4
+        version: 4.0.0
+packages:
+  a@1.0.0(p@3.0.0):
+    resolution: {integrity: sha-a, tarball: https-a}
+    license: MIT  # said by the registry
+    peerDependencies:
+      p: '*'
+  b@2.0.0:
+    resolution: {integrity: sha-b}
+  '@s/d@4.0.0':
+    resolution: {integrity: sha-d}
+  p@3.0.0: {}
+snapshots:
+  a@1.0.0(p@3.0.0):
+    dependencies:
+      b: 2.0.0
+    optionalDependencies:
+      '@s/d': 4.0.0
+"""
+    nodes, edges = lock_rows(lockfiles.pnpm_lock(spark, put(tmp_path, "pnpm-lock.yaml", text)))
+    root = "pnpm-lock==resolved"
+    assert edges == {("a==1.0.0", "b==2.0.0"): ("runtime", "2.0.0", "2.0.0"), ("a==1.0.0", "@s/d==4.0.0"): ("optional", "4.0.0", "4.0.0"), ("a==1.0.0", "p==3.0.0"): ("peer", "*", "3.0.0"), (root, "a==1.0.0"): ("runtime", "^1", "1.0.0"), (root, "@s/d==4.0.0"): ("dev", "^4", "4.0.0")}
+    assert nodes["a==1.0.0"]["license"] == "MIT" and nodes["a==1.0.0"]["integrity"] == "sha-a" and nodes["@s/d==4.0.0"]["dependency_scope"] == "dev" and nodes["b==2.0.0"]["classification"] == "transitive"
+    old = "packages:\n  /x@1:\n    dependencies:\n      y: 2\n  /y@2:\n    dev: true\n"
+    assert set(lock_rows(lockfiles.pnpm_lock(spark, put(tmp_path, "old.yaml", old)))[1]) == {("x==1", "y==2"), (root, "x==1")}
+
+
+def test_lock_source_opens_what_is_asked_for(spark, tmp_path):
+    for name in ("one", "two"):
+        put(tmp_path, f"{name}.lock", f'[[package]]\nname = "{name}"\nversion = "1"\n')
+    put(tmp_path, "_broken.lock", "not toml [")
+    lockfiles.register(spark)
+    rows = spark.read.format("cargo-lock").load(str(tmp_path))
+    assert rows.rdd.getNumPartitions() == 2 and {r.id for r in rows.where("kind = 'node'").collect()} == {"cargo-lock==resolved", "one==1", "two==1"}
+    put(tmp_path, "two.lock", "broken [")  # no longer read
+    assert {r.dst for r in rows.where(f"kind = 'edge' AND file = '{tmp_path}/one.lock'").collect()} == {"one==1"}
+    with pytest.raises(Exception, match="nowhere"):
+        spark.read.format("cargo-lock").load(str(tmp_path / "nowhere")).collect()
 
 
 def test_unknown_source(spark):
