@@ -121,9 +121,8 @@ def conflicts(resolutions: DataFrame) -> DataFrame:
     return versions.where(F.size("versions") > 1).select("dependency", F.array_join("versions", ",").alias("versions"))
 
 
-def diagnostics(nodes: DataFrame, edges: DataFrame, missing: DataFrame) -> DataFrame:
-    """The counters of lock files, a row per file: of what tables.package_lock gives."""
-    rows = nodes.select("graph", "name", "version", F.coalesce(F.try_element_at("meta", F.lit("package_path")), F.lit("")).alias("path"))
+def diagnostics(rows: DataFrame, edges: DataFrame, missing: DataFrame) -> DataFrame:
+    """The counters of lock files, a row per file: of what tables.locked_packages and tables.package_lock give. A package counts at each path."""
     several = rows.groupBy("graph", "name").agg(F.countDistinct("version").alias("n")).where("n > 1").groupBy("graph").agg(F.count("*").alias("duplicates"))
     name = F.element_at(F.split("target_path", "node_modules/"), -1)
     apart = edges.groupBy("graph", name.alias("dependency")).agg(F.countDistinct(N.split_id(C("dst"))[1]).alias("n")).where("n > 1").groupBy("graph").agg(F.count("*").alias("conflicts"))

@@ -26,3 +26,14 @@ def node(graph: Column, name: Column, version: Column, ecosystem: Column, id_: C
     full = F.create_map(*pairs) if pairs else F.create_map().cast(MAP)
     id_ = F.concat(name, F.lit("=="), version) if id_ is None else id_
     return [graph.alias("graph"), id_.alias("id"), name.alias("name"), version.alias("version"), ecosystem.alias("ecosystem"), F.map_filter(full, lambda k, v: v.isNotNull()).alias("meta")]
+
+
+def one_per_id(rows: DataFrame) -> DataFrame:
+    """A node for each graph and id of rows with a place (seq): the first row's place, name, version and ecosystem, and the metadata of all, that of
+    later rows over that of earlier ones; rows of one place stand in the order of what they say."""
+    said = F.array_sort(F.collect_list(F.struct("seq", F.array_sort(F.map_entries("meta")).alias("entries"))))
+    later = lambda acc, m: F.map_concat(F.map_filter(acc, lambda k, v: ~F.map_contains_key(m, k)), m)
+    merged = F.aggregate(said, F.create_map().cast(MAP), lambda acc, x: later(acc, F.map_from_entries(x["entries"])))
+    first = F.min(F.struct("seq", "name", "version", "ecosystem")).alias("first")
+    found = rows.withColumn("seq", F.col("seq").cast("long")).groupBy("graph", "id").agg(first, merged.alias("meta"))
+    return found.select("graph", "id", "first.name", "first.version", "first.ecosystem", "meta", "first.seq")

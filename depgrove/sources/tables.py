@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import nonempty, purl_forms, purl_package, transaction_package
 from ..operators import npm
 from ..operators.joins import first_requirements, nearest_installed, providers, tree_parents
-from .common import MAP, files, lines, node
+from .common import MAP, files, lines, node, one_per_id
 
 C = F.col
 
@@ -20,7 +22,7 @@ def requirements(spark: SparkSession, path: str) -> DataFrame:
     name = F.regexp_extract(body, r"^([A-Za-z0-9][A-Za-z0-9._-]*)", 1)
     scope = F.when(F.regexp_like("graph", F.lit(r"(?i)dev|test")), "dev").otherwise("runtime")
     return rows.select(
-        "graph", F.translate(F.lower(name), "_.", "--").alias("name"), F.regexp_extract(body, r"\[([^\]]*)\]", 1).alias("extras"),
+        "graph", "line", F.translate(F.lower(name), "_.", "--").alias("name"), F.regexp_extract(body, r"\[([^\]]*)\]", 1).alias("extras"),
         F.trim(F.regexp_extract(body, r"^[A-Za-z0-9][A-Za-z0-9._-]*(?:\[[^\]]*\])?\s*((?:===|==|~=|!=|<=|>=|<|>).*)$", 1)).alias("constraint"),
         nonempty(F.regexp_extract(body, r"@\s*(\S+)$", 1)).alias("url"), nonempty(F.regexp_extract("text", r";\s*(.*?)(?:\s+--hash.*)?$", 1)).alias("marker"),
         nonempty(F.regexp_extract("text", r"--hash=(\S+)", 1)).alias("hash"), scope.alias("scope"),
@@ -34,8 +36,8 @@ def requirements_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataF
     version = F.coalesce(*[F.nullif(c, F.lit("")) for c in (exact, C("constraint"), C("url"))], F.lit("unresolved"))
     root = F.regexp_extract("graph", r"([^/]*?)(?:\.[^./]*)?$", 1)
     rows = rows.withColumn("version", version).withColumn("root", F.concat(root, F.lit("==resolved")))
-    nodes = rows.select(*node(C("graph"), C("name"), C("version"), F.lit("pypi"), constraint=C("constraint"), url=C("url"), marker=C("marker"), hash=C("hash"), scope=C("scope"), extras=C("extras"))).dropDuplicates(["graph", "id"])
-    roots = files(spark, path).select(*node(C("graph"), root, F.lit("resolved"), F.lit("pypi"), node_type=F.lit("root")))
+    nodes = one_per_id(rows.select(C("line").alias("seq"), *node(C("graph"), C("name"), C("version"), F.lit("pypi"), constraint=C("constraint"), url=C("url"), marker=C("marker"), hash=C("hash"), scope=C("scope"), extras=C("extras"))))
+    roots = files(spark, path).select(*node(C("graph"), root, F.lit("resolved"), F.lit("pypi"), node_type=F.lit("root")), F.lit(-1).cast("long").alias("seq"))
     return roots.unionByName(nodes), rows.select("graph", C("root").alias("src"), F.concat("name", F.lit("=="), "version").alias("dst"), F.lit(1).alias("rel")).distinct()
 
 
@@ -55,7 +57,7 @@ def maven_tree(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
         F.concat(name, F.lit("=="), version).alias("id"), rel.alias("rel"), F.element_at(p, -1).alias("scope"),
     )
     found = tree_parents(rows)
-    nodes = rows.select(*node(C("graph"), C("name"), C("version"), F.lit("maven"), scope=C("scope"))).dropDuplicates(["graph", "id"])
+    nodes = one_per_id(rows.select(C("line").alias("seq"), *node(C("graph"), C("name"), C("version"), F.lit("maven"), scope=C("scope"))))
     edges = found.where("parent IS NOT NULL").groupBy("graph", C("parent").alias("src"), C("id").alias("dst")).agg(F.max_by("rel", "line").alias("rel"))
     return nodes, edges
 
@@ -107,7 +109,7 @@ def cyclonedx(spark: SparkSession, path: str, prefix: str = "depgrove:") -> tupl
     root = docs.select("graph", F.coalesce(F.nullif(C("d.metadata.component.`bom-ref`"), F.lit("")), F.concat("d.metadata.component.name", F.lit("=="), "d.metadata.component.version")).alias("id")).where("id IS NOT NULL")
     bare = edges.select("graph", C("src").alias("id")).union(edges.select("graph", "dst")).distinct().union(root).distinct().join(nodes.select("graph", "id"), ["graph", "id"], "left_anti")
     bare = bare.join(of_file, "graph", "left").select(F.lit(2**31 - 1).alias("seq"), *node(C("graph"), F.substring_index("id", "==", 1), F.regexp_extract("id", r"==(.*)$", 1), F.coalesce("last", F.lit("generic")), C("id")))
-    return nodes.unionByName(bare).dropDuplicates(["graph", "id"]), edges
+    return one_per_id(nodes.unionByName(bare)), edges
 
 
 SNAPSHOT = f"root string, ecosystem string, nodes array<struct<id: string, name: string, version: string, metadata: {MAP}>>, edges array<struct<source: string, target: string, relationshipType: int>>"
@@ -146,17 +148,32 @@ def _script_meta(scripts: Column) -> dict[str, Column]:
     return {"lifecycle_scripts": F.nullif(F.array_join(names, ","), F.lit("")), "install_scripts": F.nullif(F.array_join(install, ","), F.lit("")), "has_install_script": F.when(F.size(install) > 0, "True")}
 
 
-def package_lock(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Nodes, edges (with scope, constraint, path and target_path) and what could not be found (graph, path, dep) of lock files with packages
-    by path: each dependency is looked up from its package's folder upwards. Files with nested dependencies instead (version 1) give a
-    node per entry and an edge from what holds it, level by level until none is left."""
-    docs = files(spark, path).select("graph", F.from_json("text", LOCK).alias("d"))
-    rows = docs.select("graph", "d", F.explode("d.packages").alias("path", "p"))
+def _locks(spark: SparkSession, path: str) -> DataFrame:
+    return files(spark, path).select("graph", F.from_json("text", LOCK).alias("d"))
+
+
+def _records(docs: DataFrame) -> DataFrame:
+    """graph, seq, path, name, version, p (the record) and scripts of each path in lock files that has a name and a version."""
+    rows = docs.select("graph", "d", F.posexplode("d.packages").alias("seq", "path", "p"))
     own = F.regexp_extract("path", r"(?:^|/)node_modules/((?:@[^/]+/)?[^/]+)$", 1)
     is_root = C("path") == ""
     name = F.when(is_root, F.coalesce("p.name", "d.name", F.lit("npm-project"))).otherwise(F.coalesce("p.name", F.nullif(own, F.lit(""))))
     version = F.when(is_root, F.coalesce("p.version", "d.version", F.lit("0.0.0"))).otherwise(C("p.version"))
-    rows = rows.select("graph", "path", name.alias("name"), version.alias("version"), "p", "d.scripts").where("name IS NOT NULL AND version IS NOT NULL")
+    return rows.select("graph", "seq", "path", name.alias("name"), version.alias("version"), "p", "d.scripts").where("name IS NOT NULL AND version IS NOT NULL")
+
+
+def locked_packages(spark: SparkSession, path: str) -> DataFrame:
+    """graph, path, name and version of every path of lock files: a package that lies at several has as many rows."""
+    return _records(_locks(spark, path)).select("graph", "path", "name", "version")
+
+
+def package_lock(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, edges (with scope, constraint, path and target_path) and what could not be found (graph, path, dep) of lock files with packages
+    by path: each dependency is looked up from its package's folder upwards. Files with nested dependencies instead (version 1) give a
+    node per entry and an edge from what holds it, level by level until none is left."""
+    docs = _locks(spark, path)
+    rows = _records(docs)
+
     def entries(field: str, scope: str) -> Column:
         return F.transform(F.map_entries(F.coalesce(f"p.{field}", F.create_map().cast(MAP))), lambda e: F.struct(e["key"].alias("dep"), F.lit(scope).alias("scope"), e["value"].alias("constraint")))
 
@@ -176,11 +193,11 @@ def package_lock(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame,
     meta = _record_meta("p", kind, C("path"))
     scripts = {k: F.when(C("path") == "", v) for k, v in _script_meta(C("scripts")).items()}
     meta |= {k: F.coalesce(v, meta[k]) if k in meta else v for k, v in scripts.items()}
-    nodes = placed.select(*node(C("graph"), C("name"), C("version"), F.lit("npm"), **meta)).dropDuplicates(["graph", "id"])
+    nodes = placed.select("seq", *node(C("graph"), C("name"), C("version"), F.lit("npm"), **meta))
     missing = edges.where("dst IS NULL").select("graph", "path", "dep")
     old_nodes, old_edges = _nested_lock(docs)
     edges = edges.where("dst IS NOT NULL").select("graph", "src", "dst", F.lit(1).alias("rel"), "scope", "constraint", "path", "target_path")
-    return nodes.unionByName(old_nodes).dropDuplicates(["graph", "id"]), edges.unionByName(old_edges), missing
+    return one_per_id(nodes.unionByName(old_nodes)), edges.unionByName(old_edges), missing
 
 
 def _nested_lock(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -194,7 +211,7 @@ def _nested_lock(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     while not found or not level.isEmpty():
         rows = level.select("graph", "src", "name", "direct", F.from_json("text", record).alias("p"), F.get_json_object("text", "$.dependencies").alias("nested"))
         rows = rows.withColumn("version", F.coalesce("p.version", F.lit("0.0.0"))).withColumn("id", F.concat("name", F.lit("=="), "version"))
-        found.append(rows)
+        found.append(rows.withColumn("seq", F.lit(len(found))))
         inner = rows.where("nested IS NOT NULL").select("graph", C("id").alias("src"), F.explode(F.from_json("nested", MAP)).alias("name", "text"), F.lit(False).alias("direct"))
         level = inner
     rows = found[0]
@@ -202,8 +219,8 @@ def _nested_lock(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         rows = rows.unionByName(x)
     kind = F.when(C("direct"), "direct").otherwise("transitive")
     meta = _record_meta("p", kind, F.concat(F.lit("legacy:"), "name"))
-    nodes = rows.select(*node(C("graph"), C("name"), C("version"), F.lit("npm"), **meta))
-    roots = old.select(*node(C("graph"), F.coalesce("d.name", F.lit("npm-project")), F.coalesce("d.version", F.lit("0.0.0")), F.lit("npm"), ecosystem=F.lit("npm"), node_type=F.lit("root"), classification=F.lit("root"), dependency_scope=F.lit("runtime"), license=F.nullif(C("d.license"), F.lit("")), **_script_meta(C("d.scripts"))))
+    nodes = rows.select("seq", *node(C("graph"), C("name"), C("version"), F.lit("npm"), **meta))
+    roots = old.select(F.lit(-1).alias("seq"), *node(C("graph"), F.coalesce("d.name", F.lit("npm-project")), F.coalesce("d.version", F.lit("0.0.0")), F.lit("npm"), ecosystem=F.lit("npm"), node_type=F.lit("root"), classification=F.lit("root"), dependency_scope=F.lit("runtime"), license=F.nullif(C("d.license"), F.lit("")), **_script_meta(C("d.scripts"))))
     edges = rows.select("graph", "src", C("id").alias("dst"), F.lit(1).alias("rel"), _record_meta("p", kind, F.lit(""))["dependency_scope"].alias("scope"), F.coalesce("p.version", F.lit("")).alias("constraint"), F.lit("legacy").alias("path"), F.concat(F.lit("legacy:"), "name").alias("target_path"))
     return roots.unionByName(nodes), edges
 
@@ -281,7 +298,7 @@ def installed_rpms(spark: SparkSession, path: str) -> DataFrame:
     at = lambda i: nonempty(F.nullif(F.get(part, F.lit(i)), F.lit("(none)")))
     short = {"name": 0, "version_release": 1, "arch": 2}
     cols = [F.when(n >= 8, at(i)).otherwise(at(short[c]) if c in short else F.lit(None).cast("string")).alias(c) for i, c in enumerate(TSV)]
-    return lines(spark, path).where(n >= 3).select("graph", *cols, F.concat(at(0), F.lit("=="), F.when(n >= 8, at(2)).otherwise(at(1))).alias("id"))
+    return lines(spark, path).where(n >= 3).select("graph", "line", *cols, F.concat(at(0), F.lit("=="), F.when(n >= 8, at(2)).otherwise(at(1))).alias("id"))
 
 
 def installed_graph(packages: DataFrame, requires: DataFrame, provides: DataFrame, requirement_limit: int = 40) -> tuple[DataFrame, DataFrame]:
@@ -290,8 +307,9 @@ def installed_graph(packages: DataFrame, requires: DataFrame, provides: DataFram
     packages; capabilities that begin with an ignored prefix are left out before the first requirements of a package are taken."""
     root = F.lit("rpm-installed==local")
     meta = {c: C(c) for c in TSV if c not in ("name", "version_release")}
-    nodes = packages.select(*node(C("graph"), C("name"), C("version_release"), F.lit("rpm"), C("id"), ecosystem=F.lit("rpm"), name=C("name"), version=C("version_release"), **meta)).dropDuplicates(["graph", "id"])
-    roots = packages.select("graph").distinct().select(*node(C("graph"), F.lit("rpm-installed"), F.lit("local"), F.lit("rpm"), root, ecosystem=F.lit("rpm"), node_type=F.lit("root")))
+    nodes = packages.select(*node(C("graph"), C("name"), C("version_release"), F.lit("rpm"), C("id"), ecosystem=F.lit("rpm"), name=C("name"), version=C("version_release"), **meta), C("line").alias("seq") if "line" in packages.columns else F.lit(0).alias("seq"))
+    nodes = one_per_id(nodes)
+    roots = packages.select("graph").distinct().select(F.lit(-1).cast("long").alias("seq"), *node(C("graph"), F.lit("rpm-installed"), F.lit("local"), F.lit("rpm"), root, ecosystem=F.lit("rpm"), node_type=F.lit("root")))
     wants = requires.where("cap <> '' AND NOT startswith(cap, 'rpmlib(') AND NOT startswith(cap, 'config(')")
     wants = wants.withColumn("k", F.row_number().over(Window.partitionBy("name").orderBy("position"))).where(C("k") <= requirement_limit)
     first = provides.groupBy("cap").agg(F.min_by("id", "position").alias("dst"))
@@ -427,10 +445,8 @@ def build(spark: SparkSession, path: str, task_limit: int = 50, artifact_limit:
         of(a, "artifact", F.when(C("a.type") == "rpm", rpm).otherwise(albs), kind, artifact_name=C("a.name"), artifact_type=C("a.type"), href=C("a.href"), cas_hash=C("a.cas_hash")),
         of(sign, "sign", albs, F.lit("sign_task"), status=C("x.status"), stats=C("x.stats")), of(test, "test", albs, F.lit("test_task"), status=C("x.status"), revision=C("x.revision")),
     ]
-    found = nodes[0]
-    for x in nodes[1:]:
-        found = found.unionByName(x)
-    return found.dropDuplicates(["graph", "id"]), every
+    placed = [x.withColumn("seq", F.lit(i)) for i, x in enumerate(nodes)]
+    return one_per_id(reduce(DataFrame.unionByName, placed)), every
 
 
 def build_steps(docs: DataFrame, tests: bool = False) -> DataFrame:

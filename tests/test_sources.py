@@ -71,10 +71,21 @@ def test_package_lock(spark, tmp_path):
     assert [r.searched for r in npm.searched_paths(missing).collect()] == [["node_modules/gone"]]
     deep = spark.createDataFrame([("node_modules/a/node_modules/@s/b", "c")], "path string, dep string")
     assert npm.searched_paths(deep).first().searched == ["node_modules/a/node_modules/@s/b/node_modules/c", "node_modules/a/node_modules/c", "node_modules/c"]
-    row = npm.diagnostics(nodes, edges, missing).first()
+    row = npm.diagnostics(tables.locked_packages(spark, str(tmp_path / "lock.json")), edges, missing).first()
     assert (row.packages, row.duplicates, row.conflicts, row.unresolved) == (4, 1, 1, 1)
 
 
+def test_package_at_several_paths(spark, tmp_path):
+    """One node, whose metadata is that of all paths, later over earlier; diagnostics count the paths."""
+    at = {"": {"name": "app", "version": "1", "dependencies": {"a": "1", "b": "1"}}, "node_modules/a": {"version": "1"}, "node_modules/a/node_modules/c": {"version": "2", "integrity": "first", "license": "MIT"}, "node_modules/b": {"version": "1"}, "node_modules/b/node_modules/c": {"version": "2", "integrity": "second"}, "node_modules/c": {"version": "1"}}
+    path = put(tmp_path, "package-lock.json", json.dumps({"packages": at}))
+    nodes, edges, missing = tables.package_lock(spark, path)
+    c = {r.id: r for r in nodes.collect()}["c==2"]
+    assert nodes.count() == 5 and (c.meta["integrity"], c.meta["license"], c.meta["package_path"], c.seq) == ("second", "MIT", "node_modules/b/node_modules/c", 2)
+    row = npm.diagnostics(tables.locked_packages(spark, path), edges, missing).first()
+    assert (row.packages, row.duplicates, row.conflicts, row.unresolved) == (6, 1, 0, 0)
+
+
 def test_package_lock_metadata(spark, tmp_path):
     lock = {"name": "app", "version": "1", "scripts": {"install": "x", "test": "y"}, "packages": {"": {"name": "app", "version": "1", "peerDependencies": {"@s/p": "2"}, "devDependencies": {"@s/p": "1", "g": "*"}}, "node_modules/@s/p": {"version": "2", "resolved": "https://registry.npmjs.org/p.tgz", "integrity": "sha", "peerDependencies": {"z": "1", "y": "1"}}, "node_modules/g": {"version": "git+ssh://h/g.git", "dev": True, "hasInstallScript": True}, "node_modules/link": {"link": True}}}
     nodes, edges, _ = tables.package_lock(spark, put(tmp_path, "package-lock.json", json.dumps(lock)))
