@@ -19,20 +19,26 @@ KIND_ORDER = ("downgrade", "replacement", "upgrade", "removed", "added", "metada
 
 def classified(left: DataFrame, right: DataFrame, fields: tuple[str, ...] = ("license", "ecosystem")) -> DataFrame:
     """kind, name, old, new: changes of snapshots with columns id, name, version. Removed and added ids of a name are paired in order
-    and classified by version; the rest are added or removed; ids on both sides whose fields differ are metadata changes."""
-    gone, come = left.join(right.select("id"), "id", "left_anti"), right.join(left.select("id"), "id", "left_anti")
-    pairs = J.paired(gone, come)
-    versions = pairs.join(gone.select(C("id").alias("old"), C("version").alias("a")), "old").join(come.select(C("id").alias("new"), C("version").alias("b")), "new")
-    changed = versions.select(V.change_kind(C("a"), C("b")).alias("kind"), "name", "old", "new")
-    none = F.lit(None).cast("string")
-    removed = gone.join(pairs.select(C("old").alias("id")), "id", "left_anti").select(F.lit("removed").alias("kind"), "name", C("id").alias("old"), none.alias("new"))
-    added = come.join(pairs.select(C("new").alias("id")), "id", "left_anti").select(F.lit("added").alias("kind"), "name", none.alias("old"), C("id").alias("new"))
-    l, r = left.alias("l"), right.alias("r")
+    and classified by version; the rest are added or removed; ids on both sides whose fields differ are metadata changes, named by their id.
+
+    Both sides meet by id in one grouping, those of one side only are placed within their name and side, and meet by name and place."""
+    side = lambda df, n: df.select("id", F.struct("name", "version", *fields).alias("row"), F.lit(n).alias("side"))
+    of = lambda n: F.max(F.when(C("side") == n, C("row")))
+    both = side(left, 0).unionByName(side(right, 1)).groupBy("id").agg(of(0).alias("l"), of(1).alias("r"))
     differ = F.lit(False)
     for f in fields:
         differ = differ | ~F.equal_null(C(f"l.{f}"), C(f"r.{f}"))
-    meta = l.join(r, C("l.id") == C("r.id")).where(differ).select(F.lit("metadataChange").alias("kind"), C("l.name"), C("l.id").alias("old"), C("r.id").alias("new"))
-    return changed.unionByName(removed).unionByName(added).unionByName(meta)
+    here = F.coalesce("l", "r")
+    rows = both.select("id", C("l").isNotNull().alias("in_l"), C("r").isNotNull().alias("in_r"), differ.alias("differ"), F.coalesce(F.nullif(here["name"], F.lit("")), C("id")).alias("name"), here["version"].alias("version"))
+    place = F.row_number().over(Window.partitionBy("name", "in_l").orderBy("id"))
+    alone = rows.where("NOT (in_l AND in_r)").withColumn("place", place)
+    sides = lambda c: (F.max(F.when(C("in_l"), C(c))), F.max(F.when(C("in_r"), C(c))))
+    old, new = sides("id")
+    a, b = sides("version")
+    pairs = alone.groupBy("name", "place").agg(old.alias("old"), new.alias("new"), a.alias("a"), b.alias("b"))
+    kind = F.when(C("new").isNull(), "removed").when(C("old").isNull(), "added").otherwise(V.change_kind(C("a"), C("b")))
+    meta = rows.where("in_l AND in_r AND differ").select(F.lit("metadataChange").alias("kind"), C("id").alias("name"), C("id").alias("old"), C("id").alias("new"))
+    return pairs.select(kind.alias("kind"), "name", "old", "new").unionByName(meta)
 
 
 def kind_rank(kind: str = "kind"):

@@ -114,12 +114,13 @@ def advisory_packages(nodes: DataFrame) -> DataFrame:
 
 
 def keyed_diff(left: DataFrame, right: DataFrame, key: list[str], fields: list[str], order: str) -> DataFrame:
-    """key, change (added, removed or changed) and fields (the names of those that differ) of a full outer join; of rows with one key
-    the last by `order` counts."""
-    last = lambda df, p: df.groupBy(*key).agg(*[F.max_by(F.struct(C(f)), C(order))[f].alias(p + f) for f in fields], F.lit(True).alias(p))
-    both = last(left, "l_").join(last(right, "r_"), key, "full_outer")
-    differ = F.array_compact(F.array(*[F.when(~F.equal_null(C("l_" + f), C("r_" + f)), f) for f in fields]))
-    change = F.when(C("l_").isNull(), "added").when(C("r_").isNull(), "removed").when(F.size(differ) > 0, "changed")
+    """key, change (added, removed or changed) and fields (the names of those that differ); of rows with one key the last by `order` counts.
+    Both sides are grouped by the key at once, so there is one shuffle and no join; null keys are keys."""
+    side = lambda df, n: df.select(*key, F.struct(C(order).alias("place"), *fields).alias("row"), F.lit(n).alias("side"))
+    last = lambda n: F.max(F.when(C("side") == n, C("row")))
+    both = side(left, 0).unionByName(side(right, 1)).groupBy(*key).agg(last(0).alias("l"), last(1).alias("r"))
+    differ = F.array_compact(F.array(*[F.when(~F.equal_null(C(f"l.{f}"), C(f"r.{f}")), f) for f in fields]))
+    change = F.when(C("l").isNull(), "added").when(C("r").isNull(), "removed").when(F.size(differ) > 0, "changed")
     return both.select(*key, change.alias("change"), F.when(change == "changed", F.array_join(differ, ",")).otherwise("").alias("fields")).where("change IS NOT NULL")
 
 
@@ -162,46 +163,68 @@ def paired(removed: DataFrame, added: DataFrame) -> DataFrame:
     return at(removed, "old").join(at(added, "new"), ["name", "position"])
 
 
-def _one(text: str, role: str, hits: DataFrame, most: int) -> str | None:
-    """The only id among the hits, None without one; with more an error that names the first of them."""
-    found = [r["id"] for r in hits.select("id").distinct().orderBy("id").limit(most + 1).collect()]
-    if len(found) > 1:
-        more = ", ..." if len(found) > most else ""
-        raise ValueError(f"Ambiguous {role} selector {text!r}; candidates: {', '.join(found[:most])}{more}")
-    return found[0] if found else None
+#: What each kind of selector is looked for in, in this order: ids, then purls, then names (before ==, of the metadata, in column name).
+LOOKED_FOR = {"query": {"id": 0, "purl": 1, "before": 2}, "report": {"id": 0, "purl": 1, "before": 2, "meta": 2}, "diff": {"id": 0, "column": 2}}
+CANDIDATES = {"query": 20, "report": 20, "diff": 5}
+
+
+def resolved(nodes: DataFrame, selectors: DataFrame) -> DataFrame:
+    """kind, selector, node, status (found, ambiguous, text or unknown), matches and candidates of each selector. nodes: id, meta and, for diffs,
+    name; selectors: kind (query, report or diff), selector.
+
+    An id is itself; else the only node with that purl, else the only one with that name; several are ambiguous, in a report only if no single
+    one has the name. Without any, a query or report takes the text itself, a diff knows no node. All selectors are looked up in one join."""
+    of = lambda k: F.try_element_at("meta", F.lit(k))
+    way = lambda name, key: F.struct(F.lit(name).alias("way"), key.alias("key"))
+    ways = [way("id", C("id")), way("purl", of("purl")), way("before", N.split_id(C("id"))[0]), way("meta", of("name")), *([way("column", C("name"))] if "name" in nodes.columns else [])]
+    keys = nodes.select("id", F.explode(F.array(*ways)).alias("w")).select("id", "w.way", C("w.key").alias("selector")).where("selector IS NOT NULL")
+    asked = selectors.select("kind", "selector").distinct()
+    rank = F.lit(None).cast("int")
+    for kind, places in LOOKED_FOR.items():
+        for name, place in places.items():
+            rank = F.when((C("kind") == kind) & (C("way") == name), place).otherwise(rank)
+    hits = asked.join(keys, "selector").select("kind", "selector", "id", rank.alias("rank")).where("rank IS NOT NULL").distinct()
+    place = Window.partitionBy("kind", "selector", "rank").orderBy("id")
+    most = F.when(C("kind") == "diff", CANDIDATES["diff"]).otherwise(CANDIDATES["query"])
+    counts = hits.groupBy("kind", "selector", "rank").agg(F.count("*").alias("n"))
+    few = hits.withColumn("k", F.row_number().over(place)).where(C("k") <= max(CANDIDATES.values())).where(C("k") <= most)
+    few = few.groupBy("kind", "selector", "rank").agg(F.array_sort(F.collect_list("id")).alias("ids")).join(counts, ["kind", "selector", "rank"])
+    at = lambda r, c: F.max(F.when(C("rank") == r, C(c))).alias(f"{c}{r}")
+    found = asked.join(few.groupBy("kind", "selector").agg(*[at(r, c) for r in range(3) for c in ("n", "ids")]), ["kind", "selector"], "left")
+    one = lambda r: C(f"n{r}") == 1
+    several = lambda r: C(f"n{r}") > 1
+    report, diff = C("kind") == "report", C("kind") == "diff"
+    used = F.when(C("n0") >= 1, 0).when(one(1), 1).when(several(1) & report & one(2), 2).when(several(1), 1).when(C("n2") >= 1, 2)
+    pick = lambda c: F.when(used == 0, C(f"{c}0")).when(used == 1, C(f"{c}1")).when(used == 2, C(f"{c}2"))
+    n, ids = F.coalesce(pick("n"), F.lit(0).cast("long")), F.coalesce(pick("ids"), F.array().cast("array<string>"))
+    status = F.when((used == 0) | (n == 1), "found").when(n > 1, "ambiguous").when(diff, "unknown").otherwise("text")
+    node = F.when(used == 0, C("selector")).when(n == 1, ids[0]).when((n == 0) & ~diff, C("selector"))
+    return found.select("kind", "selector", node.alias("node"), status.alias("status"), n.alias("matches"), ids.alias("candidates"))
+
+
+def _selected(nodes: DataFrame, kind: str, text: str, role: str) -> str:
+    row = resolved(nodes, nodes.sparkSession.createDataFrame([(kind, text)], "kind string, selector string")).first()
+    if row.status == "ambiguous":
+        more = ", ..." if row.matches > len(row.candidates) else ""
+        raise ValueError(f"Ambiguous {role} selector {text!r}; candidates: {', '.join(row.candidates)}{more}")
+    if row.status == "unknown":
+        raise ValueError(f"no node {text!r}")
+    return row.node
 
 
-def select_node(nodes: DataFrame, text: str, role: str = "node", most: int = 20) -> str:
-    """The id that a selector of a query means: itself if it is one, else the only node with that purl, else the only one with that name
-    before ==, else the text unchanged. nodes: id, meta. Several are an error."""
-    if not nodes.where(C("id") == text).isEmpty():
-        return text
-    by_purl = _one(text, role, nodes.where(F.try_element_at("meta", F.lit("purl")) == text), most)
-    return by_purl or _one(text, role, nodes.where(N.split_id(C("id"))[0] == text), most) or text
+def select_node(nodes: DataFrame, text: str, role: str = "node") -> str:
+    """The id that a selector of a query means; several are an error. nodes: id, meta."""
+    return _selected(nodes.select("id", "meta"), "query", text, role)
 
 
-def select_package(nodes: DataFrame, text: str, most: int = 20) -> str:
-    """As select_node, but names in the metadata count as well, and several nodes of one purl are an error only if no single one has
-    the name."""
-    if not nodes.where(C("id") == text).isEmpty():
-        return text
-    purls = nodes.where(F.try_element_at("meta", F.lit("purl")) == text)
-    names = nodes.where((N.split_id(C("id"))[0] == text) | (F.try_element_at("meta", F.lit("name")) == text))
-    few = [[r["id"] for r in x.select("id").distinct().orderBy("id").limit(2).collect()] for x in (purls, names)]
-    if len(few[0]) == 1 or (len(few[1]) == 1):
-        return few[0][0] if len(few[0]) == 1 else few[1][0]
-    return _one(text, "package", purls if few[0] else names, most) or text
+def select_package(nodes: DataFrame, text: str) -> str:
+    """The id that a selector of a report means. nodes: id, meta."""
+    return _selected(nodes.select("id", "meta"), "report", text, "package")
 
 
 def select_snapshot_node(nodes: DataFrame, text: str) -> str:
-    """The id that a selector of a diff means: itself if it is one, else the only node of that name (column name); several are an error
-    that names the first five, none is one as well."""
-    if not nodes.where(C("id") == text).isEmpty():
-        return text
-    found = _one(text, "node", nodes.where(C("name") == text), 5)
-    if found is None:
-        raise ValueError(f"no node {text!r}")
-    return found
+    """The id that a selector of a diff means; none is an error as well. nodes: id, name, meta."""
+    return _selected(nodes, "diff", text, "node")
 
 
 def side_selectors(both: str | None, left: str | None, right: str | None) -> tuple[str, str]:

@@ -258,7 +258,7 @@ CHANGES = with_("lefts", "rights").rstrip() + f""", gone AS (SELECT *, row_numbe
  come AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY id) AS k FROM rights WHERE id NOT IN (SELECT id FROM lefts)),
  changes AS (SELECT CASE WHEN g.id IS NULL THEN 'added' WHEN c.id IS NULL THEN 'removed' WHEN {DIFF_KEY.format('g.version')} < {DIFF_KEY.format('c.version')} THEN 'upgrade' WHEN {DIFF_KEY.format('g.version')} > {DIFF_KEY.format('c.version')} THEN 'downgrade' ELSE 'replacement' END AS kind,
    coalesce(g.name, c.name) AS name, g.id AS old, c.id AS new FROM gone g FULL JOIN come c ON g.name = c.name AND g.k = c.k
-  UNION ALL SELECT 'metadataChange', l.name, l.id, r.id FROM lefts l JOIN rights r ON l.id = r.id WHERE l.license IS DISTINCT FROM r.license OR l.ecosystem IS DISTINCT FROM r.ecosystem)"""
+  UNION ALL SELECT 'metadataChange', l.id, l.id, r.id FROM lefts l JOIN rights r ON l.id = r.id WHERE l.license IS DISTINCT FROM r.license OR l.ecosystem IS DISTINCT FROM r.ecosystem)"""
 A = with_("artifacts")
 RPT = "WITH r AS (SELECT concat('kind-', p_size % 7) AS kind, (p_size % 3)::BIGINT AS findings, CASE WHEN p_size % 7 < 3 THEN (p_partkey % 50 = 0)::BIGINT ELSE 0 END AS failures, p_size AS largest FROM part)"
 

@@ -69,9 +69,10 @@ INSTALLED = """SELECT concat('n', p_partkey, '==', p_size, '-1') AS id, concat('
 
 
 def _dot(spark, sf):
-    """One file: the graph of parts, as nodes with vids and edges between them."""
+    """The graph of parts over many files, as one: nodes with vids and edges between them."""
     line = F.concat(F.lit('"p'), C("src").cast("string"), F.lit('" -> "p'), C("dst").cast("string"), F.lit('"'))
-    return load_graph(spark, "dot", _put(table(spark, sf, "pedges").select(line.alias("value")).coalesce(1), "dot"))
+    files = _put(table(spark, sf, "pedges").repartition(8, "src").select(line.alias("value")), "dot")
+    return G.canonical(*[df.withColumn("graph", F.lit("parts")) for df in load(spark, "dot", files)])
 
 
 def _dot_reachable(spark, sf):
@@ -80,30 +81,35 @@ def _dot_reachable(spark, sf):
 
 
 def _feed(spark, sf):
-    """The advisories as one public feed, matched with the packages."""
+    """The advisories as public feeds, a file each, matched with the packages."""
     a = table(spark, sf, "advisories")
     event = lambda k: F.struct(F.when(F.lit(k == "introduced"), C("introduced")).alias("introduced"), F.when(F.lit(k == "fixed"), C("fixed")).alias("fixed"))
     package = F.struct(F.lit("NPM").alias("ecosystem"), C("package").alias("name"))
     record = F.to_json(F.struct(C("advisory").alias("id"), F.struct(C("severity").alias("severity")).alias("database_specific"), F.array(F.struct(package.alias("package"), F.array(F.struct(F.array(event("introduced"), event("fixed")).alias("events"))).alias("ranges"))).alias("affected")))
-    doc = a.agg(F.concat(F.lit('{"vulns": ['), F.array_join(F.collect_list(record), ", "), F.lit("]}")).alias("value"))
-    feed = load_rows(spark, "osv-feed", _put(doc, "feed"), ecosystem="npm")
+    docs = a.select("advisory", F.concat(F.lit('{"vulns": ['), record, F.lit("]}")).alias("value"))
+    path = f"{shared_folder(spark)}/files-feed-{uuid.uuid4().hex}"
+    docs.repartition("advisory").write.partitionBy("advisory").text(path)
+    feed = load_rows(spark, "osv-feed", path, ecosystem="npm")
     packages = J.advisory_packages(table(spark, sf, "packages").select("id", "ecosystem", F.create_map().cast("map<string,string>").alias("meta")))
     hits = J.advisory_matches(feed, packages)
     return hits.join(feed.select("advisory", C("id").alias("record")), "advisory").select("record", "id", "severity")
 
 
 def _maven(spark, sf):
-    """The lines of each order as the tree of one file's text."""
+    """The lines of all orders as trees, the orders of each 512 keys in a file."""
     depth = F.least(C("l_partkey") % 3, C("l_linenumber") - 1).cast("int")
     mark = F.when(depth == 0, "").otherwise(F.concat(F.repeat(F.lit("|  "), depth - 1), F.lit("+- ")))
     line = F.concat(F.lit("[INFO] "), mark, F.lit("g:o"), C("l_orderkey").cast("string"), F.lit("l"), C("l_linenumber").cast("string"), F.lit(":jar:"), C("l_partkey").cast("string"), F.lit(":compile"), F.when(C("l_partkey") % 5 == 0, " (optional)").otherwise(""))
-    rows = table(spark, sf, "lineitem").where("l_orderkey < 400").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_partkey").alias("l_partkey"))
-    nodes, edges = load(spark, "maven-tree", _put(rows.select(line.alias("value"), "l_orderkey", "l_linenumber").coalesce(1).sortWithinPartitions("l_orderkey", "l_linenumber").select("value"), "maven"))
-    return edges.select("src", "dst", "rel")
+    rows = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_partkey").alias("l_partkey"))
+    lines = rows.select(F.shiftright(C("l_orderkey").cast("long"), 9).alias("folder"), "l_orderkey", "l_linenumber", line.alias("value"))
+    path = f"{shared_folder(spark)}/files-maven-{uuid.uuid4().hex}"
+    lines.repartition("folder").sortWithinPartitions("folder", "l_orderkey", "l_linenumber").select("folder", "value").write.partitionBy("folder").text(path)
+    return load(spark, "maven-tree", path)[1].select("src", "dst", "rel")
 
 
-MAVEN = """SELECT * FROM (WITH l AS (SELECT l_orderkey AS o, l_linenumber AS n, max(l_partkey) AS p FROM lineitem WHERE l_orderkey < 400 GROUP BY 1, 2), d AS (SELECT *, least(p % 3, n - 1) AS depth, row_number() OVER (ORDER BY o, n) AS at, concat('g:o', o, 'l', n, '==', p) AS id FROM l)
- SELECT (SELECT max_by(b.id, b.at) FROM d b WHERE b.at < a.at AND b.depth = a.depth - 1) AS src, id AS dst, CASE WHEN p % 5 = 0 THEN 2 ELSE 1 END AS rel FROM d a WHERE depth > 0) WHERE src IS NOT NULL"""
+MAVEN = """WITH l AS (SELECT l_orderkey AS o, l_linenumber AS n, max(l_partkey) AS p FROM lineitem GROUP BY 1, 2), d AS (SELECT *, least(p % 3, n - 1) AS depth, concat('g:o', o, 'l', n, '==', p) AS id FROM l),
+ w AS (SELECT *, last_value(CASE WHEN depth = 0 THEN id END IGNORE NULLS) OVER f AS top, last_value(CASE WHEN depth = 1 THEN id END IGNORE NULLS) OVER f AS middle FROM d WINDOW f AS (PARTITION BY o // 512 ORDER BY o, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+ SELECT CASE depth WHEN 1 THEN top ELSE middle END AS src, id AS dst, CASE WHEN p % 5 = 0 THEN 2 ELSE 1 END AS rel FROM w WHERE depth > 0 AND CASE depth WHEN 1 THEN top ELSE middle END IS NOT NULL"""
 
 
 def _graph(spark, sf):
@@ -124,10 +130,59 @@ def _operations(spark, sf):
 
 
 def _selectors(spark, sf):
-    nodes, _ = _graph(spark, sf)
-    named = nodes.withColumn("name", F.col("id"))
-    found = [("query", t, J.select_node(nodes, t)) for t in ("p4", "pkg:x/p9", "nothing", "other-p5")] + [("report", t, J.select_package(nodes, t)) for t in ("p4", "pkg:x/p9", "other-p5", "nothing")] + [("diff", "p4", J.select_snapshot_node(named, "p4"))]
-    return spark.createDataFrame(found, "kind string, selector string, node string")
+    """All names, ids, purls that versions share, and names that are none, as selectors of each kind."""
+    p = table(spark, sf, "packages")
+    purl = F.when(C("vid") % 3 == 0, F.concat(F.lit("pkg:x/"), "name"))
+    nodes = p.select("id", "name", F.map_filter(F.create_map(F.lit("purl"), purl, F.lit("name"), F.when(C("vid") % 5 == 0, F.concat(F.lit("other-"), "id"))), lambda k, v: v.isNotNull()).alias("meta"))
+    texts = F.explode(F.array(C("name"), C("id"), F.concat(F.lit("pkg:x/"), "name"), F.concat(F.lit("other-"), "id"), F.concat(F.lit("none-"), "name"))).alias("selector")
+    asked = p.select(texts).distinct().select(F.explode(F.array(*map(F.lit, ("query", "report", "diff")))).alias("kind"), "selector")
+    return J.resolved(nodes, asked).select("kind", "selector", "node", "status", "matches", F.array_join("candidates", ",").alias("candidates"))
+
+
+SELECTORS = with_("packages").rstrip() + """, n AS (SELECT id, name, CASE WHEN vid % 3 = 0 THEN concat('pkg:x/', name) END AS purl, CASE WHEN vid % 5 = 0 THEN concat('other-', id) END AS other FROM packages),
+ t AS (SELECT DISTINCT unnest([name, id, concat('pkg:x/', name), concat('other-', id), concat('none-', name)]) AS selector FROM packages), k AS (SELECT kind, selector FROM t, (VALUES ('query'), ('report'), ('diff')) v(kind)),
+ h AS (SELECT kind, selector, list(DISTINCT id) FILTER (p = 0) AS a, list(DISTINCT id) FILTER (p = 1) AS b, list(DISTINCT id) FILTER (p = 2) AS c FROM k LEFT JOIN (
+   SELECT id, id AS key, 0 AS p, '' AS tag FROM n UNION ALL SELECT id, purl, 1, 'no diff' FROM n UNION ALL SELECT id, name, 2, '' FROM n UNION ALL SELECT id, other, 2, 'report' FROM n) m ON m.key = selector AND (tag = '' OR (tag = 'no diff' AND kind <> 'diff') OR tag = kind) GROUP BY 1, 2),
+ u AS (SELECT *, CASE WHEN a IS NOT NULL THEN a WHEN len(b) = 1 THEN b WHEN len(b) > 1 AND kind = 'report' AND len(c) = 1 THEN c WHEN b IS NOT NULL THEN b ELSE c END AS ids FROM h)
+ SELECT kind, selector, CASE WHEN len(ids) = 1 THEN ids[1] WHEN ids IS NULL AND kind <> 'diff' THEN selector END AS node, CASE WHEN ids IS NULL THEN CASE WHEN kind = 'diff' THEN 'unknown' ELSE 'text' END WHEN len(ids) = 1 THEN 'found' ELSE 'ambiguous' END AS status,
+   coalesce(len(ids), 0) AS matches, coalesce(array_to_string(list_sort(ids)[1:CASE WHEN kind = 'diff' THEN 5 ELSE 20 END], ','), '') AS candidates FROM u"""
+
+
+def _lock_files(spark, sf, form: str) -> str:
+    """The parts as lock files of one form, in eight files: each part needs the one after it in its file."""
+    key, after = C("p_partkey"), C("p_partkey") + 8
+    p = table(spark, sf, "part")
+    rows = p.join(p.select((key - 8).alias("p_partkey"), C("p_size").alias("next_size")), "p_partkey", "left")
+    name, version = F.concat(F.lit("P_"), key.cast("string")), F.concat("p_size", F.lit(".0"))
+    need = lambda text: F.when(C("next_size").isNotNull(), text).otherwise("")
+    wanted, other = F.concat("next_size", F.lit(".0")), F.concat(F.lit("p-"), after.cast("string"))
+    head = {"pnpm-lock": "packages:", "pyproject": "[tool.poetry.dependencies]"}.get(form)
+    text = {
+        "cargo-lock": F.concat(F.lit('[[package]]\nname = "'), name, F.lit('"\nversion = "'), version, F.lit('"\n'), need(F.concat(F.lit('dependencies = ["'), other, F.when(key % 2 == 0, F.concat(F.lit(" "), wanted)).otherwise(""), F.lit('"]\n')))),
+        "poetry-lock": F.concat(F.lit('[[package]]\nname = "'), name, F.lit('"\nversion = "'), version, F.lit('"\noptional = '), F.when(key % 3 == 0, "true").otherwise("false"), F.lit("\n"), need(F.concat(F.lit("[package.dependencies]\n"), other, F.lit(' = ">='), wanted, F.lit('"\n')))),
+        "yarn-lock": F.concat(F.lit('"'), name, F.lit('@^1", "'), name, F.lit('@~1":\n  version "'), version, F.lit('"\n'), need(F.concat(F.lit("  dependencies:\n    P_"), after.cast("string"), F.lit(' "^1"\n')))),
+        "pnpm-lock": F.concat(F.lit("  "), name, F.lit("@"), version, F.lit(":\n    resolution: {integrity: sha}\n"), need(F.concat(F.lit("    dependencies:\n      P_"), after.cast("string"), F.lit(": "), wanted))),
+        "pyproject": F.concat(name, F.lit(' = "^'), version, F.lit('"')),
+    }[form]
+    lines = rows.select((key % 8).alias("folder"), key.alias("at"), text.alias("value"))
+    if head:
+        lines = lines.unionByName(lines.select("folder", F.lit(-1).alias("at"), F.lit(head).alias("value")).distinct())
+    path = f"{shared_folder(spark)}/files-{form}-{uuid.uuid4().hex}"
+    lines.repartition(8, "folder").sortWithinPartitions("folder", "at").select("folder", "value").write.partitionBy("folder").text(path)
+    return path
+
+
+def _locked(form: str):
+    def query(spark, sf):
+        return load(spark, form, _lock_files(spark, sf, form))[1].select("src", "dst", "scope", "constraint", "resolved")
+
+    return query
+
+
+def _lock_sql(root: str, scope: str, constraint: str, root_scope: str = "'runtime'") -> str:
+    return f"""WITH p AS (SELECT p_partkey AS k, concat('P_', p_partkey, '==', p_size, '.0') AS id, concat(p_size, '.0') AS v FROM part)
+ SELECT a.id AS src, b.id AS dst, {scope} AS scope, {constraint} AS "constraint", b.v AS resolved FROM p a JOIN p b ON b.k = a.k + 8
+ UNION ALL SELECT '{root}', b.id, {root_scope}, NULL, b.v FROM p b WHERE NOT EXISTS (SELECT 1 FROM p a WHERE a.k = b.k - 8)"""
 
 
 def _specs(spark, sf):
@@ -146,6 +201,7 @@ QUERIES = {
     "loaded_dot_reachable": _dot_reachable,
     "loaded_feed_matches": _feed,
     "loaded_maven_edges": _maven,
+    **{f"loaded_{form.replace('-', '_')}": _locked(form) for form in ("cargo-lock", "poetry-lock", "yarn-lock", "pnpm-lock", "pyproject")},
     "query_reports": _operations,
     "selected_nodes": _selectors,
     "batch_report": _specs,
@@ -163,7 +219,12 @@ SQL = {
     "query_reports": P + "," + _r("a", "p1", True) + "," + _r("b", "p0", True) + """ SELECT 'dependencies' AS operation, (SELECT count(*) FROM pedges WHERE src = 3) AS result_count, 'nodes' AS result_kind, NULL::BOOLEAN AS path_found
       UNION ALL SELECT 'dependents', (SELECT count(*) FROM pedges WHERE dst = 7), 'nodes', NULL UNION ALL SELECT 'reachable', (SELECT count(*) FROM a WHERE d > 0), 'nodes', NULL
       UNION ALL SELECT 'path', coalesce((SELECT d + 1 FROM b WHERE n = 18), 0), 'path', EXISTS (SELECT 1 FROM b WHERE n = 18) UNION ALL SELECT 'most-depended-upon', least(10, (SELECT count(DISTINCT dst) FROM pedges)), 'ranking', NULL""",
-    "selected_nodes": "SELECT * FROM (VALUES ('query', 'p4', 'p4'), ('query', 'pkg:x/p9', 'p9'), ('query', 'nothing', 'nothing'), ('query', 'other-p5', 'other-p5'), ('report', 'p4', 'p4'), ('report', 'pkg:x/p9', 'p9'), ('report', 'other-p5', 'p5'), ('report', 'nothing', 'nothing'), ('diff', 'p4', 'p4')) t(kind, selector, node)",
+    "selected_nodes": SELECTORS,
+    "loaded_cargo_lock": _lock_sql("cargo-lock==resolved", "'runtime'", "CASE WHEN a.k % 2 = 0 THEN b.v END"),
+    "loaded_poetry_lock": _lock_sql("poetry-lock==resolved", "CASE WHEN a.k % 3 = 0 THEN 'optional' ELSE 'runtime' END", "concat('>=', b.v)", "CASE WHEN b.k % 3 = 0 THEN 'optional' ELSE 'runtime' END"),
+    "loaded_yarn_lock": _lock_sql("yarn-lock==resolved", "'runtime'", "'^1'"),
+    "loaded_pnpm_lock": _lock_sql("pnpm-lock==resolved", "'runtime'", "b.v"),
+    "loaded_pyproject": "SELECT 'pyproject==0.0.0' AS src, concat('p-', p_partkey, '==^', p_size, '.0') AS dst, 'runtime' AS scope, concat('^', p_size, '.0') AS \"constraint\", NULL::VARCHAR AS resolved FROM part",
     "batch_report": P + "," + ", ".join(_r(x, s, f) for x, s, f in (("a", "p0", True), ("b", "p5", False), ("c", "p9", False))) + """ SELECT 0::BIGINT AS qid, 'dependencies' AS direction, 'p0' AS node, 'nodes' AS kind, count(*) AS result_count FROM a WHERE d > 0 UNION ALL SELECT 1, 'dependents', 'p5', 'nodes', count(*) FROM b WHERE d > 0
       UNION ALL SELECT 2, 'dependencies', 'p0', 'path', coalesce(max(d) + 1, 0) FROM a WHERE n = 17 UNION ALL SELECT 3, 'dependents', 'p9', 'path', coalesce(max(d) + 1, 0) FROM c WHERE n = 3 UNION ALL SELECT 4, 'dependencies', 'none', 'nodes', 0""",
     "dependency_path_report": P + "," + _r("a", "p0", True) + "," + _r("b", "p18", False) + """ SELECT 'p18' AS package, array_to_string(list_transform(p, lambda x: 'p' || x), '>') AS path, d + 1 AS path_length, (SELECT count(*) FROM pedges WHERE dst = 18) AS direct_dependents, (SELECT count(*) FROM b WHERE d > 0) AS reachable_dependents,
