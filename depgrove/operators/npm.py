@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names as N
+from .tables import counted
 
 C = F.col
 
@@ -140,13 +141,24 @@ def searched_paths(missing: DataFrame) -> DataFrame:
 
 def flat_steps(reports: DataFrame) -> DataFrame:
     """reports: key, json (nested objects). A row per step: its dotted name and its seconds. An object with a readable delta is a step
-    and is not looked into; the others are, level by level until none is left."""
-    level = reports.select("key", F.lit("").alias("step"), C("json").alias("value"))
-    found = []
-    while not found or not level.isEmpty():
-        inner = level.select("key", "step", F.explode(F.from_json("value", "map<string,string>")).alias("name", "value"))
-        inner = inner.select("key", F.concat("step", F.when(C("step") == "", "").otherwise("."), "name").alias("step"), "value")
-        delta = N.seconds(F.get_json_object("value", "$.delta"))
-        found.append(inner.where(delta.isNotNull()).select("key", "step", delta.alias("seconds")))
-        level = inner.where(delta.isNull() & F.startswith("value", F.lit("{")))
+    and is not looked into; the others are, level by level until none is left.
+
+    The text is read once, as a variant; each level is one pass over the level before, which tells while it is written whether objects are left."""
+    level, left, found = reports.select("key", F.lit("").alias("step"), F.try_parse_json("json").alias("value")), 1, []
+    while left:
+        parts = level.lateralJoin(reports.sparkSession.tvf.variant_explode(C("value").outer()).select(C("key").alias("name"), C("value").alias("inner")))
+        step = F.concat("step", F.when(C("step") == "", "").otherwise("."), "name")
+        delta = N.seconds(F.try_variant_get("inner", "$.delta", "string"))
+        rows = parts.select("key", step.alias("step"), C("inner").alias("value"), delta.alias("seconds")).where("step IS NOT NULL")
+        open_ = C("seconds").isNull() & F.startswith(F.schema_of_variant("value"), F.lit("OBJECT<"))
+        table, n = counted(rows, "steps", left=F.count_if(open_))
+        found.append(table.where("seconds IS NOT NULL").select("key", "step", "seconds"))
+        level, left = table.where(open_).select("key", "step", "value"), n["left"]
     return reduce(DataFrame.unionByName, found)
+
+
+def json_value(text: Column) -> Column:
+    """A JSON text as a metadata value: compact, with the keys of objects in order; empty for null, an empty text, list or object, and for what is no
+    JSON."""
+    plain = F.to_json(F.try_parse_json(text))
+    return F.when(plain.isNull() | plain.isin("null", '""', "[]", "{}"), "").otherwise(plain)

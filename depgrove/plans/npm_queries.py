@@ -49,9 +49,9 @@ def _conflicts(spark, sf):
 
 def _steps(spark, sf):
     e = table(spark, sf, "events")
-    k = F.get_json_object("props", "$.k")
+    k = (F.get_json_object("props", "$.k").cast("int") % 60).cast("string")
     text = F.concat(F.lit('{"'), "event_type", F.lit('": {"inner": {"delta": "0:00:'), F.lpad(k, 2, "0"), F.lit('.5"}, "other": {"note": 1}}, "total": {"delta": "'), k, F.lit('"}}'))
-    return npm.flat_steps(e.where(F.length(k) <= 2).select(C("event_id").alias("key"), text.alias("json")))
+    return npm.flat_steps(e.select(C("event_id").alias("key"), text.alias("json")))
 
 
 def _halves(spark, sf):
@@ -67,6 +67,7 @@ QUERIES = {
     "npm_summary": lambda s, d: npm.summary(_nodes(s, d), _edges(s, d), PUBLIC),
     "resolution_conflicts": _conflicts,
     "peer_warnings": _peers,
+    "json_values": lambda s, d: table(s, d, "events").select("event_id", npm.json_value(F.when(C("event_id") % 5 == 0, "[ ]").otherwise(F.concat(F.lit('{"z": [1, null, "a b"], "props": '), "props", F.lit(', "A": {}}')))).alias("value")),
     "timing_steps": lambda s, d: R.step_totals(_steps(s, d)),
     "coverage_diff": _halves,
     "plan_enrichment": lambda s, d: table(s, d, "nation").select(C("n_name").alias("name"), "n_nationkey").join(table(s, d, "supplier").groupBy(C("s_nationkey").alias("n_nationkey")).agg(F.count("*").alias("files")), "n_nationkey", "left").select("name", F.coalesce("files", F.lit(0)).alias("files")),
@@ -93,7 +94,8 @@ SQL = {
     "resolution_conflicts": "SELECT p_brand AS dependency, string_agg(DISTINCT p_size % 4, ',' ORDER BY p_size % 4) AS versions FROM part GROUP BY 1 HAVING count(DISTINCT p_size % 4) > 1",
     "peer_warnings": """SELECT p_partkey::VARCHAR AS src, p_brand AS peer, 'edge' AS "from" FROM part WHERE p_size % 2 = 0
       UNION ALL SELECT p_partkey::VARCHAR, unnest([p_brand, 'other']), 'declared' FROM part WHERE p_partkey % 3 = 0""",
-    "timing_steps": """WITH k AS (SELECT event_type, json_extract_string(props, '$.k')::INT AS k FROM events WHERE length(json_extract_string(props, '$.k')) <= 2),
+    "json_values": """SELECT event_id, CASE WHEN event_id % 5 = 0 THEN '' ELSE concat('{"A":{},"props":{"k":', json_extract_string(props, '$.k'), '},"z":[1,null,"a b"]}') END AS value FROM events""",
+    "timing_steps": """WITH k AS (SELECT event_type, json_extract_string(props, '$.k')::INT % 60 AS k FROM events),
       s AS (SELECT concat(event_type, '.inner') AS step, k + 0.5::DOUBLE AS seconds FROM k UNION ALL SELECT 'total', k::DOUBLE FROM k)
       SELECT step, round_even(sum(seconds), 6) AS total, round_even(max(seconds), 6) AS longest, count(*) AS tasks FROM s GROUP BY step""",
     "coverage_diff": """WITH s AS (SELECT p_brand AS kind, p_partkey % 2 AS k, count(*) AS total, count(*) FILTER (p_size % 3 = 0) AS public FROM part GROUP BY 1, 2)

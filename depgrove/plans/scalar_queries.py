@@ -48,6 +48,14 @@ def _allows(spark, sf):
 
 NUM = "(split_part(version, '.', 1)::INT * 10000 + split_part(version, '.', 2)::INT * 100 + split_part(version, '.', 3)::INT)"
 
+def _typos(spark, sf):
+    """Popular names with one character taken out, or none, some with one more at the end: a name for each part."""
+    key = C("p_partkey").cast("int")
+    base, cut = F.get(F.array(*map(F.lit, N.POPULAR)), key % len(N.POPULAR)), F.floor(key / len(N.POPULAR)).cast("int") % 12
+    text = F.concat(F.substr(base, F.lit(1), cut), F.substr(base, cut + 2), F.when(key % 5 == 0, "s").otherwise(""))
+    return table(spark, sf, "part").select("p_partkey", F.when(key % 2 == 0, F.upper(text)).otherwise(text).alias("name"))
+
+
 QUERIES = {
     "purl": _purl,
     "id_split": lambda s, d: table(s, d, "packages").select(F.concat("id", F.lit("==x")).alias("id")).select("id", N.split_id(C("id"))[0].alias("name"), N.split_id(C("id"))[1].alias("version")),
@@ -64,7 +72,7 @@ QUERIES = {
     "purl_candidates": lambda s, d: table(s, d, "packages").select("id", F.array_join(N.purl_forms(F.concat(F.lit("pkg:rpm/a%2Bb/"), "name", F.lit("?arch=src"))), "|").alias("forms"), N.purl_name(F.concat(F.lit("pkg:npm/"), "name", F.lit("@"), "version", F.lit("?x=1"))).alias("purl_name")),
     "license_tokens": lambda s, d: table(s, d, "packages").where("license IS NOT NULL").select("id", F.array_join(N.license_tokens(C("license")), ",").alias("tokens")),
     "edit_distance": lambda s, d: table(s, d, "documents").select("doc_id", F.lower(F.regexp_extract("text", r"^(\w+)", 1)).alias("w")).select("doc_id", "w", (F.levenshtein("w", F.lit("then"), 1) >= 0).alias("near")).where(F.length("w") > 0),
-    "lookalikes": lambda s, d: s.createDataFrame([(x,) for x in ("lodahs", "lodas", "reac", "React", "axioss", "vitee", "Eslin", "nex", "none")], "name string").select("name", N.lookalike(C("name")).alias("target")),
+    "lookalikes": lambda s, d: _typos(s, d).select("p_partkey", "name", N.lookalike(C("name")).alias("target")),
     "arch_order": lambda s, d: table(s, d, "artifacts").select("arch").distinct().select("arch", N.arch_rank(C("arch"), N.TIMING_ORDER).cast("long").alias("timing"), N.arch_rank(C("arch"), N.INVENTORY_ORDER).cast("long").alias("inventory")),
     "durations": lambda s, d: table(s, d, "events").select("event_id", N.seconds(F.concat((C("event_id") % 3).cast("string"), F.lit(":"), (C("event_id") % 60).cast("string"), F.lit(":"), F.lit("07.5"))).alias("seconds"), ((F.unix_micros(C("ts").cast("timestamp")) - F.unix_micros(F.lit("2024-01-01").cast("timestamp"))) / 1e6).alias("wall")),
     "pypi_names": lambda s, d: table(s, d, "packages").select("id", N.pypi_name(F.concat(F.lit("A_"), "name", F.lit(".x"))).alias("normal")),
@@ -109,7 +117,9 @@ SQL = {
     "purl_candidates": PK + "SELECT id, concat('pkg:rpm/a+b/', name, '?arch=src|pkg:rpm/a+b/', name) AS forms, name AS purl_name FROM packages",
     "license_tokens": PK + """SELECT id, CASE license WHEN 'MIT OR Apache-2.0' THEN 'mit,apache-2.0' WHEN 'BSD-3-Clause AND MIT' THEN 'bsd-3-clause,mit' ELSE lower(license) END AS tokens FROM packages WHERE license IS NOT NULL""",
     "edit_distance": r"SELECT doc_id, w, levenshtein(w, 'then') <= 1 AS near FROM (SELECT doc_id, lower(regexp_extract(text, '^([A-Za-z0-9_]+)', 1)) AS w FROM documents) WHERE length(w) > 0",
-    "lookalikes": "SELECT * FROM (VALUES ('lodahs', NULL), ('lodas', 'lodash'), ('reac', 'react'), ('React', NULL), ('axioss', 'axios'), ('vitee', 'vite'), ('Eslin', 'eslint'), ('nex', 'next'), ('none', NULL)) t(name, target)",
+    "lookalikes": """WITH pop AS (SELECT unnest(['react', 'lodash', 'express', 'webpack', 'typescript', 'eslint', 'axios', 'next', 'vite']) AS p), b AS (SELECT p_partkey, ['react', 'lodash', 'express', 'webpack', 'typescript', 'eslint', 'axios', 'next', 'vite'][p_partkey % 9 + 1] AS base, p_partkey // 9 % 12 AS cut FROM part),
+      n AS (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN upper(x) ELSE x END AS name FROM (SELECT p_partkey, concat(substr(base, 1, cut), substr(base, cut + 2), CASE WHEN p_partkey % 5 = 0 THEN 's' ELSE '' END) AS x FROM b))
+      SELECT p_partkey, name, CASE WHEN lower(name) NOT IN (SELECT p FROM pop) THEN (SELECT min(p) FROM pop WHERE levenshtein(lower(name), p) = 1) END AS target FROM n""",
     "arch_order": with_("artifacts") + "SELECT DISTINCT arch, CASE arch WHEN 'x86_64' THEN 1 WHEN 'aarch64' THEN 2 WHEN 'src' THEN 6 WHEN 'noarch' THEN 7 ELSE 8 END::BIGINT AS timing, CASE arch WHEN 'x86_64' THEN 1 WHEN 'aarch64' THEN 2 WHEN 'noarch' THEN 6 WHEN 'src' THEN 7 ELSE 8 END::BIGINT AS inventory FROM artifacts",
     "durations": "SELECT event_id, ((event_id % 3) * 3600 + (event_id % 60) * 60 + 7.5)::DOUBLE AS seconds, epoch_us(ts - TIMESTAMP '2024-01-01') / 1e6 AS wall FROM events",
     "pypi_names": PK + "SELECT id, concat('a-', lower(name), '-x') AS normal FROM packages",

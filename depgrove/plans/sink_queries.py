@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import resolver
+from ..operators.tables import shared_folder
 from ..sources import sinks
 from .derive import table, with_
 
@@ -36,7 +40,43 @@ def _snapshot(spark, sf):
     return table(spark, sf, "pnodes").withColumn("meta", meta), table(spark, sf, "pedges")
 
 
+def _batch_faults(spark, sf):
+    """A folder with a file for each brand of parts, and a manifest that lacks some, names others that are not there, and has old digests."""
+    p = table(spark, sf, "part").select("p_brand", "p_partkey", C("p_brand").alias("brand"), F.concat_ws(",", "p_partkey", "p_name").alias("value"))
+    path = f"{shared_folder(spark)}/files-batch-{uuid.uuid4().hex}"
+    p.repartition("brand").sortWithinPartitions("brand", "p_partkey").select("brand", "value").write.partitionBy("brand").text(path)
+    found = sinks.digests(spark, path).where("NOT contains(file, '_SUCCESS') AND NOT endswith(file, '.crc')")
+    n = F.regexp_extract(F.regexp_replace("file", "%23", "#"), r"brand=Brand#(\d+)/", 1).cast("int")
+    known = found.withColumn("n", n).where("n % 7 <> 1").select(F.when(C("n") % 7 == 2, F.concat("file", F.lit(".old"))).otherwise(C("file")).alias("file"), F.when(C("n") % 7 == 3, C("bytes") + 1).otherwise(C("bytes")).alias("bytes"), F.when(C("n") % 7 == 4, F.sha2("sha256", 256)).otherwise(C("sha256")).alias("sha256"))
+    faults = sinks.verified(known, found)
+    return faults.select(F.regexp_extract(F.regexp_replace("file", "%23", "#"), r"brand=(Brand#\d+)/", 1).alias("brand"), "fault")
+
+
+def _digested(spark, sf):
+    """Files of one part's text each, with their digests."""
+    p = table(spark, sf, "nation").select("n_nationkey", "n_name")
+    path = f"{shared_folder(spark)}/files-digests-{uuid.uuid4().hex}"
+    p.repartition("n_nationkey").select("n_nationkey", C("n_name").alias("value")).write.partitionBy("n_nationkey").text(path)
+    found = sinks.digests(spark, path).where("contains(file, 'n_nationkey=') AND NOT endswith(file, '.crc')")
+    return found.select(F.regexp_extract("file", r"n_nationkey=(\d+)/", 1).cast("long").alias("key"), "bytes", "sha256")
+
+
+def _document(rows, *order):
+    """The document's lines as they are written, with their places: read from the part files in order of their names."""
+    path = f"{shared_folder(rows.sparkSession)}/document-{uuid.uuid4().hex}"
+    sinks.write_document(rows, path, *order)
+    lines = rows.sparkSession.read.text(path).select(C("value").alias("line"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("i"))
+    # lines before a file: a row for each file
+    before = lines.groupBy("file").agg(F.count("*").alias("n")).select("file", (F.sum("n").over(Window.orderBy("file")) - C("n")).alias("before"))
+    place = F.row_number().over(Window.partitionBy("file").orderBy("start", "i"))
+    return lines.withColumn("at", place).join(before, "file").select("line", (C("before") + C("at")).cast("long").alias("place"))
+
+
 QUERIES = {
+    "batch_faults": _batch_faults,
+    "file_digests": _digested,
+    "cypher_document": lambda s, d: _document(sinks.cypher_document(table(s, d, "pnodes"), table(s, d, "pedges")), "part", "a", "b"),
+    "snapshot_document": lambda s, d: _document(sinks.snapshot_document(*_snapshot(s, d), "p0", "generic", "graph.snapshot"), "part", "i", "j", "id"),
     "snapshot_rows": lambda s, d: sinks.snapshot_rows(table(s, d, "pnodes"), table(s, d, "pedges")),
     "cypher_statements": lambda s, d: sinks.cypher(table(s, d, "pnodes"), table(s, d, "pedges")).select("statement"),
     "sbom_components": _sbom,
@@ -55,6 +95,11 @@ REGISTRY = with_("packages").rstrip() + """, v AS (SELECT name, version, size FR
 HOLDS = "CASE a.size % 3 WHEN 0 THEN split_part(c, '.', 1)::INT < 3 WHEN 1 THEN split_part(c, '.', 1)::INT IN (1, 2) ELSE true END"
 
 SQL = {
+    "batch_faults": """WITH b AS (SELECT DISTINCT p_brand AS brand, replace(p_brand, 'Brand#', '')::INT AS n FROM part) SELECT brand, CASE n % 7 WHEN 1 THEN 'extra' WHEN 2 THEN 'extra' WHEN 3 THEN 'size' ELSE 'content' END AS fault FROM b WHERE n % 7 IN (1, 2, 3, 4)
+      UNION ALL SELECT brand, 'missing' FROM b WHERE n % 7 = 2""",
+    "file_digests": "SELECT n_nationkey::BIGINT AS key, length(n_name) + 1 AS bytes, sha256(concat(n_name, chr(10))) AS sha256 FROM nation",
+    "cypher_document": P + """, s AS (SELECT 0 AS part, '' AS a, '' AS b, 'CREATE CONSTRAINT package_id_unique IF NOT EXISTS FOR (p:Package) REQUIRE p.id IS UNIQUE;' AS line UNION ALL SELECT 1, id, '', concat('MERGE (:Package {id: "', id, '"});') FROM pnodes
+      UNION ALL SELECT 2, concat('p', src), concat('p', dst), concat('MATCH (s:Package {id: "p', src, '"}) MATCH (t:Package {id: "p', dst, '"}) MERGE (s)-[:DEPENDS_ON {type: ', rel, '}]->(t);') FROM pedges) SELECT line, row_number() OVER (ORDER BY part, a, b) AS place FROM s""",
     "snapshot_rows": P + """SELECT n.id, coalesce((SELECT to_json(list(t.id ORDER BY t.vid)) FROM pedges e JOIN pnodes t ON t.vid = e.dst WHERE e.src = n.vid)::VARCHAR, '[]') AS dependencies,
       coalesce((SELECT to_json(list(t.id ORDER BY t.vid)) FROM pedges e JOIN pnodes t ON t.vid = e.src WHERE e.dst = n.vid)::VARCHAR, '[]') AS dependents FROM pnodes n""",
     "cypher_statements": P + """SELECT 'CREATE CONSTRAINT package_id_unique IF NOT EXISTS FOR (p:Package) REQUIRE p.id IS UNIQUE;' AS statement UNION ALL SELECT concat('MERGE (:Package {id: "', id, '"});') FROM pnodes
@@ -78,3 +123,10 @@ SQL = {
     "graph_summary_line": with_("nodes", "edges") + "SELECT concat('root=customer:0 nodes=', (SELECT count(*) FROM nodes), ' edges=', (SELECT count(*) FROM edges)) AS line",
     "resolver_clauses": with_("packages") + "SELECT (SELECT sum(n * (n - 1) / 2)::BIGINT FROM (SELECT count(*) AS n FROM packages GROUP BY name)) AS at_most_one, (SELECT count(*) FROM packages p WHERE name <> (SELECT max(name) FROM packages q WHERE split_part(q.name, '-', 1) = split_part(p.name, '-', 1))) AS requirements",
 }
+
+SQL["snapshot_document"] = f"""SELECT line, row_number() OVER (ORDER BY part, i, j, id) AS place FROM (
+  SELECT 0 AS part, 0 AS i, 0 AS j, '' AS id, '{{"ecosystem":"generic","edges":[' AS line UNION ALL SELECT 2, 0, 0, '', '],"nodes":['
+  UNION ALL SELECT 1, src, dst, '', concat('{{"source":"p', src, '","target":"p', dst, '","relationshipType":', rel, '}}', CASE WHEN row_number() OVER (ORDER BY src DESC, dst DESC) = 1 THEN '' ELSE ',' END) FROM ({P} SELECT * FROM pedges)
+  UNION ALL SELECT 3, 0, 0, id, concat(node, CASE WHEN row_number() OVER (ORDER BY id DESC) = 1 THEN '' ELSE ',' END) FROM ({SQL["snapshot_nodes"]})
+  UNION ALL SELECT 4, 0, 0, '', concat('],"rankings":{{"mostDependedUpon":[', (SELECT string_agg(concat('{{"dependents":', n, ',"package":"', package, '"}}'), ',' ORDER BY n DESC, package) FROM ({P} SELECT concat('p', dst) AS package, count(*) AS n FROM pedges GROUP BY 1 ORDER BY n DESC, package LIMIT 10)),
+    ']}},"root":"p0","schema":"graph.snapshot","stats":{{"edges":', (SELECT count(*) FROM ({P} SELECT * FROM pedges)), ',"nodes":', (SELECT count(*) FROM part), '}}}}'))"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,7 +58,7 @@ def snapshot_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """source, target and edge: a snapshot's entry of each edge as JSON. edges: src, dst, rel and, if there are, scope and constraint."""
     ends = edges.join(nodes.select(C("vid").alias("src"), C("id").alias("source")), "src").join(nodes.select(C("vid").alias("dst"), C("id").alias("target")), "dst")
     more = [C(c) for c in ("scope", "constraint") if c in edges.columns]
-    return ends.select("source", "target", F.to_json(F.struct("source", "target", C("rel").alias("relationshipType"), *more)).alias("edge"))
+    return ends.select("src", "dst", "source", "target", F.to_json(F.struct("source", "target", C("rel").alias("relationshipType"), *more)).alias("edge"))
 
 
 def sbom_components(packages: DataFrame) -> DataFrame:
@@ -116,3 +118,58 @@ def read_graph(spark, path: str) -> tuple[DataFrame, Edges]:
 def summary_line(nodes: DataFrame, edges: DataFrame, root: str) -> DataFrame:
     n, e = nodes.agg(F.count("*").alias("n")), edges.agg(F.count("*").alias("n"))
     return n.select(F.format_string(f"root={root} nodes=%d edges=%d", C("n"), e.scalar()).alias("line"))
+
+
+def write_document(lines: DataFrame, path: str, *order: str) -> None:
+    """Writes the column `text` of rows as lines in the order of the given columns: the part files, put together by name, are the document. Rows
+    are sorted by ranges, so no task holds them all; equal rows keep no order of their own."""
+    lines.orderBy(*order).select("text").write.mode("overwrite").text(path)
+
+
+def cypher_document(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The statements as lines for write_document: the constraint, nodes by id, edges by their ends."""
+    return cypher(nodes, edges).select("part", "a", "b", C("statement").alias("text"))
+
+
+def snapshot_document(nodes: DataFrame, edges: DataFrame, root: str, ecosystem: str, schema: str) -> DataFrame:
+    """A snapshot as lines for write_document, by part, i, j and id: one JSON object with its keys in order, an entry of its lists a line: edges in
+    vid order, nodes by id, the ten packages that most others depend on. nodes: vid, id, meta. A list's last entry, which has no comma, is
+    found by the largest place."""
+    from ..operators.graph import most_depended_upon
+
+    spark = nodes.sparkSession
+    plain = lambda text: F.regexp_extract(F.to_json(F.array(F.lit(text))), r"(?s)^\[(.*)\]$", 1)
+    row = lambda df, part, i, j, id_, text: df.select(F.lit(part).alias("part"), i.cast("long").alias("i"), j.cast("long").alias("j"), id_.alias("id"), text.alias("text"))
+    fixed = lambda part, text: row(spark.range(1), part, F.lit(0), F.lit(0), F.lit(""), text)
+    comma = lambda last: F.when(last, "").otherwise(",")
+    n, e = snapshot_nodes(nodes, edges), snapshot_edges(nodes, edges)
+    last_edge, last_node = edges.agg(F.max(F.struct("src", "dst"))).scalar(), nodes.agg(F.max("id")).scalar()
+    top = most_depended_upon(nodes, edges, 10).agg(F.array_sort(F.collect_list(F.struct((-C("dependents")).alias("k"), "package", "dependents"))).alias("x"))
+    ranking = top.select(F.to_json(F.transform("x", lambda r: F.struct(r["dependents"].alias("dependents"), r["package"].alias("package"))))).scalar()
+    count = lambda df: df.agg(F.count("*").cast("string")).scalar()
+    tail = F.concat(F.lit('],"rankings":{"mostDependedUpon":'), ranking, F.lit('},"root":'), plain(root), F.lit(',"schema":'), plain(schema), F.lit(',"stats":{"edges":'), count(edges), F.lit(',"nodes":'), count(nodes), F.lit("}}"))
+    parts = [
+        fixed(0, F.concat(F.lit('{"ecosystem":'), plain(ecosystem), F.lit(',"edges":['))),
+        row(e, 1, C("src"), C("dst"), F.lit(""), F.concat("edge", comma(F.struct("src", "dst") == last_edge))),
+        fixed(2, F.lit('],"nodes":[')),
+        row(n, 3, F.lit(0), F.lit(0), C("id"), F.concat("node", comma(C("id") == last_node))),
+        fixed(4, tail),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def digests(spark, path: str) -> DataFrame:
+    """file (below the folder), bytes and sha256 of each file of a folder and its folders."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    root = F.regexp_replace(F.lit(path.rstrip("/")), r"^[a-z0-9]+:/*", "/")
+    file = F.regexp_replace(F.regexp_replace("path", r"^[a-z0-9]+:/*", "/"), F.concat(F.lit("^"), F.lit("\\Q"), root, F.lit("\\E/")), "")
+    return found.select(file.alias("file"), C("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def verified(manifest: DataFrame, found: DataFrame) -> DataFrame:
+    """file and fault (missing, extra, size or content) of each file of a batch that is not as its manifest says. manifest, found: file, bytes,
+    sha256."""
+    m, f = manifest.alias("m"), found.alias("f")
+    both = m.join(f, C("m.file") == C("f.file"), "full_outer")
+    fault = F.when(C("f.file").isNull(), "missing").when(C("m.file").isNull(), "extra").when(C("m.bytes") != C("f.bytes"), "size").when(C("m.sha256") != C("f.sha256"), "content")
+    return both.select(F.coalesce("m.file", "f.file").alias("file"), fault.alias("fault")).where("fault IS NOT NULL")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.names import nonempty, purl_forms, purl_package, transaction_package
 from ..operators import npm
 from ..operators.joins import first_requirements, nearest_installed, providers, tree_parents
+from ..operators.tables import counted
 from .common import MAP, files, lines, node, one_per_id
 
 C = F.col
@@ -207,16 +208,15 @@ def _nested_lock(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     old = docs.where("d.packages IS NULL AND d.dependencies IS NOT NULL")
     root = F.concat(F.coalesce("d.name", F.lit("npm-project")), F.lit("=="), F.coalesce("d.version", F.lit("0.0.0")))
     level = old.select("graph", root.alias("src"), F.explode("d.dependencies").alias("name", "text"), F.lit(True).alias("direct"))
-    found, inner = [], None
-    while not found or not level.isEmpty():
+    found, left = [], 1
+    while left:  # each level is written and read from there; how much is below it is counted meanwhile
         rows = level.select("graph", "src", "name", "direct", F.from_json("text", record).alias("p"), F.get_json_object("text", "$.dependencies").alias("nested"))
-        rows = rows.withColumn("version", F.coalesce("p.version", F.lit("0.0.0"))).withColumn("id", F.concat("name", F.lit("=="), "version"))
-        found.append(rows.withColumn("seq", F.lit(len(found))))
-        inner = rows.where("nested IS NOT NULL").select("graph", C("id").alias("src"), F.explode(F.from_json("nested", MAP)).alias("name", "text"), F.lit(False).alias("direct"))
-        level = inner
-    rows = found[0]
-    for x in found[1:]:
-        rows = rows.unionByName(x)
+        rows = rows.withColumn("version", F.coalesce("p.version", F.lit("0.0.0"))).withColumn("id", F.concat("name", F.lit("=="), "version")).withColumn("seq", F.lit(len(found)))
+        table, n = counted(rows, "nested", left=F.count_if(C("nested").isNotNull()))
+        found.append(table.drop("nested"))
+        left = n["left"]
+        level = table.where("nested IS NOT NULL").select("graph", C("id").alias("src"), F.explode(F.from_json("nested", MAP)).alias("name", "text"), F.lit(False).alias("direct"))
+    rows = reduce(DataFrame.unionByName, found)
     kind = F.when(C("direct"), "direct").otherwise("transitive")
     meta = _record_meta("p", kind, F.concat(F.lit("legacy:"), "name"))
     nodes = rows.select("seq", *node(C("graph"), C("name"), C("version"), F.lit("npm"), **meta))
