@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import resolver
+from ..operators import contracts, resolver
 from ..operators.tables import shared_folder
 from ..sources import sinks
 from .derive import table, with_
@@ -72,7 +72,29 @@ def _document(rows, *order):
     return lines.withColumn("at", place).join(before, "file").select("line", (C("before") + C("at")).cast("long").alias("place"))
 
 
+#: What a report of `_reports` must look like.
+CONTRACT = {
+    "type": "object", "required": ["schema", "summary", "items"], "additionalProperties": False,
+    "properties": {"schema": {"const": "report.v1"}, "summary": {"$ref": "#/$defs/summary"}, "items": {"type": "array", "minItems": 1, "items": {"$ref": "#/$defs/item"}}},
+    "$defs": {
+        "summary": {"type": "object", "required": ["findings"], "properties": {"findings": {"type": "integer", "minimum": 0}, "failed": {"type": ["boolean", "null"]}}},
+        "item": {"type": "object", "properties": {"id": {"type": "string", "pattern": "^p[0-9]+$"}, "score": {"anyOf": [{"type": "number", "maximum": 20}, {"type": "null"}]}}},
+    },
+}
+
+
+def _reports(spark, sf):
+    """A report for each part, some of which break the contract in one way or another."""
+    k = C("p_partkey")
+    summary = F.when(k % 7 == 0, "").otherwise(F.concat(F.lit('"summary": {"findings": '), F.when(k % 7 == 1, '"3"').when(k % 7 == 2, "-1").otherwise("2"), F.lit(', "failed": null}, ')))
+    item = F.concat(F.lit('{"id": "'), F.when(k % 7 == 3, "q").otherwise("p"), k.cast("string"), F.lit('", "score": '), C("p_size").cast("string"), F.lit("}"))
+    more = F.when(k % 7 == 4, ', "more": 1').otherwise("")
+    text = F.concat(F.lit('{"schema": "report.v1", '), summary, F.lit('"items": [{"id": "p0", "score": null}, '), item, F.lit("]"), more, F.when(k % 11 == 0, "").otherwise("}"))
+    return contracts.checked(table(spark, sf, "part").select("p_partkey", text.alias("json")), CONTRACT)
+
+
 QUERIES = {
+    "report_contract_faults": _reports,
     "batch_faults": _batch_faults,
     "file_digests": _digested,
     "cypher_document": lambda s, d: _document(sinks.cypher_document(table(s, d, "pnodes"), table(s, d, "pedges")), "part", "a", "b"),
@@ -95,6 +117,9 @@ REGISTRY = with_("packages").rstrip() + """, v AS (SELECT name, version, size FR
 HOLDS = "CASE a.size % 3 WHEN 0 THEN split_part(c, '.', 1)::INT < 3 WHEN 1 THEN split_part(c, '.', 1)::INT IN (1, 2) ELSE true END"
 
 SQL = {
+    "report_contract_faults": """WITH p AS (SELECT p_partkey, p_partkey % 7 AS k, p_size FROM part WHERE p_partkey % 11 <> 0) SELECT p_partkey, '$' AS path, 'no JSON' AS reason FROM part WHERE p_partkey % 11 = 0
+      UNION ALL SELECT p_partkey, '$.summary', 'required' FROM p WHERE k = 0 UNION ALL SELECT p_partkey, '$.summary.findings', 'not of type integer' FROM p WHERE k = 1 UNION ALL SELECT p_partkey, '$.summary.findings', 'minimum' FROM p WHERE k = 2
+      UNION ALL SELECT p_partkey, '$.items[1].id', 'pattern' FROM p WHERE k = 3 UNION ALL SELECT p_partkey, '$.more', 'not allowed' FROM p WHERE k = 4 UNION ALL SELECT p_partkey, '$.items[1].score', 'anyOf' FROM p WHERE p_size > 20""",
     "batch_faults": """WITH b AS (SELECT DISTINCT p_brand AS brand, replace(p_brand, 'Brand#', '')::INT AS n FROM part) SELECT brand, CASE n % 7 WHEN 1 THEN 'extra' WHEN 2 THEN 'extra' WHEN 3 THEN 'size' ELSE 'content' END AS fault FROM b WHERE n % 7 IN (1, 2, 3, 4)
       UNION ALL SELECT brand, 'missing' FROM b WHERE n % 7 = 2""",
     "file_digests": "SELECT n_nationkey::BIGINT AS key, length(n_name) + 1 AS bytes, sha256(concat(n_name, chr(10))) AS sha256 FROM nation",

@@ -396,3 +396,25 @@ def test_constraints_held(spark):
     assert [r.choice for r in resolver.held(odd, versions.where("version = '1.2.3'")).collect()] == ["1.2.3"]
     with pytest.raises(Exception, match="unsupported version constraint"):
         resolver.held(odd, versions).collect()
+
+
+def test_contracts(spark):
+    from depgrove.operators import contracts
+
+    schema = {
+        "type": "object", "required": ["a"], "additionalProperties": {"type": "integer"},
+        "properties": {"a": {"$ref": "#/$defs/x"}, "b": {"enum": ["one", 2, None]}, "c": {"oneOf": [{"type": "number"}, {"minimum": 5}]}, "d": {"allOf": [{"minLength": 2}, {"maxLength": 3}], "not": {"const": "bad"}}, "e": {"type": "array", "maxItems": 2, "items": {"type": ["string", "boolean"]}}},
+        "$defs": {"x": {"type": "array", "minItems": 1, "items": {"type": "object", "required": ["k"], "properties": {"k": {"pattern": "^v"}}}}},
+    }
+    cases = {
+        '{"a": [{"k": "v1"}], "b": 2, "c": 3, "d": "ok", "e": ["s", true], "more": 7}': set(), "[1]": {("$", "not of type object")}, "nothing": {("$", "no JSON")}, "{}": {("$.a", "required")}, '{"a": []}': {("$.a", "minItems")},
+        '{"a": [{"k": "w"}, {}, 3]}': {("$.a[0].k", "pattern"), ("$.a[1].k", "required"), ("$.a[2]", "not of type object")}, '{"a": [{"k": 1}], "b": "two", "more": "x", "extra": 1.5}': {("$.b", "enum differs"), ("$.more", "not of type integer"), ("$.extra", "not of type integer")},
+        '{"a": [{"k": "v"}], "c": 6, "d": "bad", "e": [null, "a", "b"]}': {("$.c", "oneOf"), ("$.d", "not"), ("$.e", "maxItems"), ("$.e[0]", "not of type string or boolean")}, '{"a": [{"k": "v"}], "d": "long", "b": null}': {("$.d", "maxLength")},
+    }
+    rows = spark.createDataFrame(list(enumerate(cases)), "n int, json string")
+    found = {}
+    for r in contracts.checked(rows, schema).collect():
+        found.setdefault(r.n, set()).add((r.path, r.reason))
+    assert {text: found.get(n, set()) for n, text in enumerate(cases)} == cases
+    with pytest.raises(ValueError):
+        contracts.faults({"$ref": "#/a", "a": {"items": {"$ref": "#/a"}}}, C("json"))
