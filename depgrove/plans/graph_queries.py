@@ -63,9 +63,10 @@ def _chain(spark, sf):
 
 
 def _many(spark, sf):
-    """How many packages each of the first packages needs, and how many need it, for all packages at once."""
-    nodes, edges = _p(spark, sf)
-    found = searches.reach_counts(edges, nodes.select(F.col("vid").alias("qid"), "vid"), "dependencies", cycles=True)
+    """How much each customer and each part needs, for all of them at once."""
+    nodes, edges = _d(spark, sf)
+    asked = nodes.where(F.col("kind").isin("customer", "part"))
+    found = searches.reach_counts(edges, asked.select(F.col("vid").alias("qid"), "vid"), "dependencies", cycles=True)
     return found.join(nodes, F.col("qid") == F.col("vid")).select(F.col("id").alias("package"), "direct", "reached", "back")
 
 
@@ -148,6 +149,7 @@ SQL = {
     "deep_reach": f"WITH RECURSIVE e AS ({CHAIN}), nodes AS (SELECT s_suppkey AS vid, concat('s', s_suppkey) AS id FROM supplier)," + _bfs("e", "nodes", "s0") + " SELECT id AS package, d AS distance FROM r JOIN nodes ON n = vid WHERE d > 0",
     "deep_path": f"WITH RECURSIVE e AS ({CHAIN}), nodes AS (SELECT s_suppkey AS vid, concat('s', s_suppkey) AS id FROM supplier)," + _bfs("e", "nodes", "s1")
     + " SELECT array_to_string(list_transform(p, lambda x: 's' || x), '>') AS path, d AS distance FROM r WHERE n = (SELECT max(vid) FROM nodes)",
-    "many_reach_counts": P + """, w(a, n) USING KEY (a, n) AS (SELECT vid, vid FROM pnodes UNION SELECT w.a, e.dst FROM w JOIN pedges e ON e.src = w.n WHERE NOT EXISTS (SELECT 1 FROM recurring.w x WHERE x.a = w.a AND x.n = e.dst))
-      SELECT id AS package, (SELECT count(*) FROM pedges WHERE src = vid) AS direct, (SELECT count(*) - 1 FROM w WHERE a = vid) AS reached, (SELECT least(count(*), 1) FROM w JOIN pedges ON src = n AND dst = vid WHERE a = vid) AS back FROM pnodes""",
+    "many_reach_counts": D + """, w(a, n) USING KEY (a, n) AS (SELECT vid, vid FROM nodes WHERE kind IN ('customer', 'part') UNION SELECT w.a, e.dst FROM w JOIN edges e ON e.src = w.n WHERE NOT EXISTS (SELECT 1 FROM recurring.w x WHERE x.a = w.a AND x.n = e.dst)),
+      r AS (SELECT a, count(*) - 1 AS reached FROM w GROUP BY a), o AS (SELECT src, count(*) AS direct FROM edges GROUP BY src), b AS (SELECT DISTINCT a FROM w JOIN edges ON src = n AND dst = a)
+      SELECT id AS package, coalesce(direct, 0) AS direct, reached, CASE WHEN b.a IS NULL THEN 0 ELSE 1 END::BIGINT AS back FROM r JOIN nodes ON vid = r.a LEFT JOIN o ON o.src = r.a LEFT JOIN b ON b.a = r.a""",
 }
