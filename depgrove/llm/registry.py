@@ -24,4 +24,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filters": url_filter.OP3_SQL}
+    return {"op3_url_filters": url_filter.OP3_SQL, "op12_negatives": negatives.OP12_SQL}
