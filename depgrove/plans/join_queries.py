@@ -101,6 +101,7 @@ QUERIES = {
     "node_modules_resolution": _node_modules,
     "exact_or_unique_lookup": _lookup,
     "orphan_roots": lambda s, d: J.orphans(table(s, d, "nodes"), table(s, d, "edges")).select("id"),
+    "first_requirements": lambda s, d: J.first_requirements(table(s, d, "lineitem").groupBy(C("l_orderkey").alias("pkg")).agg(F.array_sort(F.collect_set("l_partkey")).alias("requires")), 2),
     "advisory_matches": lambda s, d: matches(s, d).select("advisory", "id"),
     "snapshot_node_diff": lambda s, d: J.keyed_diff(table(s, d, "lefts"), table(s, d, "rights"), ["id"], ["license", "ecosystem"], "id"),
     "snapshot_edge_diff": lambda s, d: J.edge_diff(table(s, d, "pedges").where("src % 7 <> 0").select("src", "dst", "rel"), table(s, d, "pedges").where("src % 5 <> 0").select("src", "dst", "rel")),
@@ -152,6 +153,7 @@ SQL = {
       SELECT path, dep, coalesce(a.path_, b.path_, e.path_) AS target FROM c LEFT JOIN (SELECT path AS path_ FROM i) a ON a.path_ = c0 LEFT JOIN (SELECT path AS path_ FROM i) b ON b.path_ = c1 LEFT JOIN (SELECT path AS path_ FROM i) e ON e.path_ = c2""",
     "exact_or_unique_lookup": with_("packages").rstrip() + ", " + LOOK + " SELECT a.name, a.version, coalesce(e.id, (SELECT min(id) FROM pk WHERE pk.name = a.name HAVING count(*) = 1)) AS found FROM asked a LEFT JOIN pk e ON e.name = a.name AND e.version = a.version",
     "orphan_roots": with_("nodes", "edges") + "SELECT id FROM nodes WHERE vid NOT IN (SELECT dst FROM edges)",
+    "first_requirements": "SELECT * FROM (SELECT l_orderkey AS pkg, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey) - 1)::INT AS pos, l_partkey AS cap FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem)) WHERE pos < 2",
     "advisory_matches": with_("packages", "advisories").rstrip() + ", " + MATCHES + " SELECT advisory, id FROM matches",
     "snapshot_node_diff": with_("lefts", "rights") + """SELECT coalesce(l.id, r.id) AS id, CASE WHEN l.id IS NULL THEN 'added' WHEN r.id IS NULL THEN 'removed' ELSE 'changed' END AS change,
       CASE WHEN l.id IS NULL OR r.id IS NULL THEN '' ELSE concat_ws(',', CASE WHEN l.license IS DISTINCT FROM r.license THEN 'license' END, CASE WHEN l.ecosystem IS DISTINCT FROM r.ecosystem THEN 'ecosystem' END) END AS fields

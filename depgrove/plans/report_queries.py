@@ -187,7 +187,24 @@ def _transaction_rows(spark, sf):
     return T.impact(actions, found, counts)
 
 
+def _licensable(spark, sf):
+    """The parts as packages, roots, requirements that nothing meets, and capabilities."""
+    k = C("p_partkey")
+    kind = F.when(k % 5 == 0, "root").when(k % 5 == 1, "unresolved_requirement").when(k % 5 == 2, "package")
+    meta = F.map_filter(F.create_map(F.lit("node_type"), kind), lambda _, v: v.isNotNull())
+    return R.licensable(table(spark, sf, "part").select(F.concat(F.when(k % 7 == 0, "rpm-capability:").otherwise("p"), k.cast("string")).alias("id"), meta.alias("meta"))).select("id")
+
+
+def _log_content(spark, sf):
+    """Events whose text stands in one of several fields, some of which hold spaces only."""
+    e, k = table(spark, sf, "events"), C("event_id")
+    fields = [F.when(k % 4 == 0, " \t"), F.when(k % 4 == 1, C("props")), F.when(k % 3 == 0, C("event_type"))]
+    return e.select("event_id", R.log_content(*fields).alias("content"))
+
+
 QUERIES = {
+    "licensable": _licensable,
+    "log_content": _log_content,
     "advisory_affected": _few_affected,
     "completeness_summary": lambda s, d: R.completeness_summary(_builds(s, d)),
     "build_timing": _timing,
@@ -287,6 +304,8 @@ TRANSACTION = """WITH p AS (SELECT p_partkey AS idx, replace(p_name, ' ', '-') A
 
 SQL = {
     "license_histogram": LIC + " SELECT text, count(*) AS packages FROM r WHERE text IS NOT NULL GROUP BY text",
+    "licensable": "SELECT concat('p', p_partkey) AS id FROM part WHERE p_partkey % 5 > 1 AND p_partkey % 7 <> 0",
+    "log_content": "SELECT event_id, CASE WHEN event_id % 4 = 1 THEN props WHEN event_id % 3 = 0 THEN event_type ELSE '' END AS content FROM events",
     "license_summary": LIC + " SELECT count(*) AS packages, count(text) AS licensed, count(*) FILTER (text IS NULL) AS missing, count(DISTINCT text) AS distinct_licenses, count(*) FILTER (denied) AS denied FROM r",
     "license_findings": LIC + " SELECT id, text FROM r WHERE denied",
     "repo_summary_arch": A + "SELECT arch, count(*) AS packages, count(DISTINCT name) AS names FROM artifacts GROUP BY arch",
