@@ -38,7 +38,7 @@ def in_blocks(docs: DataFrame, block_bytes: int, carried: str | None = None) ->
     """doc_id, text (null: empty) and block: a hash of id and text over enough blocks that each holds about block_bytes.
 
     Copies of a text have different ids, and rows without an id or with one id different texts, so no block is larger for a group of
-    either, whatever its size.
+    either, whatever its size; only rows equal in both, which repeat one document, share a block.
     """
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // block_bytes))

@@ -1,11 +1,14 @@
 """Substring deduplication by relative Lempel-Ziv parsing.
 
-The reference is the corpus itself, in blocks. Each block is indexed in two steps. A window of 20 words has as its anchor the smallest
-hash among its runs of eight words, so equal windows have equal anchors; blocks exchange their distinct anchors, and only windows
-whose anchor occurs again go on. Those windows are exchanged by their own hashes (96 bits), and each is answered with the place of
-its first occurrence in all reference blocks. Then every document is factored greedily: from a window with an earlier occurrence the
-factor runs on for as long as the following windows lie on the same source, one word further each; every window that crosses the
-end of a factor is looked up as well, so none is missed there. The words of factors of 20 words or more are removed.
+The reference is every window of 20 words at the place where the corpus has it first: each window once, and where such places follow
+each other, one passage. Reference blocks are indexed in two steps. A window has as its anchor the smallest hash among its runs of eight
+words, so equal windows have equal anchors; blocks exchange their distinct anchors, and only windows whose anchor occurs again go on.
+Those are exchanged by their own hashes (96 bits), in ranges, and each is answered with its place in the reference, in whichever block
+that lies. Then each document is parsed: at a word where the reference has an earlier window, the factor is the longest match from there
+(there is one at most, as each window is in the reference once), and the parse goes on behind it; at any other word it goes on with the
+next one. Factors do not overlap. A repeated window that begins within a factor and ends behind it is looked up at that boundary; what is
+found there is kept apart as crossing spans. Each repeated window lies within a factor or crosses the end of one, so the words of both
+are the words to remove.
 
 Defined results: a null text has no words; a text of fewer than 20 words keeps all; of equal windows the one in the smallest doc_id,
 then at the earliest word, stays; rows with the same doc_id count as one document at the same places, so they do not remove each
@@ -124,10 +127,8 @@ def _answer_windows(table: pa.Table) -> pa.Table:
     return pa.table([table.column("range"), table.column("block"), pa.array(answers, pa.binary())], ["range", "block", "answer"])
 
 
-def _factors(own: _Block, answers: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The greedy factors: text, first word in the text, words, source document, source word."""
-    if not len(own.at):
-        return tuple(np.zeros(0, np.int64) for _ in range(5))
+def _parse(own: _Block, answers: np.ndarray) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """The factors and the spans that cross their ends, each as: text, first word in the text, words, source document, source word."""
     f = own.first
     here = answers["later"] == 0
     doc = np.where(here, own.doc[f], answers["doc"])[own.group]
@@ -135,12 +136,37 @@ def _factors(own: _Block, answers: np.ndarray) -> tuple[np.ndarray, ...]:
     later = (doc != own.doc) | (place != own.place)
     order = np.argsort(own.at[later])
     at, doc, place = own.at[later][order], doc[later][order], place[later][order]
-    text = own.t.doc[at]
-    goes_on = np.zeros(len(at), bool)
-    goes_on[1:] = (text[1:] == text[:-1]) & (np.diff(at) == 1) & (doc[1:] == doc[:-1]) & (np.diff(place) == 1)
-    head = np.flatnonzero(~goes_on)
-    length = np.diff(np.append(head, len(at))) + own.words - 1
-    return text[head], at[head] - own.t.word_bounds[text[head]], length, doc[head], place[head]
+    n, text = len(at), own.t.doc[at]
+    goes_on = np.zeros(n + 1, bool)  # a window that follows the one before it in the text and in the reference
+    goes_on[1:n] = (text[1:] == text[:-1]) & (np.diff(at) == 1) & (doc[1:] == doc[:-1]) & (np.diff(place) == 1)
+    ends = np.flatnonzero(~goes_on[1:])
+    last = ends[np.searchsorted(ends, np.arange(n))]
+    behind = np.searchsorted(at, at[last] + own.words).tolist()
+    starts, i = [], 0
+    while i < n:
+        starts.append(i)
+        i = behind[i]
+    starts = np.array(starts, np.int64)
+    within = np.zeros(n + 1, np.int64)
+    within[starts] += 1
+    within[last[starts] + 1] -= 1
+    crossing = np.flatnonzero(np.cumsum(within[:-1]) == 0)
+    heads = np.ones(len(crossing), bool)
+    heads[1:] = (np.diff(crossing) != 1) | ~goes_on[crossing[1:]]
+    cut = np.append(np.flatnonzero(heads), len(crossing))
+
+    def spans(first: np.ndarray, final: np.ndarray) -> tuple[np.ndarray, ...]:
+        return text[first], at[first] - own.t.word_bounds[text[first]], at[final] - at[first] + own.words, doc[first], place[first]
+
+    return spans(starts, last[starts]), spans(crossing[cut[:-1]], crossing[cut[1:] - 1])
+
+
+def _listed(spans: tuple[np.ndarray, ...], n: int) -> pa.Array:
+    """Each text's spans as an array."""
+    text, *values = spans
+    cuts = np.searchsorted(text, np.arange(n + 1)).astype(np.int32)
+    of = pa.StructArray.from_arrays([pa.array(x.astype(np.int64)) for x in values], ["start", "length", "source_doc", "source_start"])
+    return pa.ListArray.from_arrays(pa.array(cuts), of)
 
 
 def _kept(t: Texts, keep: np.ndarray) -> pa.Array:
@@ -164,11 +190,12 @@ def _remove(words: int, with_factors: bool, carried: str | None):
         own = _Block(table, words)
         own.chosen(exchange.in_order(answers.filter(pc.equal(answers.column("step"), 1)), np.uint8))
         found = exchange.in_order(answers.filter(pc.equal(answers.column("step"), 2)), [("later", np.uint8), ("doc", np.int64), ("place", np.uint32)])
-        text, start, length, doc, place = _factors(own, found)
+        parsed = _parse(own, found)
         step = np.zeros(len(own.t.start) + 1, np.int64)
-        first = own.t.word_bounds[text] + start
-        np.add.at(step, first, 1)
-        np.add.at(step, first + length, -1)
+        for text, start, length, _, _ in parsed:
+            first = own.t.word_bounds[text] + start
+            np.add.at(step, first, 1)
+            np.add.at(step, first + length, -1)
         keep = np.cumsum(step[:-1]) == 0
         n_words = np.diff(own.t.word_bounds)
         n_kept = np.bincount(own.t.doc[keep], minlength=own.t.n)
@@ -178,18 +205,16 @@ def _remove(words: int, with_factors: bool, carried: str | None):
             columns.append(table.column(carried))
             names.append(carried)
         if with_factors:
-            cuts = np.searchsorted(text, np.arange(own.t.n + 1)).astype(np.int32)
-            of = pa.StructArray.from_arrays([pa.array(x.astype(np.int64)) for x in (start, length, doc, place)], ["start", "length", "source_doc", "source_start"])
-            columns.append(pa.ListArray.from_arrays(pa.array(cuts), of))
-            names.append("factors")
+            columns += [_listed(x, own.t.n) for x in parsed]
+            names += ["factors", "crossing"]
         return pa.table(columns, names)
 
     return remove
 
 
 def dedup(docs: DataFrame, words: int = WORDS, block_bytes: int = BLOCK_BYTES, with_factors: bool = False, carried: str | None = None) -> DataFrame:
-    """doc_id, n_words, n_removed and kept (the remaining words, joined by one space) of each row; with_factors: also the factors as
-    (start, length, source_doc, source_start), counted in words; carried: a column that stays beside its row."""
+    """doc_id, n_words, n_removed and kept (the remaining words, joined by one space) of each row; with_factors: also the factors and
+    the spans crossing their ends, as (start, length, source_doc, source_start), counted in words; carried: a column that stays beside its row."""
     rows, n = in_blocks(docs, block_bytes, carried)
     of_block = lambda df: df.groupBy("block")
     asked = of_block(rows).applyInArrow(_ask_anchors(n, words), "range int, block int, keys binary")
@@ -201,7 +226,7 @@ def dedup(docs: DataFrame, words: int = WORDS, block_bytes: int = BLOCK_BYTES, w
     answers = again.withColumn("step", F.lit(1)).unionByName(sources.withColumn("step", F.lit(2)))
     schema = "doc_id long, n_words long, n_removed long, kept string"
     if with_factors:
-        schema += ", factors array<struct<start: long, length: long, source_doc: long, source_start: long>>"
+        schema += "".join(f", {x} array<struct<start: long, length: long, source_doc: long, source_start: long>>" for x in ("factors", "crossing"))
     fields = StructType.fromDDL(schema).fields
     if carried:
         fields.insert(4, docs.schema[carried])

@@ -280,6 +280,37 @@ def brute_substrings(rows, size):
     return out
 
 
+def brute_factors(rows, size):
+    """The greedy parse of each text against the reference, word by word: passages of windows that stand nowhere earlier."""
+    texts = sorted((i, (text or "").split()) for i, text in rows)
+    seen, passages = set(), []
+    for i, w in texts:
+        for k in range(len(w) - size + 1):
+            if tuple(w[k : k + size]) in seen:
+                continue
+            seen.add(tuple(w[k : k + size]))
+            if passages and passages[-1][0] == i and passages[-1][1] + len(passages[-1][2]) == k + size - 1:
+                passages[-1][2].append(w[k + size - 1])
+            else:
+                passages.append((i, k, w[k : k + size]))
+    found = {}
+    for i, w in texts:
+        found[i], p = [], 0
+        while p < len(w):
+            best = (0, None, None)
+            for doc, start, words in passages:
+                for o in range(len(words) - size + 1):
+                    if (doc, start + o) < (i, p) and words[o : o + size] == w[p : p + size]:
+                        n = size
+                        while o + n < len(words) and p + n < len(w) and words[o + n] == w[p + n]:
+                            n += 1
+                        best = max(best, (n, doc, start + o), key=lambda x: x[0])
+            if best[0]:
+                found[i].append((p, *best))
+            p += best[0] or 1
+    return found
+
+
 def test_substrings(spark):
     rng, rows = random.Random(3), []
     for i in range(80):
@@ -297,7 +328,15 @@ def test_substrings(spark):
     for size, block in ((20, 500), (9, 1 << 20)):
         found = substring_dedup.dedup(docs, size, block, with_factors=True).withColumn("sha", F.sha2(C("kept").cast("binary"), 256)).collect()
         assert {r.doc_id: (r.n_words, r.n_removed, r.sha) for r in found} == brute_substrings(rows, size)
-        assert all(f.length >= size and (f.source_doc, f.source_start) < (r.doc_id, f.start) for r in found for f in r.factors)
+        assert {r.doc_id: [(f.start, f.length, f.source_doc, f.source_start) for f in r.factors] for r in found} == brute_factors(rows, size)
+        assert all(a.start + a.length <= b.start for r in found for a, b in zip(r.factors, r.factors[1:]))
+        words = {i: (text or "").split() for i, text in rows}
+        for r in found:
+            inside = {f.start + k for f in r.factors for k in range(f.length)}
+            for c in r.crossing:
+                assert c.length >= size and (c.source_doc, c.source_start) < (r.doc_id, c.start) and c.start in inside
+                assert words[r.doc_id][c.start : c.start + c.length] == words[c.source_doc][c.source_start : c.source_start + c.length]
+        assert any(r.crossing for r in found)
     out = substring_dedup.remove(docs)
     assert out.columns == docs.columns and {r.doc_id: r.n_chars for r in out.collect()} == {r.doc_id: len(r.kept) for r in substring_dedup.dedup(docs).collect()}
     assert substring_dedup.dedup(docs.limit(0)).count() == 0
