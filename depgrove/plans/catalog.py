@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import graph_queries, join_queries, npm_queries, report_queries, scalar_queries, sink_queries, source_queries
+from . import graph_queries, join_queries, npm_queries, report_queries, scalar_queries, sink_queries, source_queries, triage_queries
 
-MODULES = (graph_queries, scalar_queries, join_queries, report_queries, sink_queries, npm_queries, source_queries)
+MODULES = (graph_queries, scalar_queries, join_queries, report_queries, sink_queries, npm_queries, source_queries, triage_queries)
 
 
 def queries() -> dict:

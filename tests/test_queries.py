@@ -14,7 +14,7 @@ def test_names():
 
 
 @pytest.mark.skipif(not os.path.isdir(DIR), reason="the tables are not here")
-@pytest.mark.parametrize("name", ["most_depended_upon", "requires_providers", "license_summary", "diff_classification", "advisory_matches", "purl", "npm_summary", "advisory_affected", "loaded_dot_reachable", "dependency_path_report"])
+@pytest.mark.parametrize("name", ["most_depended_upon", "requires_providers", "license_summary", "diff_classification", "advisory_matches", "purl", "npm_summary", "advisory_affected", "loaded_dot_reachable", "dependency_path_report", "report_counters", "report_status", "report_checks", "report_findings"])
 def test_query_and_sql(spark, name):
     import duckdb
 
