@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,11 @@ def nonempty(c: Column) -> Column:
     return F.nullif(F.trim(c), F.lit(""))
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of the value, which is worked out once however often body names it: as a plain Column it would be repeated in the plan each time."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def split_id(id_: Column) -> tuple[Column, Column]:
     """Name and version around the first ==; without one the version is empty."""
     at = F.instr(id_, "==")
@@ -111,21 +118,37 @@ def transaction_package(text: Column) -> Column:
     """name, epoch, version, release, arch, node (the id in a graph) and purl of name-[epoch:]version-release.arch[.rpm]; null for an empty
     text. Without two dashes all of it is the name."""
     package = F.trim(text)
-    stem = F.regexp_replace(package, r"\.rpm$", "")
-    _, body, arch, ok, part = _rpm_parts(package)
-    arch = F.coalesce(arch, F.lit("unknown"))
-    has = F.contains(part(2), F.lit(":"))
-    epoch = F.when(ok & has, F.coalesce(F.nullif(F.substring_index(part(2), ":", 1), F.lit("")), F.lit("0"))).otherwise("0")
-    version = F.when(ok & has, F.substr(part(2), F.instr(part(2), ":") + 1)).when(ok, part(2)).otherwise("")
-    release = F.when(ok, part(3)).otherwise("")
-    evr = F.when(release != "", F.concat(version, F.lit("-"), release)).otherwise(version)
-    full = F.when((arch != "") & (arch != "unknown"), F.concat(evr, F.lit("."), arch)).otherwise(evr)
-    name = F.when(ok, part(1)).otherwise(stem)
-    node = F.when(~ok, stem).when(full != "", F.concat(name, F.lit("=="), full)).otherwise(name)
-    shown = F.coalesce(F.when(ok, F.nullif(evr, F.lit(""))), F.lit("unknown"))
-    pairs = F.concat_ws("&", F.when((arch != "") & (arch != "unknown"), F.concat(F.lit("arch="), F.url_encode(arch))), F.when(~epoch.isin("0", "(none)"), F.concat(F.lit("epoch="), F.url_encode(epoch))))
-    url = F.concat(F.lit("pkg:rpm/"), percent(name), F.lit("@"), percent(shown), F.when(pairs != "", F.concat(F.lit("?"), pairs)).otherwise(""))
-    found = F.struct(name.alias("name"), epoch.alias("epoch"), version.alias("version"), release.alias("release"), arch.alias("arch"), node.alias("node"), url.alias("purl"))
+    pattern = r"^(.*)-([^-]*)-([^-]*)$"
+
+    def stemmed(stem: Column) -> Column:
+        arch = F.substring_index(stem, ".", -1)
+        body = F.when(F.contains(stem, F.lit(".")), F.substr(stem, F.lit(1), F.length(stem) - F.length(arch) - 1)).otherwise(stem)
+        return F.struct(stem.alias("stem"), F.when(F.contains(stem, F.lit(".")), arch).otherwise("unknown").alias("arch"), body.alias("body"))
+
+    def matched(p: Column) -> Column:
+        part = lambda i: F.regexp_extract(p["body"], pattern, i)
+        return F.struct(p["stem"].alias("stem"), p["arch"].alias("arch"), F.regexp_like(p["body"], F.lit(pattern)).alias("ok"), part(1).alias("first"), part(2).alias("second"), part(3).alias("third"))
+
+    def versioned(p: Column) -> Column:
+        ok, second, release = p["ok"], p["second"], F.when(p["ok"], p["third"]).otherwise("")
+        has = F.contains(second, F.lit(":"))
+        epoch = F.when(ok & has, F.coalesce(F.nullif(F.substring_index(second, ":", 1), F.lit("")), F.lit("0"))).otherwise("0")
+        version = F.when(ok & has, F.substr(second, F.instr(second, ":") + 1)).when(ok, second).otherwise("")
+        return F.struct(F.when(ok, p["first"]).otherwise(p["stem"]).alias("name"), epoch.alias("epoch"), version.alias("version"), release.alias("release"), p["arch"].alias("arch"), ok.alias("ok"))
+
+    def named(p: Column) -> Column:
+        known = (p["arch"] != "") & (p["arch"] != "unknown")
+        evr = F.when(p["release"] != "", F.concat(p["version"], F.lit("-"), p["release"])).otherwise(p["version"])
+        full = F.when(known, F.concat(evr, F.lit("."), p["arch"])).otherwise(evr)
+        node = F.when(p["ok"] & (full != ""), F.concat(p["name"], F.lit("=="), full)).otherwise(p["name"])
+        shown = F.coalesce(F.when(p["ok"], F.nullif(evr, F.lit(""))), F.lit("unknown"))
+        pairs = F.concat_ws("&", F.when(known, F.concat(F.lit("arch="), F.url_encode(p["arch"]))), F.when(~p["epoch"].isin("0", "(none)"), F.concat(F.lit("epoch="), F.url_encode(p["epoch"]))))
+        url = F.concat(F.lit("pkg:rpm/"), percent(p["name"]), F.lit("@"), percent(shown), F.when(pairs != "", F.concat(F.lit("?"), pairs)).otherwise(""))
+        return F.struct(*[p[c].alias(c) for c in ("name", "epoch", "version", "release", "arch")], node.alias("node"), url.alias("purl"))
+
+    found = F.regexp_replace(package, r"\.rpm$", "")
+    for step in (stemmed, matched, versioned, named):
+        found = bound(found, step)
     return F.when(F.length(package) > 0, found)
 
 
