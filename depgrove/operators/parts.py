@@ -2,8 +2,9 @@
 
 Nodes are cut into parts of 2**PART_BITS neighbouring vids. A part's inner edges are one packed row, in a table bucketed by part; edges between parts
 are rows bucketed by the node they leave. A round takes the nodes whose distance got smaller, follows inner edges to their end within each
-part's task, then the edges between parts by a join. The number of rounds follows how often the shortest ways cross from part to part, not
-the depth of the graph, and a task holds one part: at most PART_EDGES inner edges (a part with more is followed by joins) and 64 queries.
+part's task, then the edges between parts by a join. A search that has not ended after ROUNDS rounds goes on over parts of GROWTH more bits, so the number
+of rounds follows the logarithm of how often the shortest ways cross from part to part, until parts are as large as a task may hold: at most
+PART_EDGES inner edges (a part with more from the first is followed by joins; parts do not grow into one) and PART_STATES nodes times queries.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from .tables import Bucketed, bucketed, buckets, counted_buckets
 C = F.col
 PART_BITS = 16
 PART_EDGES = 4_000_000
+PART_STATES = 2**24
+ROUNDS, GROWTH = 2, 6
 FAR = np.iinfo(np.int64).max
 
 
@@ -88,6 +91,7 @@ class Parts:
 
     def __init__(self, edges: DataFrame, direction: str, part_bits: int = PART_BITS, part_edges: int = PART_EDGES, n: int | None = None):
         self.bits, self.n, self.direction = part_bits, n or buckets(edges.sparkSession), direction
+        self.part_edges, self._coarser = part_edges, None
         rows = turned(edges, direction).distinct().withColumn("part", self.part(C("src")))
         heavy = rows.where(C("part") == self.part(C("dst"))).groupBy("part").count().where(C("count") > part_edges).select("part", F.lit(True).alias("heavy"))
         rows = rows.join(heavy, "part", "left")
@@ -99,17 +103,33 @@ class Parts:
     def part(self, vid: Column) -> Column:
         return F.shiftright(vid, self.bits)
 
+    def edges(self) -> DataFrame:
+        """src, dst of all edges, turned."""
+        inner = self.inner.select(F.lit(None).cast("long").alias("src"), F.lit(None).cast("long").alias("dst"), "inner").mapInArrow(_unpacked, "src long, dst long")
+        return inner.unionByName(self.between)
+
+    def coarser(self, queries: int) -> Parts:
+        """The same graph in parts of GROWTH more bits; itself where such a part could be more than a task holds."""
+        bits = self.bits + GROWTH
+        if queries << bits > PART_STATES:
+            return self
+        if self._coarser is None:
+            sizes = self.edges().select(F.shiftright("src", bits).alias("part"), F.shiftright("dst", bits).alias("to")).where("part = to").groupBy("part").count()
+            most = sizes.agg(F.max("count").alias("n")).first().n or 0
+            self._coarser = Parts(self.edges(), "dependencies", bits, self.part_edges, self.n) if most <= self.part_edges else self
+        return self._coarser
+
     def distances(self, starts: DataFrame) -> DataFrame:
         """qid, vid, distance (0 at the starts). starts: qid, vid."""
         queries, n = numbered(starts, BITS)
         out = []
         for run in range(max(1, -(-n // BITS))):
             mine = queries.where(C("run") == run).select("qid", "bit")
-            found = self._search(starts.join(mine, "qid").select("vid", "bit"))
+            found = self._search(starts.join(mine, "qid").select("vid", "bit"), max(1, min(BITS, n - run * BITS)))
             out.append(found.join(mine, "bit").select("qid", "vid", "distance"))
         return reduce(DataFrame.unionByName, out)
 
-    def _search(self, starts: DataFrame) -> DataFrame:
+    def _search(self, starts: DataFrame, queries: int) -> DataFrame:
         """vid, bit, distance."""
         key = (F.shiftleft(C("vid"), 6) + C("bit")).alias("key")
         least = lambda df: df.groupBy("key").agg(F.min("distance").alias("distance"))
@@ -125,34 +145,38 @@ class Parts:
         entries, found = counted_buckets(least(starts.select(key, F.lit(0).cast("long").alias("distance"))), "key", "nearer", self.n)
         if not found["n"]:
             return node(entries.plain)
+        cut, rounds = self, 0
         while found["n"]:
-            at = node(entries.by_key).withColumn("part", self.part(C("vid")))
-            reached = at.groupBy("part").cogroup(self.inner.groupBy("part")).applyInArrow(_relax, "vid long, bit int, distance long")
+            if rounds and rounds % ROUNDS == 0:
+                cut = cut.coarser(queries)
+            rounds += 1
+            at = node(entries.by_key).withColumn("part", cut.part(C("vid")))
+            reached = at.groupBy("part").cogroup(cut.inner.groupBy("part")).applyInArrow(_relax, "vid long, bit int, distance long")
             improved, _ = nearer(reached)
             seen.add(improved)
-            crossed = node(improved.by_key).join(self.between, C("vid") == C("src")).select(C("dst").alias("vid"), "bit", (C("distance") + 1).alias("distance"))
+            crossed = node(improved.by_key).join(cut.between, C("vid") == C("src")).select(C("dst").alias("vid"), "bit", (C("distance") + 1).alias("distance"))
             entries, found = nearer(crossed)
         return node(least(seen.rows()))
 
     def path(self, towards: DataFrame, start: int) -> list[int]:
         """The shortest way from a node along which distances fall to 0, by the smallest vid at each step. towards: vid, distance of one query of
         a search in the other direction. Only the way itself comes to the driver."""
-        edges = self._steps(towards)
+        bits = max(self.bits, self.part_edges.bit_length() - 1)  # a step for each node: a part of them is no larger than one of edges
+        edges = self._steps(towards, bits)
         way, at = [start], start
         while True:
-            own = edges.where(C("part") == (at >> self.bits))
+            own = edges.where(C("part") == (at >> bits))
             rows = own.mapInArrow(_follow(at), "place long, vid long").orderBy("place").collect()
             if not rows:
                 return way
             way += [r.vid for r in rows]
             at = way[-1]
 
-    def _steps(self, towards: DataFrame) -> DataFrame:
+    def _steps(self, towards: DataFrame, bits: int) -> DataFrame:
         """The next node of each on its way, a packed row for each part."""
         to = lambda c: towards.select(C("vid").alias(c), C("distance").alias(f"{c}_distance"))
-        inner = self.inner.select(F.lit(None).cast("long").alias("src"), F.lit(None).cast("long").alias("dst"), "inner").mapInArrow(_unpacked, "src long, dst long")
-        edges = inner.unionByName(self.between).join(to("src"), "src").join(to("dst"), "dst").where("dst_distance = src_distance + 1")
-        steps = edges.groupBy(C("dst").alias("at")).agg(F.min("src").alias("next")).select(self.part(C("at")).alias("part"), C("at").alias("src"), C("next").alias("dst"))
+        edges = self.edges().join(to("src"), "src").join(to("dst"), "dst").where("dst_distance = src_distance + 1")
+        steps = edges.groupBy(C("dst").alias("at")).agg(F.min("src").alias("next")).select(F.shiftright("at", bits).alias("part"), C("at").alias("src"), C("next").alias("dst"))
         return bucketed(steps.groupBy("part").applyInArrow(_packed, "part long, inner binary"), "part", "steps", self.n).by_key
 
 

@@ -18,3 +18,16 @@ def test_a_package_of_a_transaction_is_parsed_once(spark):
         ("a-b", "2", "1", "3", "noarch", "a-b==1-3.noarch"), ("a", "0", "1", "2", "x86_64", "a==1-2.x86_64"), ("plain", "0", "", "", "unknown", "plain"),
         ("a", "0", "1", "2", "src", "a==1-2.src"), ("x.y", "0", "", "", "y", "x.y"), None, None, ("a", "0", "1", "", "noarch", "a==1.noarch"),
     ]
+
+
+def test_rounds_of_a_deep_search_do_not_follow_its_cuts(spark, monkeypatch):
+    from depgrove.operators import graph, parts
+
+    calls, counted = [], parts.counted_buckets
+    monkeypatch.setattr(parts, "counted_buckets", lambda *a, **k: (calls.append(1), counted(*a, **k))[1])
+    nodes, edges = graph.synthetic(spark, 120, 3)
+    found = {r.package: r.distance for r in graph.deep_reachable(nodes, edges, "pkg-0==1", "dependencies", part_bits=3).collect()}
+    assert found == {f"pkg-{i}==1": -(-i // 3) for i in range(1, 120)}
+    assert len(calls) < 16  # 15 parts, of which each is entered from the one before
+    cut = parts.Parts(edges, "dependencies", 3, 150)
+    assert cut.coarser(1) is cut  # no part becomes more than a task holds
