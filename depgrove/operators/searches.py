@@ -2,6 +2,7 @@
 
 Many queries go together: a node has one row whatever the number of queries that reach it, with a bit for each query in columns of 64. A
 level is one join of the last level with the edges, `bit_or` by node, and what was seen before taken off; only that sum by node is shuffled.
+More queries than a row has bits for go together as well, in runs of 64: a node then has a row for each run that reaches it, by node and run.
 What was seen is kept as few tables: MERGED of about one size are written as one, which takes a shuffle of theirs, each row's log(levels) times.
 """
 
@@ -13,12 +14,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import Bucketed, bucketed, buckets, counted, counted_buckets
+from .tables import Bucketed, bucketed, buckets, counted, counted_buckets, written
 
 C = F.col
 MERGED = 6
 BITS = 64
-#: Columns of bits that go together; more queries are searched for in several runs.
+#: Columns of bits that go together; more queries than they hold go in runs of one column, those with targets in a search for each run.
 COLUMNS = 16
 
 
@@ -66,15 +67,15 @@ def towards(edges: DataFrame | Edges, direction: str) -> DataFrame:
 class Seen:
     """Rows by key over the levels so far, at most one a key in each table; several tables' values for a key meet by `merge`."""
 
-    def __init__(self, key: str, values: list[str], n: int, merge: Callable[[DataFrame], DataFrame]):
-        self.key, self.values, self.n, self.merge = key, values, n, merge
+    def __init__(self, key: str | list[str], values: list[str], n: int, merge: Callable[[DataFrame], DataFrame]):
+        self.keys, self.values, self.n, self.merge = [key] if isinstance(key, str) else key, values, n, merge
         self.tables: list[tuple[int, Bucketed]] = []
 
     def add(self, table: Bucketed) -> None:
-        self.tables.append((0, Bucketed(*[df.select(self.key, *self.values) for df in table])))
+        self.tables.append((0, Bucketed(*[df.select(*self.keys, *self.values) for df in table])))
         while len(self.tables) >= MERGED and self.tables[-MERGED][0] == self.tables[-1][0]:
             last = reduce(DataFrame.unionByName, [t.plain for _, t in self.tables[-MERGED:]])
-            self.tables[-MERGED:] = [(self.tables[-1][0] + 1, bucketed(self.merge(last), self.key, "seen", self.n))]
+            self.tables[-MERGED:] = [(self.tables[-1][0] + 1, bucketed(self.merge(last), self.keys, "seen", self.n))]
 
     def rows(self) -> DataFrame:
         return reduce(DataFrame.unionByName, [t.plain for _, t in self.tables])
@@ -83,8 +84,8 @@ class Seen:
         """The rows with each table's values of their key (null: none) in columns of their own; no table is shuffled."""
         columns = []
         for i, (_, table) in enumerate(self.tables):
-            names = {v: f"{v}_{i}" for v in self.values}
-            rows = rows.join(table.by_key.withColumnsRenamed(names | {self.key: f"key_{i}"}), C(self.key) == C(f"key_{i}"), "left").drop(f"key_{i}")
+            names, keys = {v: f"{v}_{i}" for v in self.values}, {k: f"key_{k}_{i}" for k in self.keys}
+            rows = rows.join(table.by_key.withColumnsRenamed(names | keys), reduce(lambda a, b: a & b, [C(k) == C(o) for k, o in keys.items()]), "left").drop(*keys.values())
             columns.append([C(name) for name in names.values()])
         return rows, columns
 
@@ -96,19 +97,30 @@ def numbered(starts: DataFrame, together: int) -> tuple[DataFrame, int]:
     return rows, n["n"]
 
 
+def runs(starts: DataFrame) -> DataFrame:
+    """qid, run and bit of the distinct queries, 64 a run; no task holds them all."""
+    rows = starts.select("qid").distinct().orderBy("qid").withColumn("i", F.monotonically_increasing_id())
+    return written(rows.select("qid", F.shiftright("i", 6).alias("run"), C("i").bitwiseAND(F.lit(BITS - 1)).cast("int").alias("bit")), "queries")
+
+
+def _keys(rows: DataFrame, *keys: str) -> list[str]:
+    """Those of the keys that the rows have: run is there only where several runs go together."""
+    return [k for k in keys if k in rows.columns]
+
+
 def _masks(rows: DataFrame, columns: int) -> DataFrame:
-    """vid and a column of bits m0, m1, ... for each 64 queries. rows: vid, bit."""
+    """vid (and run) and a column of bits m0, m1, ... for each 64 queries. rows: vid (, run), bit."""
     one = lambda c: F.bit_or(F.when(F.floor(C("bit") / BITS) == c, F.call_function("shiftleft", F.lit(1).cast("long"), C("bit") % BITS)).otherwise(F.lit(0).cast("long"))).alias(f"m{c}")
-    return rows.groupBy("vid").agg(*[one(c) for c in range(columns)])
+    return rows.groupBy(*_keys(rows, "vid", "run")).agg(*[one(c) for c in range(columns)])
 
 
 def mask_levels(edges: Edges, starts: DataFrame, direction: str, columns: int, depth: int | None = None, targets: DataFrame | None = None) -> DataFrame:
     """vid, m0, m1, ... and distance: a row for each node and distance at which queries reach it first. starts, targets: vid, bit; a query ends
-    with the level that holds its target."""
-    m, n = [f"m{c}" for c in range(columns)], edges.n
+    with the level that holds its target. With run in starts (and no targets) also run: a row for each node, run and distance."""
+    m, n, keys = [f"m{c}" for c in range(columns)], edges.n, _keys(starts, "vid", "run")
     out = edges.towards(direction, depth)
     wanted = bucketed(_masks(targets, columns).withColumnsRenamed({c: f"want_{c}" for c in m}), "vid", "targets", n).by_key if targets is not None else None
-    seen = Seen("vid", m, n, lambda df: df.groupBy("vid").agg(*[F.bit_or(c).alias(c) for c in m]))
+    seen = Seen(keys, m, n, lambda df: df.groupBy(*keys).agg(*[F.bit_or(c).alias(c) for c in m]))
     levels, distance, done = [], 0, [0] * columns
 
     def keep(fresh: DataFrame) -> tuple[DataFrame, dict[str, int]]:
@@ -116,10 +128,10 @@ def mask_levels(edges: Edges, starts: DataFrame, direction: str, columns: int, d
         if wanted is not None:
             fresh = fresh.join(wanted, "vid", "left")
             hits = {f"hit_{c}": F.bit_or(C(c).bitwiseAND(F.coalesce(f"want_{c}", F.lit(0)))) for c in m}
-        table, found = counted_buckets(fresh, "vid", "level", n, **hits)
+        table, found = counted_buckets(fresh, keys, "level", n, **hits)
         seen.add(table)
-        levels.append(table.plain.select("vid", *m, F.lit(distance).cast("long").alias("distance")))
-        return table.by_key.select("vid", *m), found
+        levels.append(table.plain.select(*keys, *m, F.lit(distance).cast("long").alias("distance")))
+        return table.by_key.select(*keys, *m), found
 
     level, found = keep(_masks(starts, columns))
     while found["n"] and (depth is None or distance < depth):
@@ -127,11 +139,11 @@ def mask_levels(edges: Edges, starts: DataFrame, direction: str, columns: int, d
         if wanted is not None:
             done = [d | found[f"hit_{c}"] for d, c in zip(done, m)]
             level = level.select("vid", *[C(c).bitwiseAND(F.lit(~d)).alias(c) for d, c in zip(done, m)])
-        step = level.join(out, C("vid") == C("src")).groupBy(C("dst").alias("vid")).agg(*[F.bit_or(c).alias(c) for c in m])
+        step = level.join(out, C("vid") == C("src")).groupBy(C("dst").alias("vid"), *keys[1:]).agg(*[F.bit_or(c).alias(c) for c in m])
         step, before = seen.beside(step)
         fresh = [reduce(lambda a, b: a.bitwiseAND(F.bitwise_not(F.coalesce(b, F.lit(0).cast("long")))), [row[i] for row in before], C(c)).alias(c) for i, c in enumerate(m)]
         some = reduce(lambda a, b: a | b, [C(c) != 0 for c in m])
-        level, found = keep(step.select("vid", *fresh).where(some))
+        level, found = keep(step.select(*keys, *fresh).where(some))
     return reduce(DataFrame.unionByName, levels)
 
 
@@ -147,14 +159,20 @@ def bits_of(columns: int) -> Column:
 
 def counts(rows: DataFrame, columns: int, **where: Column) -> DataFrame:
     """bit and, for each name, how many of the rows that meet its condition have the bit; rows are summed by their masks first, as most nodes are
-    reached by the same queries as others."""
-    alike = rows.groupBy(*[f"m{c}" for c in range(columns)]).agg(*[F.count_if(on).alias(name) for name, on in where.items()])
-    return alike.select(bits_of(columns), *where).groupBy("bit").agg(*[F.sum(name).alias(name) for name in where])
+    reached by the same queries as others. With run, each run for itself."""
+    run = _keys(rows, "run")
+    alike = rows.groupBy(*run, *[f"m{c}" for c in range(columns)]).agg(*[F.count_if(on).alias(name) for name, on in where.items()])
+    return alike.select(*run, bits_of(columns), *where).groupBy(*run, "bit").agg(*[F.sum(name).alias(name) for name in where])
 
 
 def each_run(starts: DataFrame, targets: DataFrame | None = None):
-    """Of each run of so many queries as go together: its queries (qid, bit), columns, starts and targets (vid, bit)."""
+    """Of each run of so many queries as go together: its queries (qid, bit), columns, starts and targets (vid, bit). Without targets all go
+    together; queries and starts of more than the columns hold have their run."""
     together = BITS * COLUMNS
+    if targets is None and starts.select("qid").distinct().limit(together + 1).count() > together:
+        queries = runs(starts)
+        yield queries, 1, starts.join(queries, "qid").select("vid", "run", "bit"), None
+        return
     queries, n = numbered(starts, together)
     for run in range(-(-n // together)):
         own = queries.where(C("run") == run).select("qid", "bit")
@@ -172,7 +190,8 @@ def distances(edges: DataFrame | Edges, starts: DataFrame, direction: str, depth
     edges, parts = Edges.of(edges), []
     for own, columns, at, _ in each_run(starts):
         found = mask_levels(edges, at, direction, columns, depth)
-        parts.append(found.select("vid", "distance", bits_of(columns)).join(own, "bit").select("qid", "vid", "distance"))
+        by = _keys(own, "run", "bit")
+        parts.append(found.select(*_keys(found, "vid", "run"), "distance", bits_of(columns)).join(own, by).select("qid", "vid", "distance"))
     return _united(parts, starts, "vid", "distance")
 
 
@@ -193,12 +212,13 @@ def reach_counts(edges: DataFrame | Edges, starts: DataFrame, direction: str, cy
     edges, parts = Edges.of(edges), []
     for own, columns, at, _ in each_run(starts):
         found = mask_levels(edges, at, direction, columns)
-        rows = counts(found, columns, reached=C("distance") > 0, direct=C("distance") == 1).join(own, "bit")
+        run, by = _keys(own, "run"), _keys(own, "run", "bit")
+        rows = counts(found, columns, reached=C("distance") > 0, direct=C("distance") == 1).join(own, by)
         if cycles:
-            before = at.join(towards(edges, direction), C("vid") == C("dst")).select(C("src").alias("vid"), "bit")
+            before = at.join(towards(edges, direction), C("vid") == C("dst")).select(C("src").alias("vid"), *by)
             asked = _masks(before, columns).withColumnsRenamed({f"m{c}": f"want_{c}" for c in range(columns)})
-            ends = found.join(asked, "vid").select(*[C(f"m{c}").bitwiseAND(C(f"want_{c}")).alias(f"m{c}") for c in range(columns)])
-            rows = rows.join(ends.select(bits_of(columns)).distinct().withColumn("again", F.lit(1).cast("long")), "bit", "left").withColumn("back", F.coalesce("again", F.lit(0).cast("long")))
+            ends = found.join(asked, ["vid", *run]).select(*run, *[C(f"m{c}").bitwiseAND(C(f"want_{c}")).alias(f"m{c}") for c in range(columns)])
+            rows = rows.join(ends.select(*run, bits_of(columns)).distinct().withColumn("again", F.lit(1).cast("long")), by, "left").withColumn("back", F.coalesce("again", F.lit(0).cast("long")))
         parts.append(rows.select("qid", "reached", "direct", *(["back"] if cycles else [])))
     return _united(parts, starts, "reached", "direct", *(["back"] if cycles else []))
 

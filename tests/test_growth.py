@@ -31,3 +31,16 @@ def test_rounds_of_a_deep_search_do_not_follow_its_cuts(spark, monkeypatch):
     assert len(calls) < 16  # 15 parts, of which each is entered from the one before
     cut = parts.Parts(edges, "dependencies", 3, 150)
     assert cut.coarser(1) is cut  # no part becomes more than a task holds
+
+
+def test_all_runs_of_queries_go_in_one_search(spark, monkeypatch):
+    from depgrove.operators import searches
+
+    calls, levels = [], searches.mask_levels
+    monkeypatch.setattr(searches, "COLUMNS", 1)
+    monkeypatch.setattr(searches, "mask_levels", lambda *a, **k: (calls.append(1), levels(*a, **k))[1])
+    edges = spark.range(150).select(F.col("id").alias("src"), ((F.floor(F.col("id") / 4) * 4 + (F.col("id") + 1) % 4)).alias("dst"), F.lit(1).alias("rel")).where("src < 100")
+    starts = spark.range(150).select(F.col("id").alias("qid"), F.col("id").alias("vid"))
+    found = sorted(tuple(r) for r in searches.reach_counts(edges, starts, "dependencies", cycles=True).select("qid", "reached", "direct", "back").collect())
+    assert found == [(q, 3, 1, 1) if q < 100 else (q, 0, 0, 0) for q in range(150)]
+    assert len(calls) == 1
