@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from . import searches
 from .parts import PART_BITS, Parts
 from .searches import Edges, Seen, towards, turned
-from .tables import Bucketed, counted_buckets, written
+from .tables import Bucketed, buckets, counted_buckets, written
 
 C = F.col
 OPPOSITE = {"dependencies": "dependents", "dependents": "dependencies"}
@@ -58,8 +58,15 @@ def merged_nodes(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("id").agg(F.min("seq").alias("seq")).join(meta, "id", "left").withColumn("meta", F.coalesce("meta", F.expr("map()").cast("map<string,string>")))
 
 
-def merged_edges(edges: DataFrame) -> DataFrame:
-    """One row per (src, dst) of edges (src, dst, rel, seq): the last relationship counts."""
+#: Fixed value: the edges that a task merges; their hash table takes some 130 bytes each.
+MERGED_ROWS = 2_000_000
+
+
+def merged_edges(edges: DataFrame, rows: int | None = None) -> DataFrame:
+    """One row per (src, dst) of edges (src, dst, rel, seq): the last relationship counts. rows: about how many edges there are, if that is known; then they go
+    to as many tasks as they need before they are merged, and none merges a file's rows where it reads them."""
+    if rows is not None:
+        edges = edges.repartition(max(buckets(edges.sparkSession), -(-rows // MERGED_ROWS)), "src", "dst")
     return edges.groupBy("src", "dst").agg(F.max_by("rel", "seq").alias("rel"))
 
 

@@ -73,12 +73,13 @@ def _filled(name: str, tables: dict[str, str]) -> str:
     return text.format(**tables)
 
 
-def table(spark, sf_dir: str, name: str):
-    """A driver table or a derived one."""
+def table(spark, sf_dir: str, name: str, distinct: bool = True):
+    """A driver table or a derived one. distinct False: rows may occur several times, for callers that merge them anyway."""
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     used = [t for t in TABLES if f"{{{t}}}" in SQL[name] or ("{packages}" in SQL[name] and f"{{{t}}}" in SQL["packages"])]
-    return spark.sql(_filled(name, {t: f"{{{t}}}" for t in TABLES}), **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
+    text = _filled(name, {t: f"{{{t}}}" for t in TABLES})
+    return spark.sql(text if distinct else text.replace("SELECT DISTINCT", "SELECT"), **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
 
 
 @cache

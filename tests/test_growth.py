@@ -44,3 +44,12 @@ def test_all_runs_of_queries_go_in_one_search(spark, monkeypatch):
     found = sorted(tuple(r) for r in searches.reach_counts(edges, starts, "dependencies", cycles=True).select("qid", "reached", "direct", "back").collect())
     assert found == [(q, 3, 1, 1) if q < 100 else (q, 0, 0, 0) for q in range(150)]
     assert len(calls) == 1
+
+
+def test_edges_are_merged_in_as_many_tasks_as_they_need(spark):
+    from depgrove.operators import graph
+
+    edges = spark.createDataFrame([(1, 2, 1, 1), (1, 2, 3, 3), (2, 1, 2, 2)], "src long, dst long, rel int, seq int")
+    merged = graph.merged_edges(edges, 9 * graph.MERGED_ROWS)
+    assert "RepartitionByExpression [src#" in _plan(merged) and _plan(merged).splitlines()[1].strip().endswith(", 9")
+    assert sorted(map(tuple, merged.collect())) == [(1, 2, 3), (2, 1, 2)]
