@@ -53,3 +53,14 @@ def test_edges_are_merged_in_as_many_tasks_as_they_need(spark):
     merged = graph.merged_edges(edges, 9 * graph.MERGED_ROWS)
     assert "RepartitionByExpression [src#" in _plan(merged) and _plan(merged).splitlines()[1].strip().endswith(", 9")
     assert sorted(map(tuple, merged.collect())) == [(1, 2, 3), (2, 1, 2)]
+
+
+def test_a_contract_parses_a_text_once(spark):
+    from depgrove.operators import contracts
+
+    schema = {"type": "object", "required": ["a"], "properties": {"a": {"type": "integer", "minimum": 0, "maximum": 9}, "b": {"items": {"type": "string", "minLength": 2}}}}
+    df = spark.createDataFrame([(1, '{"a": 10, "b": ["x", 1]}'), (2, "{}"), (3, "{")], "k int, json string")
+    found = contracts.checked(df, schema)
+    plan = _plan(found)
+    assert plan.count("parseJson") == 1 and plan.count("Repartition") == 1
+    assert sorted(map(tuple, found.collect())) == [(1, "$.a", "maximum"), (1, "$.b[0]", "minLength"), (1, "$.b[1]", "not of type string"), (2, "$.a", "required"), (3, "$", "no JSON")]
