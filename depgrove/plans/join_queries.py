@@ -97,7 +97,7 @@ def _tree(spark, sf):
 
 QUERIES = {
     "requires_providers": lambda s, d: J.providers(table(s, d, "requires"), table(s, d, "provides")).where("provider IS NOT NULL"),
-    "unresolved_requirements": lambda s, d: J.providers(table(s, d, "requires"), table(s, d, "provides")).where("provider IS NULL").select("pkg", "cap"),
+    "unresolved_requirements": lambda s, d: J.unresolved(table(s, d, "requires"), table(s, d, "provides")),
     "node_modules_resolution": _node_modules,
     "exact_or_unique_lookup": _lookup,
     "orphan_roots": lambda s, d: J.orphans(table(s, d, "nodes"), table(s, d, "edges")).select("id"),

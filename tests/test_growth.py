@@ -64,3 +64,15 @@ def test_a_contract_parses_a_text_once(spark):
     plan = _plan(found)
     assert plan.count("parseJson") == 1 and plan.count("Repartition") == 1
     assert sorted(map(tuple, found.collect())) == [(1, "$.a", "maximum"), (1, "$.b[0]", "minLength"), (1, "$.b[1]", "not of type string"), (2, "$.a", "required"), (3, "$", "no JSON")]
+
+
+def test_unresolved_requirements_meet_no_list_of_providers(spark):
+    from depgrove.operators import joins
+
+    requires = spark.createDataFrame([(p, c) for p in range(4) for c in ("none", "own", "many", "rpmlib(x)")], "pkg int, cap string")
+    provides = spark.createDataFrame([(1, "own"), (1, "own")] + [(p, "many") for p in range(3)], "pkg int, cap string")
+    found = joins.unresolved(requires, provides)
+    assert sorted(map(tuple, found.collect())) == [(0, "none"), (1, "none"), (1, "own"), (2, "none"), (3, "none")]
+    assert sorted(map(tuple, found.collect())) == sorted((r.pkg, r.cap) for r in joins.providers(requires, provides).where("provider IS NULL").collect())
+    join = next(line for line in _plan(found).splitlines() if "Join LeftOuter" in line)
+    assert "pkg#" not in join and "Aggregate [" in _plan(found)
