@@ -76,3 +76,30 @@ def test_unresolved_requirements_meet_no_list_of_providers(spark):
     assert sorted(map(tuple, found.collect())) == sorted((r.pkg, r.cap) for r in joins.providers(requires, provides).where("provider IS NULL").collect())
     join = next(line for line in _plan(found).splitlines() if "Join LeftOuter" in line)
     assert "pkg#" not in join and "Aggregate [" in _plan(found)
+
+
+def test_lock_files_are_read_by_lines_and_hold_what_is_asked_for(monkeypatch):
+    import tracemalloc
+
+    from depgrove.sources import lockfiles
+
+    monkeypatch.setattr(lockfiles, "BLOCK_LINES", 1)
+    texts = {
+        "poetry-lock": ['[[package]]\nname = "p{0}"\nversion = "1"\ndescription = """\n[[package]]\n"""\n[package.dependencies]\np{1} = ">=1"\n', ""],
+        "cargo-lock": ['[[package]]\nname = "p{0}"\nversion = "1"\ndependencies = ["p{1}"]\n', ""],
+        "yarn-lock": ['"p{0}@^1", "p{0}@~1":\n  version "1"\n  dependencies:\n    p{1} "^1"\n', ""],
+        "pnpm-lock": ["  p{0}@1:\n    resolution: {{integrity: sha}}\n    dependencies:\n      p{1}: '1'\n", "packages:\n"],
+        "pyproject": ['p{0} = "^1"\n', "[tool.poetry.dependencies]\n"],
+    }
+    n = 2000
+    for form, (entry, head) in texts.items():
+        lines = (head + "".join(entry.format(i, i + 1) for i in range(n))).splitlines(keepends=True)
+        parse = lockfiles.PARSERS[form]
+        every = list(parse(iter(lines), "f", None).rows())
+        for kind in ("node", "edge"):
+            assert list(parse(iter(lines), "f", kind).rows()) == [r for r in every if r[1] == kind]
+        assert sum(r[1] == "edge" for r in every) == n and sum(r[1] == "node" for r in every) == n + 1
+        tracemalloc.start()
+        lock = parse(iter(lines), "f", "edge")
+        assert lock.packages and tracemalloc.get_traced_memory()[1] < 1000 * n, form
+        tracemalloc.stop()
