@@ -112,7 +112,8 @@ def _paths(edges: DataFrame | Edges, starts: DataFrame, direction: str, depth: i
         if not found["n"] or found["hits"] or distance == depth:
             return reduce(DataFrame.unionByName, tables)
         distance += 1
-        step = level.by_key.join(out, C("vid") == C("src")).select("dst", F.explode("ways").alias("w"))
+        step = searches.stepped(level.by_key, out, found["n"]).select("dst", F.explode("ways").alias("w"))
+        step = searches.placed(step, edges.n, "dst")
         step = step.groupBy("dst", "w.qid").agg(F.min(F.concat("w.path", F.array("dst"))).alias("path"))
         step = step.groupBy(C("dst").alias("vid")).agg(F.collect_list(F.struct("qid", "path")).alias("ways"))
         step, before = seen.beside(step)
@@ -209,14 +210,21 @@ def neighbourhood_edges(edges: DataFrame, found: DataFrame, direction: str, dept
 
 def batch(nodes: DataFrame, edges: DataFrame, queries: DataFrame) -> DataFrame:
     """queries: qid, direction, node, target, kind (nodes or path). Gives qid and result_count: nodes reached, or nodes of the path. All
-    queries of a direction and kind advance together; those for a path end at their target."""
+    queries of a direction advance together, if they are more than go together those of each kind; those for a path end at their target."""
     out, edges = [], Edges.of(edges)
+    together = searches.BITS * searches.COLUMNS
+    few = queries.limit(together + 1).count() <= together
     for direction in ("dependencies", "dependents"):
         asked = queries.where(C("direction") == direction)
         starts = lambda rows: rows.join(nodes, C("node") == C("id")).select("qid", "vid")
         plain, routes = asked.where("kind <> 'path'"), asked.where("kind = 'path'")
-        reached = searches.reach_counts(edges, starts(plain), direction).select("qid", C("reached").alias("n"))
         ends = routes.join(nodes, C("target") == C("id")).select("qid", "vid")
+        if few:
+            found = searches.answers(edges, starts(plain).unionByName(starts(routes).join(ends, "qid", "left_semi")), ends, direction)
+            n = F.when(C("kind") == "path", C("distance") + 1).otherwise(C("reached"))
+            out.append(asked.join(found, "qid", "left").select("qid", F.coalesce(n, F.lit(0)).alias("result_count")))
+            continue
+        reached = searches.reach_counts(edges, starts(plain), direction).select("qid", C("reached").alias("n"))
         length = searches.target_distances(edges, starts(routes).join(ends, "qid", "left_semi"), ends, direction).select("qid", (C("distance") + 1).alias("n"))
         out.append(asked.select("qid").join(reached.unionByName(length), "qid", "left").select("qid", F.coalesce("n", F.lit(0)).alias("result_count")))
     return out[0].unionByName(out[1])

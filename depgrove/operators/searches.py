@@ -21,15 +21,27 @@ MERGED = 6
 BITS = 64
 #: Columns of bits that go together; more queries than they hold go in runs of one column, those with targets in a search for each run.
 COLUMNS = 16
+#: The edges of a bucket, at most, where a shuffle has more partitions than the graph needs; the rows of a level that go to all tasks.
+BUCKET_EDGES = 500_000
+SENT_ROWS = 10_000
 
 
 class Edges:
-    """A graph's edges, written once for each direction that is asked for."""
+    """A graph's edges, written once, and once more for each direction that is asked for. n: the buckets, as many as a shuffle has partitions or as the
+    edges fill: a level reads and writes them all, however small it is."""
 
     def __init__(self, edges: DataFrame, n: int | None = None):
-        self.edges, self.n = edges, n or buckets(edges.sparkSession)
+        self.edges, self._n = edges, n
         self._by: dict[str, DataFrame] = {}
 
+    @property
+    def n(self) -> int:
+        if self._n is None:
+            spark = self.edges.sparkSession
+            self.edges, found = counted(self.edges.select("src", "dst"), "edges")
+            self._n = min(buckets(spark), max(spark.sparkContext.defaultParallelism, -(-found["n"] // BUCKET_EDGES)))
+        return self._n
+
     @classmethod
     def written(cls, by_source: DataFrame, by_target: DataFrame, n: int) -> Edges:
         """Edges that lie in n buckets by either end."""
@@ -46,8 +58,9 @@ class Edges:
         if direction not in self._by:
             if depth is not None and depth <= 2:
                 return turned(self.edges, direction)
+            n = self.n
             # by hash of src before the write, so that a bucket is one file
-            self._by[direction] = bucketed(turned(self.edges, direction).repartition(self.n, "src"), "src", "edges", self.n).by_key
+            self._by[direction] = bucketed(turned(self.edges, direction).repartition(n, "src"), "src", "edges", n).by_key
         return self._by[direction]
 
 
@@ -74,22 +87,28 @@ class Seen:
     def add(self, table: Bucketed) -> None:
         self.tables.append((0, Bucketed(*[df.select(*self.keys, *self.values) for df in table])))
         while len(self.tables) >= MERGED and self.tables[-MERGED][0] == self.tables[-1][0]:
-            last = reduce(DataFrame.unionByName, [t.plain for _, t in self.tables[-MERGED:]])
+            last = reduce(DataFrame.unionByName, [t.plain for _, t in self.tables[-MERGED:]]).repartition(self.n, *self.keys)
             self.tables[-MERGED:] = [(self.tables[-1][0] + 1, bucketed(self.merge(last), self.keys, "seen", self.n))]
 
     def rows(self) -> DataFrame:
         return reduce(DataFrame.unionByName, [t.plain for _, t in self.tables])
 
     def beside(self, rows: DataFrame) -> tuple[DataFrame, list[list[Column]]]:
-        """The rows with each table's values of their key (null: none) in columns of their own; no table is shuffled."""
+        """The rows with each table's values of their key (null: none) in columns of their own; no table is shuffled,
+        nor sent to all tasks through the driver, which would get each of them again at each level."""
         columns = []
         for i, (_, table) in enumerate(self.tables):
             names, keys = {v: f"{v}_{i}" for v in self.values}, {k: f"key_{k}_{i}" for k in self.keys}
-            rows = rows.join(table.by_key.withColumnsRenamed(names | keys), reduce(lambda a, b: a & b, [C(k) == C(o) for k, o in keys.items()]), "left").drop(*keys.values())
+            rows = rows.join(table.by_key.withColumnsRenamed(names | keys).hint("merge"), reduce(lambda a, b: a & b, [C(k) == C(o) for k, o in keys.items()]), "left").drop(*keys.values())
             columns.append([C(name) for name in names.values()])
         return rows, columns
 
 
+def stepped(level: DataFrame, out: DataFrame, rows: int) -> DataFrame:
+    """The edges out of a level of so many rows; a large one is joined by bucket and never sent to all tasks."""
+    return (level.hint("merge") if rows > SENT_ROWS else level).join(out, C("vid") == C("src"))
+
+
 def numbered(starts: DataFrame, together: int) -> tuple[DataFrame, int]:
     """qid, run and bit of the distinct queries (so many go together), and their number. Only the queries' own ids meet in one task."""
     rows = starts.select("qid").distinct().withColumn("i", F.row_number().over(Window.orderBy("qid")) - 1)
@@ -139,7 +158,8 @@ def mask_levels(edges: Edges, starts: DataFrame, direction: str, columns: int, d
         if wanted is not None:
             done = [d | found[f"hit_{c}"] for d, c in zip(done, m)]
             level = level.select("vid", *[C(c).bitwiseAND(F.lit(~d)).alias(c) for d, c in zip(done, m)])
-        step = level.join(out, C("vid") == C("src")).groupBy(C("dst").alias("vid"), *keys[1:]).agg(*[F.bit_or(c).alias(c) for c in m])
+        step = stepped(level, out, found["n"]).select(C("dst").alias("vid"), *keys[1:], *m)
+        step = placed(step, n, *keys).groupBy(*keys).agg(*[F.bit_or(c).alias(c) for c in m])
         step, before = seen.beside(step)
         fresh = [reduce(lambda a, b: a.bitwiseAND(F.bitwise_not(F.coalesce(b, F.lit(0).cast("long")))), [row[i] for row in before], C(c)).alias(c) for i, c in enumerate(m)]
         some = reduce(lambda a, b: a | b, [C(c) != 0 for c in m])
@@ -147,6 +167,11 @@ def mask_levels(edges: Edges, starts: DataFrame, direction: str, columns: int, d
     return reduce(DataFrame.unionByName, levels)
 
 
+def placed(rows: DataFrame, n: int, *keys: str) -> DataFrame:
+    """The rows as tables of n buckets lie; as a grouping lays them out anyway where a shuffle has as many partitions, after a sum within tasks."""
+    return rows if n == buckets(rows.sparkSession) else rows.repartition(n, *keys)
+
+
 def bits_of(columns: int) -> Column:
     """The numbers of a row's queries."""
 
@@ -206,6 +231,17 @@ def target_distances(edges: DataFrame | Edges, starts: DataFrame, targets: DataF
     return _united(parts, starts, "distance")
 
 
+def answers(edges: DataFrame | Edges, starts: DataFrame, targets: DataFrame, direction: str) -> DataFrame:
+    """qid, reached and, of queries with a target that is reached, distance: both kinds in one search. For as many queries as go together."""
+    edges, parts = Edges.of(edges), []
+    for own, columns, at, ends in each_run(starts, targets):
+        found = mask_levels(edges, at, direction, columns, targets=ends)
+        wanted = _masks(ends, columns).withColumnsRenamed({f"m{c}": f"want_{c}" for c in range(columns)})
+        hit = found.join(wanted, "vid").select("distance", *[C(f"m{c}").bitwiseAND(C(f"want_{c}")).alias(f"m{c}") for c in range(columns)]).select("distance", bits_of(columns))
+        parts.append(counts(found, columns, reached=C("distance") > 0).join(own, "bit").join(hit, "bit", "left").select("qid", "reached", "distance"))
+    return _united(parts, starts, "reached", "distance")
+
+
 def reach_counts(edges: DataFrame | Edges, starts: DataFrame, direction: str, cycles: bool = False) -> DataFrame:
     """qid, reached (nodes, the starts themselves not) and direct (at a distance of 1), with a row per node and none per node and query; cycles:
     also back, 1 where a way leads back to the start."""
@@ -237,7 +273,7 @@ class Origins:
         level, found = counted_buckets(starts.select("vid", C("vid").alias("a"), F.lit(None).cast("long").alias("b")).distinct(), "vid", "level", edges.n)
         while found["n"]:
             seen.add(level)
-            step, before = seen.beside(two(ends(level.by_key.join(out, C("vid") == C("src")).select(C("dst").alias("vid"), "a", "b"))))
+            step, before = seen.beside(two(ends(placed(stepped(level.by_key, out, found["n"]).select(C("dst").alias("vid"), "a", "b"), edges.n, "vid"))))
             known = F.array_compact(F.array(*[c for row in before for c in row]))
             fresh = F.slice(F.array_except(F.array_compact(F.array("a", "b")), known), F.lit(1), F.greatest(F.lit(0), 2 - F.size(known)))
             step = step.select("vid", fresh.alias("x")).where(F.size("x") > 0).select("vid", F.get("x", 0).alias("a"), F.get("x", 1).alias("b"))

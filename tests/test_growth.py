@@ -103,3 +103,29 @@ def test_lock_files_are_read_by_lines_and_hold_what_is_asked_for(monkeypatch):
         lock = parse(iter(lines), "f", "edge")
         assert lock.packages and tracemalloc.get_traced_memory()[1] < 1000 * n, form
         tracemalloc.stop()
+
+
+def test_a_search_has_the_buckets_that_its_edges_fill(spark):
+    from depgrove.operators import graph, searches
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        nodes, edges = graph.synthetic(spark, 60, 2)
+        held = searches.Edges.of(edges)
+        assert held.n == spark.sparkContext.defaultParallelism < 40
+        assert {r.package: r.distance for r in graph.reachable(nodes, held, "pkg-0==1", "dependencies").collect()} == {f"pkg-{i}==1": (i + 1) // 2 for i in range(1, 60)}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_both_kinds_of_queries_go_in_one_search_and_send_nothing_seen(spark, monkeypatch):
+    from depgrove.operators import graph, searches
+
+    calls, levels, beside, plans = [], searches.mask_levels, searches.Seen.beside, []
+    monkeypatch.setattr(searches, "mask_levels", lambda *a, **k: (calls.append(1), levels(*a, **k))[1])
+    monkeypatch.setattr(searches.Seen, "beside", lambda self, rows: (lambda out: (plans.append(out[0]._jdf.queryExecution().executedPlan().toString()), out)[1])(beside(self, rows)))
+    nodes, edges = graph.synthetic(spark, 12, 1)
+    asked = spark.createDataFrame([(1, "dependencies", "pkg-0==1", None, "nodes"), (2, "dependencies", "pkg-2==1", "pkg-5==1", "path"), (3, "dependencies", "pkg-5==1", "pkg-2==1", "path"), (4, "dependencies", "gone", None, "nodes")], "qid long, direction string, node string, target string, kind string")
+    assert {r.qid: r.result_count for r in graph.batch(nodes, edges, asked).collect()} == {1: 11, 2: 4, 3: 0, 4: 0}
+    assert len(calls) == 1 and plans and all("LeftOuter, BuildRight" not in p and "BroadcastHashJoin [vid" not in p.split("SortMergeJoin")[0] for p in plans)
