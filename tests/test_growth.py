@@ -129,3 +129,31 @@ def test_both_kinds_of_queries_go_in_one_search_and_send_nothing_seen(spark, mon
     asked = spark.createDataFrame([(1, "dependencies", "pkg-0==1", None, "nodes"), (2, "dependencies", "pkg-2==1", "pkg-5==1", "path"), (3, "dependencies", "pkg-5==1", "pkg-2==1", "path"), (4, "dependencies", "gone", None, "nodes")], "qid long, direction string, node string, target string, kind string")
     assert {r.qid: r.result_count for r in graph.batch(nodes, edges, asked).collect()} == {1: 11, 2: 4, 3: 0, 4: 0}
     assert len(calls) == 1 and plans and all("LeftOuter, BuildRight" not in p and "BroadcastHashJoin [vid" not in p.split("SortMergeJoin")[0] for p in plans)
+
+
+def test_requires_sends_a_line_once_to_its_order_and_once_to_its_part(spark, tmp_path):
+    from depgrove.plans import derive
+
+    lines = [(o, p) for o, parts in enumerate([(1, 2, 3), (1, 1), (2, 4, 4), (5, 6), (6, None), (7, 9, 9), (3,)]) for p in parts] + [(None, 1), (None, 2)]
+    parts = [(1, "a"), (2, "b"), (3, "a"), (4, None), (5, None), (6, "c"), (7, "b"), (None, "d")]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame(parts, "p_partkey long, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    found = derive.table(spark, str(tmp_path), "requires")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "Exchange hashpartitioning(l_orderkey" in plan and plan.count("FileScan") == 2
+    tables = {t: spark.read.parquet(f"{tmp_path}/{t}.parquet") for t in ("lineitem", "part")}
+    wanted = spark.sql(derive.SQL["requires"], **tables)
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, wanted.collect())) and found.count() > 8
+
+
+def test_providers_meet_requirements_in_slices(spark, monkeypatch):
+    from depgrove.operators import joins
+    from depgrove.plans import join_queries
+
+    requires = spark.createDataFrame([(p, c) for p in range(4) for c in ("none", "own", "many", "rpmlib(x)", None)], "pkg int, cap string")
+    provides = spark.createDataFrame([(1, "own"), (1, "own"), (None, "own"), (2, None)] + [(p, "many") for p in range(7)], "pkg int, cap string")
+    monkeypatch.setattr(joins, "SLICE", 2)
+    monkeypatch.setattr(join_queries, "table", lambda s, d, name: {"requires": requires, "provides": provides}[name])
+    found = join_queries.QUERIES["requires_providers"](spark, "")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, joins.providers(requires, provides).where("provider IS NOT NULL").collect()))
+    assert "Generate explode(providers" in _plan(found)
