@@ -274,9 +274,12 @@ def selector(packages: DataFrame, text: str) -> DataFrame:
 
 def tree_parents(lines: DataFrame) -> DataFrame:
     """lines: tree, line, depth, id. Gives the parent: the id of the last line before at a depth of one less, however deep."""
-    row = lines.select(F.struct(*lines.columns).alias("row"), "id").schema
-    asked = lines.select("tree", (C("depth") - 1).alias("of"), "line", F.lit(None).cast(row["id"].dataType).alias("last"), F.struct(*lines.columns).alias("row"))
-    given = lines.where("depth >= 0").select("tree", C("depth").alias("of"), "line", C("id").alias("last"), F.lit(None).cast(row["row"].dataType).alias("row"))
+    row = F.struct(*[c for c in lines.columns if c not in ("tree", "line")])
+    none = lines.select(row.alias("row"), "id").schema
+    asked = F.struct((C("depth") - 1).alias("of"), F.lit(None).cast(none["id"].dataType).alias("last"), row.alias("row"))
+    given = F.struct(C("depth").alias("of"), C("id").alias("last"), F.lit(None).cast(none["row"].dataType).alias("row"))
     before = Window.partitionBy("tree", "of").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    found = asked.unionByName(given).withColumn("parent", F.last("last", ignorenulls=True).over(before))
-    return found.where("row IS NOT NULL").select("row.*", "parent")
+    # both from one reading of the lines
+    both = lines.select("tree", "line", F.inline(F.array(asked, given))).where("row IS NOT NULL OR of >= 0")
+    found = both.withColumn("parent", F.last("last", ignorenulls=True).over(before))
+    return found.where("row IS NOT NULL").select("tree", "line", "row.*", "parent").select(*lines.columns, "parent")

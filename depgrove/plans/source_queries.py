@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
@@ -96,14 +97,17 @@ def _feed(spark, sf):
 
 
 def _maven(spark, sf):
-    """The lines of all orders as trees, the orders of each 512 keys in a file."""
+    """The lines of all orders as trees, the orders of each 512 keys in a tree and 16 trees, as those of a build of several modules, in a file."""
     depth = F.least(C("l_partkey") % 3, C("l_linenumber") - 1).cast("int")
     mark = F.when(depth == 0, "").otherwise(F.concat(F.repeat(F.lit("|  "), depth - 1), F.lit("+- ")))
     line = F.concat(F.lit("[INFO] "), mark, F.lit("g:o"), C("l_orderkey").cast("string"), F.lit("l"), C("l_linenumber").cast("string"), F.lit(":jar:"), C("l_partkey").cast("string"), F.lit(":compile"), F.when(C("l_partkey") % 5 == 0, " (optional)").otherwise(""))
-    rows = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_partkey").alias("l_partkey"))
-    lines = rows.select(F.shiftright(C("l_orderkey").cast("long"), 9).alias("folder"), "l_orderkey", "l_linenumber", line.alias("value"))
+    tree = F.shiftright(C("l_orderkey").cast("long"), 9)
+    rows = table(spark, sf, "lineitem").select(F.shiftright(tree, 4).alias("folder"), "l_orderkey", "l_linenumber", "l_partkey").repartition("folder")
+    rows = rows.groupBy("folder", "l_orderkey", "l_linenumber").agg(F.max("l_partkey").alias("l_partkey"))
+    before = F.lag(tree).over(Window.partitionBy("folder").orderBy("l_orderkey", "l_linenumber"))
+    head = F.when(before == tree, "").otherwise(F.concat(F.lit("[INFO] --- maven-dependency-plugin:3.6.0:tree (default-cli) @ t"), tree.cast("string"), F.lit(" ---\n")))
     path = f"{shared_folder(spark)}/files-maven-{uuid.uuid4().hex}"
-    lines.repartition("folder").sortWithinPartitions("folder", "l_orderkey", "l_linenumber").select("folder", "value").write.partitionBy("folder").text(path)
+    rows.select("folder", F.concat(head, line).alias("value")).write.partitionBy("folder").text(path)
     return load(spark, "maven-tree", path)[1].select("src", "dst", "rel")
 
 

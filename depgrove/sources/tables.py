@@ -43,23 +43,27 @@ def requirements_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataF
 
 
 def maven_tree(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """The tree that a build prints: the depth is where the name begins, the parent the last line one level up. rel: 1 plain,
-    2 optional, 3 omitted, 4 excluded."""
-    rows = lines(spark, path).withColumn("text", F.regexp_replace("text", r"^\[INFO\] ", ""))
-    mark, body = F.regexp_extract("text", r"^([|+\\ -]*)", 1), F.regexp_extract("text", r"^[|+\\ -]*\(?([^ ()]+)", 1)
-    p, n = F.split(body, ":"), F.size(F.split(body, ":"))
+    """The trees that a build prints: the depth is where the name begins, the parent the last line one level up in the same tree. The line that says that
+    the plugin starts on a module begins another tree. rel: 1 plain, 2 optional, 3 omitted, 4 excluded."""
+    trees = files(spark, path).select("graph", F.posexplode(F.split("text", r"(?m)^\[INFO\] --- \S*dependency\S*:tree .*$")).alias("tree", "text"))
+    rows = trees.select("graph", "tree", F.posexplode(F.split("text", "\r?\n")).alias("line", "text")).where(F.contains("text", F.lit(":")))
+    # each step is named once, as the next ones ask for it several times
+    rows = rows.withColumn("text", F.when(F.startswith("text", F.lit("[INFO] ")), F.substr("text", F.lit(8))).otherwise(C("text")))
+    rows = rows.withColumn("said", F.ltrim("text", F.lit("|+\\ -")))
+    rows = rows.withColumn("p", F.split(F.regexp_extract("said", r"^\(?([^ ()]+)", 1), ":")).where(F.size("p") >= 4)
+    p, n = C("p"), F.size("p")
     at = lambda i: F.get(p, F.lit(i))
     has = F.when(n >= 6, at(3)).when((n == 5) & at(4).isin("compile", "runtime", "test", "provided", "system"), None).when(n == 5, at(3))
     version = F.when(n == 4, at(3)).when(n == 5, F.when(has.isNull(), at(3)).otherwise(at(4))).otherwise(at(4))
     name = F.concat_ws(":", at(0), at(1), F.when(at(2) != "jar", at(2)), has)
     rel = F.when(F.contains("text", F.lit("excluded")), 4).when(F.contains("text", F.lit("omitted")), 3).when(F.contains("text", F.lit("(optional")), 2).otherwise(1)
-    rows = rows.where(n >= 4).select(
-        C("graph").alias("tree"), "graph", "line", (F.length(mark) / 3).cast("long").alias("depth"), name.alias("name"), version.alias("version"),
-        F.concat(name, F.lit("=="), version).alias("id"), rel.alias("rel"), F.element_at(p, -1).alias("scope"),
-    )
-    found = tree_parents(rows)
+    rows = rows.select(
+        "graph", "tree", (F.shiftleft(C("tree").cast("long"), 32) + C("line")).alias("line"), ((F.length("text") - F.length("said")) / 3).cast("long").alias("depth"),
+        name.alias("name"), version.alias("version"), rel.alias("rel"), F.element_at(p, -1).alias("scope"),
+    ).withColumn("id", F.concat("name", F.lit("=="), "version"))
+    found = tree_parents(rows.select(F.struct("graph", "tree").alias("tree"), "line", "depth", "id", "rel"))
     nodes = one_per_id(rows.select(C("line").alias("seq"), *node(C("graph"), C("name"), C("version"), F.lit("maven"), scope=C("scope"))))
-    edges = found.where("parent IS NOT NULL").groupBy("graph", C("parent").alias("src"), C("id").alias("dst")).agg(F.max_by("rel", "line").alias("rel"))
+    edges = found.where("parent IS NOT NULL").groupBy(C("tree.graph").alias("graph"), C("parent").alias("src"), C("id").alias("dst")).agg(F.max_by("rel", "line").alias("rel"))
     return nodes, edges
 
 

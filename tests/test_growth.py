@@ -157,3 +157,23 @@ def test_providers_meet_requirements_in_slices(spark, monkeypatch):
     found = join_queries.QUERIES["requires_providers"](spark, "")
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, joins.providers(requires, provides).where("provider IS NOT NULL").collect()))
     assert "Generate explode(providers" in _plan(found)
+
+
+def test_lines_of_trees_are_parsed_once_and_many_trees_lie_in_a_file(spark, tmp_path, monkeypatch):
+    from depgrove.plans import source_queries
+    from depgrove.sources import tables
+
+    tmp_path.joinpath("two.txt").write_text(
+        "[INFO] Scanning\n[INFO] --- maven-dependency-plugin:3.6.0:tree (default-cli) @ a ---\n[INFO] g:a:jar:1\n[INFO] +- g:b:jar:1:compile\r\n[INFO] |  \\- (g:c:jar:1:test - omitted)\n"
+        "[INFO] --- dependency:3.6.0:tree (default-cli) @ d ---\r\n[INFO] |  +- g:e:jar:1:compile\n[INFO] g:d:jar:1\n[INFO] +- g:b:jar:1:compile (optional)\n[INFO] +- ((g:x:jar:1:compile\n\n"
+    )
+    edges = tables.maven_tree(spark, str(tmp_path))[1]
+    assert sorted((r.src, r.dst, r.rel) for r in edges.collect()) == [("g:a==1", "g:b==1", 1), ("g:b==1", "g:c==1", 3), ("g:d==1", "g:b==1", 2)]
+    assert _plan(edges).count("Relation [") == 1  # lines ask for parents and are asked as such from one reading
+    paths, load = [], source_queries.load
+    monkeypatch.setattr(source_queries, "load", lambda s, kind, path: (paths.append(path), load(s, kind, path))[1])
+    rows = spark.range(2 * 16 * 512).select(F.col("id").alias("l_orderkey"), F.lit(1).alias("l_linenumber"), F.col("id").alias("l_partkey"))
+    monkeypatch.setattr(source_queries, "table", lambda s, d, name: rows)
+    assert source_queries.QUERIES["loaded_maven_edges"](spark, "").count() == 0  # first lines only
+    files = spark.read.text(paths[0], wholetext=True).select(F.regexp_count("value", F.lit(":tree ")).alias("trees"), F.regexp_count("value", F.lit(":jar:")).alias("lines"))
+    assert sorted(map(tuple, files.collect())) == [(16, 16 * 512)] * 2
