@@ -48,14 +48,14 @@ class Bucketed(NamedTuple):
     plain: DataFrame
 
 
-def bucketed(df: DataFrame, key: str | list[str], name: str, n: int, path: str | None = None, table: str | None = None) -> Bucketed:
-    """The rows as a table bucketed and sorted by a key, or several, in the shared folder. The catalog of the session has it under a name of its own, or under
-    `table`."""
+def bucketed(df: DataFrame, key: str | list[str], name: str, n: int, path: str | None = None, table: str | None = None, by: str | None = None) -> Bucketed:
+    """The rows as a table bucketed and sorted by a key, or several, in the shared folder; with `by` bucketed by that one of them only. The catalog of the session
+    has it under a name of its own, or under `table`."""
     spark = df.sparkSession
     table = table or f"{name}_{uuid.uuid4().hex}"
     path = path or f"{shared_folder(spark)}/{table}"
     keys = [key] if isinstance(key, str) else key
-    df.write.bucketBy(n, *keys).sortBy(*keys).mode("overwrite").option("path", path).saveAsTable(table)
+    df.write.bucketBy(n, *([by] if by else keys)).sortBy(*keys).mode("overwrite").option("path", path).saveAsTable(table)
     by_key = spark.table(table)
     return Bucketed(by_key, spark.read.schema(by_key.schema).parquet(path))
 
@@ -68,7 +68,7 @@ def placed_buckets(spark, schema, path: str, key: str, n: int) -> DataFrame:
     return spark.table(table)
 
 
-def counted_buckets(df: DataFrame, key: str | list[str], name: str, n: int, **counts) -> tuple[Bucketed, dict[str, int]]:
+def counted_buckets(df: DataFrame, key: str | list[str], name: str, n: int, by: str | None = None, **counts) -> tuple[Bucketed, dict[str, int]]:
     seen = Observation()
-    out = bucketed(df.observe(seen, F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in counts.items()]), key, name, n)
+    out = bucketed(df.observe(seen, F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in counts.items()]), key, name, n, by=by)
     return out, {k: v or 0 for k, v in seen.get.items()}

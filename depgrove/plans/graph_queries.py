@@ -64,10 +64,10 @@ def _chain(spark, sf):
 
 def _many(spark, sf):
     """How much each customer and each part needs, for all of them at once."""
-    nodes, edges = _d(spark, sf)
+    nodes, edges = table(spark, sf, "nodes"), table(spark, sf, "edges", distinct=False)
     asked = nodes.where(F.col("kind").isin("customer", "part"))
     found = searches.reach_counts(edges, asked.select(F.col("vid").alias("qid"), "vid"), "dependencies", cycles=True)
-    return found.join(nodes, F.col("qid") == F.col("vid")).select(F.col("id").alias("package"), "direct", "reached", "back")
+    return found.join(asked.hint("merge"), F.col("qid") == F.col("vid")).select(F.col("id").alias("package"), "direct", "reached", "back")
 
 
 QUERIES = {

@@ -177,3 +177,32 @@ def test_lines_of_trees_are_parsed_once_and_many_trees_lie_in_a_file(spark, tmp_
     assert source_queries.QUERIES["loaded_maven_edges"](spark, "").count() == 0  # first lines only
     files = spark.read.text(paths[0], wholetext=True).select(F.regexp_count("value", F.lit(":tree ")).alias("trees"), F.regexp_count("value", F.lit(":jar:")).alias("lines"))
     assert sorted(map(tuple, files.collect())) == [(16, 16 * 512)] * 2
+
+
+def test_a_block_of_queries_is_sent_each_node_once(spark, monkeypatch):
+    from depgrove.operators import searches
+
+    plans, counted = [], searches.counted_buckets
+    monkeypatch.setattr(searches, "COLUMNS", 1)
+    monkeypatch.setattr(searches, "LIST_ENDS", 2)
+    monkeypatch.setattr(searches, "BUCKET_BLOCKS", 1)
+    monkeypatch.setattr(searches, "SENT_ROWS", 0)
+    monkeypatch.setattr(searches, "counted_buckets", lambda df, *a, **k: (plans.append(df._jdf.queryExecution().executedPlan().toString()), counted(df, *a, **k))[1])
+    ends = {i: {(i + 1) % 9, 500, *range(100, 105)} if i < 9 else {i + 1} if i < 340 and i % 10 < 8 else set() for i in range(600)}
+    ends[20] = {20, 21}
+    rows = [(a, b) for a, bs in ends.items() for b in bs]
+    edges = spark.createDataFrame(rows + rows[::2], "src long, dst long")
+    starts = spark.range(600).select(F.col("id").alias("qid"), F.col("id").alias("vid"))
+    assert {r.block for r in searches.runs(starts).collect()} != {r.run for r in searches.runs(starts).collect()}
+    asked = searches.reach_counts(edges, starts, "dependencies", cycles=True).select("qid", "reached", "direct", "back").collect()
+    reached = {}
+    for q in range(600):
+        seen, new = {q}, {q}
+        while new:
+            new = {b for a in new for b in ends[a]} - seen
+            seen |= new
+        reached[q] = (q, len(seen) - 1, len(ends[q] - {q}), int(any(q in ends[a] for a in seen)))
+    assert sorted(map(tuple, asked)) == sorted(reached.values())
+    # a level asks for its nodes' lists and gets them; neither what it follows nor what was seen moves
+    assert len(plans) > 8 and all(p.count("Exchange hashpartitioning") == 2 and "Exchange hashpartitioning(block" not in p for p in plans[1:])
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
