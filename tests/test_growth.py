@@ -206,3 +206,17 @@ def test_a_block_of_queries_is_sent_each_node_once(spark, monkeypatch):
     # a level asks for its nodes' lists and gets them; neither what it follows nor what was seen moves
     assert len(plans) > 8 and all(p.count("Exchange hashpartitioning") == 2 and "Exchange hashpartitioning(block" not in p for p in plans[1:])
     assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
+
+
+def test_a_task_meets_providers_slice_by_slice(spark, monkeypatch):
+    from depgrove.operators import joins
+
+    monkeypatch.setattr(joins, "SLICE", 8)
+    caps = [f"c{i}" for i in range(5)]
+    requires = spark.createDataFrame([(p, c) for p in range(40) for c in caps], "pkg long, cap string").repartition(2, "pkg")
+    provides = spark.createDataFrame([(100 + p, c) for p in range(21) for c in caps[:4]] + [(3, "c4"), (7, "c4")], "pkg long, cap string")
+    found = joins.provided(requires, provides)
+    rows = [tuple(r) for r in found.collect()]
+    assert sorted(rows) == sorted([(p, c, 100 + o) for p in range(40) for c in caps[:4] for o in range(21)] + [(p, "c4", o) for p in range(40) for o in (3, 7) if p != o])
+    tasks = found.rdd.glom().map(lambda part: [(r.cap, max(r.provider - 100, 0) // 8, r.pkg) for r in part]).collect()
+    assert all(t == sorted(t) for t in tasks) and "Sort [cap#" in _plan(found)  # a join may drop an order right below it
