@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from . import searches
 from .parts import PART_BITS, Parts
 from .searches import Edges, Seen, towards, turned
-from .tables import Bucketed, buckets, counted_buckets, written
+from .tables import Bucketed, buckets, counted_buckets, unsent, written
 
 C = F.col
 OPPOSITE = {"dependencies": "dependents", "dependents": "dependencies"}
@@ -74,19 +74,19 @@ def neighbours(nodes: DataFrame, edges: DataFrame, id_: str, direction: str) ->
     """position, package: the direct neighbours in vid order; none for an unknown id."""
     start = nodes.where(F.col("id") == id_).select(F.col("vid").alias("src"))
     found = towards(edges, direction).join(start, "src").select(F.col("dst").alias("vid")).distinct()
-    return found.join(nodes, "vid").select("vid", F.col("id").alias("package"))
+    return found.join(unsent(nodes), "vid").select("vid", F.col("id").alias("package"))
 
 
 def most_depended_upon(nodes: DataFrame, edges: DataFrame, limit: int) -> DataFrame:
     """package, dependents: by number of dependents, then id."""
     counts = edges.groupBy("dst").agg(F.count("*").alias("dependents"))
-    named = counts.join(nodes, F.col("dst") == F.col("vid")).select(F.col("id").alias("package"), "dependents")
+    named = counts.join(unsent(nodes), F.col("dst") == F.col("vid")).select(F.col("id").alias("package"), "dependents")
     return named.orderBy(F.desc("dependents"), "package").limit(limit)
 
 
 def adjacency(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """package, targets (ids in vid order, joined by a comma; empty without edges)."""
-    named = edges.join(nodes.select(F.col("vid").alias("dst"), F.col("id").alias("target")), "dst")
+    named = edges.join(unsent(nodes.select(F.col("vid").alias("dst"), F.col("id").alias("target"))), "dst")
     lists = named.groupBy("src").agg(F.array_sort(F.collect_list(F.struct("dst", "target"))).alias("to"))
     text = F.array_join(F.transform("to", lambda x: x["target"]), ",")
     return nodes.join(lists, F.col("vid") == F.col("src"), "left").select(F.col("id").alias("package"), F.coalesce(text, F.lit("")).alias("targets"))
@@ -132,15 +132,15 @@ def reachable(nodes: DataFrame, edges: DataFrame | Edges, id_: str, direction: s
     found = levels(edges, starts_at(nodes, id_), direction, depth)
     out = found.where("distance > 0")
     if start_on_cycle:
-        back = found.join(towards(edges, direction), F.col("vid") == F.col("src")).where("dst = qid").groupBy("qid").agg((F.min("distance") + 1).alias("distance"))
+        back = unsent(found).join(towards(edges, direction), F.col("vid") == F.col("src")).where("dst = qid").groupBy("qid").agg((F.min("distance") + 1).alias("distance"))
         out = out.unionByName(back.select("qid", F.col("qid").alias("vid"), "distance"))
-    return out.join(nodes, "vid").select(F.col("id").alias("package"), "distance")
+    return out.join(unsent(nodes), "vid").select(F.col("id").alias("package"), "distance")
 
 
 def deep_reachable(nodes: DataFrame, edges: DataFrame | Parts, id_: str, direction: str, part_bits: int = PART_BITS) -> DataFrame:
     """The rows of `reachable`, by parts: for graphs that are much deeper than wide, with vids that lie near those of neighbours."""
     parts = edges if isinstance(edges, Parts) else Parts(edges, direction, part_bits)
-    return parts.distances(starts_at(nodes, id_)).where("distance > 0").join(nodes, "vid").select(C("id").alias("package"), "distance")
+    return parts.distances(starts_at(nodes, id_)).where("distance > 0").join(unsent(nodes), "vid").select(C("id").alias("package"), "distance")
 
 
 def deep_path(nodes: DataFrame, edges: DataFrame | Parts, source: str, target: str, direction: str = "dependencies", part_bits: int = PART_BITS) -> DataFrame:
@@ -153,12 +153,12 @@ def deep_path(nodes: DataFrame, edges: DataFrame | Parts, source: str, target: s
     way = parts.path(towards_target.select("vid", "distance"), start[0].vid) if there else []
     rows = nodes.sparkSession.createDataFrame([(0, v, len(way) - 1, i) for i, v in enumerate(way)], "qid long, at long, distance long, pos int")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]), ">")
-    return rows.join(nodes.select(C("vid").alias("at"), "id"), "at").groupBy("distance").agg(text.alias("path")).select("path", "distance")
+    return rows.join(unsent(nodes.select(C("vid").alias("at"), "id")), "at").groupBy("distance").agg(text.alias("path")).select("path", "distance")
 
 
 def named_paths(found: DataFrame, nodes: DataFrame, separator: str = ">") -> DataFrame:
     """The rows of `levels` with paths: qid, vid, distance and path as text."""
-    steps = found.select("qid", "vid", "distance", F.posexplode("path").alias("pos", "at")).join(nodes.select(F.col("vid").alias("at"), "id"), "at")
+    steps = found.select("qid", "vid", "distance", F.posexplode("path").alias("pos", "at")).join(unsent(nodes.select(F.col("vid").alias("at"), "id")), "at")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]), separator)
     return steps.groupBy("qid", "vid", "distance").agg(text.alias("path"))
 
@@ -173,7 +173,7 @@ def shortest_path(nodes: DataFrame, edges: DataFrame, source: str, target: str,
 def impact(nodes: DataFrame, edges: DataFrame, id_: str) -> DataFrame:
     """package, distance, chain: everything that depends on the node, nearest first, each with its chain down to the node."""
     found = levels(edges, starts_at(nodes, id_), "dependents", paths=True).where("distance > 0").withColumn("path", F.reverse("path"))
-    return named_paths(found, nodes).join(nodes, "vid").select(F.col("id").alias("package"), "distance", F.col("path").alias("chain"))
+    return named_paths(found, nodes).join(unsent(nodes), "vid").select(F.col("id").alias("package"), "distance", F.col("path").alias("chain"))
 
 
 def rendered_chains(chains: DataFrame, max_paths: int = 20) -> DataFrame:
@@ -196,9 +196,9 @@ def affected(nodes: DataFrame, edges: DataFrame, ids: DataFrame) -> DataFrame:
 
     One search for all of them: a node is passed on with the first two different packages that it was reached from, which is enough to
     tell whether a package given was reached from another."""
-    starts = ids.select("id").distinct().join(nodes, "id").select("vid")
+    starts = ids.select("id").distinct().join(unsent(nodes), "id").select("vid")
     found = searches.Origins.search(edges, starts, "dependents")
-    return found.where("vid <> of").select("vid").distinct().join(nodes, "vid").select(C("id").alias("package"))
+    return found.where("vid <> of").select("vid").distinct().join(unsent(nodes), "vid").select(C("id").alias("package"))
 
 
 def neighbourhood_edges(edges: DataFrame, found: DataFrame, direction: str, depth: int) -> DataFrame:
@@ -216,9 +216,9 @@ def batch(nodes: DataFrame, edges: DataFrame, queries: DataFrame) -> DataFrame:
     few = queries.limit(together + 1).count() <= together
     for direction in ("dependencies", "dependents"):
         asked = queries.where(C("direction") == direction)
-        starts = lambda rows: rows.join(nodes, C("node") == C("id")).select("qid", "vid")
+        starts = lambda rows: rows.join(unsent(nodes), C("node") == C("id")).select("qid", "vid")
         plain, routes = asked.where("kind <> 'path'"), asked.where("kind = 'path'")
-        ends = routes.join(nodes, C("target") == C("id")).select("qid", "vid")
+        ends = routes.join(unsent(nodes), C("target") == C("id")).select("qid", "vid")
         if few:
             found = searches.answers(edges, starts(plain).unionByName(starts(routes).join(ends, "qid", "left_semi")), ends, direction)
             n = F.when(C("kind") == "path", C("distance") + 1).otherwise(C("reached"))

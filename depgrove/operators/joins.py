@@ -232,7 +232,9 @@ def resolved(nodes: DataFrame, selectors: DataFrame) -> DataFrame:
 
 
 def _selected(nodes: DataFrame, kind: str, text: str, role: str) -> str:
-    row = resolved(nodes, nodes.sparkSession.createDataFrame([(kind, text)], "kind string, selector string")).first()
+    # of known size, so that the one row is sent to the nodes, and not their keys to it
+    asked = nodes.sparkSession.range(1).select(F.lit(kind).alias("kind"), F.lit(text).alias("selector"))
+    row = resolved(nodes, asked).first()
     if row.status == "ambiguous":
         more = ", ..." if row.matches > len(row.candidates) else ""
         raise ValueError(f"Ambiguous {role} selector {text!r}; candidates: {', '.join(row.candidates)}{more}")

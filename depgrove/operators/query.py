@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import graph as G
 from .joins import select_node, select_package
+from .tables import unsent
 
 C = F.col
 OPERATIONS = ("dependencies", "dependents", "reachable", "path", "most-depended-upon")
@@ -67,7 +68,7 @@ def run(nodes: DataFrame, edges: DataFrame, operation: str, node: str | None = N
     if operation in ("dependencies", "dependents"):
         return _placed(G.neighbours(nodes, edges, node, operation), "vid").drop("vid")
     if operation == "reachable":
-        found = G.levels(edges, G.starts_at(nodes, node), direction).where("distance > 0").join(nodes, "vid")
+        found = G.levels(edges, G.starts_at(nodes, node), direction).where("distance > 0").join(unsent(nodes), "vid")
         return found.select("distance", C("id").alias("package"))
     if target is None:
         raise ValueError("path needs a target")

@@ -35,6 +35,12 @@ def counted(df: DataFrame, name: str, **counts) -> tuple[DataFrame, dict[str, in
     return out, {k: v or 0 for k, v in seen.get.items()}
 
 
+def unsent(rows: DataFrame) -> DataFrame:
+    """Rows as the side of a join that stays where it is shuffled to: by the size of its files, which keep keys in a fraction of their memory, a large table
+    may count as small enough to be sent to all tasks, through the driver."""
+    return rows.hint("merge")
+
+
 def buckets(spark) -> int:
     """As many buckets as a shuffle has partitions: what a shuffle brings together then lies as the buckets do."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph as G
 from ..operators import searches
+from ..operators.tables import unsent
 from .derive import table, with_
 
 ROOT, PART, HUB = "customer:7", "part:11", "nation:3"
@@ -52,7 +53,7 @@ def _khop_edges(spark, sf):
 def _paths(spark, sf):
     nodes, edges = _p(spark, sf)
     found = G.levels(edges, G.starts_at(nodes, "p0"), "dependencies", paths=True)
-    return G.named_paths(found, nodes).join(nodes, "vid").select(F.col("id").alias("package"), "distance", "path")
+    return G.named_paths(found, nodes).join(unsent(nodes), "vid").select(F.col("id").alias("package"), "distance", "path")
 
 
 def _chain(spark, sf):

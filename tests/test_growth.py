@@ -220,3 +220,21 @@ def test_a_task_meets_providers_slice_by_slice(spark, monkeypatch):
     assert sorted(rows) == sorted([(p, c, 100 + o) for p in range(40) for c in caps[:4] for o in range(21)] + [(p, "c4", o) for p in range(40) for o in (3, 7) if p != o])
     tasks = found.rdd.glom().map(lambda part: [(r.cap, max(r.provider - 100, 0) // 8, r.pkg) for r in part]).collect()
     assert all(t == sorted(t) for t in tasks) and "Sort [cap#" in _plan(found)  # a join may drop an order right below it
+
+
+def test_nodes_stay_where_they_lie_and_a_selector_goes_to_them(spark, tmp_path, monkeypatch):
+    from depgrove.operators import graph, joins, query
+
+    nodes, edges = graph.synthetic(spark, 30, 2)
+    nodes.write.parquet(f"{tmp_path}/nodes")
+    nodes = spark.read.parquet(f"{tmp_path}/nodes").withColumn("meta", F.create_map().cast("map<string,string>"))
+    asked, resolved = [], joins.resolved
+    monkeypatch.setattr(joins, "resolved", lambda n, s: (asked.append(s), resolved(n, s))[1])
+    found = query.run(nodes, edges, "dependencies", "pkg-3==1"), query.run(nodes, edges, "reachable", "pkg-25==1"), graph.reachable(nodes, edges, "pkg-25==1", "dependencies")
+    assert [sorted(r.package for r in df.collect()) for df in found] == [["pkg-4==1", "pkg-5==1"]] + [[f"pkg-{i}==1" for i in range(26, 30)]] * 2
+    for df in found:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        last = plan[plan.index("Join ["):]
+        assert plan.split("Join [")[0].endswith("SortMerge") and "Exchange hashpartitioning(vid#" in last  # the files of the nodes are few KB
+    sizes = [int(str(s._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for s in asked]
+    assert len(sizes) == 2 and all(n < 1000 for n in sizes)
